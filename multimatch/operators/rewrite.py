@@ -67,8 +67,8 @@ def rewrite_tokens(tok: Column, cd: CompiledDictionary, emit: str = "replace",
         return F.when(f[i], F.concat(out_of(t), brk)).otherwise(t)
 
     bundle = F.array(F.struct(tok.alias("a"), flags.alias("f")))
-    return F.array_join(F.transform(bundle, lambda b: F.array_join(
-        F.transform(b["a"], lambda t, i: piece(t, i, b["a"], b["f"])), ""))[0], "")
+    return F.transform(bundle, lambda b: F.array_join(
+        F.transform(b["a"], lambda t, i: piece(t, i, b["a"], b["f"])), ""))[0]
 
 
 def replace_all(df: DataFrame, cd: CompiledDictionary, key: str | Sequence[str] = "doc_id",
