@@ -138,3 +138,61 @@ def q_resolve_replacement(spark, sf_dir):
     ms = search.find_all(documents(spark, sf_dir), compiled_d1(spark), "doc_id", "text")
     return search.resolve_replacement(ms, d1_frame(spark)).select(
         "doc_id", "ordinal", "replacement_id", "replacement")
+
+
+# ---- dictionaries derived from the tables ------------------------------------
+
+def benchmark_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dictionary of the words of `benchmark`, in text order (duplicates and shadowing abound).
+
+    pattern = a word (maximal run of letters), replacement = ``W<length>`` so
+    words of one length share a replacement id.
+    """
+    b = table(spark, sf_dir, "benchmark", "item_id", "text")
+    w = b.select("item_id", F.posexplode(F.split("text", r"[^\p{L}]+")).alias("pos", "word"))
+    w = w.where(F.length("word") > 0)
+    return dic.dictionary_from_table(
+        w.withColumn("_order", F.struct("item_id", "pos")), "word",
+        F.concat(F.lit("W"), F.length("word").cast("string")), order_col="_order")
+
+
+@query("dict_ids")
+def q_dict_ids(spark, sf_dir):
+    """A5: replacement ids by first appearance for the `benchmark` word dictionary."""
+    return benchmark_vocabulary(spark, sf_dir)
+
+
+@query("dict_prefix_nodes")
+def q_dict_prefix_nodes(spark, sf_dir):
+    """Trie nodes of the word dictionary as a prefix table with ids."""
+    return dic.prefix_nodes(benchmark_vocabulary(spark, sf_dir))
+
+
+@query("dict_breadth")
+def q_dict_breadth(spark, sf_dir):
+    """Children per trie node."""
+    return dic.node_breadth(dic.prefix_nodes(benchmark_vocabulary(spark, sf_dir)))
+
+
+@query("dict_depth")
+def q_dict_depth(spark, sf_dir):
+    """Depth below each trie node."""
+    return dic.node_depth(benchmark_vocabulary(spark, sf_dir))
+
+
+@query("dict_id_path")
+def q_dict_id_path(spark, sf_dir):
+    """T4: the trie nodes replacement id 3 passes through."""
+    return dic.id_path(dic.prefix_nodes(benchmark_vocabulary(spark, sf_dir)), 3)
+
+
+@query("dict_prefix_lookup")
+def q_dict_prefix_lookup(spark, sf_dir):
+    """P5: what can follow the prefix 'th' in the word dictionary."""
+    return dic.prefix_lookup(dic.prefix_nodes(benchmark_vocabulary(spark, sf_dir)), "th")
+
+
+@query("dict_lint")
+def q_dict_lint(spark, sf_dir):
+    """T5: duplicate and shadowed lines of the word dictionary."""
+    return dic.dictionary_lint(benchmark_vocabulary(spark, sf_dir))

@@ -154,3 +154,48 @@ SELECT doc_id,
        CAST({D1_ID_CASE} AS INTEGER) AS replacement_id,
        {D1_REPL_CASE} AS replacement
 FROM m"""
+
+
+# ---- dictionaries derived from the tables ------------------------------------
+
+_VOCAB = r"""
+bw AS (SELECT item_id, unnest(regexp_split_to_array(text, '[^\p{L}]+')) AS word,
+              generate_subscripts(regexp_split_to_array(text, '[^\p{L}]+'), 1) AS pos
+       FROM benchmark),
+bv AS (SELECT CAST(row_number() OVER (ORDER BY item_id, pos) - 1 AS INTEGER) AS line_no,
+              word AS pattern, 'W' || CAST(length(word) AS VARCHAR) AS replacement
+       FROM bw WHERE length(word) > 0),
+rid AS (SELECT replacement, CAST(row_number() OVER (ORDER BY min(line_no)) - 1 AS INTEGER) AS replacement_id
+        FROM bv GROUP BY replacement),
+vocab AS (SELECT line_no, pattern, replacement, replacement_id FROM bv JOIN rid USING (replacement)),
+nodes AS (SELECT substring(pattern, 1, i) AS prefix, replacement_id AS id, length(pattern) AS n
+          FROM vocab, LATERAL (SELECT unnest(range(0, length(pattern) + 1)) AS i)),
+pnodes AS (SELECT prefix, CAST(length(prefix) AS INTEGER) AS depth,
+                  CASE WHEN length(prefix) > 0 THEN substring(prefix, 1, length(prefix) - 1) END AS parent,
+                  list_sort(list_distinct(list(id))) AS ids, max(n) AS maxn
+           FROM nodes GROUP BY prefix)"""
+
+ORACLE["dict_ids"] = f"WITH {_VOCAB} SELECT line_no, pattern, replacement, replacement_id FROM vocab"
+ORACLE["dict_prefix_nodes"] = f"WITH {_VOCAB} SELECT prefix, depth, parent, ids FROM pnodes"
+ORACLE["dict_breadth"] = f"""WITH {_VOCAB},
+kids AS (SELECT parent AS prefix, count(*) AS b FROM pnodes WHERE parent IS NOT NULL GROUP BY parent)
+SELECT prefix, CAST(coalesce(b, 0) AS INTEGER) AS breadth FROM pnodes LEFT JOIN kids USING (prefix)"""
+ORACLE["dict_depth"] = f"""WITH {_VOCAB}
+SELECT prefix, CAST(maxn - length(prefix) AS INTEGER) AS depth_below FROM pnodes"""
+ORACLE["dict_id_path"] = f"WITH {_VOCAB} SELECT prefix, depth FROM pnodes WHERE list_contains(ids, 3)"
+ORACLE["dict_prefix_lookup"] = f"""WITH {_VOCAB}
+SELECT prefix AS child, substring(prefix, 3, 1) AS next_char, ids FROM pnodes WHERE parent = 'th'"""
+ORACLE["dict_lint"] = f"""WITH {_VOCAB},
+firsts AS (SELECT pattern, arg_min(line_no, line_no) AS fl, arg_min(replacement, line_no) AS fr
+           FROM vocab GROUP BY pattern),
+dup AS (SELECT v.line_no, v.pattern, 'duplicate' AS issue,
+               'of line ' || CAST(f.fl AS VARCHAR)
+               || CASE WHEN v.replacement <> f.fr THEN ', other replacement' ELSE '' END AS detail
+        FROM vocab v JOIN firsts f USING (pattern) WHERE v.line_no <> f.fl),
+sh AS (SELECT a.pattern, arg_min(b.pattern, length(b.pattern)) AS by_p
+       FROM firsts a JOIN firsts b ON a.pattern <> b.pattern AND starts_with(a.pattern, b.pattern)
+       GROUP BY a.pattern)
+SELECT line_no, pattern, issue, detail FROM dup
+UNION ALL
+SELECT f.fl AS line_no, sh.pattern, 'shadowed' AS issue, 'by ' || sh.by_p AS detail
+FROM sh JOIN firsts f USING (pattern)"""
