@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 from ..operators import dictionary as dic
 from ..operators import report, rewrite, search
+from ..session import shared_dir
+from ..sources import corpus, sinks
+from ..sources import dictionary_file as dict_file
 from ..sources.corpus import read_table
 from . import fixtures
 
@@ -196,3 +199,131 @@ def q_dict_prefix_lookup(spark, sf_dir):
 def q_dict_lint(spark, sf_dir):
     """T5: duplicate and shadowed lines of the word dictionary."""
     return dic.dictionary_lint(benchmark_vocabulary(spark, sf_dir))
+
+
+# ---- sources and sinks --------------------------------------------------------
+# Stand-in inputs (pattern files, document files) are written by Spark from the
+# tables into a fresh folder under the shared checkpoint folder; the queries then
+# read them back through the library's loaders.
+
+def _part_lines(spark: SparkSession, sf_dir: str, mark: str) -> DataFrame:
+    """One pattern-file line per part, in p_partkey order, with text around the pairs."""
+    p = table(spark, sf_dir, "part", "p_partkey", "p_name", "p_brand", "p_type", "p_size")
+    return p.orderBy("p_partkey").select(F.concat(
+        F.col("p_type"), F.lit(f" {mark}"), F.col("p_name"), F.lit(f"{mark} => {mark}"),
+        F.col("p_brand"), F.lit(f"{mark} "), F.col("p_size").cast("string")).alias("value"))
+
+
+def _write_lines(spark: SparkSession, lines: DataFrame, name: str) -> str:
+    path = shared_dir(spark, name)
+    lines.write.mode("overwrite").text(path)
+    return path
+
+
+@query("dict_load")
+def q_dict_load(spark, sf_dir):
+    """S3: load a pattern file written from `part` (name -> brand)."""
+    path = _write_lines(spark, _part_lines(spark, sf_dir, '"'), "patterns")
+    return dict_file.load_dictionary(spark, path)
+
+
+@query("dict_load_grouping")
+def q_dict_load_grouping(spark, sf_dir):
+    """The same file format with ' as the grouping character."""
+    path = _write_lines(spark, _part_lines(spark, sf_dir, "'"), "patterns-q")
+    return dict_file.load_dictionary(spark, path, grouping="'")
+
+
+@query("dict_rejects")
+def q_dict_rejects(spark, sf_dir):
+    """Malformed lines of a pattern file written from `events` (type, props)."""
+    ev = table(spark, sf_dir, "events", "event_id", "event_type", "props")
+    lines = ev.orderBy("event_id").select(
+        F.when(F.col("event_type") == "click", F.concat_ws(" ", "props", "props"))
+         .when(F.col("event_type") == "view", F.concat(F.lit('"" "'), F.col("event_type"), F.lit('"')))
+         .when(F.col("event_type") == "error", F.concat(F.lit('"'), F.col("event_type"), F.lit('""')))
+         .when(F.col("event_type") == "signup", F.col("event_type"))
+         .otherwise(F.concat_ws(" ", "event_type", "props")).alias("value"))
+    path = _write_lines(spark, lines, "patterns-bad")
+    return dict_file.dictionary_rejects_file(spark, path)
+
+
+@query("dict_saved")
+def q_dict_saved(spark, sf_dir):
+    """The word dictionary saved as a table and read back."""
+    path = shared_dir(spark, "dictionary")
+    dict_file.save_dictionary(benchmark_vocabulary(spark, sf_dir), path)
+    return dict_file.read_saved_dictionary(spark, path)
+
+
+@query("corpus_scan")
+def q_corpus_scan(spark, sf_dir):
+    """`documents` written as one text file per document, scanned back as files."""
+    path = shared_dir(spark, "corpus")
+    documents(spark, sf_dir).write.partitionBy("doc_id").text(path)
+    files = corpus.read_files(spark, path)
+    dec = corpus.decode_bom(files)
+    return dec.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("length").alias("n_bytes"),
+                      F.length("text").cast("bigint").alias("n_chars"))
+
+
+# The byte order mark and charset each language's stand-in file uses.
+LANG_ENCODING = {"en": ("EFBBBF", "UTF-8"), "fr": ("FFFE", "UTF-16LE"),
+                 "de": ("FEFF", "UTF-16BE"), "es": ("", "UTF-8")}
+
+
+@query("decode_bom")
+def q_decode_bom(spark, sf_dir):
+    """Documents encoded with a byte order mark per language, decoded back by BOM."""
+    d = table(spark, sf_dir, "documents", "doc_id", "lang", "text")
+    content = F.lit(None).cast("binary")
+    for lang, (bom, cs) in LANG_ENCODING.items():
+        content = F.when(F.col("lang") == lang,
+                         F.concat(F.unhex(F.lit(bom)), F.encode("text", cs))).otherwise(content)
+    files = d.select("doc_id", content.alias("content"))
+    return corpus.decode_bom(files).select("doc_id", "charset", "text")
+
+
+@query("rewrite_sink")
+def q_rewrite_sink(spark, sf_dir):
+    """Changed documents of the D1 rewrite written as a new version, read back."""
+    root = shared_dir(spark, "rewrites")
+    rw = rewrite.replace_all(documents(spark, sf_dir), compiled_d1(spark), "doc_id", "text")
+    sinks.write_rewrites(rw, root)
+    return sinks.read_version(spark, root).select("doc_id", "text", "n_matches")
+
+
+@query("log_sink")
+def q_log_sink(spark, sf_dir):
+    """The D1 match log written as text lines, read back."""
+    path = shared_dir(spark, "log") + "/log"
+    rep = report.match_report(documents(spark, sf_dir), compiled_d1(spark), "doc_id", "text")
+    sinks.write_log(rep, path)
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
+# ---- P3 alias, U1 union --------------------------------------------------------
+
+@query("placeholder_alias")
+def q_placeholder_alias(spark, sf_dir):
+    """A dictionary whose '~' stands for '{', searched in `events.props`."""
+    key = ("ALIAS", id(spark))
+    if key not in _COMPILED:
+        _COMPILED[key] = dic.compile_dictionary(
+            dic.dictionary_from_pairs(spark, fixtures.ALIAS_DICT), alias=dic.DEFAULT_ALIAS)
+    ev = table(spark, sf_dir, "events", "event_id", "props")
+    return search.find_all(ev, _COMPILED[key], "event_id", "props")
+
+
+@query("corpus_union")
+def q_corpus_union(spark, sf_dir):
+    """`documents`, `pages` and `conversations` searched as one corpus (D1 counts)."""
+    conv = table(spark, sf_dir, "conversations", "conv_id", "turn", "text").select(
+        F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("k"),
+        "text")
+    u = corpus.corpus_union([
+        ("documents", documents(spark, sf_dir), "doc_id", "text"),
+        ("pages", table(spark, sf_dir, "pages", "page_id", "html"), "page_id", "html"),
+        ("conversations", conv, "k", "text"),
+    ])
+    return report.doc_match_counts(u, compiled_d1(spark), ["source", "key"], "text")

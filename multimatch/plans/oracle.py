@@ -199,3 +199,96 @@ SELECT line_no, pattern, issue, detail FROM dup
 UNION ALL
 SELECT f.fl AS line_no, sh.pattern, 'shadowed' AS issue, 'by ' || sh.by_p AS detail
 FROM sh JOIN firsts f USING (pattern)"""
+
+
+# ---- sources and sinks --------------------------------------------------------
+
+from ..sources.dictionary_file import _rx as _file_rx  # noqa: E402
+
+
+def _file_dict_sql(lines_sql: str, mark: str) -> str:
+    rx = _file_rx(mark)
+    pair = sql_str(rx["pair"])
+    return f"""WITH l AS ({lines_sql}),
+p AS (SELECT line_no, regexp_extract(line, {pair}, 1) AS pattern,
+             regexp_extract(line, {pair}, 2) AS replacement
+      FROM l WHERE regexp_matches(line, {pair})),
+good AS (SELECT * FROM p WHERE length(pattern) > 0),
+rid AS (SELECT replacement, CAST(row_number() OVER (ORDER BY min(line_no)) - 1 AS INTEGER) AS replacement_id
+        FROM good GROUP BY replacement)
+SELECT line_no, pattern, replacement, replacement_id FROM good JOIN rid USING (replacement)"""
+
+
+def _part_lines_sql(mark: str) -> str:
+    m = mark.replace("'", "''")
+    return (f"SELECT CAST(row_number() OVER (ORDER BY p_partkey) - 1 AS INTEGER) AS line_no, "
+            f"p_type || ' {m}' || p_name || '{m} => {m}' || p_brand || '{m} ' || CAST(p_size AS VARCHAR) "
+            f"AS line FROM part")
+
+
+ORACLE["dict_load"] = _file_dict_sql(_part_lines_sql('"'), '"')
+ORACLE["dict_load_grouping"] = _file_dict_sql(_part_lines_sql("'"), "'")
+
+_RX = _file_rx('"')
+ORACLE["dict_rejects"] = f"""WITH l AS (
+  SELECT CAST(row_number() OVER (ORDER BY event_id) - 1 AS INTEGER) AS line_no,
+         CASE event_type WHEN 'click' THEN props || ' ' || props
+                         WHEN 'view' THEN '"" "' || event_type || '"'
+                         WHEN 'error' THEN '"' || event_type || '""'
+                         WHEN 'signup' THEN event_type
+                         ELSE event_type || ' ' || props END AS line
+  FROM events),
+r AS (SELECT line_no, line,
+        CASE WHEN strpos(line, '"') = 0 THEN 'no marks'
+             WHEN NOT regexp_matches(line, {sql_str(_RX['pair'])})
+                  AND regexp_matches(line, {sql_str(_RX['no_sep'])}) THEN 'no separator'
+             WHEN NOT regexp_matches(line, {sql_str(_RX['pair'])})
+                  AND regexp_matches(line, {sql_str(_RX['empty_repl'])}) THEN 'empty replacement'
+             WHEN NOT regexp_matches(line, {sql_str(_RX['pair'])}) THEN 'no replacement'
+             WHEN length(regexp_extract(line, {sql_str(_RX['pair'])}, 1)) = 0 THEN 'empty pattern'
+        END AS reason FROM l)
+SELECT line_no, line, reason FROM r WHERE reason IS NOT NULL"""
+
+ORACLE["dict_saved"] = ORACLE["dict_ids"]
+
+ORACLE["corpus_scan"] = """SELECT doc_id, CAST(octet_length(encode(text)) + 1 AS BIGINT) AS n_bytes,
+       CAST(length(text) + 1 AS BIGINT) AS n_chars FROM documents"""
+
+ORACLE["decode_bom"] = """SELECT doc_id,
+       CASE lang WHEN 'en' THEN 'UTF-8' WHEN 'fr' THEN 'UTF-16LE' WHEN 'de' THEN 'UTF-16BE'
+                 ELSE 'UTF-8' END AS charset, text
+FROM documents"""
+
+ORACLE["rewrite_sink"] = f"SELECT * FROM ({ORACLE['replace_all']}) WHERE n_matches > 0"
+
+ORACLE["log_sink"] = f"""WITH {_token_rows('documents', 'doc_id', 'text', D1_TOK)}
+SELECT CAST(doc_id AS VARCHAR) || ':  ' || ({D1_REPL_CASE}) || ' <- ''' || x || '''' AS line
+FROM w WHERE x IN ({D1_IN})"""
+
+
+# ---- P3 alias, U1 union --------------------------------------------------------
+
+AL_FIRST, _ = _first_lines([(p.replace("~", "{"), r) for p, r in fixtures.ALIAS_DICT])
+AL_ALT = "|".join(_lit_rx(p) for p in sorted(AL_FIRST, key=lambda s: (len(s), s)))
+AL_IN = ", ".join(sql_str(p) for p in AL_FIRST)
+AL_ID_CASE = "CASE x " + " ".join(
+    f"WHEN {sql_str(p)} THEN {v[2]}" for p, v in AL_FIRST.items()) + " END"
+
+ORACLE["placeholder_alias"] = f"""WITH {_token_rows('events', 'event_id', 'props', f'(?s)(?:{AL_ALT})|.')},
+m AS (SELECT * FROM w WHERE x IN ({AL_IN}))
+SELECT event_id,
+       CAST(row_number() OVER (PARTITION BY event_id ORDER BY i) - 1 AS INTEGER) AS ordinal,
+       CAST(st AS INTEGER) AS start, CAST(st + length(x) AS INTEGER) AS "end",
+       CAST(length(x) AS INTEGER) AS length, x AS text,
+       CAST({AL_ID_CASE} AS INTEGER) AS replacement_id
+FROM m"""
+
+ORACLE["corpus_union"] = f"""WITH u AS (
+  SELECT 'documents' AS source, CAST(doc_id AS VARCHAR) AS key, text FROM documents
+  UNION ALL SELECT 'pages', CAST(page_id AS VARCHAR), html FROM pages
+  UNION ALL SELECT 'conversations', CAST(conv_id AS VARCHAR) || '/' || CAST(turn AS VARCHAR), text
+            FROM conversations)
+SELECT source, key,
+       CAST(coalesce(len(list_filter(regexp_extract_all(text, {sql_str(D1_TOK)}),
+                                     lambda x: x IN ({D1_IN}))), 0) AS INTEGER) AS n_matches
+FROM u"""

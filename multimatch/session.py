@@ -8,7 +8,6 @@ under the system temp dir created and registered as the checkpoint dir.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -54,10 +53,7 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new, unique sub-folder of the shared checkpoint folder."""
+    """A new, unique path under the shared checkpoint folder (not created yet)."""
     root = checkpoint_root(spark)
     sep = "" if root.endswith("/") else "/"
-    path = f"{root}{sep}{name}-{uuid.uuid4().hex[:12]}"
-    if "://" not in path or path.startswith("file:"):
-        os.makedirs(path.replace("file:", "", 1), exist_ok=True)
-    return path
+    return f"{root}{sep}{name}-{uuid.uuid4().hex[:12]}"

@@ -29,7 +29,7 @@ def _rx(g: str) -> dict[str, str]:
     return {
         "pair": f"(?s)^{n}*{m}({n}*){m}.{n}*{m}(.{n}*){m}",
         "no_sep": f"(?s)^{n}*{m}{n}*{m}{m}",
-        "empty_repl": f"(?s)^{n}*{m}{n}*{m}.{n}*{m}{m}{n}*$",
+        "empty_repl": f"(?s)^{n}*{m}{n}*{m}.{n}*{m}{m}{n}*\\z",
     }
 
 
