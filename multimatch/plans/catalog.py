@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import anchor
 from ..operators import dictionary as dic
 from ..operators import report, rewrite, search
 from ..session import shared_dir
@@ -327,3 +328,41 @@ def q_corpus_union(spark, sf_dir):
         ("conversations", conv, "k", "text"),
     ])
     return report.doc_match_counts(u, compiled_d1(spark), ["source", "key"], "text")
+
+
+# ---- M3-M6: large, table and regex dictionaries ---------------------------------
+
+def benchmark_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every `benchmark` passage is a pattern (they contain newlines)."""
+    b = table(spark, sf_dir, "benchmark", "item_id", "text")
+    return dic.dictionary_from_table(
+        b, "text", F.concat(F.lit("["), F.col("item_id").cast("string"), F.lit("]")),
+        order_col="item_id")
+
+
+@query("contains_pairs")
+def q_contains_pairs(spark, sf_dir):
+    """M4: (document, benchmark item) pairs where the passage occurs in the document."""
+    return search.contains_pairs(documents(spark, sf_dir),
+                                 table(spark, sf_dir, "benchmark", "item_id", "text"),
+                                 "doc_id", "text", "item_id", "text")
+
+
+@query("find_all_anchor")
+def q_find_all_anchor(spark, sf_dir):
+    """M3+M5: `benchmark` passages found in `documents` through the anchor join."""
+    return anchor.find_all_anchor(documents(spark, sf_dir), benchmark_passages(spark, sf_dir),
+                                  "doc_id", "text")
+
+
+@query("resolve_overlaps")
+def q_resolve_overlaps(spark, sf_dir):
+    """M5: all overlapping D1 occurrences from the anchor join, resolved greedily (= find_all)."""
+    return anchor.find_all_anchor(documents(spark, sf_dir), d1_frame(spark), "doc_id", "text")
+
+
+@query("find_all_regex")
+def q_find_all_regex(spark, sf_dir):
+    """M6: matches of the regex dictionary D3 (lazy quantifiers, line order on ties)."""
+    rows = [(i, p, r) for i, (p, r) in enumerate(fixtures.D3)]
+    return search.find_all_regex(documents(spark, sf_dir), rows, "doc_id", "text")

@@ -292,3 +292,49 @@ SELECT source, key,
        CAST(coalesce(len(list_filter(regexp_extract_all(text, {sql_str(D1_TOK)}),
                                      lambda x: x IN ({D1_IN}))), 0) AS INTEGER) AS n_matches
 FROM u"""
+
+
+# ---- M3-M6 ----------------------------------------------------------------------
+
+ORACLE["contains_pairs"] = """SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b
+ON length(b.text) > 0 AND contains(d.text, b.text)"""
+
+# D2 passages: table-driven, so the oracle builds its regex from the table in SQL:
+# shortest first, every character written as \x{hex}.
+ORACLE["find_all_anchor"] = r"""WITH bp AS (
+  SELECT item_id, text AS pattern,
+         CAST(row_number() OVER (ORDER BY item_id) - 1 AS INTEGER) AS line_no FROM benchmark),
+firsts AS (SELECT pattern, min(line_no) AS fl FROM bp WHERE length(pattern) > 0 GROUP BY pattern),
+rid AS (SELECT '[' || CAST(item_id AS VARCHAR) || ']' AS repl,
+               CAST(row_number() OVER (ORDER BY min(line_no)) - 1 AS INTEGER) AS replacement_id
+        FROM bp GROUP BY item_id),
+pid AS (SELECT f.pattern, r.replacement_id FROM firsts f JOIN bp ON bp.line_no = f.fl
+        JOIN rid r ON r.repl = '[' || CAST(bp.item_id AS VARCHAR) || ']'),
+rx AS (SELECT '(?s)(?:' || string_agg(
+          array_to_string(list_transform(string_split(pattern, ''),
+                          lambda c: '\x{' || printf('%x', unicode(c)) || '}'), ''),
+          '|' ORDER BY length(pattern), pattern) || ')|.' AS r FROM firsts),
+t AS (SELECT doc_id, regexp_extract_all(text, (SELECT r FROM rx)) AS tok FROM documents),
+u AS (SELECT doc_id, unnest(tok) AS x, generate_subscripts(tok, 1) AS i FROM t),
+w AS (SELECT doc_id, x, i, sum(length(x)) OVER (PARTITION BY doc_id ORDER BY i
+          ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - length(x) AS st FROM u),
+m AS (SELECT w.*, pid.replacement_id FROM w JOIN pid ON w.x = pid.pattern)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS ordinal,
+       CAST(st AS INTEGER) AS start, CAST(st + length(x) AS INTEGER) AS "end",
+       CAST(length(x) AS INTEGER) AS length, x AS text, replacement_id
+FROM m"""
+
+ORACLE["resolve_overlaps"] = ORACLE["find_all"]
+
+# D3 written by hand in the shared regex subset (lazy quantifiers,
+# '.' matching newline), in line order.
+D3_RX = [r"[0-9]+?%", r"th[a-e]n", r"h[a-c]+?n", r"L(?s:.)cense"]
+D3_ALT = "|".join(f"(?:{r})" for r in D3_RX)
+D3_LINE = "CASE " + " ".join(
+    f"WHEN regexp_full_match(x, {sql_str(r)}) THEN {i}" for i, r in enumerate(D3_RX)) + " END"
+ORACLE["find_all_regex"] = f"""WITH {_token_rows('documents', 'doc_id', 'text', f'(?s)(?:{D3_ALT})|.')},
+m AS (SELECT * FROM w WHERE regexp_full_match(x, {sql_str('(?s)(?:' + D3_ALT + ')')}))
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS ordinal,
+       CAST(st AS INTEGER) AS start, CAST(st + length(x) AS INTEGER) AS "end",
+       CAST(length(x) AS INTEGER) AS length, x AS text, CAST({D3_LINE} AS INTEGER) AS line_no
+FROM m"""
