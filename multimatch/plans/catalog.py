@@ -19,6 +19,7 @@ from ..session import shared_dir
 from ..sources import corpus, sinks
 from ..sources import dictionary_file as dict_file
 from ..sources.corpus import read_table
+from ..streaming import incremental
 from . import fixtures
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -366,3 +367,22 @@ def q_find_all_regex(spark, sf_dir):
     """M6: matches of the regex dictionary D3 (lazy quantifiers, line order on ties)."""
     rows = [(i, p, r) for i, (p, r) in enumerate(fixtures.D3)]
     return search.find_all_regex(documents(spark, sf_dir), rows, "doc_id", "text")
+
+
+# ---- X1: streaming ----------------------------------------------------------------
+
+@query("incremental_scan")
+def q_incremental_scan(spark, sf_dir):
+    """`documents` arrive as files in two batches (English, then the rest); two
+    incremental runs each search only the new files; the appended matches equal
+    the batch find_all."""
+    base = shared_dir(spark, "stream")
+    src, sink, ckpt = f"{base}/in", f"{base}/out", f"{base}/checkpoint"
+    docs = table(spark, sf_dir, "documents", "doc_id", "lang", "text")
+    docs.where(F.col("lang") == "en").select("doc_id", "text").write.parquet(src)
+    matches = incremental.match_stream(spark, src, "doc_id BIGINT, text STRING",
+                                       compiled_d1(spark), "doc_id", "text")
+    incremental.run_once(matches, sink, ckpt)
+    docs.where(F.col("lang") != "en").select("doc_id", "text").write.mode("append").parquet(src)
+    incremental.run_once(matches, sink, ckpt)
+    return spark.read.parquet(sink)

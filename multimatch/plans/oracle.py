@@ -338,3 +338,5 @@ SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS IN
        CAST(st AS INTEGER) AS start, CAST(st + length(x) AS INTEGER) AS "end",
        CAST(length(x) AS INTEGER) AS length, x AS text, CAST({D3_LINE} AS INTEGER) AS line_no
 FROM m"""
+
+ORACLE["incremental_scan"] = ORACLE["find_all"]
