@@ -45,8 +45,7 @@ def tokenize(df: DataFrame, cd: CompiledDictionary, key: str | Sequence[str], te
 
 def with_token_ends(toks: DataFrame) -> DataFrame:
     """Add ``_end``: the exclusive end offset of every token in ``_tok``."""
-    toks = toks.withColumn("_len", F.transform("_tok", lambda t: F.length(t)))
-    return tk.with_inclusive_scan(toks, "_len", "_end").drop("_len")
+    return toks.withColumn("_end", tk.running_ends(F.transform("_tok", lambda t: F.length(t))))
 
 
 def match_array(tok: Column, ends: Column, keep: Column) -> Column:
