@@ -29,49 +29,73 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_root
 from .dictionary import active_dictionary
 from .search import _keys
 
 DEFAULT_Q = 16
 DEFAULT_CHUNK = 512
+DEFAULT_STEP = 64
 
 
-def _gram_hashes(chars: Column, own: Column, a: int) -> Column:
-    """``array<struct<p INT, a INT, h BIGINT>>`` for the positions of a chunk's own part."""
+def _gram_hashes(ck: Column, own: Column, a: int, k: int) -> Column:
+    """``array<struct<p, a, k, h>>``: hashes of ``a``-grams at every ``k``-th chunk position.
+
+    With ``k = 1`` every position of the chunk's own part; with ``k > 1`` the
+    sampled positions run ``k - 1`` into the overlap so each occurrence that
+    starts in the own part has exactly one sampled position inside its first
+    ``k`` characters. ``substring`` counts characters from the chunk start, so
+    a position costs O(chunk) byte steps at worst; chunks are short.
+    """
+    last = own - 1 if k == 1 else own + (k - 2)
     return F.transform(
-        F.sequence(F.lit(0), own - 1),
-        lambda p: F.struct(p.alias("p"), F.lit(a).alias("a"),
-                           F.xxhash64(F.array_join(F.slice(chars, p + 1, a), "")).alias("h")))
+        F.sequence(F.lit(0), last, F.lit(k)),
+        lambda p: F.struct(p.alias("p"), F.lit(a).alias("a"), F.lit(k).alias("k"),
+                           F.xxhash64(F.substring(ck, p + 1, a)).alias("h")))
+
 
+def anchor_table(dictionary: DataFrame, q: int = DEFAULT_Q, step: int = DEFAULT_STEP,
+                 alias=None) -> DataFrame:
+    """Active patterns with their anchors ``(a, k, o, h)``.
 
-def anchor_table(dictionary: DataFrame, q: int = DEFAULT_Q, alias=None) -> DataFrame:
-    """Active patterns with anchor length ``a`` and anchor hash ``h``."""
+    A pattern of length at least ``q + step - 1`` is *long*: it is found from
+    document grams sampled every ``step`` positions, so it contributes the
+    hashes of its ``q``-grams at offsets ``o = 0 .. step-1``. Any other pattern
+    is anchored on its first ``a = min(q, len)`` characters (``k = 1, o = 0``)
+    and is looked up at every position.
+    """
     act = active_dictionary(dictionary, alias)
-    return act.select(
-        "line_no", "pattern", "replacement_id",
-        F.length("pattern").cast("int").alias("plen"),
-        F.least(F.length("pattern"), F.lit(q)).cast("int").alias("a"),
-    ).withColumn("h", F.xxhash64(F.substring("pattern", 1, F.col("a"))))
+    plen = F.length("pattern")
+    long_ = plen >= q + step - 1
+    base = act.select("line_no", "pattern", "replacement_id", plen.cast("int").alias("plen"),
+                      F.when(long_, F.lit(q)).otherwise(F.least(plen, F.lit(q))).cast("int").alias("a"),
+                      F.when(long_, F.lit(step)).otherwise(F.lit(1)).alias("k"))
+    out = base.select("*", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("o"))
+    return out.withColumn("h", F.xxhash64(F.expr("substring(pattern, o + 1, a)")))
 
 
 def find_candidates(df: DataFrame, dictionary: DataFrame, key: str | Sequence[str] = "doc_id",
                     text: str = "text", q: int = DEFAULT_Q, chunk: int = DEFAULT_CHUNK,
                     inline_limit: int = 20_000, broadcast_rows: int = 1_000_000,
-                    alias=None) -> DataFrame:
+                    alias=None, step: int = DEFAULT_STEP) -> DataFrame:
     """M3: every occurrence of every active pattern.
 
     ``<key>, start INT, length INT, text STRING, replacement_id INT, line_no INT``.
     """
     keys = _keys(key)
-    anchors = anchor_table(dictionary, q, alias)
+    # computed once and written to the shared checkpoint folder: the stats, the
+    # inlined hash set and the join all read it, and its lineage is cut
+    checkpoint_root(df.sparkSession)
+    anchors = anchor_table(dictionary, q, step, alias).checkpoint(eager=True)
     st = anchors.agg(F.count(F.lit(1)).alias("n"), F.max("plen").alias("max_len"),
-                     F.sort_array(F.collect_set("a")).alias("alens"),
+                     F.sort_array(F.collect_set(F.struct("a", "k"))).alias("classes"),
                      F.approx_count_distinct("h").alias("nh")).first()
     if not st["n"]:
         return df.sparkSession.createDataFrame(
             [], df.select(*keys).schema.add("start", "integer").add("length", "integer")
             .add("text", "string").add("replacement_id", "integer").add("line_no", "integer"))
-    max_len, alens = int(st["max_len"]), [int(a) for a in st["alens"]]
+    max_len = int(st["max_len"])
+    classes = [(int(c["a"]), int(c["k"])) for c in st["classes"]]
     size = max(chunk, max_len)
     ov = max_len - 1
 
@@ -85,34 +109,38 @@ def find_candidates(df: DataFrame, dictionary: DataFrame, key: str | Sequence[st
     chunks = df.select(*keys, F.posexplode(with_ov).alias("ci", "c")).select(
         *keys, "ci", F.length("c.own").alias("own"), F.col("c.ck").alias("ck"))
 
-    chars = F.regexp_extract_all(F.col("ck"), F.lit("(?s)."), 0)
-    # `_chars` is read twice here, so the optimizer keeps it a column of its own
-    # instead of inlining the regex into the per-position lambda
-    grams = F.when(F.size("_chars") > 0, F.flatten(F.array(
-        *[_gram_hashes(F.col("_chars"), F.col("own"), a) for a in alens])))
+    grams = F.flatten(F.array(*[_gram_hashes(F.col("ck"), F.col("own"), a, k) for a, k in classes]))
 
-    small = anchors.select("a", "h", "pattern", "plen", "replacement_id", "line_no")
+    small = anchors.select("a", "k", "o", "h", "pattern", "plen", "replacement_id", "line_no")
     if st["n"] <= broadcast_rows:
         small = F.broadcast(small)
 
     if st["nh"] <= inline_limit:
         hs = [r["h"] for r in anchors.select("h").distinct().collect()]
-        cand = (chunks.withColumn("_chars", chars)
-                .select(*keys, "ci", "ck",
-                        F.explode(F.filter(grams, lambda g: g["h"].isin(hs))).alias("g"))
-                .select(*keys, "ci", "ck", F.col("g.p").alias("p"), F.col("g.a").alias("a"),
-                        F.col("g.h").alias("h"))
-                .join(small, ["a", "h"]))
+        # one SQL string for the hash set: parsed once on the JVM side, and
+        # turned into a hash-set lookup by the optimizer
+        keep = F.expr("filter(_g, g -> g.h IN (" + ",".join(str(h) for h in hs) + "))")
+        cand = (chunks
+                .select(*keys, "ci", "own", "ck", grams.alias("_g"))
+                .select(*keys, "ci", "own", "ck", F.explode(keep).alias("g"))
+                .select(*keys, "ci", "own", "ck", F.col("g.p").alias("p"), F.col("g.a").alias("a"),
+                        F.col("g.k").alias("k"), F.col("g.h").alias("h"))
+                .join(small, ["a", "k", "h"]))
     else:
-        pos = (chunks.withColumn("_chars", chars)
+        pos = (chunks
                .select(*keys, "ci", F.explode(grams).alias("g"))
                .select(*keys, "ci", F.col("g.p").alias("p"), F.col("g.a").alias("a"),
-                       F.col("g.h").alias("h")))
-        cand = pos.join(small, ["a", "h"]).join(chunks.select(*keys, "ci", "ck"), [*keys, "ci"])
-
-    ok = F.substring(F.col("ck"), F.col("p") + 1, F.col("plen")) == F.col("pattern")
+                       F.col("g.k").alias("k"), F.col("g.h").alias("h")))
+        cand = pos.join(small, ["a", "k", "h"]).join(
+            chunks.select(*keys, "ci", "own", "ck"), [*keys, "ci"])
+
+    # the occurrence starts o characters before the sampled position, inside
+    # this chunk's own part, and its text must equal the pattern
+    s_rel = F.col("p") - F.col("o")
+    ok = ((s_rel >= 0) & (s_rel < F.col("own"))
+          & (F.substring(F.col("ck"), s_rel + 1, F.col("plen")) == F.col("pattern")))
     return cand.where(ok).select(
-        *keys, (F.col("ci") * F.lit(size) + F.col("p")).cast("int").alias("start"),
+        *keys, (F.col("ci") * F.lit(size) + s_rel).cast("int").alias("start"),
         F.col("plen").alias("length"), F.col("pattern").alias("text"),
         F.col("replacement_id").cast("int").alias("replacement_id"),
         F.col("line_no").cast("int").alias("line_no"))

@@ -270,14 +270,17 @@ def _literal_map(d: Mapping[str, object], vtype: str) -> Column:
 
 def compile_dictionary(df: DataFrame, alias: Mapping[str, str] | None = None,
                        max_patterns: int = 5000, max_chars: int = 1 << 20) -> CompiledDictionary:
-    """Size-check the active dictionary, then collect it once to build the regexes."""
+    """Collect the active dictionary once, bounded, and build the regexes.
+
+    At most ``max_patterns + 1`` rows ever reach the driver: one more than the
+    limit proves the dictionary is too large for a regex (use the anchor join).
+    """
     act = active_dictionary(df, alias)
-    stats = act.agg(F.count(F.lit(1)).alias("n"),
-                    F.coalesce(F.sum(F.length("pattern")), F.lit(0)).alias("chars")).first()
-    if stats["n"] > max_patterns or stats["chars"] > max_chars:
+    rows = act.limit(max_patterns + 1).collect()
+    chars = sum(len(r.pattern) for r in rows)
+    if len(rows) > max_patterns or chars > max_chars:
         raise DictionaryTooLarge(
-            f"{stats['n']} patterns / {stats['chars']} chars exceed the regex limits "
-            f"({max_patterns} / {max_chars}); use the anchor join")
-    rows = act.collect()
+            f"more than {max_patterns} patterns or {max_chars} pattern characters; "
+            f"use the anchor join")
     return CompiledDictionary([(r.line_no, r.pattern, r.replacement, r.replacement_id)
                                for r in rows])

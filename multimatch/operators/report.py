@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import tokens as tk
+from ..functions.rows import keep_where
 from .dictionary import CompiledDictionary, valid_rows
 from .search import _keys, tokenize
 
@@ -63,12 +64,11 @@ def match_report(df: DataFrame, cd: CompiledDictionary, key: str | Sequence[str]
     ms = _match_texts(F.col("_tok"), cd)
     repl = cd.replacement_map()
     label = _label(keys)
-    return (toks.select(*keys, ms.alias("_ms"), label.alias("_label"))
-                .where(F.size("_ms") > 0)
-                .select(*keys, F.array_join(F.transform("_ms", lambda m: F.concat(
-                    F.col("_label"), F.lit(":  "),
-                    F.coalesce(F.try_element_at(repl, m), F.lit("")),
-                    F.lit(" <- '"), m, F.lit("'"))), "\n").alias("report")))
+    lines = toks.select(*keys, ms.alias("_ms"), label.alias("_label"))
+    report = F.array_join(F.transform("_ms", lambda m: F.concat(
+        F.col("_label"), F.lit(":  "), F.coalesce(F.try_element_at(repl, m), F.lit("")),
+        F.lit(" <- '"), m, F.lit("'"))), "\n")
+    return keep_where(lines, F.size("_ms") > 0, *[F.col(k) for k in keys], report.alias("report"))
 
 
 def pattern_hit_counts(df: DataFrame, cd: CompiledDictionary, dictionary: DataFrame,

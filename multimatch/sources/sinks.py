@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.rows import keep_where
+
 
 def _versions(spark: SparkSession, root: str) -> list[int]:
     jvm = spark.sparkContext._jvm
@@ -40,7 +42,8 @@ def write_rewrites(rewritten: DataFrame, root: str, only_changed: bool = True,
     """Write the rewritten documents (by default only changed ones) as a new version."""
     spark = rewritten.sparkSession
     _, path = next_version_path(spark, root)
-    out = rewritten.where(F.col("n_matches") > 0) if only_changed else rewritten
+    out = (keep_where(rewritten, F.col("n_matches") > 0, *[F.col(c) for c in rewritten.columns])
+           if only_changed else rewritten)
     out.write.mode("errorifexists").format(fmt).save(path)
     return path
 
