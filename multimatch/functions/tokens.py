@@ -10,8 +10,6 @@ query analysis, so a vectorised Arrow UDF does it on the length arrays only.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
@@ -56,13 +54,3 @@ def running_ends(lengths: pa.Array) -> pa.Array:
     ends = cs - np.repeat(base, np.diff(offs))
     return pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(ends.astype(np.int32)),
                                     mask=lengths.is_null())
-
-
-def is_match(tok: Column, patterns: Sequence[str]) -> Column:
-    """A token is a match iff it equals a pattern: gaps and failed walks never do.
-
-    ``isin`` over literals becomes a hash-set lookup once the list is long.
-    """
-    if not patterns:
-        return F.lit(False)
-    return tok.isin(list(patterns))

@@ -229,9 +229,21 @@ class DictionaryTooLarge(ValueError):
     """The dictionary exceeds the size a single regex may have."""
 
 
+def sql_string(s: str) -> str:
+    """A Spark SQL string literal (backslash escapes are processed by the parser)."""
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 @dataclass
 class CompiledDictionary:
-    """Active dictionary rows on the driver, after a size check, and their regexes."""
+    """Active dictionary rows on the driver, after a size check, and their regexes.
+
+    In-row lookups (is this token a pattern, its replacement, its id) go through
+    a hashed bucket table: a constant ``array<map>`` indexed by
+    ``pmod(xxhash64(token), B)``, built from one SQL string (so building it costs
+    one call whatever the dictionary size) and folded to a literal by the
+    optimizer. A lookup is O(1) expected instead of a scan over all keys.
+    """
 
     entries: list[tuple[int, str, str, int]]  # line_no, pattern, replacement, replacement_id
     patterns: list[str] = field(init=False)
@@ -248,24 +260,56 @@ class CompiledDictionary:
         by_len = sorted(self.patterns, key=lambda s: (len(s), s))
         self.retry_regex = rx.retry_regex(by_len)
         self.walk_regex = rx.walk_regex(by_len)
+        self.n_buckets = 1 << max(0, (len(self.entries) - 1).bit_length())
+        self._tables: dict[str, Column] = {}
+        self._slots: dict[str, int] | None = None
 
     @property
     def empty(self) -> bool:
         return not self.entries
 
-    def replacement_map(self) -> Column:
-        return _literal_map(self.replacement_of, "string")
-
-    def id_map(self) -> Column:
-        return _literal_map(self.id_of, "int")
-
-
-def _literal_map(d: Mapping[str, object], vtype: str) -> Column:
-    if not d:
-        return F.create_map().cast(f"map<string,{vtype}>")
-    keys = list(d.keys())
-    return F.map_from_arrays(F.array(*[F.lit(k) for k in keys]),
-                             F.array(*[F.lit(d[k]).cast(vtype) for k in keys]))
+    def _slot_of(self, tok: Column) -> Column:
+        return (F.pmod(F.xxhash64(tok), F.lit(self.n_buckets)) + 1).cast("int")
+
+    def _table(self, kind: str) -> Column:
+        if kind not in self._tables:
+            vtype = "string" if kind == "replacement" else "int"
+            if self._slots is None:
+                # the slot of each key, computed once by Spark's own hash function
+                spark = SparkSession.getActiveSession()
+                keys = spark.createDataFrame([(p,) for p in self.patterns], "k STRING")
+                self._slots = {r.k: r.s for r in
+                               keys.select("k", self._slot_of(F.col("k")).alias("s")).collect()}
+            slots: list[list[str]] = [[] for _ in range(self.n_buckets)]
+            for k, slot in self._slots.items():
+                if kind == "replacement":
+                    val = sql_string(self.replacement_of[k])
+                else:
+                    val = str(int(self.id_of[k]))
+                slots[slot - 1] += [sql_string(k), val]
+            maps = [f"map({', '.join(b)})" if b else f"cast(map() as map<string,{vtype}>)"
+                    for b in slots]
+            self._tables[kind] = F.expr(f"array({', '.join(maps)})")
+        return self._tables[kind]
+
+    def is_match(self, tok: Column) -> Column:
+        """True iff the token is an active pattern (gaps and failed walks never are)."""
+        if self.empty:
+            return F.lit(False)
+        return F.coalesce(F.map_contains_key(
+            F.element_at(self._table("replacement"), self._slot_of(tok)), tok), F.lit(False))
+
+    def replacement(self, tok: Column) -> Column:
+        """The token's replacement (null if it is not a pattern)."""
+        if self.empty:
+            return F.lit(None).cast("string")
+        return F.try_element_at(F.element_at(self._table("replacement"), self._slot_of(tok)), tok)
+
+    def replacement_id(self, tok: Column) -> Column:
+        """The token's replacement id (null if it is not a pattern)."""
+        if self.empty:
+            return F.lit(None).cast("int")
+        return F.try_element_at(F.element_at(self._table("id"), self._slot_of(tok)), tok)
 
 
 def compile_dictionary(df: DataFrame, alias: Mapping[str, str] | None = None,

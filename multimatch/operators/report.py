@@ -20,7 +20,7 @@ from .search import _keys, tokenize
 
 
 def _match_texts(tok: Column, cd: CompiledDictionary) -> Column:
-    return F.filter(tok, lambda t: tk.is_match(t, cd.patterns))
+    return F.filter(tok, lambda t: cd.is_match(t))
 
 
 def _label(keys: Sequence[str]) -> Column:
@@ -62,11 +62,10 @@ def match_report(df: DataFrame, cd: CompiledDictionary, key: str | Sequence[str]
     keys = _keys(key)
     toks = tokenize(df, cd, keys, text, mode)
     ms = _match_texts(F.col("_tok"), cd)
-    repl = cd.replacement_map()
     label = _label(keys)
     lines = toks.select(*keys, ms.alias("_ms"), label.alias("_label"))
     report = F.array_join(F.transform("_ms", lambda m: F.concat(
-        F.col("_label"), F.lit(":  "), F.coalesce(F.try_element_at(repl, m), F.lit("")),
+        F.col("_label"), F.lit(":  "), F.coalesce(cd.replacement(m), F.lit("")),
         F.lit(" <- '"), m, F.lit("'"))), "\n")
     return keep_where(lines, F.size("_ms") > 0, *[F.col(k) for k in keys], report.alias("report"))
 

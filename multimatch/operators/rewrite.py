@@ -44,17 +44,15 @@ def rewrite_tokens(tok: Column, cd: CompiledDictionary, emit: str = "replace",
     """
     if emit not in EMITS:
         raise ValueError(f"emit must be one of {EMITS}")
-    repl = cd.replacement_map()
-
     def out_of(t: Column) -> Column:
-        r = F.coalesce(F.try_element_at(repl, t), F.lit(""))
+        r = F.coalesce(cd.replacement(t), F.lit(""))
         return r if emit == "replace" else F.concat(r, t)
 
     if not line_break:
         return F.array_join(F.transform(
-            tok, lambda t: F.when(tk.is_match(t, cd.patterns), out_of(t)).otherwise(t)), "")
+            tok, lambda t: F.when(cd.is_match(t), out_of(t)).otherwise(t)), "")
 
-    flags = F.transform(tok, lambda t: tk.is_match(t, cd.patterns))
+    flags = F.transform(tok, lambda t: cd.is_match(t))
 
     def piece(t: Column, i: Column, a: Column, f: Column) -> Column:
         n = F.size(a)
@@ -84,6 +82,6 @@ def replace_all(df: DataFrame, cd: CompiledDictionary, key: str | Sequence[str]
     keys = _keys(key)
     toks = tokenize(df, cd, keys, text, mode)
     tok = F.col("_tok")
-    n = F.coalesce(F.size(F.filter(tok, lambda t: tk.is_match(t, cd.patterns))), F.lit(0))
+    n = F.coalesce(F.size(F.filter(tok, lambda t: cd.is_match(t))), F.lit(0))
     return toks.select(*keys, rewrite_tokens(tok, cd, emit, line_break, newline).alias("text"),
                        n.cast("int").alias("n_matches"))

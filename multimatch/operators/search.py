@@ -65,10 +65,8 @@ def find_all(df: DataFrame, cd: CompiledDictionary, key: str | Sequence[str] = "
     """
     keys = _keys(key)
     toks = with_token_ends(tokenize(df, cd, keys, text, mode))
-    hits = match_array(F.col("_tok"), F.col("_end"),
-                       lambda s: tk.is_match(s["text"], cd.patterns))
+    hits = match_array(F.col("_tok"), F.col("_end"), lambda s: cd.is_match(s["text"]))
     ms = toks.select(*keys, F.posexplode(hits).alias("ordinal", "m"))
-    idmap = cd.id_map()
     return ms.select(
         *keys,
         F.col("ordinal").cast("int").alias("ordinal"),
@@ -76,7 +74,7 @@ def find_all(df: DataFrame, cd: CompiledDictionary, key: str | Sequence[str] = "
         (F.col("m.start") + F.length("m.text")).cast("int").alias("end"),
         F.length("m.text").cast("int").alias("length"),
         F.col("m.text").alias("text"),
-        F.try_element_at(idmap, F.col("m.text")).alias("replacement_id"),
+        cd.replacement_id(F.col("m.text")).alias("replacement_id"),
     )
 
 
