@@ -20,7 +20,7 @@ from ..sources import corpus, sinks
 from ..sources import dictionary_file as dict_file
 from ..sources.corpus import read_table
 from ..streaming import incremental
-from . import fixtures
+from . import fixtures, strategy
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -386,3 +386,11 @@ def q_incremental_scan(spark, sf_dir):
     docs.where(F.col("lang") != "en").select("doc_id", "text").write.mode("append").parquet(src)
     incremental.run_once(matches, sink, ckpt)
     return spark.read.parquet(sink)
+
+
+@query("find_all_auto")
+def q_find_all_auto(spark, sf_dir):
+    """Strategy choice: the `benchmark` word dictionary (thousands of patterns) over
+    `documents`, by regex while it fits one, else by the anchor join."""
+    return strategy.find_all_auto(documents(spark, sf_dir), benchmark_vocabulary(spark, sf_dir),
+                                  "doc_id", "text")

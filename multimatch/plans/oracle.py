@@ -340,3 +340,20 @@ SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS IN
 FROM m"""
 
 ORACLE["incremental_scan"] = ORACLE["find_all"]
+
+# the word dictionary: regex built in SQL from the table (shortest first, first line per word)
+ORACLE["find_all_auto"] = f"""WITH {_VOCAB},
+firsts AS (SELECT pattern, arg_min(replacement_id, line_no) AS rid FROM vocab GROUP BY pattern),
+rx AS (SELECT '(?s)(?:' || string_agg(
+          array_to_string(list_transform(string_split(pattern, ''),
+                          lambda c: '\\x{{' || printf('%x', unicode(c)) || '}}'), ''),
+          '|' ORDER BY length(pattern), pattern) || ')|.' AS r FROM firsts),
+t AS (SELECT doc_id, regexp_extract_all(text, (SELECT r FROM rx)) AS tok FROM documents),
+u AS (SELECT doc_id, unnest(tok) AS x, generate_subscripts(tok, 1) AS i FROM t),
+w AS (SELECT doc_id, x, i, sum(length(x)) OVER (PARTITION BY doc_id ORDER BY i
+          ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - length(x) AS st FROM u),
+m AS (SELECT w.*, firsts.rid FROM w JOIN firsts ON w.x = firsts.pattern)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS ordinal,
+       CAST(st AS INTEGER) AS start, CAST(st + length(x) AS INTEGER) AS "end",
+       CAST(length(x) AS INTEGER) AS length, x AS text, CAST(rid AS INTEGER) AS replacement_id
+FROM m"""

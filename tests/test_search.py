@@ -178,3 +178,15 @@ def test_regex_dictionary(spark):
            search.find_all_regex(df, rows, "doc_id").orderBy("ordinal").collect()]
     # lazy: 'ab+' stops after one b; '[0-9]+%' must reach the %
     assert got == [(0, "12%", 0), (4, "a\nc", 1), (8, "ab", 2), (13, "7%", 0)]
+
+
+def test_strategy_paths_agree_on_word_dictionary(spark):
+    from conftest import SF001
+    from multimatch.plans import catalog, strategy
+    docs = catalog.documents(spark, SF001)
+    words = catalog.benchmark_vocabulary(spark, SF001)
+    cols = ["doc_id", "ordinal", "start", "end", "length", "text", "replacement_id"]
+    by_regex = strategy.find_all_auto(docs, words).select(cols)
+    by_anchor = strategy.find_all_auto(docs, words, max_patterns=0).select(cols)
+    a, b = by_regex.collect(), by_anchor.collect()
+    assert len(a) > 1000 and sorted(map(tuple, a)) == sorted(map(tuple, b))
