@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_root
-from .dictionary import active_dictionary
+from .dictionary import active_dictionary, apply_alias, first_per_pattern, valid_rows
 from .search import _keys
 
 DEFAULT_Q = 16
@@ -55,16 +55,20 @@ def _gram_hashes(ck: Column, own: Column, a: int, k: int) -> Column:
 
 
 def anchor_table(dictionary: DataFrame, q: int = DEFAULT_Q, step: int = DEFAULT_STEP,
-                 alias=None) -> DataFrame:
+                 alias=None, drop_shadowed: bool = True) -> DataFrame:
     """Active patterns with their anchors ``(a, k, o, h)``.
 
     A pattern of length at least ``q + step - 1`` is *long*: it is found from
     document grams sampled every ``step`` positions, so it contributes the
     hashes of its ``q``-grams at offsets ``o = 0 .. step-1``. Any other pattern
     is anchored on its first ``a = min(q, len)`` characters (``k = 1, o = 0``)
-    and is looked up at every position.
+    and is looked up at every position. ``drop_shadowed=False`` keeps patterns
+    that have another pattern as a prefix (for containment, not matching).
     """
-    act = active_dictionary(dictionary, alias)
+    if drop_shadowed:
+        act = active_dictionary(dictionary, alias)
+    else:
+        act = first_per_pattern(valid_rows(apply_alias(dictionary, alias) if alias else dictionary))
     plen = F.length("pattern")
     long_ = plen >= q + step - 1
     base = act.select("line_no", "pattern", "replacement_id", plen.cast("int").alias("plen"),
@@ -77,7 +81,7 @@ def anchor_table(dictionary: DataFrame, q: int = DEFAULT_Q, step: int = DEFAULT_
 def find_candidates(df: DataFrame, dictionary: DataFrame, key: str | Sequence[str] = "doc_id",
                     text: str = "text", q: int = DEFAULT_Q, chunk: int = DEFAULT_CHUNK,
                     inline_limit: int = 20_000, broadcast_rows: int = 1_000_000,
-                    alias=None, step: int = DEFAULT_STEP) -> DataFrame:
+                    alias=None, step: int = DEFAULT_STEP, drop_shadowed: bool = True) -> DataFrame:
     """M3: every occurrence of every active pattern.
 
     ``<key>, start INT, length INT, text STRING, replacement_id INT, line_no INT``.
@@ -86,7 +90,7 @@ def find_candidates(df: DataFrame, dictionary: DataFrame, key: str | Sequence[st
     # computed once and written to the shared checkpoint folder: the stats, the
     # inlined hash set and the join all read it, and its lineage is cut
     checkpoint_root(df.sparkSession)
-    anchors = anchor_table(dictionary, q, step, alias).checkpoint(eager=True)
+    anchors = anchor_table(dictionary, q, step, alias, drop_shadowed).checkpoint(eager=True)
     st = anchors.agg(F.count(F.lit(1)).alias("n"), F.max("plen").alias("max_len"),
                      F.sort_array(F.collect_set(F.struct("a", "k"))).alias("classes"),
                      F.approx_count_distinct("h").alias("nh")).first()

@@ -107,20 +107,27 @@ def resolve_replacement(matches: DataFrame, dictionary: DataFrame) -> DataFrame:
 
 
 def contains_pairs(docs: DataFrame, patterns: DataFrame, doc_key: str, doc_text: str,
-                   pat_key: str, pat_text: str, max_broadcast_rows: int = 10_000) -> DataFrame:
+                   pat_key: str, pat_text: str, max_broadcast_rows: int = 1000) -> DataFrame:
     """M4: (document, pattern) pairs where the pattern occurs; no positions.
 
-    A broadcast nested-loop join on ``contains``; only for pattern tables of a
-    checked, bounded size. Larger ones go through the anchor join.
+    Up to ``max_broadcast_rows`` patterns (counted first): a broadcast
+    nested-loop join on ``contains``. Beyond that the cost of testing every
+    pattern in every document grows with their product, so the pairs come
+    from the anchor join instead (all occurrences of every distinct pattern,
+    shadowed ones included), joined back to the pattern keys.
     """
-    n = patterns.count()
-    if n > max_broadcast_rows:
-        raise ValueError(f"{n} patterns: too many to broadcast; use find_all_anchor")
     p = patterns.select(F.col(pat_key).alias("_pk"), F.col(pat_text).alias("_pt")).where(
         F.length("_pt") > 0)
     d = docs.select(F.col(doc_key).alias("_dk"), F.col(doc_text).alias("_dt"))
-    return d.join(F.broadcast(p), F.col("_dt").contains(F.col("_pt"))).select(
-        F.col("_dk").alias(doc_key), F.col("_pk").alias(pat_key))
+    if p.count() <= max_broadcast_rows:
+        return d.join(F.broadcast(p), F.col("_dt").contains(F.col("_pt"))).select(
+            F.col("_dk").alias(doc_key), F.col("_pk").alias(pat_key))
+    from .anchor import find_candidates
+    as_dict = p.select(F.lit(0).alias("line_no"), F.col("_pt").alias("pattern"),
+                       F.lit("").alias("replacement"), F.lit(0).alias("replacement_id"))
+    occ = find_candidates(d, as_dict, "_dk", "_dt", drop_shadowed=False)
+    hits = occ.select("_dk", F.col("text").alias("_pt")).distinct()
+    return hits.join(p, "_pt").select(F.col("_dk").alias(doc_key), F.col("_pk").alias(pat_key))
 
 
 def compile_regex_dictionary(rows: Sequence[tuple[int, str, str]]) -> tuple[str, list[tuple]]:

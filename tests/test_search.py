@@ -190,3 +190,16 @@ def test_strategy_paths_agree_on_word_dictionary(spark):
     by_anchor = strategy.find_all_auto(docs, words, max_patterns=0).select(cols)
     a, b = by_regex.collect(), by_anchor.collect()
     assert len(a) > 1000 and sorted(map(tuple, a)) == sorted(map(tuple, b))
+
+
+def test_contains_pairs_both_ways(spark):
+    from conftest import SF001
+    from multimatch.plans import catalog
+    docs = catalog.documents(spark, SF001)
+    words = catalog.table(spark, SF001, "benchmark", "item_id", "text").select(
+        "item_id", F.explode(F.split("text", r"[^\p{L}]+")).alias("w")).where(F.length("w") > 0)
+    words = words.select(F.concat_ws(":", "item_id", "w").alias("k"), "w")
+    a = search.contains_pairs(docs, words, "doc_id", "text", "k", "w")   # anchor join
+    b = search.contains_pairs(docs, words, "doc_id", "text", "k", "w", max_broadcast_rows=10**9)
+    ra, rb = sorted(map(tuple, a.collect())), sorted(map(tuple, b.collect()))
+    assert len(ra) > 1000 and ra == rb
