@@ -394,3 +394,17 @@ def q_find_all_auto(spark, sf_dir):
     `documents`, by regex while it fits one, else by the anchor join."""
     return strategy.find_all_auto(documents(spark, sf_dir), benchmark_vocabulary(spark, sf_dir),
                                   "doc_id", "text")
+
+
+@query("line_scan")
+def q_line_scan(spark, sf_dir):
+    """S1 line route: `documents` written as text files (in doc_id order), read back
+    splittably line by line, D1 matches per line; patterns have no line breaks."""
+    cd = compiled_d1(spark)
+    if not corpus.line_safe(cd.patterns):
+        raise ValueError("a pattern contains a line break: use whole documents")
+    path = shared_dir(spark, "lines")
+    table(spark, sf_dir, "documents", "doc_id", "text").orderBy("doc_id").select("text") \
+        .write.text(path)
+    lines = corpus.read_lines(spark, path)
+    return search.find_all(lines, cd, "line_no", "text")

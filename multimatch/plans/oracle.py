@@ -357,3 +357,16 @@ SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS IN
        CAST(st AS INTEGER) AS start, CAST(st + length(x) AS INTEGER) AS "end",
        CAST(length(x) AS INTEGER) AS length, x AS text, CAST(rid AS INTEGER) AS replacement_id
 FROM m"""
+
+ORACLE["line_scan"] = f"""WITH lines AS (
+  SELECT CAST(row_number() OVER (ORDER BY doc_id, j) - 1 AS INTEGER) AS line_no, line AS text
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+               generate_subscripts(string_split(text, chr(10)), 1) AS j FROM documents)),
+{_token_rows('lines', 'line_no', 'text', D1_TOK)},
+m AS (SELECT * FROM w WHERE x IN ({D1_IN}))
+SELECT line_no,
+       CAST(row_number() OVER (PARTITION BY line_no ORDER BY i) - 1 AS INTEGER) AS ordinal,
+       CAST(st AS INTEGER) AS start, CAST(st + length(x) AS INTEGER) AS "end",
+       CAST(length(x) AS INTEGER) AS length, x AS text,
+       CAST({D1_ID_CASE} AS INTEGER) AS replacement_id
+FROM m"""

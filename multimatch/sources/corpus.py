@@ -113,3 +113,20 @@ def corpus_union(parts: Sequence[tuple[str, DataFrame, str, str]]) -> DataFrame:
                         F.col(text).alias("text"))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """S1, line route: ``file, line_no, text`` from a splittable text read.
+
+    Big files are cut into blocks and read in parallel (no 2 GB one-row limit
+    of ``binaryFile``); ``line_no`` is rebuilt from block offsets. Valid for
+    dictionaries whose patterns contain no CR or LF (see ``line_safe``), since
+    then no match can span a line and a walk is at the root at each line start.
+    """
+    from .dictionary_file import numbered_lines
+    return numbered_lines(spark, path).select("file", "line_no", F.col("line").alias("text"))
+
+
+def line_safe(patterns: Sequence[str]) -> bool:
+    """True iff no pattern contains CR or LF (so line-by-line search is exact)."""
+    return not any(("\n" in p) or ("\r" in p) for p in patterns)
