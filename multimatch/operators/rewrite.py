@@ -13,7 +13,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import tokens as tk
 from .dictionary import CompiledDictionary
 from .search import _keys, tokenize
 

@@ -64,9 +64,3 @@ def write_log(report: DataFrame, path: str) -> str:
         return ""
     lines.write.mode("errorifexists").text(path)
     return path
-
-
-def local_path(path: str) -> str:
-    """Strip a ``file:`` scheme for local checks."""
-    return path[5:] if path.startswith("file:") else path
-
