@@ -80,7 +80,8 @@ def anchor_table(dictionary: DataFrame, q: int = DEFAULT_Q, step: int = DEFAULT_
 
 def find_candidates(df: DataFrame, dictionary: DataFrame, key: str | Sequence[str] = "doc_id",
                     text: str = "text", q: int = DEFAULT_Q, chunk: int = DEFAULT_CHUNK,
-                    inline_limit: int = 20_000, broadcast_rows: int = 1_000_000,
+                    inline_limit: int = 20_000, broadcast_rows: int = 200_000,
+                    broadcast_chars: int = 1 << 25,
                     alias=None, step: int = DEFAULT_STEP, drop_shadowed: bool = True) -> DataFrame:
     """M3: every occurrence of every active pattern.
 
@@ -92,6 +93,7 @@ def find_candidates(df: DataFrame, dictionary: DataFrame, key: str | Sequence[st
     checkpoint_root(df.sparkSession)
     anchors = anchor_table(dictionary, q, step, alias, drop_shadowed).checkpoint(eager=True)
     st = anchors.agg(F.count(F.lit(1)).alias("n"), F.max("plen").alias("max_len"),
+                     F.sum("plen").alias("chars"),
                      F.sort_array(F.collect_set(F.struct("a", "k"))).alias("classes"),
                      F.approx_count_distinct("h").alias("nh")).first()
     if not st["n"]:
@@ -116,7 +118,8 @@ def find_candidates(df: DataFrame, dictionary: DataFrame, key: str | Sequence[st
     grams = F.flatten(F.array(*[_gram_hashes(F.col("ck"), F.col("own"), a, k) for a, k in classes]))
 
     small = anchors.select("a", "k", "o", "h", "pattern", "plen", "replacement_id", "line_no")
-    if st["n"] <= broadcast_rows:
+    # broadcast only an anchor table of checked size; beyond it a shuffled join
+    if st["n"] <= broadcast_rows and st["chars"] <= broadcast_chars:
         small = F.broadcast(small)
 
     if st["nh"] <= inline_limit:

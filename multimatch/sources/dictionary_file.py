@@ -8,7 +8,9 @@ line; a leading byte order mark is dropped.
 
 The read is splittable: ``spark.read.text`` cuts big files into blocks, and
 line numbers are rebuilt from each row's block offset and its position within
-the block, with only a one-row-per-block offsets table broadcast.
+the block. The offsets table has one row per block and the stop table one row
+per file; they are joined without a broadcast hint, so adaptive execution
+broadcasts them only when their measured size is under the threshold.
 """
 
 from __future__ import annotations
@@ -50,12 +52,12 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     w = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = blocks.select("file", "block", "_first",
                             F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    lines = raw.join(F.broadcast(offsets), ["file", "block"]).select(
+    lines = raw.join(offsets, ["file", "block"]).select(
         "file", (F.col("_off") + F.col("_mid") - F.col("_first")).cast("int").alias("line_no"),
         "line")
     # a leading byte order mark belongs to the file, not the first pattern
     first_of_file = lines.groupBy("file").agg(F.min("line_no").alias("_l0"))
-    return (lines.join(F.broadcast(first_of_file), "file")
+    return (lines.join(first_of_file, "file")
                  .withColumn("line", F.when(F.col("line_no") == F.col("_l0"),
                                             F.regexp_replace("line", "^﻿", ""))
                              .otherwise(F.col("line")))
@@ -65,7 +67,7 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
 def _until_first_empty(lines: DataFrame) -> DataFrame:
     """C11: drop each file's lines from its first empty line on."""
     stops = lines.where(F.col("line") == "").groupBy("file").agg(F.min("line_no").alias("_stop"))
-    return (lines.join(F.broadcast(stops), "file", "left")
+    return (lines.join(stops, "file", "left")
                  .where(F.col("_stop").isNull() | (F.col("line_no") < F.col("_stop")))
                  .drop("_stop"))
 
