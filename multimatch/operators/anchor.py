@@ -17,8 +17,9 @@ Scale notes:
   filtered inside the chunk row and only candidates leave it; otherwise only
   ``(key, chunk, position, hash)`` rows are joined with the anchors (shuffle or
   size-checked broadcast), and the chunk text is joined back by key to verify;
-* the per-document greedy resolution runs on one document's candidates at a
-  time, which are at most one per character of that document.
+* overlap resolution is split into independent clusters of overlapping
+  candidates, found with windows partitioned by (document, block), so no
+  document is ever gathered into one task.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_root
@@ -153,43 +154,85 @@ def find_candidates(df: DataFrame, dictionary: DataFrame, key: str | Sequence[st
         F.col("line_no").cast("int").alias("line_no"))
 
 
-def _greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Leftmost-shortest, non-overlapping: sort by (start, length), keep if start >= last end."""
-    pdf = pdf.sort_values(["start", "length"], kind="mergesort")
-    starts = pdf["start"].to_numpy()
-    lens = pdf["length"].to_numpy()
-    keep = [False] * len(pdf)
-    last_end = -1
-    for i in range(len(pdf)):
-        if starts[i] >= last_end:
-            keep[i] = True
-            last_end = starts[i] + lens[i]
-    out = pdf[keep].copy()
-    out["ordinal"] = range(len(out))
-    out["end"] = out["start"] + out["length"]
-    return out
-
-
-def resolve_overlaps(cands: DataFrame, key: str | Sequence[str] = "doc_id") -> DataFrame:
+RESOLVE_BLOCK = 4096
+
+
+def resolve_overlaps(cands: DataFrame, key: str | Sequence[str] = "doc_id",
+                     block: int = RESOLVE_BLOCK) -> DataFrame:
     """M5: from all occurrences to ``<key>, ordinal, start, end, length, text, replacement_id``.
 
-    The greedy choice depends on the last *kept* match, so it is sequential
-    within a document: candidates are grouped by document (one shuffle of
-    small rows) and resolved with a linear pass per group.
+    The greedy choice depends on the last *kept* match, but it restarts at any
+    *fresh* candidate, one that starts at or after the end of every earlier
+    candidate. So candidates are cut into independent clusters, and only a
+    cluster is resolved sequentially (a linear pass in ``applyInPandas``).
+    Nothing is grouped by document: documents are cut into blocks of
+    ``block`` characters, running maxima are carried from block to block
+    through tables with one row per block, and the windows are partitioned by
+    (document, block), so a document holding a third of all candidates is
+    spread over many tasks. Only a single chain of overlapping candidates,
+    which is sequential by nature, stays in one group.
     """
     keys = _keys(key)
-    schema = (cands.select(*keys).schema
-              .add("ordinal", "integer").add("start", "integer").add("end", "integer").add("length", "integer")
-              .add("text", "string").add("replacement_id", "integer"))
-    cols = [*keys, "start", "length", "text", "replacement_id"]
-
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = _greedy(pdf[cols])
-        return out[[f.name for f in schema.fields]].astype(
-            {"ordinal": "int32", "start": "int32", "end": "int32", "length": "int32",
-             "replacement_id": "int32"})
-
-    return cands.select(*cols).groupBy(*keys).applyInPandas(fn, schema)
+    kb = [*keys, "_blk"]
+    c = cands.select(*keys, "start", "length", "text", "replacement_id").withColumns({
+        "end": F.col("start") + F.col("length"),
+        "_blk": F.floor(F.col("start") / F.lit(block)).cast("int")})
+    before_blocks = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(
+        Window.unboundedPreceding, -1)
+    in_block = Window.partitionBy(*kb).orderBy("start", "length")
+    before_in_block = in_block.rowsBetween(Window.unboundedPreceding, -1)
+    upto_in_block = in_block.rowsBetween(Window.unboundedPreceding, 0)
+
+    # 1. fresh candidates: start >= max end of everything before (carried across blocks)
+    carry_end = c.groupBy(*kb).agg(F.max("end").alias("_bmax")).select(
+        *kb, F.max("_bmax").over(before_blocks).alias("_carry_end"))
+    c = c.join(carry_end, kb).withColumn("_prev_end", F.greatest(
+        F.coalesce("_carry_end", F.lit(-1)),
+        F.coalesce(F.max("end").over(before_in_block), F.lit(-1))))
+    c = c.withColumn("_fresh", F.when(F.col("start") >= F.col("_prev_end"), F.col("start")))
+    # 2. cluster = start of the last fresh candidate at or before this one
+    carry_fresh = c.groupBy(*kb).agg(F.max("_fresh").alias("_bf")).select(
+        *kb, F.max("_bf").over(before_blocks).alias("_carry_fresh"))
+    c = c.join(carry_fresh, kb).withColumn("_cluster", F.greatest(
+        F.coalesce("_carry_fresh", F.lit(-1)),
+        F.coalesce(F.max("_fresh").over(upto_in_block), F.lit(-1))))
+
+    # 3. greedy inside each cluster: clusters hashed over tasks, sorted, one
+    #    pass per Arrow batch (state carried across batches of a partition)
+    cols = [*keys, "_cluster", "start", "length", "text", "replacement_id"]
+    gk = [*keys, "_cluster"]
+    kept_schema = c.select(*cols).schema
+
+    def run(batches):
+        prev, last_end = None, -1
+        for pdf in batches:
+            starts = pdf["start"].to_numpy()
+            ends = starts + pdf["length"].to_numpy()
+            groups = list(zip(*[pdf[k].tolist() for k in gk]))
+            keep = [False] * len(pdf)
+            for i, g in enumerate(groups):
+                if g != prev:
+                    prev, last_end = g, -1
+                if starts[i] >= last_end:
+                    keep[i] = True
+                    last_end = ends[i]
+            yield pdf[keep]
+
+    kept = (c.select(*cols).repartition(*gk)
+             .sortWithinPartitions(*gk, "start", "length")
+             .mapInPandas(run, kept_schema))
+
+    # 4. ordinal = kept matches in earlier blocks + rank inside the block
+    kept = kept.withColumn("_blk", F.floor(F.col("start") / F.lit(block)).cast("int"))
+    per_block = kept.groupBy(*kb).agg(F.count(F.lit(1)).alias("_n")).select(
+        *kb, F.coalesce(F.sum("_n").over(before_blocks), F.lit(0)).alias("_off"))
+    out = kept.join(per_block, kb).withColumn(
+        "ordinal", (F.col("_off") + F.row_number().over(in_block) - 1).cast("int"))
+    return out.select(
+        *keys, "ordinal", F.col("start").cast("int").alias("start"),
+        (F.col("start") + F.col("length")).cast("int").alias("end"),
+        F.col("length").cast("int").alias("length"), "text",
+        F.col("replacement_id").cast("int").alias("replacement_id"))
 
 
 def find_all_anchor(df: DataFrame, dictionary: DataFrame, key: str | Sequence[str] = "doc_id",
