@@ -174,9 +174,12 @@ def resolve_overlaps(cands: DataFrame, key: str | Sequence[str] = "doc_id",
     """
     keys = _keys(key)
     kb = [*keys, "_blk"]
+    # candidates feed several branches below: materialise them once in the
+    # shared checkpoint folder instead of rescanning the corpus per branch
+    checkpoint_root(cands.sparkSession)
     c = cands.select(*keys, "start", "length", "text", "replacement_id").withColumns({
         "end": F.col("start") + F.col("length"),
-        "_blk": F.floor(F.col("start") / F.lit(block)).cast("int")})
+        "_blk": F.floor(F.col("start") / F.lit(block)).cast("int")}).checkpoint(eager=True)
     before_blocks = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(
         Window.unboundedPreceding, -1)
     in_block = Window.partitionBy(*kb).orderBy("start", "length")
@@ -190,6 +193,7 @@ def resolve_overlaps(cands: DataFrame, key: str | Sequence[str] = "doc_id",
         F.coalesce("_carry_end", F.lit(-1)),
         F.coalesce(F.max("end").over(before_in_block), F.lit(-1))))
     c = c.withColumn("_fresh", F.when(F.col("start") >= F.col("_prev_end"), F.col("start")))
+    c = c.checkpoint(eager=True)
     # 2. cluster = start of the last fresh candidate at or before this one
     carry_fresh = c.groupBy(*kb).agg(F.max("_fresh").alias("_bf")).select(
         *kb, F.max("_bf").over(before_blocks).alias("_carry_fresh"))

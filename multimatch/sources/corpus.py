@@ -1,8 +1,9 @@
 """Corpus sources: tables with a text column, file sets, BOM decoding, unions.
 
-S1: file arguments become ``binaryFile`` scans (one level by default, deeper
-only with ``recursive=True``); tables are read with only the key and text
-columns, so the parquet scan prunes everything else.
+S1: file arguments become ``binaryFile`` scans (``recursive=True`` reads every
+file below a directory); very large files are read line by line instead
+(``read_lines``); tables are read with only the key and text columns, so the
+parquet scan prunes everything else.
 S2: a file's encoding is chosen from its byte order mark, per row, with
 ``decode``; the mark itself is kept apart so a rewrite can put it back.
 U1: several corpora are searched as one by a union of (source, key, text).
@@ -42,8 +43,10 @@ def read_files(spark: SparkSession, paths: str | Sequence[str], recursive: bool
                glob: str | None = None) -> DataFrame:
     """One row per file: ``path, modificationTime, length, content``.
 
-    A directory argument is expanded one level, as the reference does; pass
-    ``recursive=True`` to descend.
+    A directory argument is listed by Spark's file index: its files, plus
+    partition-style subdirectories (``name=value``) as columns. Pass
+    ``recursive=True`` to read every file below it whatever the directory
+    names (then no partition columns); ``glob`` filters file names.
     """
     reader = spark.read.format("binaryFile")
     if recursive:
