@@ -203,3 +203,19 @@ def test_contains_pairs_both_ways(spark):
     b = search.contains_pairs(docs, words, "doc_id", "text", "k", "w", max_broadcast_rows=10**9)
     ra, rb = sorted(map(tuple, a.collect())), sorted(map(tuple, b.collect()))
     assert len(ra) > 1000 and ra == rb
+
+
+def test_lint_filtering_keeps_matches(spark):
+    """Dropping duplicate and shadowed lines (T5) does not change find_all (M1)."""
+    from multimatch.operators.dictionary import dictionary_lint
+    rng = random.Random(5)
+    pairs, texts = random_case(rng)
+    pairs += [(p + "x", "Z") for p, _ in pairs[:2]] + pairs[:1]
+    d = dictionary_from_pairs(spark, pairs)
+    bad = {r.line_no for r in dictionary_lint(d).collect()}
+    kept = d.where(~F.col("line_no").isin(list(bad))) if bad else d
+    df = texts_df(spark, texts)
+    cols = ["doc_id", "ordinal", "start", "text", "replacement_id"]
+    a = search.find_all(df, compile_dictionary(d)).select(cols).collect()
+    b = search.find_all(df, compile_dictionary(kept)).select(cols).collect()
+    assert sorted(map(tuple, a)) == sorted(map(tuple, b))

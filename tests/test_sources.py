@@ -77,3 +77,25 @@ def test_incremental_scan_equals_batch(spark):
     b = e.queries()["find_all"](spark, SF001)
     cols = b.columns
     assert sorted(map(tuple, a.select(cols).collect())) == sorted(map(tuple, b.collect()))
+
+
+def test_line_numbers_across_splits(spark):
+    root = shared_dir(spark, "lines")
+    os.makedirs(root)
+    lines = [f"line {i} " + "x" * (i % 37) for i in range(5000)]
+    with open(f"{root}/big.txt", "w", encoding="utf-8") as f:
+        f.write("\n".join(lines))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        df = corpus.read_lines(spark, root)
+        assert df.rdd.getNumPartitions() > 10
+        got = sorted((r.line_no, r.text) for r in df.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == list(enumerate(lines))
+
+
+def test_line_safe():
+    assert corpus.line_safe(["a", "b c"]) and not corpus.line_safe(["a\nb"])
+    assert not corpus.line_safe(["x\r"])
