@@ -313,7 +313,7 @@ class CompiledDictionary:
 
 
 def compile_dictionary(df: DataFrame, alias: Mapping[str, str] | None = None,
-                       max_patterns: int = 5000, max_chars: int = 1 << 20) -> CompiledDictionary:
+                       max_patterns: int = 20_000, max_chars: int = 1 << 20) -> CompiledDictionary:
     """Collect the active dictionary once, bounded, and build the regexes.
 
     At most ``max_patterns + 1`` rows ever reach the driver: one more than the

@@ -23,7 +23,7 @@ from ..operators.search import find_all
 
 
 def find_all_auto(df: DataFrame, dictionary: DataFrame, key: str | Sequence[str] = "doc_id",
-                  text: str = "text", max_patterns: int = 5000, max_chars: int = 1 << 20,
+                  text: str = "text", max_patterns: int = 20_000, max_chars: int = 1 << 20,
                   alias=None) -> DataFrame:
     """Retry-mode matches, by regex when the dictionary is small enough, else by anchor join."""
     try:
