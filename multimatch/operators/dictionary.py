@@ -257,9 +257,9 @@ class CompiledDictionary:
         self.id_of = {e[1]: e[3] for e in self.entries}
         # shortest first: with shadowed patterns removed the order does not
         # change the matches, but it keeps leftmost-shortest explicit
-        by_len = sorted(self.patterns, key=lambda s: (len(s), s))
-        self.retry_regex = rx.retry_regex(by_len)
-        self.walk_regex = rx.walk_regex(by_len)
+        self._by_len = sorted(self.patterns, key=lambda s: (len(s), s))
+        self.retry_regex = rx.retry_regex(self._by_len)
+        self._walk_regex: str | None = None
         self.n_buckets = 1 << max(0, (len(self.entries) - 1).bit_length())
         self._tables: dict[str, Column] = {}
         self._slots: dict[str, int] | None = None
@@ -268,6 +268,22 @@ class CompiledDictionary:
     def empty(self) -> bool:
         return not self.entries
 
+    # the walk regex nests one group per character of the longest pattern, and
+    # Java's matcher recurses through the nesting
+    MAX_WALK_DEPTH = 4000
+
+    @property
+    def walk_regex(self) -> str | None:
+        """Nested trie regex for ``mode='walk'`` (built on first use)."""
+        if self._walk_regex is None and self.entries:
+            depth = max(len(p) for p in self.patterns)
+            if depth > self.MAX_WALK_DEPTH:
+                raise DictionaryTooLarge(
+                    f"walk mode nests one group per character; the longest pattern has "
+                    f"{depth} > {self.MAX_WALK_DEPTH}")
+            self._walk_regex = rx.walk_regex(self._by_len)
+        return self._walk_regex
+
     def _slot_of(self, tok: Column) -> Column:
         return (F.pmod(F.xxhash64(tok), F.lit(self.n_buckets)) + 1).cast("int")
 
