@@ -11,7 +11,8 @@ Public API (DataFrame in, DataFrame out):
 * rewrite: ``replace_all`` (``emit='replace'|'insert_before'``, ``line_break``);
 * reports: ``match_report``, ``doc_match_counts``, ``pattern_hit_counts``,
   ``scan_summary``;
-* sources / sinks: ``read_files``, ``decode_bom``, ``corpus_union``,
+* sources / sinks: ``read_files``, ``read_lines``, ``decode_bom``, ``reencode``,
+  ``corpus_union``,
   ``write_rewrites``, ``write_log``; streaming: ``match_stream``.
 """
 
@@ -32,7 +33,7 @@ from .operators.report import (  # noqa: E402
 from .operators.rewrite import replace_all  # noqa: E402
 from .operators.search import (  # noqa: E402
     contains_pairs, docs_matching, docs_not_matching, find_all, find_all_regex)
-from .sources.corpus import corpus_union, decode_bom, read_files  # noqa: E402
+from .sources.corpus import corpus_union, decode_bom, read_files, read_lines, reencode  # noqa: E402
 from .sources.dictionary_file import load_dictionary  # noqa: E402
 from .sources.sinks import write_log, write_rewrites  # noqa: E402
 from .streaming.incremental import match_stream  # noqa: E402
@@ -42,5 +43,5 @@ __all__ = [
     "prefix_nodes", "load_dictionary", "find_all", "find_all_anchor", "find_candidates",
     "resolve_overlaps", "find_all_regex", "contains_pairs", "docs_matching", "docs_not_matching",
     "replace_all", "match_report", "doc_match_counts", "pattern_hit_counts", "scan_summary",
-    "read_files", "decode_bom", "corpus_union", "write_rewrites", "write_log", "match_stream",
+    "read_files", "read_lines", "decode_bom", "reencode", "corpus_union", "write_rewrites", "write_log", "match_stream",
 ]

@@ -104,6 +104,16 @@ def decode_bom(df: DataFrame, content: str = "content") -> DataFrame:
               .drop("_nbom"))
 
 
+def reencode(df: DataFrame, text: str = "text") -> DataFrame:
+    """C14 on output: ``content`` = the file's own byte order mark + ``text``
+    encoded in its detected charset (needs ``charset`` and ``bom`` from
+    ``decode_bom``), so a rewritten file keeps its encoding and mark."""
+    enc = F.coalesce(*[F.when(F.col("charset") == cs, F.encode(F.col(text), spark_cs))
+                       for cs, spark_cs in (("UTF-8", "UTF-8"), ("UTF-16LE", "UTF-16LE"),
+                                            ("UTF-16BE", "UTF-16BE"), ("UTF-32BE", "UTF-32"))])
+    return df.withColumn("content", F.concat(F.col("bom"), enc))
+
+
 def corpus_union(parts: Sequence[tuple[str, DataFrame, str, str]]) -> DataFrame:
     """``(source, key, text)`` rows of several corpora, no dedup.
 

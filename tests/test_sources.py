@@ -99,3 +99,21 @@ def test_line_numbers_across_splits(spark):
 def test_line_safe():
     assert corpus.line_safe(["a", "b c"]) and not corpus.line_safe(["a\nb"])
     assert not corpus.line_safe(["x\r"])
+
+
+def test_reencode_round_trip_keeps_bom(spark):
+    text = "a test one\nb"
+    raw = [b"\xef\xbb\xbf" + text.encode("utf-8"), b"\xff\xfe" + text.encode("utf-16-le"),
+           b"\xfe\xff" + text.encode("utf-16-be"), text.encode("utf-8")]
+    df = spark.createDataFrame([(i, bytearray(b)) for i, b in enumerate(raw)], "id INT, content BINARY")
+    dec = corpus.decode_bom(df)
+    cd = compile_dictionary(dictionary_from_pairs(spark, [("test one", "X"), ("zz", "Y")]))
+    out = rewrite.replace_all(dec, cd, "id", "text").join(dec.select("id", "charset", "bom"), "id")
+    got = {r.id: bytes(r.content) for r in corpus.reencode(out).collect()}
+    for i, b in enumerate(raw):
+        want_text = text.replace("test one", "X")
+        enc = {0: "utf-8", 1: "utf-16-le", 2: "utf-16-be", 3: "utf-8"}[i]
+        bom = b[:{0: 3, 1: 2, 2: 2, 3: 0}[i]]
+        assert got[i] == bom + want_text.encode(enc)
+    same = {r.id: bytes(r.content) for r in corpus.reencode(dec).collect()}
+    assert [same[i] for i in range(4)] == raw
