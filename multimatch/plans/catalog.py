@@ -43,9 +43,13 @@ def d1_frame(spark: SparkSession) -> DataFrame:
     return dic.dictionary_from_pairs(spark, fixtures.D1)
 
 
+def _session_key(spark: SparkSession) -> tuple:
+    return (id(spark), spark.sparkContext.applicationId)
+
+
 def compiled_d1(spark: SparkSession) -> dic.CompiledDictionary:
     """D1, compiled once per session (it is a fixed parameter)."""
-    key = ("D1", id(spark))
+    key = ("D1", *_session_key(spark))
     if key not in _COMPILED:
         _COMPILED[key] = dic.compile_dictionary(d1_frame(spark))
     return _COMPILED[key]
@@ -309,7 +313,7 @@ def q_log_sink(spark, sf_dir):
 @query("placeholder_alias")
 def q_placeholder_alias(spark, sf_dir):
     """A dictionary whose '~' stands for '{', searched in `events.props`."""
-    key = ("ALIAS", id(spark))
+    key = ("ALIAS", *_session_key(spark))
     if key not in _COMPILED:
         _COMPILED[key] = dic.compile_dictionary(
             dic.dictionary_from_pairs(spark, fixtures.ALIAS_DICT), alias=dic.DEFAULT_ALIAS)
