@@ -27,7 +27,8 @@ _cloudpickle.register_pickle_by_value(_sys.modules[__name__])
 
 from .operators.anchor import find_all_anchor, find_candidates, resolve_overlaps  # noqa: E402
 from .operators.dictionary import (  # noqa: E402
-    compile_dictionary, dictionary_from_pairs, dictionary_from_table, dictionary_lint, prefix_nodes)
+    compile_dictionary, dictionary_from_pairs, dictionary_from_table, dictionary_lint, prefix_ids,
+    prefix_nodes)
 from .operators.report import (  # noqa: E402
     doc_match_counts, match_report, pattern_hit_counts, scan_summary)
 from .operators.rewrite import replace_all  # noqa: E402
@@ -40,7 +41,7 @@ from .streaming.incremental import match_stream  # noqa: E402
 
 __all__ = [
     "compile_dictionary", "dictionary_from_pairs", "dictionary_from_table", "dictionary_lint",
-    "prefix_nodes", "load_dictionary", "find_all", "find_all_anchor", "find_candidates",
+    "prefix_ids", "prefix_nodes", "load_dictionary", "find_all", "find_all_anchor", "find_candidates",
     "resolve_overlaps", "find_all_regex", "contains_pairs", "docs_matching", "docs_not_matching",
     "replace_all", "match_report", "doc_match_counts", "pattern_hit_counts", "scan_summary",
     "read_files", "read_lines", "decode_bom", "reencode", "corpus_union", "write_rewrites", "write_log", "match_stream",

@@ -175,19 +175,31 @@ def dictionary_lint(df: DataFrame) -> DataFrame:
     return rej.unionByName(dup).unionByName(sh)
 
 
-def prefix_nodes(df: DataFrame) -> DataFrame:
-    """One row per distinct non-empty prefix (trie node) with the ids through it.
+def prefix_ids(df: DataFrame) -> DataFrame:
+    """``prefix STRING, id INT``: each trie node with each id passing through it.
 
-    ``prefix STRING, depth INT, parent STRING, ids ARRAY<INT>``; ``parent`` of a
-    depth-1 node is the root ``''``. The root itself is included (depth 0).
+    The normalised form of the trie: distinct on (prefix, id), so the root and
+    other short prefixes, which every line passes through, are spread over
+    tasks by id rather than gathered under one key.
     """
     ok = valid_rows(df)
     p = F.col("pattern")
-    ex = ok.select(
+    return ok.select(
         F.col("replacement_id").alias("id"),
         F.explode(F.transform(F.sequence(F.lit(0), F.length(p)),
-                              lambda i: F.substring(p, 1, i))).alias("prefix"))
-    return ex.groupBy("prefix").agg(F.sort_array(F.collect_set("id")).alias("ids")).select(
+                              lambda i: F.substring(p, 1, i))).alias("prefix")
+    ).select("prefix", "id").distinct()
+
+
+def prefix_nodes(df: DataFrame) -> DataFrame:
+    """One row per distinct prefix (trie node) with the ids through it.
+
+    ``prefix STRING, depth INT, parent STRING, ids ARRAY<INT>``; ``parent`` of a
+    depth-1 node is the root ``''``, which is included (depth 0). A node's id
+    list is as long as the number of distinct ids below it (the root lists
+    them all); ``prefix_ids`` gives the same content one row per id.
+    """
+    return prefix_ids(df).groupBy("prefix").agg(F.sort_array(F.collect_list("id")).alias("ids")).select(
         "prefix", F.length("prefix").cast("int").alias("depth"),
         F.when(F.length("prefix") > 0,
                F.expr("substring(prefix, 1, length(prefix) - 1)")).alias("parent"),
