@@ -15,7 +15,10 @@ from pyspark.sql import functions as F
 from ..functions.rows import keep_where
 
 
-def _versions(spark: SparkSession, root: str) -> list[int]:
+def _versions(spark: SparkSession, root: str, committed: bool = False) -> list[int]:
+    """Version numbers under ``root``; with ``committed`` only those whose job
+    committed (a ``_SUCCESS`` marker), so a version left by a failed job is
+    never read, while numbering still skips it."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     p = jvm.org.apache.hadoop.fs.Path(root)
@@ -26,6 +29,8 @@ def _versions(spark: SparkSession, root: str) -> list[int]:
     for st in fs.listStatus(p):
         name = st.getPath().getName()
         if st.isDirectory() and name.startswith("v=") and name[2:].isdigit():
+            if committed and not fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
+                continue
             out.append(int(name[2:]))
     return sorted(out)
 
@@ -50,9 +55,9 @@ def write_rewrites(rewritten: DataFrame, root: str, only_changed: bool = True,
 
 def read_version(spark: SparkSession, root: str, version: int | None = None,
                  fmt: str = "parquet") -> DataFrame:
-    vs = _versions(spark, root)
+    vs = _versions(spark, root, committed=True)
     if not vs:
-        raise FileNotFoundError(f"no versions under {root}")
+        raise FileNotFoundError(f"no committed versions under {root}")
     v = vs[-1] if version is None else version
     return spark.read.format(fmt).load(f"{root.rstrip('/')}/v={v}")
 

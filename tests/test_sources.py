@@ -117,3 +117,13 @@ def test_reencode_round_trip_keeps_bom(spark):
         assert got[i] == bom + want_text.encode(enc)
     same = {r.id: bytes(r.content) for r in corpus.reencode(dec).collect()}
     assert [same[i] for i in range(4)] == raw
+
+
+def test_uncommitted_version_is_skipped(spark):
+    cd = compile_dictionary(dictionary_from_pairs(spark, [("a", "b")]))
+    df = spark.createDataFrame([(1, "xa")], "doc_id BIGINT, text STRING")
+    root = shared_dir(spark, "versions2")
+    sinks.write_rewrites(rewrite.replace_all(df, cd), root)
+    os.makedirs(f"{root}/v=2")  # left behind by a job that never committed
+    assert sinks.next_version_path(spark, root)[0] == 3
+    assert [(r.doc_id, r.text) for r in sinks.read_version(spark, root).collect()] == [(1, "xb")]
