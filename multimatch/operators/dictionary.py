@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import regex as rx
+from ..session import checkpoint_root
 
 DICT_SCHEMA = "line_no INT, pattern STRING, replacement STRING, replacement_id INT"
 REJECT_SCHEMA = "line_no INT, line STRING, reason STRING"
@@ -68,6 +69,17 @@ def assign_replacement_ids(df: DataFrame) -> DataFrame:
                       F.col("replacement_id").cast("int")))
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Write a derived dictionary once to the shared checkpoint folder.
+
+    A dictionary feeds several branches of every analysis (dedupe, shadowing,
+    lint, anchors); a table-derived or file-loaded one can be large, so it is
+    computed once instead of once per branch, and its lineage is cut.
+    """
+    checkpoint_root(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def dictionary_from_pairs(spark: SparkSession, pairs: Iterable[tuple[str, str]]) -> DataFrame:
     """Dictionary from (pattern, replacement) pairs in line order."""
     rows = [(i, p, r) for i, (p, r) in enumerate(pairs)]
@@ -82,7 +94,7 @@ def dictionary_from_table(df: DataFrame, pattern_col: str, replacement: Column |
     base = df.select(F.col(order_col).alias("_o"), F.col(pattern_col).alias("pattern"),
                      (replacement if replacement is not None else F.lit("")).alias("replacement"))
     base = consecutive_index(base, ["_o"], "line_no").drop("_o")
-    return assign_replacement_ids(base)
+    return materialize(assign_replacement_ids(base))
 
 
 def apply_alias(df: DataFrame, alias: Mapping[str, str] | None = None) -> DataFrame:

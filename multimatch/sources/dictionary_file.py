@@ -20,7 +20,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.dictionary import assign_replacement_ids
+from ..operators.dictionary import assign_replacement_ids, materialize
 
 DEFAULT_GROUPING = '"'
 
@@ -95,7 +95,7 @@ def load_dictionary(spark: SparkSession, path: str, grouping: str = DEFAULT_GROU
     """The dictionary ``line_no, pattern, replacement, replacement_id`` of a pattern file."""
     parsed = parse_lines(_until_first_empty(numbered_lines(spark, path)), grouping)
     good = parsed.where(F.col("reason").isNull()).select("line_no", "pattern", "replacement")
-    return assign_replacement_ids(good)
+    return materialize(assign_replacement_ids(good))
 
 
 def dictionary_rejects_file(spark: SparkSession, path: str,
