@@ -17,15 +17,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def token_regex(retry_regex: str) -> str:
+def token_regex(retry_regex: str, first_class: str | None = None) -> str:
     """Tokens for the retry policy: a match, or the run of text up to the next one.
 
     ``L | .+?(?=L) | .+``: the lazy run stops right where the next match
     starts, which is where a left-to-right ``find`` would resume. The lazy
     single-character loop is iterative in Java's engine, so long gaps cannot
-    overflow the stack.
+    overflow the stack. ``first_class`` (the characters patterns start with)
+    guards the lookahead: at most positions one bit test rejects it before
+    the alternation is tried.
     """
-    return f"(?s)(?:{retry_regex})|.+?(?=(?:{retry_regex}))|.+"
+    guard = f"(?={first_class})" if first_class else ""
+    return f"(?s)(?:{retry_regex})|.+?{guard}(?=(?:{retry_regex}))|.+"
 
 
 def tokens(text: Column, regex: str | None) -> Column:

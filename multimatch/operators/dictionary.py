@@ -283,6 +283,9 @@ class CompiledDictionary:
         # change the matches, but it keeps leftmost-shortest explicit
         self._by_len = sorted(self.patterns, key=lambda s: (len(s), s))
         self.retry_regex = rx.retry_regex(self._by_len)
+        # the characters patterns start with, as a regex class
+        firsts = sorted({p[0] for p in self.patterns})
+        self.first_class = ("[" + "".join(rx.atom(c) for c in firsts) + "]") if firsts else None
         self._walk_regex: str | None = None
         self.n_buckets = 1 << max(0, (len(self.entries) - 1).bit_length())
         self._tables: dict[str, Column] = {}

@@ -30,7 +30,7 @@ def _keys(key: str | Sequence[str]) -> list[str]:
 def scan_regex(cd: CompiledDictionary, mode: str) -> str | None:
     """The token regex of a mode (None for an empty dictionary)."""
     if mode == "retry":
-        return tk.token_regex(cd.retry_regex) if cd.retry_regex else None
+        return tk.token_regex(cd.retry_regex, cd.first_class) if cd.retry_regex else None
     if mode == "walk":
         return cd.walk_regex
     raise ValueError(f"mode must be one of {MODES}")
@@ -82,7 +82,7 @@ def any_match(text: Column, cd: CompiledDictionary) -> Column:
     """True iff some pattern occurs in ``text`` (null text: false)."""
     if cd.retry_regex is None:
         return F.lit(False)
-    return F.coalesce(text.rlike(cd.retry_regex), F.lit(False))
+    return F.coalesce(text.rlike(f"(?={cd.first_class})(?:{cd.retry_regex})"), F.lit(False))
 
 
 def docs_matching(df: DataFrame, cd: CompiledDictionary, text: str = "text") -> DataFrame:
