@@ -57,3 +57,23 @@ def running_ends(lengths: pa.Array) -> pa.Array:
     ends = cs - np.repeat(base, np.diff(offs))
     return pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(ends.astype(np.int32)),
                                     mask=lengths.is_null())
+
+
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def next_true(flags: pa.Array) -> pa.Array:
+    """For each position of each boolean list, the index of the first true
+    element at or after it (-1 if none). Vectorised over the whole batch: a
+    reverse running minimum of global indices, rejected past the list's end."""
+    offs = flags.offsets.to_numpy()
+    vals = flags.values.slice(offs[0], offs[-1] - offs[0]).to_numpy(zero_copy_only=False)
+    offs = offs - offs[0]
+    n = len(vals)
+    idx = np.arange(n, dtype=np.int64)
+    cand = np.where(vals.astype(bool), idx, n)
+    nxt = np.minimum.accumulate(cand[::-1])[::-1] if n else cand
+    counts = np.diff(offs)
+    seg_start = np.repeat(offs[:-1], counts)
+    seg_end = np.repeat(offs[1:], counts)
+    out = np.where(nxt < seg_end, nxt - seg_start, -1).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(out),
+                                    mask=flags.is_null())

@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import tokens as tk
 from .dictionary import CompiledDictionary
 from .search import _keys, tokenize
 
@@ -31,18 +32,23 @@ def _gap_ok(gap: Column, newline: str) -> Column:
 
 
 def rewrite_tokens(tok: Column, cd: CompiledDictionary, emit: str = "replace",
-                   line_break: bool = False, newline: str = "\n") -> Column:
+                   line_break: bool = False, newline: str = "\n",
+                   next_match: Column | None = None, next_decisive: Column | None = None) -> Column:
     """The rewritten text of one document from its token array.
 
     ``emit='replace'`` (R1) writes the replacement in place of the match;
     ``'insert_before'`` (R2) writes it before the match and keeps the match.
     ``line_break`` (R3) follows each replacement that has another match after
     it with a newline unless the gap to that match is spaces then a newline,
-    or only spaces. With ``insert_before`` the gap starts with the kept match.
-    Needs retry tokens (matches and maximal gaps alternate).
+    or only spaces; with ``insert_before`` the gap starts with the kept match.
+    The gap may span several tokens (walk mode), so the rule reads the
+    "decisive" prefix: spaces up to the first token that is a match or holds a
+    non-space character. ``next_match`` / ``next_decisive`` are the per-token
+    indices of those tokens (see ``with_gap_indices``).
     """
     if emit not in EMITS:
         raise ValueError(f"emit must be one of {EMITS}")
+
     def out_of(t: Column) -> Column:
         r = F.coalesce(cd.replacement(t), F.lit(""))
         return r if emit == "replace" else F.concat(r, t)
@@ -53,19 +59,35 @@ def rewrite_tokens(tok: Column, cd: CompiledDictionary, emit: str = "replace",
 
     flags = F.transform(tok, lambda t: cd.is_match(t))
 
-    def piece(t: Column, i: Column, a: Column, f: Column) -> Column:
+    def piece(t: Column, i: Column, b: Column) -> Column:
+        a, f, nm, nd = b["a"], b["f"], b["nm"], b["nd"]
         n = F.size(a)
-        # the gap after match i is token i+1 when that is not a match, else ''
-        nxt_is_gap = (i + 1 < n) & ~f[i + 1]
-        gap = F.when(nxt_is_gap, a[i + 1]).otherwise(F.lit(""))
-        has_next = F.when(nxt_is_gap, i + 2 < n).otherwise(i + 1 < n)
-        checked = gap if emit == "replace" else F.concat(t, gap)
-        brk = F.when(has_next & ~_gap_ok(checked, newline), F.lit(newline)).otherwise(F.lit(""))
-        return F.when(f[i], F.concat(out_of(t), brk)).otherwise(t)
-
-    bundle = F.array(F.struct(tok.alias("a"), flags.alias("f")))
+        has_after = i + 1 < n
+        has_next = has_after & (nm[F.least(i + 1, n - 1)] >= 0)
+        k = F.when(has_after, nd[F.least(i + 1, n - 1)]).otherwise(F.lit(-1))
+        spaces = F.when(k > i + 1, F.array_join(F.slice(a, i + 2, k - i - 1), "")).otherwise(F.lit(""))
+        tail = F.when((k >= 0) & ~f[F.greatest(k, F.lit(0))], a[F.greatest(k, F.lit(0))]).otherwise(F.lit(""))
+        own = t if emit == "insert_before" else F.lit("")
+        decisive = F.concat(own, spaces, tail)
+        brk = F.when(has_next & ~_gap_ok(decisive, newline), F.lit(newline)).otherwise(F.lit(""))
+        # the newline opens the next gap; with insert_before that gap starts
+        # with this match's own text, so it goes between replacement and match
+        repl = F.coalesce(cd.replacement(t), F.lit(""))
+        done = F.concat(repl, brk) if emit == "replace" else F.concat(repl, brk, t)
+        return F.when(f[i], done).otherwise(t)
+
+    bundle = F.array(F.struct(tok.alias("a"), flags.alias("f"), next_match.alias("nm"),
+                              next_decisive.alias("nd")))
     return F.transform(bundle, lambda b: F.array_join(
-        F.transform(b["a"], lambda t, i: piece(t, i, b["a"], b["f"])), ""))[0]
+        F.transform(b["a"], lambda t, i: piece(t, i, b)), ""))[0]
+
+
+def with_gap_indices(toks: DataFrame, cd: CompiledDictionary) -> DataFrame:
+    """Add ``_nm`` (next match index) and ``_nd`` (next match or token with a
+    non-space character) for every token of ``_tok``."""
+    is_m = F.transform("_tok", lambda t: cd.is_match(t))
+    decisive = F.transform("_tok", lambda t: cd.is_match(t) | t.rlike("[^ ]"))
+    return toks.withColumn("_nm", tk.next_true(is_m)).withColumn("_nd", tk.next_true(decisive))
 
 
 def replace_all(df: DataFrame, cd: CompiledDictionary, key: str | Sequence[str] = "doc_id",
@@ -76,11 +98,14 @@ def replace_all(df: DataFrame, cd: CompiledDictionary, key: str | Sequence[str]
     ``n_matches = 0`` marks a document the rewrite leaves as it is; filter on
     ``n_matches > 0`` for the changed set.
     """
-    if line_break and mode != "retry":
-        raise ValueError("line_break needs retry tokens")
     keys = _keys(key)
     toks = tokenize(df, cd, keys, text, mode)
+    if line_break:
+        toks = with_gap_indices(toks, cd)
+        idx = dict(next_match=F.col("_nm"), next_decisive=F.col("_nd"))
+    else:
+        idx = {}
     tok = F.col("_tok")
     n = F.coalesce(F.size(F.filter(tok, lambda t: cd.is_match(t))), F.lit(0))
-    return toks.select(*keys, rewrite_tokens(tok, cd, emit, line_break, newline).alias("text"),
+    return toks.select(*keys, rewrite_tokens(tok, cd, emit, line_break, newline, **idx).alias("text"),
                        n.cast("int").alias("n_matches"))

@@ -412,3 +412,11 @@ def q_line_scan(spark, sf_dir):
         .write.text(path)
     lines = corpus.read_lines(spark, path)
     return search.find_all(lines, cd, "line_no", "text")
+
+
+@query("replace_literal")
+def q_replace_literal(spark, sf_dir):
+    """R2+R3 with M2: the reference writer's literal output over its literal walk:
+    replacement inserted before each walk match, the match kept, line-break rule."""
+    return rewrite.replace_all(documents(spark, sf_dir), compiled_d1(spark), "doc_id", "text",
+                               emit="insert_before", line_break=True, mode="walk")

@@ -93,7 +93,14 @@ ORACLE["replace_insert_before"] = _rewrite_sql(
 # A newline after a replacement when another match follows and the gap to
 # it is not "spaces then newline" nor only spaces. Per-character tokens: the gap
 # after match k is the run of non-match tokens up to the next match.
-ORACLE["replace_line_break"] = f"""WITH {_token_rows('documents', 'doc_id', 'text', D1_TOK)},
+def _line_break_sql(tok_rx: str, insert_before: bool) -> str:
+    """R3 by tokens: the gap after match k is the run of non-match tokens up to
+    the next match; a newline follows the replacement when another match comes
+    and the checked text (the match itself first, with insert_before) is not
+    spaces then a newline, nor only spaces."""
+    checked = "g.x || coalesce(gp.gap, '')" if insert_before else "coalesce(gp.gap, '')"
+    keep = " || g.x" if insert_before else ""
+    return f"""WITH {_token_rows('documents', 'doc_id', 'text', tok_rx)},
 f AS (SELECT doc_id, x, i, x IN ({D1_IN}) AS is_m FROM w),
 g AS (SELECT doc_id, x, i, is_m,
              sum(CASE WHEN is_m THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i
@@ -103,8 +110,8 @@ lastm AS (SELECT doc_id, max(grp) AS mx FROM g GROUP BY doc_id),
 o AS (SELECT g.doc_id, g.i,
              CASE WHEN g.is_m THEN ({D1_REPL_CASE.replace('x ', 'g.x ', 1)})
                     || CASE WHEN g.grp < l.mx
-                              AND NOT regexp_matches(coalesce(gp.gap, ''), '^ *(?:\\n|\\z)')
-                            THEN chr(10) ELSE '' END
+                              AND NOT regexp_matches({checked}, '^ *(?:\\n|\\z)')
+                            THEN chr(10) ELSE '' END{keep}
                   ELSE g.x END AS piece
       FROM g JOIN lastm l USING (doc_id)
       LEFT JOIN gaps gp ON gp.doc_id = g.doc_id AND gp.grp = g.grp)
@@ -113,6 +120,11 @@ FROM documents d
 LEFT JOIN (SELECT doc_id, string_agg(piece, '' ORDER BY i) AS text FROM o GROUP BY doc_id) r USING (doc_id)
 LEFT JOIN (SELECT doc_id, CAST(count(*) FILTER (WHERE is_m) AS INTEGER) AS n FROM f GROUP BY doc_id) c USING (doc_id)"""
 
+
+ORACLE["replace_line_break"] = _line_break_sql(D1_TOK, False)
+# the reference writer's literal behaviour: walk tokens, insert before, line breaks
+ORACLE["replace_literal"] = _line_break_sql(D1_WALK, True)
+
 ORACLE["doc_match_counts"] = f"""SELECT doc_id,
        CAST(len(list_filter(regexp_extract_all(text, {sql_str(D1_TOK)}),
                             lambda x: x IN ({D1_IN}))) AS INTEGER) AS n_matches

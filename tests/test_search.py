@@ -219,3 +219,23 @@ def test_lint_filtering_keeps_matches(spark):
     a = search.find_all(df, compile_dictionary(d)).select(cols).collect()
     b = search.find_all(df, compile_dictionary(kept)).select(cols).collect()
     assert sorted(map(tuple, a)) == sorted(map(tuple, b))
+
+
+@pytest.mark.parametrize("mode,emit", [("retry", "replace"), ("retry", "insert_before"),
+                                       ("walk", "replace"), ("walk", "insert_before")])
+def test_line_break_matches_reference_writer(spark, mode, emit):
+    from brute import writer
+    rng = random.Random(21)
+    alphabet = "ab \n"
+    pairs = [("ab", "X"), ("b", "Y\n"), (" a", "Z"), ("a a", "W")]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 30))) for _ in range(200)]
+    texts += ["ab  \nab", "ab ab", "abab", "ab   ", " a  b"]
+    fl = first_lines(pairs)
+    cd = compile_dictionary(dictionary_from_pairs(spark, pairs))
+    got = {r.doc_id: r.text for r in rewrite.replace_all(
+        texts_df(spark, texts), cd, emit=emit, line_break=True, mode=mode).collect()}
+    find = retry if mode == "retry" else walk
+    for i, t in enumerate(texts):
+        want = writer(t, find(t, list(fl)), {p: v[0] for p, v in fl.items()},
+                      insert_before=(emit == "insert_before"))
+        assert got[i] == want, (t, got[i], want)
