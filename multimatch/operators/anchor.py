@@ -2,10 +2,12 @@
 
 When a dictionary is too large for one regex, matching becomes an equi-join.
 Every pattern gets an *anchor*: the hash of its first ``a = min(q, len)``
-characters. Documents are cut into chunks of ``C`` characters (plus an overlap
-of ``max_len - 1`` characters so a pattern starting in a chunk can be checked
-inside it); every position of a chunk's own part yields the hash of the next
-``a`` characters for each anchor length in use. Equal hashes are candidates,
+characters; a long pattern (``len >= q + K - 1``) instead contributes its
+``q``-grams at offsets ``0 .. K-1``. Documents are cut into chunks of ``C``
+characters (plus an overlap of ``max_len - 1`` characters so a pattern starting
+in a chunk can be checked inside it); each position of a chunk's own part
+yields the hash of the next ``a`` characters for the short classes, and every
+``K``-th position does so for the long class. Equal hashes are candidates,
 verified by comparing the text itself. The output holds *every* occurrence,
 overlapping ones included; ``resolve_overlaps`` then keeps the leftmost-shortest
 non-overlapping ones, which equals the regex path.
@@ -26,7 +28,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
