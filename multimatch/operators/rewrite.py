@@ -44,7 +44,8 @@ def rewrite_tokens(tok: Column, cd: CompiledDictionary, emit: str = "replace",
     The gap may span several tokens (walk mode), so the rule reads the
     "decisive" prefix: spaces up to the first token that is a match or holds a
     non-space character. ``next_match`` / ``next_decisive`` are the per-token
-    indices of those tokens (see ``with_gap_indices``).
+    indices of those tokens (see ``with_gap_indices``); without them the tokens
+    must be retry tokens, where matches and maximal gaps alternate.
     """
     if emit not in EMITS:
         raise ValueError(f"emit must be one of {EMITS}")
@@ -60,15 +61,24 @@ def rewrite_tokens(tok: Column, cd: CompiledDictionary, emit: str = "replace",
     flags = F.transform(tok, lambda t: cd.is_match(t))
 
     def piece(t: Column, i: Column, b: Column) -> Column:
-        a, f, nm, nd = b["a"], b["f"], b["nm"], b["nd"]
+        a, f = b["a"], b["f"]
         n = F.size(a)
-        has_after = i + 1 < n
-        has_next = has_after & (nm[F.least(i + 1, n - 1)] >= 0)
-        k = F.when(has_after, nd[F.least(i + 1, n - 1)]).otherwise(F.lit(-1))
-        spaces = F.when(k > i + 1, F.array_join(F.slice(a, i + 2, k - i - 1), "")).otherwise(F.lit(""))
-        tail = F.when((k >= 0) & ~f[F.greatest(k, F.lit(0))], a[F.greatest(k, F.lit(0))]).otherwise(F.lit(""))
         own = t if emit == "insert_before" else F.lit("")
-        decisive = F.concat(own, spaces, tail)
+        if next_match is None:
+            # retry tokens: matches and maximal gaps alternate, so the gap
+            # after match i is token i+1 when that is not a match
+            nxt_gap = (i + 1 < n) & ~f[F.least(i + 1, n - 1)]
+            has_next = F.when(nxt_gap, i + 2 < n).otherwise(i + 1 < n)
+            decisive = F.concat(own, F.when(nxt_gap, a[F.least(i + 1, n - 1)]).otherwise(F.lit("")))
+        else:
+            nm, nd = b["nm"], b["nd"]
+            has_after = i + 1 < n
+            has_next = has_after & (nm[F.least(i + 1, n - 1)] >= 0)
+            k = F.when(has_after, nd[F.least(i + 1, n - 1)]).otherwise(F.lit(-1))
+            spaces = F.when(k > i + 1, F.array_join(F.slice(a, i + 2, k - i - 1), "")).otherwise(F.lit(""))
+            tail = F.when((k >= 0) & ~f[F.greatest(k, F.lit(0))],
+                          a[F.greatest(k, F.lit(0))]).otherwise(F.lit(""))
+            decisive = F.concat(own, spaces, tail)
         brk = F.when(has_next & ~_gap_ok(decisive, newline), F.lit(newline)).otherwise(F.lit(""))
         # the newline opens the next gap; with insert_before that gap starts
         # with this match's own text, so it goes between replacement and match
@@ -76,8 +86,10 @@ def rewrite_tokens(tok: Column, cd: CompiledDictionary, emit: str = "replace",
         done = F.concat(repl, brk) if emit == "replace" else F.concat(repl, brk, t)
         return F.when(f[i], done).otherwise(t)
 
-    bundle = F.array(F.struct(tok.alias("a"), flags.alias("f"), next_match.alias("nm"),
-                              next_decisive.alias("nd")))
+    fields = [tok.alias("a"), flags.alias("f")]
+    if next_match is not None:
+        fields += [next_match.alias("nm"), next_decisive.alias("nd")]
+    bundle = F.array(F.struct(*fields))
     return F.transform(bundle, lambda b: F.array_join(
         F.transform(b["a"], lambda t, i: piece(t, i, b)), ""))[0]
 
@@ -100,7 +112,8 @@ def replace_all(df: DataFrame, cd: CompiledDictionary, key: str | Sequence[str]
     """
     keys = _keys(key)
     toks = tokenize(df, cd, keys, text, mode)
-    if line_break:
+    if line_break and mode == "walk":
+        # walk tokens: several non-match tokens can sit between two matches
         toks = with_gap_indices(toks, cd)
         idx = dict(next_match=F.col("_nm"), next_decisive=F.col("_nd"))
     else:
