@@ -81,10 +81,18 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def dictionary_from_pairs(spark: SparkSession, pairs: Iterable[tuple[str, str]]) -> DataFrame:
-    """Dictionary from (pattern, replacement) pairs in line order."""
-    rows = [(i, p, r) for i, (p, r) in enumerate(pairs)]
-    df = spark.createDataFrame(rows, "line_no INT, pattern STRING, replacement STRING")
-    return assign_replacement_ids(df)
+    """Dictionary from (pattern, replacement) pairs given on the driver, in line order.
+
+    The pairs are a parameter already in driver memory, so their replacement
+    ids (first appearance order, as ``assign_replacement_ids``) are numbered
+    here instead of by a distributed job; table- and file-derived
+    dictionaries go through ``assign_replacement_ids``.
+    """
+    ids: dict[str, int] = {}
+    rows = []
+    for i, (p, r) in enumerate(pairs):
+        rows.append((i, p, r, ids.setdefault(r, len(ids))))
+    return spark.createDataFrame(rows, DICT_SCHEMA)
 
 
 def dictionary_from_table(df: DataFrame, pattern_col: str, replacement: Column | None = None,

@@ -97,3 +97,11 @@ def test_regex_dialect(src, want):
 def test_regex_dialect_rejects(src):
     with pytest.raises(RegexDialectError):
         translate_pattern(src)
+
+
+def test_distributed_ids_equal_driver_ids(spark):
+    rows = [(i, p, r) for i, (p, r) in enumerate(fixtures.D1)]
+    df = spark.createDataFrame(rows, "line_no INT, pattern STRING, replacement STRING")
+    a = sorted(map(tuple, dic.assign_replacement_ids(df).collect()))
+    b = sorted(map(tuple, dic.dictionary_from_pairs(spark, fixtures.D1).collect()))
+    assert a == b
