@@ -142,14 +142,23 @@ def compile_regex_dictionary(rows: Sequence[tuple[int, str, str]]) -> tuple[str,
     return ordered_alternation([t for _, t, _ in out]), out
 
 
-def find_all_regex(df: DataFrame, rows: Sequence[tuple[int, str, str]], key: str | Sequence[str],
-                   text: str = "text") -> DataFrame:
+def find_all_regex(df: DataFrame, rows: Sequence[tuple[int, str, str]] | DataFrame,
+                   key: str | Sequence[str], text: str = "text",
+                   max_patterns: int = 1000) -> DataFrame:
     """M6: matches of a regex dictionary: ``<key>, ordinal, start, end, length, text, line_no``.
 
+    ``rows`` is a list of (line_no, pattern, replacement) or a dictionary
+    DataFrame with those columns, collected once with at most
+    ``max_patterns + 1`` rows (one more proves it too large for one regex).
     One alternation in line order scans each document (lazy quantifiers:
     matching stops at the first terminal); the line that produced a hit is
     the first whose pattern matches the whole hit.
     """
+    if isinstance(rows, DataFrame):
+        got = rows.select("line_no", "pattern", "replacement").limit(max_patterns + 1).collect()
+        if len(got) > max_patterns:
+            raise ValueError(f"more than {max_patterns} regex patterns")
+        rows = [(r.line_no, r.pattern, r.replacement) for r in got]
     keys = _keys(key)
     alt, lines = compile_regex_dictionary(rows)
     if alt is None:

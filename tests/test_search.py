@@ -239,3 +239,14 @@ def test_line_break_matches_reference_writer(spark, mode, emit):
         want = writer(t, find(t, list(fl)), {p: v[0] for p, v in fl.items()},
                       insert_before=(emit == "insert_before"))
         assert got[i] == want, (t, got[i], want)
+
+
+def test_regex_dictionary_from_frame(spark):
+    rows = [(0, "[0-9]+%", "P"), (1, "a.c", "A")]
+    d = spark.createDataFrame(rows, "line_no INT, pattern STRING, replacement STRING")
+    df = texts_df(spark, ["12% abc"])
+    a = search.find_all_regex(df, rows, "doc_id").collect()
+    b = search.find_all_regex(df, d, "doc_id").collect()
+    assert sorted(map(tuple, a)) == sorted(map(tuple, b)) and len(a) == 2
+    with pytest.raises(ValueError):
+        search.find_all_regex(df, d, "doc_id", max_patterns=1)
