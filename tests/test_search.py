@@ -250,3 +250,21 @@ def test_regex_dictionary_from_frame(spark):
     assert sorted(map(tuple, a)) == sorted(map(tuple, b)) and len(a) == 2
     with pytest.raises(ValueError):
         search.find_all_regex(df, d, "doc_id", max_patterns=1)
+
+
+def test_composite_key(spark):
+    from conftest import SF001
+    from multimatch.plans import catalog, fixtures
+    from multimatch.operators.report import match_report
+    conv = catalog.table(spark, SF001, "conversations", "conv_id", "turn", "text")
+    cd = catalog.compiled_d1(spark)
+    ms = search.find_all(conv, cd, ["conv_id", "turn"], "text").collect()
+    fl = first_lines(fixtures.D1)
+    want = {}
+    for r in conv.collect():
+        for ordinal, (st, p) in enumerate(retry(r.text or "", list(fl))):
+            want[(r.conv_id, r.turn, ordinal)] = (st, p)
+    got = {(m.conv_id, m.turn, m.ordinal): (m.start, m.text) for m in ms}
+    assert got == want and len(got) > 100
+    rep = match_report(conv, cd, ["conv_id", "turn"], "text").first()
+    assert rep.report.startswith(f"{rep.conv_id}/{rep.turn}:  ")
