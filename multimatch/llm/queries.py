@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from .decontaminate import OP10_SQL, op10
+from .langid import op5
 from .simhash import op6
 
 LLM_QUERIES = {
+    "op5_langid": op5,
     "op6_simhash": op6,
+    "op10_decontaminate": op10,
 }
 
-LLM_ORACLE: dict[str, str] = {}
+LLM_ORACLE = {
+    "op10_decontaminate": OP10_SQL,
+}
