@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from .decontaminate import OP10_SQL, op10
 from .langid import op5
+from .pieces import op9
+from .repeats import op7
 from .simhash import op6
 
 LLM_QUERIES = {
     "op5_langid": op5,
     "op6_simhash": op6,
+    "op7_repeats": op7,
+    "op9_pieces": op9,
     "op10_decontaminate": op10,
 }
 
