@@ -201,10 +201,10 @@ def op1(spark, sf_dir: str) -> DataFrame:
 
 
 OP1_SQL = """
-WITH v AS (SELECT vec_id, list_transform(embedding, x -> CAST(x AS DOUBLE)) AS e FROM embeddings),
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
 ok AS (SELECT vec_id, e FROM v WHERE e IS NOT NULL AND len(e) > 0
-         AND len(list_filter(e, x -> x IS NULL OR NOT isfinite(x))) = 0
-         AND len(list_filter(e, x -> x <> 0)) > 0),
+         AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+         AND len(list_filter(e, lambda x: x <> 0)) > 0),
 pair AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
          WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
 reach AS (WITH RECURSIVE r(a, b) AS (

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from .chat import OP2_SQL, op2
 from .decontaminate import OP10_SQL, op10
 from .langid import op5
+from .metricjoin import OP1_SQL, op1
 from .pieces import op9
 from .repeats import op7
 from .simhash import op6
 
 LLM_QUERIES = {
+    "op1_metricjoin": op1,
+    "op2_chat": op2,
     "op5_langid": op5,
     "op6_simhash": op6,
     "op7_repeats": op7,
@@ -17,5 +21,7 @@ LLM_QUERIES = {
 }
 
 LLM_ORACLE = {
+    "op1_metricjoin": OP1_SQL,
+    "op2_chat": OP2_SQL,
     "op10_decontaminate": OP10_SQL,
 }
