@@ -8,6 +8,7 @@ from .langid import op5
 from .licenses import OP8_SQL, op8
 from .metricjoin import OP1_SQL, op1
 from .pieces import op9
+from .pseudolm import op4
 from .quality import op3
 from .repeats import op7
 from .simhash import op6
@@ -16,6 +17,7 @@ LLM_QUERIES = {
     "op1_metricjoin": op1,
     "op2_chat": op2,
     "op3_quality": op3,
+    "op4_pseudolm": op4,
     "op5_langid": op5,
     "op6_simhash": op6,
     "op7_repeats": op7,
