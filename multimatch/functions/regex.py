@@ -68,22 +68,33 @@ def retry_regex(patterns: Sequence[str]) -> str | None:
         return None
     root = build_trie(pats)
 
-    def emit(node: dict) -> str:
-        # iterative over chains, recursive only at branch points
+    def chain(node: dict) -> tuple[str, dict]:
+        """The literal from ``node`` to its next branch point or pattern end, and that node."""
         out = []
-        while True:
-            if _END in node:
-                return "".join(out)
+        while _END not in node:
             kids = _children(node)
-            if len(kids) == 1:
-                c, node = kids[0]
-                out.append(atom(c))
-                continue
-            alts = [atom(c) + emit(n) for c, n in kids]
-            out.append("(?:" + "|".join(alts) + ")")
-            return "".join(out)
-
-    return emit(root)
+            if len(kids) != 1:
+                break
+            out.append(atom(kids[0][0]))
+            node = kids[0][1]
+        return "".join(out), node
+
+    # an explicit stack, so that any number of nested branch points will do
+    out, stack = [], [root]
+    while stack:
+        item = stack.pop()
+        if isinstance(item, str):
+            out.append(item)
+            continue
+        literal_part, node = chain(item)
+        out.append(literal_part)
+        if _END in node:
+            continue
+        todo: list = ["(?:"]
+        for k, (c, n) in enumerate(_children(node)):
+            todo += [("|" if k else "") + atom(c), n]
+        stack.extend(reversed([*todo, ")"]))
+    return "".join(out)
 
 
 def walk_regex(patterns: Sequence[str]) -> str | None:

@@ -15,10 +15,10 @@ non-overlapping ones, which equals the regex path.
 Scale notes:
 * chunking is one regex pass per document (no quadratic ``substring``), so a
   document of any size becomes bounded rows;
-* when the set of anchor hashes is small enough to inline, positions are
-  filtered inside the chunk row and only candidates leave it; otherwise only
-  ``(key, chunk, position, hash)`` rows are joined with the anchors (shuffle or
-  size-checked broadcast), and the chunk text is joined back by key to verify;
+* positions are filtered where they are made, against an inlined hash set or a
+  broadcast table of hashes of bounded size (in several passes over the corpus
+  if there are more), so only candidates leave the chunk row; these are joined
+  with the anchors (shuffled, or broadcast below a checked size);
 * overlap resolution is split into independent clusters of overlapping
   candidates, found with windows partitioned by (document, block), so no
   document is ever gathered into one task.
@@ -30,6 +30,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import checkpoint_root
 from .dictionary import active_dictionary, apply_alias, first_per_pattern, valid_rows
@@ -70,7 +71,9 @@ def anchor_table(dictionary: DataFrame, q: int = DEFAULT_Q, step: int = DEFAULT_
     if drop_shadowed:
         act = active_dictionary(dictionary, alias)
     else:
-        act = first_per_pattern(valid_rows(apply_alias(dictionary, alias) if alias else dictionary))
+        # containment has no rule about NUL: only an empty pattern is left out
+        act = first_per_pattern((apply_alias(dictionary, alias) if alias else dictionary).where(
+            "length(pattern) > 0"))
     plen = F.length("pattern")
     long_ = plen >= q + step - 1
     base = act.select("line_no", "pattern", "replacement_id", plen.cast("int").alias("plen"),
@@ -80,14 +83,25 @@ def anchor_table(dictionary: DataFrame, q: int = DEFAULT_Q, step: int = DEFAULT_
     return out.withColumn("h", F.xxhash64(F.expr("substring(pattern, o + 1, a)")))
 
 
+ROW = "_row"
+
+
 def find_candidates(df: DataFrame, dictionary: DataFrame, key: str | Sequence[str] = "doc_id",
                     text: str = "text", q: int = DEFAULT_Q, chunk: int = DEFAULT_CHUNK,
                     inline_limit: int = 20_000, broadcast_rows: int = 200_000,
                     broadcast_chars: int = 1 << 25,
-                    alias=None, step: int = DEFAULT_STEP, drop_shadowed: bool = True) -> DataFrame:
+                    alias=None, step: int = DEFAULT_STEP, drop_shadowed: bool = True,
+                    hash_limit: int = 4_000_000, row_id: bool = False) -> DataFrame:
     """M3: every occurrence of every active pattern.
 
-    ``<key>, start INT, length INT, text STRING, replacement_id INT, line_no INT``.
+    ``<key>, start INT, length INT, text STRING, replacement_id INT, line_no INT``
+    and, with ``row_id``, ``_row``: a number of the document's own, so that rows
+    with a null or repeated key stay apart (the key itself is only carried).
+
+    Positions are filtered where they are made: against an inlined hash set, or
+    against a broadcast table of hashes alone of at most ``hash_limit`` entries.
+    A dictionary with more hashes is searched in as many passes, each over its
+    share of the hashes; unfiltered positions are never shuffled.
     """
     keys = _keys(key)
     # computed once and written to the shared checkpoint folder: the stats, the
@@ -100,8 +114,20 @@ def find_candidates(df: DataFrame, dictionary: DataFrame, key: str | Sequence[st
                      F.approx_count_distinct("h").alias("nh")).first()
     if not st["n"]:
         return df.sparkSession.createDataFrame(
-            [], df.select(*keys).schema.add("start", "integer").add("length", "integer")
-            .add("text", "string").add("replacement_id", "integer").add("line_no", "integer"))
+            [], T.StructType([*df.select(*keys).schema.fields, *(
+                [T.StructField(ROW, T.LongType())] if row_id else []), T.StructField("start", T.IntegerType()),
+                T.StructField("length", T.IntegerType()), T.StructField("text", T.StringType()),
+                T.StructField("replacement_id", T.IntegerType()), T.StructField("line_no", T.IntegerType())]))
+    passes = -(-int(st["nh"]) // hash_limit)
+    # the key travels as one struct, so that its columns clash with none of these
+    given, keys = keys, ["_keys"]
+    df = df.select(F.struct(*given).alias("_keys"), F.col(text).alias("_text"))
+    text = "_text"
+    if row_id:
+        df = df.withColumn(ROW, F.monotonically_increasing_id())
+        keys = ["_keys", ROW]
+        if passes > 1:  # the passes have to see the same numbers
+            df = df.checkpoint(eager=True)
     max_len = int(st["max_len"])
     classes = [(int(c["a"]), int(c["k"])) for c in st["classes"]]
     size = max(chunk, max_len)
@@ -136,12 +162,15 @@ def find_candidates(df: DataFrame, dictionary: DataFrame, key: str | Sequence[st
                         F.col("g.k").alias("k"), F.col("g.h").alias("h"))
                 .join(small, ["a", "k", "h"]))
     else:
-        pos = (chunks
-               .select(*keys, "ci", F.explode(grams).alias("g"))
-               .select(*keys, "ci", F.col("g.p").alias("p"), F.col("g.a").alias("a"),
-                       F.col("g.k").alias("k"), F.col("g.h").alias("h")))
-        cand = pos.join(small, ["a", "k", "h"]).join(
-            chunks.select(*keys, "ci", "own", "ck"), [*keys, "ci"])
+        pos = chunks.select(*keys, "ci", "own", "ck", F.explode(grams).alias("g")).select(
+            *keys, "ci", "own", "ck", F.col("g.p").alias("p"), F.col("g.a").alias("a"),
+            F.col("g.k").alias("k"), F.col("g.h").alias("h"))
+        cand = None
+        for i in range(passes):
+            mine = F.pmod("h", F.lit(passes)) == i
+            known = anchors.where(mine).select("h").distinct()
+            got = pos.join(F.broadcast(known), "h", "left_semi").join(small, ["a", "k", "h"])
+            cand = got if cand is None else cand.unionByName(got)
 
     # the occurrence starts o characters before the sampled position, inside
     # this chunk's own part, and its text must equal the pattern
@@ -149,7 +178,7 @@ def find_candidates(df: DataFrame, dictionary: DataFrame, key: str | Sequence[st
     ok = ((s_rel >= 0) & (s_rel < F.col("own"))
           & (F.substring(F.col("ck"), s_rel + 1, F.col("plen")) == F.col("pattern")))
     return cand.where(ok).select(
-        *keys, (F.col("ci") * F.lit(size) + s_rel).cast("int").alias("start"),
+        *[F.col("_keys").getField(k).alias(k) for k in given], *keys[1:], (F.col("ci") * F.lit(size) + s_rel).cast("int").alias("start"),
         F.col("plen").alias("length"), F.col("pattern").alias("text"),
         F.col("replacement_id").cast("int").alias("replacement_id"),
         F.col("line_no").cast("int").alias("line_no"))
@@ -174,14 +203,17 @@ def resolve_overlaps(cands: DataFrame, key: str | Sequence[str] = "doc_id",
     which is sequential by nature, stays in one group.
     """
     keys = _keys(key)
-    kb = [*keys, "_blk"]
+    # the document's own number tells documents apart; without one the key has to
+    doc = [ROW] if ROW in cands.columns else keys
+    carried = keys if doc != keys else []
+    kb = [*doc, "_blk"]
     # candidates feed several branches below: materialise them once in the
     # shared checkpoint folder instead of rescanning the corpus per branch
     checkpoint_root(cands.sparkSession)
-    c = cands.select(*keys, "start", "length", "text", "replacement_id").withColumns({
+    c = cands.select(*doc, *carried, "start", "length", "text", "replacement_id").withColumns({
         "end": F.col("start") + F.col("length"),
         "_blk": F.floor(F.col("start") / F.lit(block)).cast("int")}).checkpoint(eager=True)
-    before_blocks = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(
+    before_blocks = Window.partitionBy(*doc).orderBy("_blk").rowsBetween(
         Window.unboundedPreceding, -1)
     in_block = Window.partitionBy(*kb).orderBy("start", "length")
     before_in_block = in_block.rowsBetween(Window.unboundedPreceding, -1)
@@ -204,8 +236,8 @@ def resolve_overlaps(cands: DataFrame, key: str | Sequence[str] = "doc_id",
 
     # 3. greedy inside each cluster: clusters hashed over tasks, sorted, one
     #    pass per Arrow batch (state carried across batches of a partition)
-    cols = [*keys, "_cluster", "start", "length", "text", "replacement_id"]
-    gk = [*keys, "_cluster"]
+    cols = [*doc, *carried, "_cluster", "start", "length", "text", "replacement_id"]
+    gk = [*doc, "_cluster"]
     kept_schema = c.select(*cols).schema
 
     def run(batches):
@@ -243,6 +275,9 @@ def resolve_overlaps(cands: DataFrame, key: str | Sequence[str] = "doc_id",
 def find_all_anchor(df: DataFrame, dictionary: DataFrame, key: str | Sequence[str] = "doc_id",
                     text: str = "text", q: int = DEFAULT_Q, chunk: int = DEFAULT_CHUNK,
                     alias=None, **kw) -> DataFrame:
-    """M3 + M5: the retry-mode match table through the anchor join."""
+    """M3 + M5: the retry-mode match table through the anchor join.
+
+    Documents may have null or repeated keys: each row is matched by itself, as by ``find_all``.
+    """
     return resolve_overlaps(
-        find_candidates(df, dictionary, key, text, q, chunk, alias=alias, **kw), key)
+        find_candidates(df, dictionary, key, text, q, chunk, alias=alias, row_id=True, **kw), key)

@@ -34,16 +34,17 @@ DEFAULT_ALIAS = {"~": "{"}
 
 
 def consecutive_index(df: DataFrame, order_cols: Sequence[str], name: str) -> DataFrame:
-    """Add a 0-based consecutive index in ``order_cols`` order without a one-task window.
+    """Add a 0-based consecutive BIGINT index in ``order_cols`` order without a one-task window.
 
-    Range-partition and sort (distributed), number rows inside each partition
-    with ``monotonically_increasing_id`` (partition id in the high bits), then
-    add per-partition offsets from a table with one row per partition, which is
-    the only thing broadcast.
+    Range-partition and sort (distributed) and number rows inside each partition
+    with ``monotonically_increasing_id`` (partition id in the high bits). The
+    sorted rows are written once: a second evaluation could choose other range
+    bounds, so the counts per partition and the rows must come from the same
+    files. Only one offset per partition is broadcast.
     """
     order = [F.col(c) for c in order_cols]
     srt = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    srt = srt.withColumn("_mid", F.monotonically_increasing_id())
+    srt = materialize(srt.withColumn("_mid", F.monotonically_increasing_id()))
     srt = srt.withColumn("_pid", F.shiftright("_mid", 33)).withColumn(
         "_loc", F.col("_mid").bitwiseAND((1 << 33) - 1))
     counts = srt.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
@@ -52,7 +53,7 @@ def consecutive_index(df: DataFrame, order_cols: Sequence[str], name: str) -> Da
         (F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)))
         .alias("_off"))
     out = srt.join(F.broadcast(offsets), "_pid", "left").withColumn(
-        name, (F.coalesce(F.col("_off"), F.lit(0)) + F.col("_loc")).cast("int"))
+        name, F.coalesce(F.col("_off"), F.lit(0)) + F.col("_loc"))
     return out.drop("_mid", "_pid", "_loc", "_off")
 
 
@@ -141,23 +142,26 @@ def first_per_pattern(df: DataFrame) -> DataFrame:
         F.col("_b.replacement_id").alias("replacement_id"))
 
 
-def _proper_prefixes(df: DataFrame, col: str = "pattern") -> DataFrame:
-    """One row per (pattern, proper prefix), prefix lengths 1 .. len-1."""
-    c = F.col("pattern")
-    return df.select(F.col(col).alias("pattern")).select(
-        "pattern",
-        F.explode(F.transform(F.sequence(F.lit(1), F.length(c) - 1),
-                              lambda i: F.substring(c, 1, i))).alias("prefix"))
+MAX_PREFIX_LENGTHS = 4096
 
 
 def shadowed_patterns(distinct_patterns: DataFrame) -> DataFrame:
-    """Patterns with another pattern as a proper prefix, with the shortest one."""
-    longer = distinct_patterns.where(F.length("pattern") > 1)
-    pref = _proper_prefixes(longer)
-    hits = pref.join(distinct_patterns.select(F.col("pattern").alias("prefix")), "prefix")
-    return hits.groupBy("pattern").agg(
-        F.min(F.struct(F.length("prefix").alias("n"), F.col("prefix"))).getField("prefix")
-        .alias("shadowed_by"))
+    """Patterns with another pattern as a proper prefix, with the shortest one.
+
+    A pattern is cut only at the lengths that patterns have (collected, at most
+    ``MAX_PREFIX_LENGTHS``; every length beyond that many), and what is shuffled
+    is the hash of the cut; the text is compared after the join.
+    """
+    got = distinct_patterns.select(F.length("pattern").alias("n")).distinct().limit(MAX_PREFIX_LENGTHS + 1).collect()
+    c = F.col("pattern")
+    cuts = (F.array(*[F.lit(n) for n in sorted(r["n"] for r in got)]) if 0 < len(got) <= MAX_PREFIX_LENGTHS
+            else F.sequence(F.lit(1), F.length(c)))
+    cut = distinct_patterns.where(F.length("pattern") > 1).select("pattern", F.explode(
+        F.filter(cuts, lambda n: n < F.length(c))).alias("n"))
+    cut = cut.withColumn("h", F.xxhash64(F.substring(c, F.lit(1), F.col("n"))))
+    short = distinct_patterns.select(c.alias("prefix"), F.length(c).alias("n"), F.xxhash64(c).alias("h"))
+    hits = cut.join(short, ["n", "h"]).where(F.col("pattern").startswith(F.col("prefix")))
+    return hits.groupBy("pattern").agg(F.min(F.struct("n", "prefix")).getField("prefix").alias("shadowed_by"))
 
 
 def active_dictionary(df: DataFrame, alias: Mapping[str, str] | None = None) -> DataFrame:
@@ -250,6 +254,20 @@ def id_path(nodes: DataFrame, replacement_id: int) -> DataFrame:
     return nodes.where(F.array_contains("ids", F.lit(replacement_id))).select("prefix", "depth")
 
 
+def id_path_of(df: DataFrame, replacement_id: int) -> DataFrame:
+    """T4 from the dictionary itself: only the lines with the id are exploded into prefixes."""
+    ids = prefix_ids(df.where(F.col("replacement_id") == F.lit(replacement_id)))
+    return ids.select("prefix", F.length("prefix").cast("int").alias("depth"))
+
+
+def prefix_lookup_of(df: DataFrame, prefix: str) -> DataFrame:
+    """P5 from the dictionary itself: only patterns that continue the prefix, cut to one more character."""
+    kids = valid_rows(df).where(F.col("pattern").startswith(prefix) & (F.length("pattern") > len(prefix)))
+    kids = kids.select(F.substring("pattern", 1, len(prefix) + 1).alias("child"), "replacement_id").distinct()
+    return kids.groupBy("child").agg(F.sort_array(F.collect_list("replacement_id")).alias("ids")).select(
+        "child", F.substring("child", len(prefix) + 1, 1).alias("next_char"), "ids")
+
+
 def prefix_lookup(nodes: DataFrame, prefix: str) -> DataFrame:
     """P5: what continues a prefix: its children and their ids."""
     return nodes.where(F.col("parent") == F.lit(prefix)).select(

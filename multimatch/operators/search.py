@@ -21,6 +21,7 @@ from ..functions.regex import ordered_alternation, translate_pattern
 from .dictionary import CompiledDictionary
 
 MODES = ("retry", "walk")
+GROUP = 64  # regex lines tested together before one is singled out
 
 
 def _keys(key: str | Sequence[str]) -> list[str]:
@@ -107,26 +108,22 @@ def resolve_replacement(matches: DataFrame, dictionary: DataFrame) -> DataFrame:
 
 
 def contains_pairs(docs: DataFrame, patterns: DataFrame, doc_key: str, doc_text: str,
-                   pat_key: str, pat_text: str, max_broadcast_rows: int = 1000) -> DataFrame:
+                   pat_key: str, pat_text: str) -> DataFrame:
     """M4: (document, pattern) pairs where the pattern occurs; no positions.
 
-    Up to ``max_broadcast_rows`` patterns (counted first): a broadcast
-    nested-loop join on ``contains``. Beyond that the cost of testing every
-    pattern in every document grows with their product, so the pairs come
-    from the anchor join instead (all occurrences of every distinct pattern,
-    shadowed ones included), joined back to the pattern keys.
+    One row per document row and pattern row, whatever their keys. At every size
+    the pairs come from the anchor join (all occurrences of every distinct
+    pattern, shadowed ones and ones with NUL included), joined back to the
+    pattern keys; empty and null patterns occur nowhere.
     """
+    from .anchor import ROW, find_candidates
     p = patterns.select(F.col(pat_key).alias("_pk"), F.col(pat_text).alias("_pt")).where(
         F.length("_pt") > 0)
     d = docs.select(F.col(doc_key).alias("_dk"), F.col(doc_text).alias("_dt"))
-    if p.count() <= max_broadcast_rows:
-        return d.join(F.broadcast(p), F.col("_dt").contains(F.col("_pt"))).select(
-            F.col("_dk").alias(doc_key), F.col("_pk").alias(pat_key))
-    from .anchor import find_candidates
     as_dict = p.select(F.lit(0).alias("line_no"), F.col("_pt").alias("pattern"),
                        F.lit("").alias("replacement"), F.lit(0).alias("replacement_id"))
-    occ = find_candidates(d, as_dict, "_dk", "_dt", drop_shadowed=False)
-    hits = occ.select("_dk", F.col("text").alias("_pt")).distinct()
+    occ = find_candidates(d, as_dict, "_dk", "_dt", drop_shadowed=False, row_id=True)
+    hits = occ.select(ROW, "_dk", F.col("text").alias("_pt")).distinct()
     return hits.join(p, "_pt").select(F.col("_dk").alias(doc_key), F.col("_pk").alias(pat_key))
 
 
@@ -144,12 +141,12 @@ def compile_regex_dictionary(rows: Sequence[tuple[int, str, str]]) -> tuple[str,
 
 def find_all_regex(df: DataFrame, rows: Sequence[tuple[int, str, str]] | DataFrame,
                    key: str | Sequence[str], text: str = "text",
-                   max_patterns: int = 1000) -> DataFrame:
+                   max_patterns: int = 100_000) -> DataFrame:
     """M6: matches of a regex dictionary: ``<key>, ordinal, start, end, length, text, line_no``.
 
     ``rows`` is a list of (line_no, pattern, replacement) or a dictionary
     DataFrame with those columns, collected once with at most
-    ``max_patterns + 1`` rows (one more proves it too large for one regex).
+    ``max_patterns + 1`` rows (one more proves it too large for the driver).
     One alternation in line order scans each document (lazy quantifiers:
     matching stops at the first terminal); the line that produced a hit is
     the first whose pattern matches the whole hit.
@@ -157,7 +154,7 @@ def find_all_regex(df: DataFrame, rows: Sequence[tuple[int, str, str]] | DataFra
     if isinstance(rows, DataFrame):
         got = rows.select("line_no", "pattern", "replacement").limit(max_patterns + 1).collect()
         if len(got) > max_patterns:
-            raise ValueError(f"more than {max_patterns} regex patterns")
+            raise ValueError(f"more than {max_patterns} regex patterns: split the dictionary")
         rows = [(r.line_no, r.pattern, r.replacement) for r in got]
     keys = _keys(key)
     alt, lines = compile_regex_dictionary(rows)
@@ -170,9 +167,17 @@ def find_all_regex(df: DataFrame, rows: Sequence[tuple[int, str, str]] | DataFra
         df.select(*keys, F.regexp_extract_all(F.col(text), F.lit(regex), 0).alias("_tok")))
     hits = match_array(F.col("_tok"), F.col("_end"), lambda s: s["text"].rlike(full))
     ms = toks.select(*keys, F.posexplode(hits).alias("ordinal", "m"))
-    which = F.lit(None).cast("int")
-    for line_no, t, _ in reversed(lines):
-        which = F.when(F.col("m.text").rlike(f"^(?:{t})\\z"), F.lit(line_no)).otherwise(which)
+    # the first line that matches the hit: first its group of lines, then the line in the group,
+    # as two flat searches of an array of patterns
+    groups = [lines[i:i + GROUP] for i in range(0, len(lines), GROUP)]
+    whole = F.array(*[F.lit("^(?:" + ordered_alternation([t for _, t, _ in g]) + ")\\z") for g in groups])
+    each = F.array(*[F.array(*[F.struct(F.lit(n).cast("int").alias("n"), F.lit(f"^(?:{t})\\z").alias("rx"))
+                               for n, t, _ in g]) for g in groups])
+    hit = F.col("m.text")
+    # zip the groups so that the lines of a matching group are at hand
+    pairs = F.arrays_zip(whole.alias("w"), each.alias("e"))
+    first = F.filter(pairs, lambda p: F.rlike(hit, p["w"]))[0]["e"]
+    which = F.filter(first, lambda p: F.rlike(hit, p["rx"]))[0]["n"]
     return ms.select(
         *keys, F.col("ordinal").cast("int").alias("ordinal"), F.col("m.start").alias("start"),
         (F.col("m.start") + F.length("m.text")).cast("int").alias("end"),

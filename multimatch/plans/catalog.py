@@ -192,13 +192,13 @@ def q_dict_depth(spark, sf_dir):
 @query("dict_id_path")
 def q_dict_id_path(spark, sf_dir):
     """T4: the trie nodes replacement id 3 passes through."""
-    return dic.id_path(dic.prefix_nodes(benchmark_vocabulary(spark, sf_dir)), 3)
+    return dic.id_path_of(benchmark_vocabulary(spark, sf_dir), 3)
 
 
 @query("dict_prefix_lookup")
 def q_dict_prefix_lookup(spark, sf_dir):
     """P5: what can follow the prefix 'th' in the word dictionary."""
-    return dic.prefix_lookup(dic.prefix_nodes(benchmark_vocabulary(spark, sf_dir)), "th")
+    return dic.prefix_lookup_of(benchmark_vocabulary(spark, sf_dir), "th")
 
 
 @query("dict_lint")
@@ -282,7 +282,7 @@ LANG_ENCODING = {"en": ("EFBBBF", "UTF-8"), "fr": ("FFFE", "UTF-16LE"),
 def q_decode_bom(spark, sf_dir):
     """Documents encoded with a byte order mark per language, decoded back by BOM."""
     d = table(spark, sf_dir, "documents", "doc_id", "lang", "text")
-    content = F.lit(None).cast("binary")
+    content = F.encode("text", "UTF-8")  # any other language, or none: no mark
     for lang, (bom, cs) in LANG_ENCODING.items():
         content = F.when(F.col("lang") == lang,
                          F.concat(F.unhex(F.lit(bom)), F.encode("text", cs))).otherwise(content)
@@ -387,7 +387,7 @@ def q_incremental_scan(spark, sf_dir):
     matches = incremental.match_stream(spark, src, "doc_id BIGINT, text STRING",
                                        compiled_d1(spark), "doc_id", "text")
     incremental.run_once(matches, sink, ckpt)
-    docs.where(F.col("lang") != "en").select("doc_id", "text").write.mode("append").parquet(src)
+    docs.where(~F.col("lang").eqNullSafe("en")).select("doc_id", "text").write.mode("append").parquet(src)
     incremental.run_once(matches, sink, ckpt)
     return spark.read.parquet(sink)
 

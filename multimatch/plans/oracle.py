@@ -371,7 +371,7 @@ SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS IN
 FROM m"""
 
 ORACLE["line_scan"] = f"""WITH lines AS (
-  SELECT CAST(row_number() OVER (ORDER BY doc_id, j) - 1 AS INTEGER) AS line_no, line AS text
+  SELECT CAST(row_number() OVER (ORDER BY doc_id, j) - 1 AS BIGINT) AS line_no, line AS text
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
                generate_subscripts(string_split(text, chr(10)), 1) AS j FROM documents)),
 {_token_rows('lines', 'line_no', 'text', D1_TOK)},

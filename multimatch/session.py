@@ -2,8 +2,8 @@
 
 On a cluster the session is given; ``shared_dir`` then reads the folder the
 cluster names in ``spark.checkpoint.dir`` and never invents a machine-local one.
-Only when that setting is unset (local tests, the bench) is a fresh folder
-under the system temp dir created and registered as the checkpoint dir.
+Only in a session with a local master (tests, the bench) that leaves it unset is
+a fresh folder under the system temp dir created and registered.
 """
 
 from __future__ import annotations
@@ -38,12 +38,16 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    If the session has none (local tests), a fresh temp folder is created and
-    registered, so later ``checkpoint()`` calls and written tables land there.
+    If a session with a local master has none (tests), a fresh temp folder is
+    created and registered, so later ``checkpoint()`` calls and written tables
+    land there. On any other master a missing setting is an error.
     """
     sc = spark.sparkContext
     root = spark.conf.get(_CHECKPOINT_KEY, None) or sc.getCheckpointDir()
     if not root:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"{_CHECKPOINT_KEY} must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="multimatch-ckpt-")
         spark.conf.set(_CHECKPOINT_KEY, root)
         sc.setCheckpointDir(root)

@@ -27,7 +27,7 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     want = min_partitions or spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
+    if len(df.inputFiles()) >= want or df.rdd.getNumPartitions() >= want:
         return df
     return df.repartition(want)
 
@@ -58,8 +58,8 @@ def read_files(spark: SparkSession, paths: str | Sequence[str], recursive: bool
     return reader.load(list(paths))
 
 
-# Byte order marks and the charset each selects (UTF-7 has no
-# Spark decoder and is reported as unsupported). Longest marks are tested first.
+# Byte order marks and the charset each selects. Longest marks are
+# tested first.
 BOMS = [
     ("0000FEFF", "UTF-32BE", 4),
     ("FFFE0000", "UTF-32LE", 4),
@@ -82,35 +82,74 @@ def bom_columns(content: Column) -> tuple[Column, Column]:
     return charset, nbom
 
 
+RAW = "ISO-8859-1"  # one byte, one character: any bytes come back as they were
+
+
+def _units_ok(body: Column, width: int, little: bool) -> Column:
+    """Whether ``body`` is well-formed UTF-16 (width 2) or UTF-32 (width 4)."""
+    n = F.octet_length(body)
+
+    def byte(k: Column, i: int) -> Column:  # byte i of unit k, most significant first
+        return F.hex(F.substring(body, k * width + 1 + (width - 1 - i if little else i), F.lit(1)))
+
+    def bad(k: Column) -> Column:
+        if width == 4:
+            return ((byte(k, 0) != "00") | (byte(k, 1) > "10")
+                    | ((byte(k, 1) == "00") & byte(k, 2).between("D8", "DF")))
+        high = byte(k, 0).between("D8", "DB")
+        after = (k + 1) * width < n
+        paired = after & byte(k + 1, 0).between("DC", "DF")
+        before = (k > 0) & byte(k - 1, 0).between("D8", "DB")
+        return (high & ~paired) | (byte(k, 0).between("DC", "DF") & ~before)
+
+    units = F.when(n >= width, F.sequence(F.lit(0), (n / width).cast("int") - 1)).otherwise(
+        F.array().cast("array<int>"))
+    return (n % width == 0) & ~F.exists(units, bad)
+
+
 def decode_bom(df: DataFrame, content: str = "content") -> DataFrame:
     """Add ``charset``, ``bom`` (bytes) and ``text`` decoded after the mark.
 
-    UTF-32 is decoded through Spark's ``UTF-32`` charset (big endian) and its
-    little-endian form by swapping is not available, so UTF-32LE and UTF-7
-    rows get a null ``text`` and ``charset`` says why; filter them to a rejects
-    output with ``text IS NULL``.
+    Bytes that are not well-formed in the charset the mark selects (or in UTF-8
+    without a mark) are read as ISO-8859-1, one character a byte, and
+    ``charset`` says so; so are UTF-7 files, whose charset stays UTF-7 (Spark
+    has no decoder for it; their ASCII text is searchable as it stands). Null
+    content gives null text.
     """
     charset, nbom = bom_columns(F.col(content))
     body = F.expr(f"substring({content}, _nbom + 1)")
-    decoded = F.coalesce(
-        F.when(F.col("charset") == "UTF-8", F.decode(body, "UTF-8")),
-        F.when(F.col("charset") == "UTF-16LE", F.decode(body, "UTF-16LE")),
-        F.when(F.col("charset") == "UTF-16BE", F.decode(body, "UTF-16BE")),
-        F.when(F.col("charset") == "UTF-32BE", F.decode(body, "UTF-32")),
-    )
-    return (df.withColumn("charset", charset).withColumn("_nbom", nbom)
-              .withColumn("text", decoded)
-              .withColumn("bom", F.expr(f"substring({content}, 1, _nbom)"))
-              .drop("_nbom"))
+    marked = F.col("charset")
+    ok = (F.when(marked == "UTF-8", F.is_valid_utf8(body.cast("string")))
+           .when(marked.startswith("UTF-16"), F.when(marked == "UTF-16LE", _units_ok(body, 2, True))
+                 .otherwise(_units_ok(body, 2, False)))
+           .when(marked == "UTF-32LE", _units_ok(body, 4, True))
+           .when(marked == "UTF-32BE", _units_ok(body, 4, False))
+           .otherwise(F.lit(True)))
+    out = df.withColumn("charset", charset).withColumn("_nbom", nbom)
+    out = out.withColumn("charset", F.when(ok, marked).otherwise(F.lit(RAW)))
+    decoded = (F.when(marked == "UTF-8", F.decode(body, "UTF-8"))
+                .when(marked == "UTF-16LE", F.decode(body, "UTF-16LE"))
+                .when(marked == "UTF-16BE", F.decode(body, "UTF-16BE"))
+                .when(marked == "UTF-32BE", F.decode(body, "UTF-32"))
+                .when(marked == "UTF-32LE", F.decode(F.col(content), "UTF-32"))  # the mark tells the order
+                .otherwise(F.decode(body, RAW)))
+    return (out.withColumn("text", decoded)
+               .withColumn("bom", F.expr(f"substring({content}, 1, _nbom)"))
+               .drop("_nbom"))
 
 
 def reencode(df: DataFrame, text: str = "text") -> DataFrame:
     """C14 on output: ``content`` = the file's own byte order mark + ``text``
     encoded in its detected charset (needs ``charset`` and ``bom`` from
-    ``decode_bom``), so a rewritten file keeps its encoding and mark."""
-    enc = F.coalesce(*[F.when(F.col("charset") == cs, F.encode(F.col(text), spark_cs))
-                       for cs, spark_cs in (("UTF-8", "UTF-8"), ("UTF-16LE", "UTF-16LE"),
-                                            ("UTF-16BE", "UTF-16BE"), ("UTF-32BE", "UTF-32"))])
+    ``decode_bom``), so a rewritten file keeps its encoding and mark. Characters
+    that ISO-8859-1 does not have (from a replacement) are written as ``?``."""
+    t, cs = F.col(text), F.col("charset")
+    latin = F.regexp_replace(t, r"[^\x00-\xFF]", "?")
+    big = F.encode(t, "UTF-32")
+    little = F.unhex(F.regexp_replace(F.hex(big), "(..)(..)(..)(..)", "$4$3$2$1"))
+    enc = (F.when(cs == "UTF-8", F.encode(t, "UTF-8")).when(cs == "UTF-16LE", F.encode(t, "UTF-16LE"))
+            .when(cs == "UTF-16BE", F.encode(t, "UTF-16BE")).when(cs == "UTF-32BE", big)
+            .when(cs == "UTF-32LE", little).otherwise(F.encode(latin, RAW)))
     return df.withColumn("content", F.concat(F.col("bom"), enc))
 
 

@@ -35,11 +35,16 @@ def _rx(g: str) -> dict[str, str]:
     }
 
 
+MAX_BROADCAST_BLOCKS = 1_000_000
+
+
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``file STRING, line_no INT, line STRING``: lines in file order, per path.
+    """``file STRING, line_no BIGINT, line STRING``: lines in file order, per path.
 
     ``line_no`` counts across the files of ``path`` in path order (a single
-    pattern file numbers from 0).
+    pattern file numbers from 0). The lines are not shuffled: the table of block
+    offsets (one row per block, written once) is broadcast while it has at most
+    ``MAX_BROADCAST_BLOCKS`` rows.
     """
     raw = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"),
@@ -47,21 +52,26 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
         F.monotonically_increasing_id().alias("_mid"),
         F.col("value").alias("line"))
     # rows of one block are contiguous and in order inside their partition
-    blocks = raw.groupBy("file", "block").agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
+    blocks = materialize(raw.groupBy("file", "block").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first")))
     w = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = blocks.select("file", "block", "_first",
                             F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    lines = raw.join(offsets, ["file", "block"]).select(
-        "file", (F.col("_off") + F.col("_mid") - F.col("_first")).cast("int").alias("line_no"),
-        "line")
+    if blocks.count() <= MAX_BROADCAST_BLOCKS:
+        offsets = F.broadcast(offsets)
+    at = F.col("_mid") - F.col("_first")
     # a leading byte order mark belongs to the file, not the first pattern
-    first_of_file = lines.groupBy("file").agg(F.min("line_no").alias("_l0"))
-    return (lines.join(first_of_file, "file")
-                 .withColumn("line", F.when(F.col("line_no") == F.col("_l0"),
-                                            F.regexp_replace("line", "^﻿", ""))
-                             .otherwise(F.col("line")))
-                 .drop("_l0"))
+    line = F.when((F.col("block") == 0) & (at == 0), F.regexp_replace("line", "^\ufeff", "")).otherwise(F.col("line"))
+    return raw.join(offsets, ["file", "block"]).select(
+        "file", (F.col("_off") + at).alias("line_no"), line.alias("line"))
+
+
+def decoded_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``numbered_lines`` of files in any encoding with a byte order mark (each file read whole)."""
+    from .corpus import decode_bom, read_files
+    files = decode_bom(read_files(spark, path)).select(
+        F.col("path").alias("file"), F.posexplode(F.split("text", r"\r\n|\r|\n")).alias("line_no", "line"))
+    return files.select("file", F.col("line_no").cast("long").alias("line_no"), "line")
 
 
 def _until_first_empty(lines: DataFrame) -> DataFrame:
@@ -91,9 +101,15 @@ def parse_lines(lines: DataFrame, grouping: str = DEFAULT_GROUPING) -> DataFrame
                         reason.alias("reason"))
 
 
-def load_dictionary(spark: SparkSession, path: str, grouping: str = DEFAULT_GROUPING) -> DataFrame:
-    """The dictionary ``line_no, pattern, replacement, replacement_id`` of a pattern file."""
-    parsed = parse_lines(_until_first_empty(numbered_lines(spark, path)), grouping)
+def load_dictionary(spark: SparkSession, path: str, grouping: str = DEFAULT_GROUPING,
+                    decode: bool = False) -> DataFrame:
+    """The dictionary ``line_no, pattern, replacement, replacement_id`` of a pattern file.
+
+    ``decode=True`` reads the file whole and decodes it by its byte order mark
+    (UTF-16, UTF-32); otherwise it is read as UTF-8, in blocks.
+    """
+    lines = decoded_lines(spark, path) if decode else numbered_lines(spark, path)
+    parsed = parse_lines(_until_first_empty(lines), grouping)
     good = parsed.where(F.col("reason").isNull()).select("line_no", "pattern", "replacement")
     return materialize(assign_replacement_ids(good))
 
@@ -102,7 +118,8 @@ def dictionary_rejects_file(spark: SparkSession, path: str,
                             grouping: str = DEFAULT_GROUPING) -> DataFrame:
     """``line_no, line, reason`` for every line the loader refuses."""
     parsed = parse_lines(_until_first_empty(numbered_lines(spark, path)), grouping)
-    return parsed.where(F.col("reason").isNotNull()).select("line_no", "line", "reason")
+    return parsed.where(F.col("reason").isNotNull()).select(F.col("line_no").cast("int").alias("line_no"), "line",
+                                                            "reason")
 
 
 def save_dictionary(df: DataFrame, path: str) -> str:

@@ -9,7 +9,7 @@ versions intact (the commit of a version is Spark's atomic job commit).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.rows import keep_where
@@ -63,9 +63,17 @@ def read_version(spark: SparkSession, root: str, version: int | None = None,
 
 
 def write_log(report: DataFrame, path: str) -> str:
-    """The match log as text, one line per match (written only if not empty)."""
+    """The match log as text, one line per report line (written only if not empty).
+
+    The search runs once: lines are counted as they are written, and a log
+    without lines is taken back.
+    """
+    spark = report.sparkSession
+    seen = Observation("log")
     lines = report.select(F.explode(F.split("report", "\n")).alias("value"))
-    if lines.isEmpty():
-        return ""
-    lines.write.mode("errorifexists").text(path)
-    return path
+    lines.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("errorifexists").text(path)
+    if seen.get["n"]:
+        return path
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    return ""
