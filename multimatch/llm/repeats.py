@@ -50,8 +50,11 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64, at least ``n`` of each."""
     if not _powers or len(_powers[0]) < n:
         size = max(n, CHUNK + (1 << 16))
-        _powers[:] = [np.multiply.accumulate(np.concatenate([[1], np.full(size, b)]).astype(np.uint64))
-                      for b in (_BASE, _BACK)]
+        for b in (_BASE, _BACK):
+            steps = np.full(size + 1, b, np.uint64)
+            steps[0] = 1
+            _powers.append(np.multiply.accumulate(steps))
+        del _powers[:-2]
     return _powers[0], _powers[1]
 
 
@@ -66,7 +69,8 @@ def word_hashes(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     edge = np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8))
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     forward, back = _power(len(flat) + 1)
-    total = np.concatenate([[0], np.cumsum(_BYTE[flat] * forward[:len(flat)], dtype=np.uint64)]).astype(np.uint64)
+    total = np.zeros(len(flat) + 1, np.uint64)
+    np.cumsum(_BYTE[flat] * forward[:len(flat)], dtype=np.uint64, out=total[1:])
     return _mix((total[end] - total[start]) * back[start]), start
 
 
