@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 WINDOW = 13
 # word offsets; weight six; found by search: together complete for two substitutions in 13 words
 MASKS = [(0, 1, 2, 4, 6, 7), (0, 1, 3, 6, 7, 8)]
@@ -28,14 +30,10 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+"), "")
 
 
-def seed_keys(h: Column, mask: tuple[int, ...]) -> Column:
-    """The mask's hash at every position of a document's word hashes, in order."""
-    n = F.size(h) - mask[-1]
-    return F.when(n > 0, F.transform(
-        F.sequence(F.lit(0), n - 1),
-        lambda i: F.xxhash64(F.lit(len(mask) * 100 + mask[-1]),
-                             *[F.get(h, i + F.lit(o)) for o in mask]))).otherwise(
-        F.array().cast("array<bigint>"))
+def seed_key(h: Column, at: Column, mask: tuple[int, ...]) -> Column:
+    """The mask's hash at a position of a text's word hashes (null where it does not fit)."""
+    return F.when(at + mask[-1] < F.size(h), F.xxhash64(
+        F.lit(len(mask) * 100 + mask[-1]), *[F.get(h, at + o) for o in mask]))
 
 
 def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -59,33 +57,47 @@ def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
              .distinct().orderBy("n").collect()]
     masks = MASKS + [tuple(range(n)) for n in short]
 
-    tests = tests.withColumn("h", F.transform("item", lambda w: F.xxhash64(w)))
-    per_mask = []
+    # positions are exploded before they are hashed, which keeps the hashing in compiled code
+    place = tests.withColumn("h", F.transform("item", lambda w: F.xxhash64(w)))
+    place = place.select("item_id", "item", "h", F.posexplode("h").alias("at", "own"))
+    seeds = None
     for k, m in enumerate(masks):
-        t = tests if k < len(MASKS) else tests.where(F.size("item") == len(m))
-        per_mask.append(t.select("item_id", "item", F.lit(k).alias("mask"),
-                                 F.posexplode(seed_keys(F.col("h"), m)).alias("at", "key")))
-    seeds = per_mask[0]
-    for s in per_mask[1:]:
-        seeds = seeds.unionByName(s)
-    if seeds.count() <= MAX_BROADCAST_SEEDS:
+        t = place if k < len(MASKS) else place.where(F.size("item") == len(m))
+        t = t.select("item_id", "at", seed_key(F.col("h"), F.col("at"), m).alias("key")).where(
+            "key IS NOT NULL")
+        seeds = t if seeds is None else seeds.unionByName(t)
+    seeds = seeds.select("item_id", "at", "key")
+    few = seeds.count() <= MAX_BROADCAST_SEEDS
+    if few:
         seeds = F.broadcast(seeds)  # beyond it Spark picks a shuffled join
 
-    train = (docs.select(F.col(id_col).alias("id"), words_of(F.col(text_col)).alias("words"))
-             .withColumn("h", F.transform("words", lambda w: F.xxhash64(w))))
-    train = train.select("id", "words", F.posexplode(F.concat(*[seed_keys(F.col("h"), m) for m in masks]))
-                         .alias("index", "key"))
-    hits = train.join(seeds, "key")
-    # the index counts the positions of the masks before this one
-    before, skip = F.lit(0), F.lit(0)
-    for k, m in enumerate(masks[:-1]):
-        skip = skip + F.greatest(F.size("words") - F.lit(m[-1]), F.lit(0))
-        before = F.when(F.col("mask") > k, skip).otherwise(before)
-    hits = hits.withColumn("start", F.col("index") - before - F.col("at"))
+    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("copy"))
+    train = src.select("id", "copy", F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w)).alias("h"))
+    train = train.select("id", "copy", "h", F.posexplode("h").alias("p", "own"))
+    train = train.select("id", "copy", "p", F.explode(F.array(
+        *[seed_key(F.col("h"), F.col("p"), m) for m in masks])).alias("key"))
+    hits = train.join(seeds, "key").select("id", "copy", "item_id", (F.col("p") - F.col("at")).alias("start"))
+    # where to look in each text with a hit: one row per text, item and alignment, written once
+    hits = materialise(hits.distinct(), "seed-hits")
+    spots = hits.groupBy("id", "copy").agg(F.collect_list(F.struct("item_id", "start")).alias("spots"))
+    spots = spots.select(F.col("id").alias("i"), F.col("copy").alias("c"), "spots")
+    if hits.count() <= MAX_BROADCAST_SEEDS:
+        spots = F.broadcast(spots)  # beyond it Spark picks a shuffled join
+    near = src.join(spots, src["id"].eqNullSafe(spots["i"]) & (src["copy"] == spots["c"]))
+    near = near.dropDuplicates(["id", "copy"]).select("id", words_of(F.col("text")).alias("words"), "spots")
+    # only the words under an item leave a document's row
+    longest = tests.agg(F.max(F.size("item"))).first()[0] or 0
+    around = F.transform("spots", lambda s: F.struct(
+        s["item_id"].alias("item_id"), s["start"].alias("start"),
+        F.slice("words", F.greatest(s["start"], F.lit(0)) + 1, F.lit(longest)).alias("words")))
+    near = near.select("id", F.explode(around).alias("s")).select("id", "s.item_id", "s.start", "s.words")
+    items_by_id = tests.select("item_id", "item")
+    hits = near.join(F.broadcast(items_by_id) if few else items_by_id, "item_id")
 
     n = F.size("item")
+    skipped = F.greatest(F.col("start"), F.lit(0))  # the words begin there
     same = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.coalesce(
-        (F.when(F.col("start") + k >= 0, F.get("words", F.col("start") + k)) == F.get("item", k)),
+        (F.when(F.col("start") + k >= 0, F.get("words", F.col("start") + k - skipped)) == F.get("item", k)),
         F.lit(False)).cast("int"))
     hits = hits.select("id", "item_id", "start", n.alias("n_words"), same.alias("same"))
     length = F.least("n_words", F.lit(WINDOW))
