@@ -220,7 +220,7 @@ def score(docs: DataFrame, vocabulary: Vocabulary, net: Network, id_col: str = "
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(first, len(part)),
                      pa.array(np.bincount(doc, minlength=len(part)), pa.int64()),
-                     pa.array(np.bincount(doc, each, minlength=len(part)))], ["id", "n_tokens", "log_prob"])
+                     pa.array(np.bincount(doc, each, minlength=len(part)).astype(np.float64))], ["id", "n_tokens", "log_prob"])
 
     return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, n_tokens bigint, log_prob double")
 
