@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators import anchor
 from ..operators import dictionary as dic
-from ..operators import report, rewrite, search
+from ..operators import large, report, rewrite, search
 from ..session import shared_dir
 from ..sources import corpus, sinks
 from ..sources import dictionary_file as dict_file
@@ -400,6 +400,30 @@ def q_find_all_auto(spark, sf_dir):
                                   "doc_id", "text")
 
 
+@query("replace_all_large")
+def q_replace_all_large(spark, sf_dir):
+    """R1/R4 beyond one regex: `documents` rewritten with the `benchmark` word dictionary,
+    from the match table of the anchor join."""
+    return large.replace_all_large(documents(spark, sf_dir), benchmark_vocabulary(spark, sf_dir), "doc_id", "text")
+
+
+@query("files_rewritten")
+def q_files_rewritten(spark, sf_dir):
+    """S1 to S7 in one run: `documents` written as one binary file row each with a byte order
+    mark per language, decoded, rewritten with D1, encoded back and written as a version."""
+    d = table(spark, sf_dir, "documents", "doc_id", "lang", "text")
+    content = F.encode("text", "UTF-8")
+    for lang, (bom, cs) in LANG_ENCODING.items():
+        content = F.when(F.col("lang") == lang,
+                         F.concat(F.unhex(F.lit(bom)), F.encode("text", cs))).otherwise(content)
+    files = corpus.decode_bom(d.select("doc_id", content.alias("content")))
+    rw = rewrite.replace_all(files, compiled_d1(spark), ["doc_id", "charset", "bom"], "text")
+    root = shared_dir(spark, "file-rewrites")
+    sinks.write_rewrites(corpus.reencode(rw), root)
+    back = corpus.decode_bom(sinks.read_version(spark, root).select("doc_id", "content", "n_matches"))
+    return back.select("doc_id", "charset", "text", "n_matches", F.octet_length("content").alias("n_bytes"))
+
+
 @query("line_scan")
 def q_line_scan(spark, sf_dir):
     """S1 line route: `documents` written as text files (in doc_id order), read back

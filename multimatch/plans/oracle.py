@@ -370,6 +370,29 @@ SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS IN
        CAST(length(x) AS INTEGER) AS length, x AS text, CAST(rid AS INTEGER) AS replacement_id
 FROM m"""
 
+ORACLE["replace_all_large"] = f"""WITH {_VOCAB},
+firsts AS (SELECT pattern, arg_min(replacement, line_no) AS rep FROM vocab GROUP BY pattern),
+rx AS (SELECT '(?s)(?:' || string_agg(
+          array_to_string(list_transform(string_split(pattern, ''),
+                          lambda c: '\\x{{' || printf('%x', unicode(c)) || '}}'), ''),
+          '|' ORDER BY length(pattern), pattern) || ')|.' AS r FROM firsts),
+t AS (SELECT doc_id, regexp_extract_all(text, (SELECT r FROM rx)) AS tok FROM documents),
+u AS (SELECT doc_id, unnest(tok) AS x, generate_subscripts(tok, 1) AS i FROM t)
+SELECT doc_id, string_agg(coalesce(f.rep, x), '' ORDER BY i) AS text, CAST(count(f.pattern) AS INTEGER) AS n_matches
+FROM u LEFT JOIN firsts f ON u.x = f.pattern GROUP BY doc_id"""
+
+_D1_TEXT = _rewrite_sql(D1_REPL_CASE)
+ORACLE["files_rewritten"] = f"""WITH r AS ({_D1_TEXT}),
+c AS (SELECT r.doc_id, r.text, r.n_matches,
+             CASE lang WHEN 'fr' THEN 'UTF-16LE' WHEN 'de' THEN 'UTF-16BE' ELSE 'UTF-8' END AS charset,
+             CASE lang WHEN 'en' THEN 3 WHEN 'fr' THEN 2 WHEN 'de' THEN 2 ELSE 0 END AS mark
+      FROM r JOIN documents USING (doc_id) WHERE r.n_matches > 0)
+SELECT doc_id, charset, text, n_matches,
+       CAST(mark + CASE WHEN charset = 'UTF-8' THEN strlen(text)
+                        ELSE 2 * length(text) + 2 * len(regexp_extract_all(text, '[\\x{{10000}}-\\x{{10ffff}}]')) END
+            AS INTEGER) AS n_bytes
+FROM c"""
+
 ORACLE["line_scan"] = f"""WITH lines AS (
   SELECT CAST(row_number() OVER (ORDER BY doc_id, j) - 1 AS BIGINT) AS line_no, line AS text
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,

@@ -115,3 +115,22 @@ def test_utf16_pattern_file(spark, tmp_path):
 def test_writer_rule():
     assert brute.writer("a  \nb a b", [(0, "a"), (4, "b"), (6, "a")], {"a": "1", "b": "2"}) == "1  \n2 1 b"
     assert brute.writer("axa", [(0, "a"), (2, "a")], {"a": "1"}) == "1\nx1"
+
+
+def test_large_dictionary_route_equals_the_compiled_one(spark):
+    from multimatch.operators import large, report, rewrite
+    rows = [(1, "abc x  \nabcde cde"), (1, "cde"), (None, "abcabc  ab"), (2, None), (3, "")]
+    df = spark.createDataFrame(rows, "doc_id INT, text STRING")
+    d = dictionary_from_pairs(spark, [("abc", "1"), ("cde", "22"), ("ab", "3"), ("x", ""), ("cde", "9")])
+    cd = compile_dictionary(d)
+    kw = {"inline_limit": 0}
+    same = lambda a, b: sorted(map(str, a.select(b.columns).collect())) == sorted(map(str, b.collect()))
+    for emit in ("replace", "insert_before"):
+        for brk in (False, True):
+            assert same(large.replace_all_large(df, d, emit=emit, line_break=brk, **kw),
+                        rewrite.replace_all(df, cd, emit=emit, line_break=brk)), (emit, brk)
+    assert same(large.doc_match_counts_large(df, d, **kw), report.doc_match_counts(df, cd))
+    assert same(large.match_report_large(df, d, **kw), report.match_report(df, cd))
+    assert same(large.pattern_hit_counts_large(df, d, **kw), report.pattern_hit_counts(df, cd, d))
+    assert same(large.docs_matching_large(df, d, **kw), search.docs_matching(df, cd))
+    assert same(large.docs_matching_large(df, d, negate=True, **kw), search.docs_not_matching(df, cd))
