@@ -16,7 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 from ..operators.dictionary import CompiledDictionary
+from ..operators.rewrite import replace_all
 from ..operators.search import find_all
+from ..sources.corpus import FILE_SCHEMA, decode_bom, reencode
 
 
 def match_stream(spark: SparkSession, source: str, schema: StructType | str, cd: CompiledDictionary,
@@ -27,6 +29,27 @@ def match_stream(spark: SparkSession, source: str, schema: StructType | str, cd:
     return find_all(stream, cd, key, text, mode)
 
 
+def file_stream(spark: SparkSession, source: str, glob: str | None = None) -> DataFrame:
+    """A stream of the raw files below ``source``, decoded by byte order mark: ``path, charset, bom, text``."""
+    reader = spark.readStream.schema(FILE_SCHEMA).format("binaryFile").option("recursiveFileLookup", "true")
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
+    return decode_bom(reader.load(source)).select("path", "charset", "bom", "text")
+
+
+def match_file_stream(spark: SparkSession, source: str, cd: CompiledDictionary, mode: str = "retry",
+                      glob: str | None = None) -> DataFrame:
+    """The match table of raw files as they land, keyed by path."""
+    return find_all(file_stream(spark, source, glob), cd, "path", "text", mode)
+
+
+def rewrite_file_stream(spark: SparkSession, source: str, cd: CompiledDictionary, mode: str = "retry",
+                        glob: str | None = None, **kw) -> DataFrame:
+    """Changed files as they land, rewritten and encoded as they were: ``path, content, n_matches``."""
+    out = replace_all(file_stream(spark, source, glob), cd, ["path", "charset", "bom"], "text", mode=mode, **kw)
+    return reencode(out.where("n_matches > 0")).select("path", "content", "n_matches")
+
+
 def run_once(matches: DataFrame, sink: str, checkpoint: str, fmt: str = "parquet") -> None:
     """Process everything that has arrived, append to ``sink``, then stop."""
     q = (matches.writeStream.format(fmt).outputMode("append")

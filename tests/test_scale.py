@@ -134,3 +134,26 @@ def test_large_dictionary_route_equals_the_compiled_one(spark):
     assert same(large.pattern_hit_counts_large(df, d, **kw), report.pattern_hit_counts(df, cd, d))
     assert same(large.docs_matching_large(df, d, **kw), search.docs_matching(df, cd))
     assert same(large.docs_matching_large(df, d, negate=True, **kw), search.docs_not_matching(df, cd))
+
+
+def test_raw_files_are_matched_and_rewritten_as_they_land(spark):
+    import os
+    from multimatch.streaming import incremental
+    root = shared_dir(spark, "files")
+    os.makedirs(f"{root}/in/sub")
+    cd = compile_dictionary(dictionary_from_pairs(spark, [("\u00e9t\u00e9", "summer")]))
+
+    def put(name, raw):
+        with open(f"{root}/in/{name}", "wb") as f:
+            f.write(raw)
+
+    put("a.txt", "un \u00e9t\u00e9".encode())
+    put("sub/b.txt", b"\xff\xfe" + "\u00e9t\u00e9!".encode("utf-16-le"))
+    for batch in (1, 2):
+        incremental.run_once(incremental.match_file_stream(spark, f"{root}/in", cd), f"{root}/m", f"{root}/cm")
+        incremental.run_once(incremental.rewrite_file_stream(spark, f"{root}/in", cd), f"{root}/r", f"{root}/cr")
+        put("c.txt", b"\xe9t\xe9 raw bytes")
+        put("d.txt", b"nothing")
+    got = {os.path.basename(r.path): bytes(r.content) for r in spark.read.parquet(f"{root}/r").collect()}
+    assert got == {"a.txt": b"un summer", "b.txt": b"\xff\xfe" + "summer!".encode("utf-16-le"), "c.txt": b"summer raw bytes"}
+    assert spark.read.parquet(f"{root}/m").count() == 3
