@@ -9,18 +9,51 @@ from pyspark.sql import functions as F
 from ..session import shared_dir
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet under the shared checkpoint folder and read it back.
 
     Cuts the lineage with files every executor can read again, so a lost
-    executor costs a re-read and never a re-computation of Python stages.
+    executor costs a re-read and never a re-computation of Python stages. The
+    shuffle files of the write are removed when it ends.
     """
     spark = df.sparkSession
     path = shared_dir(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+SLOT_BITS = 27  # a slot set is 16 MB at most, whatever it was made from
+
+
+def slot_set(df: DataFrame, column: str) -> np.ndarray:
+    """A bitmap of the low ``SLOT_BITS`` bits of an integer column, as 64-bit words.
+
+    A value that is absent may share a slot with one that is there, never the
+    other way round: a filter to be followed by an exact join. The driver
+    receives one row per word set, ``2 ** (SLOT_BITS - 6)`` at most.
+    """
+    slot = F.col(column).bitwiseAND(F.lit((1 << SLOT_BITS) - 1))
+    bit = F.expr(f"shiftleft(1L, cast({column} & 63 as int))")
+    rows = df.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    words = np.zeros(1 << (SLOT_BITS - 6), np.uint64)
+    words[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
+    return words
+
+
+def in_slots(words: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which values (64-bit integers) may be in a ``slot_set``."""
+    slot = values.astype(np.int64).view(np.uint64) & np.uint64((1 << SLOT_BITS) - 1)
+    return (words[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+
+
 def union_pairs(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
     """Union-find step in place: join the classes of ``a[i]`` and ``b[i]``.
 

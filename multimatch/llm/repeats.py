@@ -26,16 +26,17 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise
+from .common import in_slots, materialise, slot_set
 from .fmindex import FMIndex
 
 WINDOW = 13
 GRAM = 6
-HOT = 1000
+HOT = 20_000
 SHARD_WORDS = 1_000_000
 CHUNK = 2 << 20  # bytes of text handled at a time
 
@@ -120,14 +121,33 @@ def runs(texts: list):
         yield start, texts[start:]
 
 
-def _anchors(batches):
-    """(anchor, id) of every segment."""
-    for b in batches:
-        ids = b.column(0).to_numpy(zero_copy_only=False)
-        for first, part in runs(b.column(1).to_pylist()):
-            anchor, owner, _, _ = segments(part)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(anchor.view(np.int64)), pa.array(ids[first + owner].astype(np.int64))], ["anchor", "id"])
+def anchors_of(src: DataFrame, slots=None) -> DataFrame:
+    """(anchor, id) of every segment of (id, text); with ``slots`` only of those that may be in the set."""
+    shared = None if slots is None else src.sparkSession.sparkContext.broadcast(slots)
+
+    def run(batches):
+        for b in batches:
+            ids = b.column(0).to_numpy(zero_copy_only=False)
+            for first, part in runs(b.column(1).to_pylist()):
+                anchor, owner, _, _ = segments(part)
+                if shared is not None:
+                    keep = in_slots(shared.value, anchor.view(np.int64))
+                    anchor, owner = anchor[keep], owner[keep]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(anchor.view(np.int64)), pa.array(ids[first + owner].astype(np.int64))], ["anchor", "id"])
+
+    return src.mapInArrow(run, "anchor bigint, id bigint")
+
+
+def some_of(src: DataFrame, slots) -> DataFrame:
+    """The rows of (id, text, ...) whose id may be in a slot set, so that fewer texts are shuffled."""
+    shared = src.sparkSession.sparkContext.broadcast(slots)
+
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array(in_slots(shared.value, b.column(0).to_numpy(zero_copy_only=False))))
+
+    return src.mapInArrow(run, src.schema)
 
 
 def _pieces(batches):
@@ -144,11 +164,13 @@ def _pieces(batches):
                 a, n = int(first[k]), int(count[k])
                 cuts = [(a, n)] if cold_at[k] else [(a + x, 1) for x in range(n)]
                 for start, m in cuts:
+                    piece = b" ".join(words[start:start + m + WINDOW - 1])
                     out[0].append(i)
                     out[1].append(h)
                     out[2].append(start)
-                    out[3].append(int(anchor[k]) if cold_at[k] else None)
-                    out[4].append(b" ".join(words[start:start + m + WINDOW - 1]))
+                    # a window of a hot anchor is routed by its own words
+                    out[3].append(int(anchor[k]) if cold_at[k] else xxhash.xxh64_intdigest(piece, 1) - (1 << 63))
+                    out[4].append(piece)
             if len(out[0]) > 50_000:
                 yield _piece_batch(out)
                 out = ([], [], [], [], [])
@@ -158,7 +180,7 @@ def _pieces(batches):
 def _piece_batch(out) -> pa.RecordBatch:
     kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)],
-                                      ["id", "text_hash", "first", "anchor", "words"])
+                                      ["id", "text_hash", "first", "route", "words"])
 
 
 def search_shard(words: list, lowest: np.ndarray, highest: np.ndarray) -> tuple[np.ndarray, list]:
@@ -206,7 +228,8 @@ def _index_shard(table: pa.Table) -> pa.Table:
                                table.column("highest").to_numpy().copy())
     offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
     flat = np.concatenate(lists) if lists else np.empty(0, np.int64)
-    return pa.table({"seg": table.column("seg").take(pa.array(some)).combine_chunks(),
+    return pa.table({"route": table.column("route").take(pa.array(some)).combine_chunks(),
+                     "seg": table.column("seg").take(pa.array(some)).combine_chunks(),
                      "smallest": pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int64()))})
 
 
@@ -214,28 +237,26 @@ def covered_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``id, text_hash, starts``: the windows of each text that a smaller id has too."""
     src = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    rows = src.mapInArrow(_anchors, "anchor bigint, id bigint")
-    shared = materialise(rows.groupBy("anchor").agg(
+    shared = materialise(anchors_of(src).groupBy("anchor").agg(
         F.min("id").alias("a"), F.max("id").alias("b"), F.count(F.lit(1)).alias("n"))
         .where("a < b").select("anchor", (F.col("n") > HOT).alias("hot")), "anchors")
-    of_doc = (rows.join(shared, "anchor").groupBy("id").agg(
+    rows = anchors_of(src, slot_set(shared, "anchor"))
+    of_doc = materialise(rows.join(shared, "anchor").groupBy("id").agg(
         F.collect_set(F.when(~F.col("hot"), F.col("anchor"))).alias("cold"),
-        F.collect_set(F.when(F.col("hot"), F.col("anchor"))).alias("hot")))
-    found = src.select("id", F.xxhash64(F.col("text").cast("string")).alias("text_hash"), "text").join(of_doc, "id")
-    pieces = found.mapInArrow(_pieces, "id bigint, text_hash bigint, first int, anchor bigint, words binary")
-    pieces = materialise(pieces.withColumn("seg", F.unhex(F.md5("words"))), "pieces")
-
-    distinct = materialise(pieces.groupBy("seg", "words").agg(
-        F.min("id").alias("lowest"), F.max("id").alias("highest"),
-        F.min("anchor").alias("anchor")).select(
-            F.coalesce("anchor", F.xxhash64("words")).alias("route"), "seg", "words", "lowest", "highest"),
-        "segments")
-    total = distinct.select(F.sum(F.length("words"))).first()[0] or 0
+        F.collect_set(F.when(F.col("hot"), F.col("anchor"))).alias("hot")), "anchors-of")
+    found = some_of(src, slot_set(of_doc, "id")).join(of_doc, "id").select(
+        "id", F.xxhash64(F.col("text").cast("string")).alias("text_hash"), "text", "cold", "hot")
+    pieces = found.mapInArrow(_pieces, "id bigint, text_hash bigint, first int, route bigint, words binary")
+    # a segment is named by its route and the hash of its words, 128 bits together
+    pieces = materialise(pieces.withColumn("seg", F.xxhash64("words")), "pieces")
+
+    total = pieces.select(F.sum(F.length("words"))).first()[0] or 0
     shards = max(64, math.ceil(total / (6 * SHARD_WORDS)))
+    distinct = pieces.groupBy("route", "seg", "words").agg(F.min("id").alias("lowest"), F.max("id").alias("highest"))
     smallest = (distinct.withColumn("shard", F.pmod(F.xxhash64("route"), F.lit(shards)))
-                .groupBy("shard").applyInArrow(_index_shard, "seg binary, smallest array<bigint>"))
+                .groupBy("shard").applyInArrow(_index_shard, "route bigint, seg bigint, smallest array<bigint>"))
     smallest = materialise(smallest, "smallest")
-    hits = pieces.select("id", "text_hash", "first", "seg").join(smallest, "seg")
+    hits = pieces.select("id", "text_hash", "first", "route", "seg").join(smallest, ["route", "seg"])
     starts = F.filter(F.transform("smallest", lambda m, k: F.when(m < F.col("id"), F.col("first") + k)),
                       lambda x: x.isNotNull())
     return (hits.select("id", "text_hash", starts.alias("starts")).where("size(starts) > 0")
@@ -264,29 +285,47 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     each other lose anything; an empty table gives an empty result. Ids are
     integers.
     """
-    gone = covered_windows(docs, id_col, text_col).withColumnsRenamed(
-        {"id": "__id", "text_hash": "__text_hash", "starts": "__starts"})
-    both = docs.join(gone, (docs[id_col].cast("long") == gone["__id"])
-                     & (F.xxhash64(docs[text_col]) == gone["__text_hash"]), "left").drop("__id", "__text_hash")
-    n, at = len(docs.columns), docs.columns.index(text_col)
+    gone = materialise(covered_windows(docs, id_col, text_col).withColumnsRenamed(
+        {"id": "__id", "text_hash": "__text_hash", "starts": "__starts"}), "covered")
+    touched = docs.sparkSession.sparkContext.broadcast(slot_set(gone, "__id"))
+    n, key, at = len(docs.columns), docs.columns.index(id_col), docs.columns.index(text_col)
+    schema = T.StructType([*docs.schema.fields, T.StructField("__n_words", T.LongType()),
+                           T.StructField("__n_removed", T.LongType()), T.StructField("__kept", T.StringType())])
 
-    def run(batches):
+    def cut(b, starts):
+        total, removed, kept = [], [], []
+        for i, text in enumerate(b.column(at).cast(pa.binary()).to_pylist()):
+            words, k = kept_words(text, starts[i].values.to_numpy() if starts is not None and starts[i].is_valid
+                                  else None)
+            total.append(len(words) + k)
+            removed.append(k)
+            kept.append(b" ".join(words))
+        return pa.RecordBatch.from_arrays(
+            [*b.columns[:n], pa.array(total, pa.int64()), pa.array(removed, pa.int64()),
+             pa.array(kept, pa.binary()).cast(pa.string())], [f.name for f in schema])
+
+    def untouched(batches):  # texts that lose nothing are done where they are read
         for b in batches:
-            total, gone, kept = [], [], []
-            starts = b.column(n)
-            for i, text in enumerate(b.column(at).cast(pa.binary()).to_pylist()):
-                words, removed = kept_words(text, starts[i].values.to_numpy() if starts[i].is_valid else None)
-                total.append(len(words) + removed)
-                gone.append(removed)
-                kept.append(b" ".join(words))
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns[:n], pa.array(total, pa.int64()), pa.array(gone, pa.int64()),
-                 pa.array(kept, pa.binary()).cast(pa.string())],
-                [*b.schema.names[:n], "__n_words", "__n_removed", "__kept"])
+            ids = b.column(key)
+            mine = in_slots(touched.value, ids.fill_null(0).to_numpy(zero_copy_only=False)) & ids.is_valid().to_numpy(
+                zero_copy_only=False)
+            yield cut(b.filter(pa.array(~mine)), None)
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("__n_words", T.LongType()),
-                           T.StructField("__n_removed", T.LongType()), T.StructField("__kept", T.StringType())])
-    return both.mapInArrow(run, schema)
+    def others(batches):
+        for b in batches:
+            ids = b.column(key)
+            mine = in_slots(touched.value, ids.fill_null(0).to_numpy(zero_copy_only=False)) & ids.is_valid().to_numpy(
+                zero_copy_only=False)
+            yield b.filter(pa.array(mine))
+
+    def marked(batches):
+        for b in batches:
+            yield cut(b, b.column(n))
+
+    rest = docs.mapInArrow(others, docs.schema)
+    both = rest.join(gone, (rest[id_col].cast("long") == gone["__id"])
+                     & (F.xxhash64(rest[text_col]) == gone["__text_hash"]), "left").drop("__id", "__text_hash")
+    return docs.mapInArrow(untouched, schema).unionByName(both.mapInArrow(marked, schema))
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
