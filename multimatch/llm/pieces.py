@@ -93,8 +93,9 @@ class PieceModel:
         self.text_of = ["" if t in (CONTROL, BYTE) else " ⁇ " if t == UNKNOWN else p.replace(SPACE, " ")
                         for p, t in zip(self.pieces, self.types)]
         self.inside = {a + b for p in self.id_of for a, b in zip(p, p[1:])}
-        self.known_words: dict[str, array] = {}
-        self.known_units: dict[str, array] = {}
+        self.endings: dict | None = None
+        self.known_words: dict[str, bytes] = {}
+        self.known_units: dict[str, bytes] = {}
         self.known_pairs: dict[tuple[str, str], bool] = {}
 
     def merged(self, text: str) -> list[str]:
@@ -125,12 +126,25 @@ class PieceModel:
 
     def short_segment(self, text: str) -> list[str]:
         """``segment`` of a text no longer than the window, in a BPE model: one commit at its end."""
-        vocabulary, known = self.id_of, self.known_pairs
+        if self.endings is None:  # pieces by their characters from the last to the first
+            self.endings = {}
+            for p in self.id_of:
+                node = self.endings
+                for c in reversed(p):
+                    node = node.setdefault(c, {})
+                node[""] = p
+        known = self.known_pairs
         ending = [""]  # the piece that ends at each boundary
         for end in range(1, len(text) + 1):
-            for start in range(end):
-                piece = text[start:end]
-                if piece in vocabulary or start == end - 1:
+            node, start = self.endings, end
+            while start:
+                start -= 1
+                node = node.get(text[start])
+                if node is None:
+                    piece = text[end - 1]  # an unknown character
+                    break
+                piece = node.get("") or (text[start] if start == end - 1 else None)
+                if piece is not None:
                     if not start:
                         break
                     ok = known.get((ending[start], piece))
@@ -208,52 +222,64 @@ class PieceModel:
             previous_unknown = i is None
         return out
 
-    def unit(self, text: str) -> array:
+    def unit(self, text: str) -> bytes:
         """Ids of a stretch that no piece crosses the ends of, remembered if short."""
         known = self.known_units.get(text)
         if known is None:
-            known = self.ids(text)
+            known = self.ids(text).tobytes()
             if len(text) <= MAX_WORD:
                 if len(self.known_units) >= MAX_REMEMBERED:
                     self.known_units.clear()
                 self.known_units[text] = known
         return known
 
-    def word(self, word: str) -> array:
-        """Ids of a word with its leading spaces, cut wherever no piece holds the two characters."""
-        out, start = array("i"), 0
+    def word(self, word: str) -> bytes:
+        """Ids of a word with its leading spaces, cut wherever no piece holds the two characters.
+
+        A word whose last character is cut off is put together from the rest and
+        that character, and only the rest is remembered.
+        """
+        if len(word) > 1 and word[-2:] not in self.inside:
+            rest = word[:-1]
+            return (self.known_words.get(rest) or self.word(rest)) + self.unit(word[-1])
+        out, start = [], 0
         for k in range(1, len(word)):
             if word[k - 1:k + 1] not in self.inside:
-                out.extend(self.unit(word[start:k]))
+                out.append(self.unit(word[start:k]))
                 start = k
-        out.extend(self.unit(word[start:]))
+        out.append(self.unit(word[start:]))
+        known = b"".join(out)
         if len(word) <= MAX_WORD:
             if len(self.known_words) >= MAX_REMEMBERED:
                 self.known_words.clear()
-            self.known_words[word] = out
-        return out
+            self.known_words[word] = known
+        return known
 
-    def encode(self, text: str | None) -> array:
+    def encode(self, text: str | None) -> np.ndarray:
         """Ids of a text; null and empty texts have none."""
-        out = array("i")
         text = (text or "").replace(SPACE, " ")
         if self.squeeze:
             text = re.sub(" +", " ", text).strip(" ")
         if not text:
-            return out
+            return np.empty(0, np.int32)
         if self.dummy_prefix:
             text = " " + text
+        text = text.replace(" ", SPACE)
         if not self.words_apart or not self.byte_ids:  # runs of unknown characters may cross spaces
-            return self.ids(text.replace(" ", SPACE))
-        get = self.known_words.get
-        for w in re.findall(r" *[^ ]+| +", text) if "  " in text or text[0] != " " else \
-                [" " + w for w in text[1:].split(" ")]:
-            w = w.replace(" ", SPACE)
-            out.extend(get(w) or self.word(w))
-        return out
+            return np.frombuffer(self.ids(text), np.int32)
+        if text[0] != SPACE or SPACE + SPACE in text or text[-1] == SPACE:
+            words = re.findall(f"{SPACE}*[^{SPACE}]+|{SPACE}+", text)
+        else:
+            words = text.replace(SPACE, " " + SPACE)[1:].split(" ")
+        known = list(map(self.known_words.get, words))
+        if None in known:
+            known = [k if k is not None else self.word(w) for k, w in zip(known, words)]
+        return np.frombuffer(b"".join(known), np.int32)
 
     def decode(self, ids) -> str:
         """Text of a sequence of ids; byte pieces are joined and decoded as UTF-8."""
+        if not isinstance(ids, list):
+            ids = ids.tolist()
         if self.byte_of and not self.byte_of.keys().isdisjoint(ids):
             out, raw = [], bytearray()
             for i in ids:
@@ -296,7 +322,7 @@ def encode_documents(docs: DataFrame, model: PieceModel, text_col: str = "text")
                 part = b.slice(first, 500)
                 rows = [model.encode(t) for t in part.column(at).to_pylist()]
                 text = [model.decode(r) for r in rows]
-                flat = np.concatenate([np.frombuffer(r, np.int32) for r in rows] or [np.empty(0, np.int32)])
+                flat = np.concatenate(rows or [np.empty(0, np.int32)])
                 offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))
                 yield pa.RecordBatch.from_arrays([*part.columns, ids, pa.array(text, pa.string())],
