@@ -8,10 +8,9 @@ directory, found by joining the path's ancestors.
 
 Inverse document frequencies are those of the template collection (fixed, and
 bounded by it); a term of no template weighs as one of no document. A vector
-within ``THRESHOLD`` of a template must share one of its *prefix* terms, the
-heaviest ones without which the rest of the template is shorter than the
-threshold, so lines with none of them are left out before any row is made. No
-match is lost by that.
+within ``THRESHOLD`` of a template must share one of its *prefix* terms, those
+without which the rest of the template is shorter than the threshold, and enough terms of it to reach the threshold at all; other lines are
+left out before any row is made. No match is lost by that.
 """
 
 from __future__ import annotations
@@ -23,10 +22,15 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 THRESHOLD = 0.7
 DIGITS = 9  # scores are rounded before they are compared, so that ties are ties
 LICENSE_NAME = r"(?i)^(licen[cs]e|copying|notice)([.-].*)?$"
 
+# the most frequent English words
+COMMON = frozenset("a an and are as at be by for from in is it of on or that the this to was with you".split())
+
 # usual notices, by SPDX-style name
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
@@ -70,17 +74,35 @@ def template_vectors(templates=TEMPLATES):
 
 
 def prefix_terms(vectors, threshold: float) -> list[str]:
-    """Terms of which a unit within the threshold of some template has at least one."""
+    """Terms of which a unit within the threshold of some template has at least one.
+
+    Any order of the terms will do; common words are left out first, then the
+    shortest, because they would let every line of running text through.
+    """
     out = set()
     for v in vectors:
         rest = 0.0
-        for t, w in sorted(v.items(), key=lambda x: (x[1], x[0])):
+        for t, w in sorted(v.items(), key=lambda x: (x[0] not in COMMON, len(x[0]), x[1], x[0])):
             rest += w * w
             if math.sqrt(rest) >= threshold - 1e-9:
                 out.add(t)
     return sorted(out)
 
 
+def terms_needed(vector, threshold: float) -> int:
+    """How many of a template's terms a unit within the threshold shares with it at least.
+
+    The cosine is at most the length of the template over the shared terms, so
+    even the heaviest terms have to add up to the threshold.
+    """
+    total, n = 0.0, 0
+    for w in sorted(vector.values(), reverse=True):
+        if math.sqrt(total) >= threshold - 1e-9:
+            break
+        total, n = total + w * w, n + 1
+    return n
+
+
 def own_licenses(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """``id, path, own, score``: the best template of every file that has one."""
     spark = files.sparkSession
@@ -95,15 +117,18 @@ def own_licenses(files: DataFrame, templates=TEMPLATES, threshold: float = THRES
         "id", "path", F.lit(-1).alias("unit"), text.alias("body"))
     units = lines.unionByName(whole).where(F.col("body").rlike(mark))
     key = ["id", "path", "unit"]
-    terms = units.select(*key, F.xxhash64("body").alias("copy"), F.explode(F.regexp_extract_all(
-        F.col("body"), F.lit("[a-z0-9]+"), F.lit(0))).alias("term"))
+    units = units.withColumn("terms", F.regexp_extract_all(F.col("body"), F.lit("[a-z0-9]+"), F.lit(0)))
+    enough = F.lit(False)
+    for v in vectors:
+        shared = F.array_intersect("terms", F.array(*[F.lit(t) for t in sorted(v)]))
+        enough = enough | (F.size(shared) >= terms_needed(v, threshold))
+    terms = units.where(enough).select(*key, F.xxhash64("body").alias("copy"), F.explode("terms").alias("term"))
     # rows of equal id and path are told apart by their text
     key = [*key, "copy"]
-    w = terms.groupBy(*key, "term").agg(F.count(F.lit(1)).alias("tf"))
-    rows = terms.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+    w = materialise(terms.groupBy(*key, "term").agg(F.count(F.lit(1)).alias("tf")), "license-terms")
     w = w.join(F.broadcast(idfs), "term", "left").withColumn(
         "w", F.col("tf") * F.coalesce("idf", F.lit(unseen)))  # as many rows as template terms
-    norm = w.groupBy(*key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")).join(rows, key, "left_semi")
+    norm = w.groupBy(*key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     dot = (w.join(F.broadcast(postings), "term").groupBy(*key, "template", "license")
            .agg(F.sum(F.col("w") * F.col("weight")).alias("dot")))
     same = dot["id"].eqNullSafe(norm["id"]) & dot["path"].eqNullSafe(norm["path"]) & \
@@ -134,7 +159,7 @@ def license_scan(files: DataFrame, id_col: str = "id", path_col: str = "path", t
     are ignored; an empty table gives an empty result.
     """
     src = files.select(F.col(id_col).alias("id"), F.col(path_col).alias("path"), F.col(text_col).alias("text"))
-    own = own_licenses(src, templates, threshold)
+    own = materialise(own_licenses(src, templates, threshold), "licenses")
     name = F.element_at(F.split("path", "/"), -1)
     by_dir = (own.where(name.rlike(LICENSE_NAME)).groupBy(parent(F.col("path")).alias("ancestor"))
               .agg(F.min(F.struct((-F.col("score")).alias("less"), F.col("own").alias("license"))).alias("b"))

@@ -209,6 +209,7 @@ def test_prefix_terms_lose_no_match():
         norm = sum(x * x for x in unit.values()) ** 0.5
         if max(sum(w * u.get(t, 0) for t, w in unit.items()) for u in vectors) / norm >= licenses.THRESHOLD:
             assert marks & set(unit)
+            assert any(len(set(u) & set(unit)) >= licenses.terms_needed(u, licenses.THRESHOLD) for u in vectors)
 
 
 # ---- pieces -------------------------------------------------------------------
