@@ -1,12 +1,16 @@
 """Document scores by masked pseudo-likelihood of a small bidirectional network.
 
-A token is a word (a run outside space and 0x09-0x0D), known by its hash: the
-``KNOWN`` most frequent words of the corpus each for itself, every other word by
-one of ``BUCKETS`` hash buckets. The network predicts every token from the
-``REACH`` tokens on both sides of it: their embeddings (one table per position)
-are summed, squashed, and give a distribution over ``CLASSES`` frequency classes;
-within its class a token has its share of the corpus count. A document's score
-is the sum of the log-probabilities of all its tokens.
+A word is a run outside space and 0x09-0x0D, known by its hash. The network's
+tokens are the ``KNOWN`` most frequent words of the corpus, each for itself, and
+``BUCKETS`` hash buckets of all other words. The network predicts every token
+from the ``REACH`` tokens on both sides of it: their embeddings (one table per
+position) are summed, squashed, and give a distribution over ``CLASSES`` frequency
+classes and then one over the tokens of the class (which starts from their shares
+of the corpus count). Within its bucket a word has its own share of the bucket's
+count: the counts of all words, as many as the corpus has, stay a table that is
+joined to the words to be scored. Words not counted have ``UNSEEN`` occurrences in
+all, spread evenly over the buckets. A document's score is the sum of the
+log-probabilities of all its words.
 
 All counts cover the whole corpus. Training is one pass over every token: each
 task starts from the same weights, trains on its own partition in numpy, and the
@@ -16,7 +20,7 @@ executors in two steps. Only the averaged network, of fixed size, reaches the dr
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -30,27 +34,35 @@ KNOWN, BUCKETS, CLASSES = 4096, 1024, 64
 REACH, HIDDEN = 2, 16
 BATCH, RATE = 8192, 0.1
 BLOCKS, FAN_IN = 64, 32
+UNSEEN = 1.0
 EDGE = KNOWN + BUCKETS  # the token beyond a document's ends
 TABLE = EDGE + 1
 
 
 @dataclass
 class Vocabulary:
-    """Hashes of the known words (sorted) with their tokens; class and share of every token."""
+    """Hashes of the known words (sorted) with their tokens; class and share of every token.
+
+    ``log_size`` is the log count of every bucket, with its part of ``UNSEEN``;
+    ``rare`` the table ``h, n`` of the words in buckets (on the driver only).
+    """
 
     hashes: np.ndarray
     tokens: np.ndarray
     klass: np.ndarray
     log_share: np.ndarray
+    log_size: np.ndarray
+    rare: DataFrame | None = None
 
     @classmethod
-    def build(cls, known: list[tuple[int, int]], buckets: dict[int, int]) -> "Vocabulary":
+    def build(cls, known: list[tuple[int, int]], buckets: dict[int, int],
+              rare: DataFrame | None = None) -> "Vocabulary":
         """From (hash, count) of the known words, most frequent first, and counts per bucket."""
         count = np.zeros(EDGE, np.float64)
         count[:len(known)] = [n for _, n in known]
         for b, n in buckets.items():
             count[KNOWN + b] = n
-        count += 1  # a token never seen has a chance too
+        count[KNOWN:] += UNSEEN / BUCKETS  # a word never seen has a chance too
         order = np.argsort(-count, kind="stable")
         mass = np.cumsum(count[order]) / count.sum()
         klass = np.zeros(EDGE, np.int64)
@@ -58,10 +70,21 @@ class Vocabulary:
         total = np.bincount(klass, count, CLASSES)
         h = np.array([x for x, _ in known], np.int64).view(np.uint64)
         at = np.argsort(h)
-        return cls(h[at], at, klass, np.log(count / total[klass]))
+        with np.errstate(divide="ignore"):  # a place without a word has no share
+            share = np.log(count / total[klass])
+        return cls(h[at], at, klass, share, np.log(count[KNOWN:]), rare)
+
+    def members(self) -> list[np.ndarray]:
+        """The tokens of every class."""
+        used = np.flatnonzero(np.isfinite(self.log_share))
+        return [used[self.klass[used] == c] for c in range(CLASSES)]
 
     def encode(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of the texts (bytes), and the text each belongs to."""
+        return self.words(texts)[:2]
+
+    def words(self, texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens of the texts (bytes), the text each belongs to, and the words' hashes."""
         sizes = np.array([len(t) if t else 0 for t in texts], np.int64)
         flat = np.frombuffer(b" ".join([t or b"" for t in texts]), np.uint8)
         h, start = word_hashes(flat)
@@ -70,7 +93,7 @@ class Vocabulary:
         if len(self.hashes):
             at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
             token = np.where(self.hashes[at] == h, self.tokens[at], token)
-        return token, doc
+        return token, doc, h
 
 
 def contexts(token: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -87,10 +110,13 @@ def contexts(token: np.ndarray, doc: np.ndarray) -> np.ndarray:
 
 
 class Network:
-    """Position embeddings, hidden bias, output weights and bias; Adagrad state while training."""
+    """Position embeddings, hidden bias, output weights and bias of classes, output weights of tokens.
+
+    Adagrad state while training.
+    """
 
     def __init__(self, flat: np.ndarray | None = None):
-        shapes = [(2 * REACH, TABLE, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,)]
+        shapes = [(2 * REACH, TABLE, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,), (EDGE, HIDDEN)]
         sizes = [int(np.prod(s)) for s in shapes]
         if flat is None:
             flat = np.zeros(sum(sizes), np.float32)
@@ -98,7 +124,7 @@ class Network:
             flat[sum(sizes[:2]):sum(sizes[:3])] = np.random.default_rng(8).normal(0, 0.1, sizes[2])
         self.flat = np.array(flat, np.float32)
         parts = np.split(self.flat, np.cumsum(sizes)[:-1])
-        self.embed, self.bias, self.out, self.out_bias = [p.reshape(s) for p, s in zip(parts, shapes)]
+        self.embed, self.bias, self.out, self.out_bias, self.words = [p.reshape(s) for p, s in zip(parts, shapes)]
         self.seen = [np.full(s, 1e-2, np.float32) for s in shapes]
 
     def hidden(self, ctx: np.ndarray) -> np.ndarray:
@@ -112,28 +138,53 @@ class Network:
         x -= x.max(axis=1, keepdims=True)
         return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
 
-    def log_prob(self, ctx: np.ndarray, klass: np.ndarray) -> np.ndarray:
-        """Log-probability of each token's class given its neighbours."""
-        out = np.empty(len(klass), np.float64)
-        for a in range(0, len(klass), BATCH):
-            part = self.log_classes(self.hidden(ctx[:, a:a + BATCH]))
-            out[a:a + BATCH] = part[np.arange(len(part)), klass[a:a + BATCH]]
+    def within(self, hidden: np.ndarray, klass: np.ndarray, token: np.ndarray, vocabulary: Vocabulary, members: list):
+        """Per class of more than one token: its places in the batch, its tokens, the
+        log-probability of each of them at each place, and the column of the right one."""
+        order = np.argsort(klass, kind="stable")
+        ends = np.cumsum(np.bincount(klass, minlength=CLASSES))
+        for c, mine in enumerate(members):
+            at = order[ends[c - 1] if c else 0:ends[c]]
+            if len(at) and len(mine) > 1:
+                x = hidden[at] @ self.words[mine].T + vocabulary.log_share[mine].astype(np.float32)
+                x -= x.max(axis=1, keepdims=True)
+                x -= np.log(np.exp(x).sum(axis=1, keepdims=True))
+                yield at, mine, x, np.searchsorted(mine, token[at])
+
+    def log_prob(self, ctx: np.ndarray, token: np.ndarray, vocabulary: Vocabulary, members: list) -> np.ndarray:
+        """Log-probability of each token given its neighbours: of its class, and of the token in it."""
+        out = np.empty(len(token), np.float64)
+        for a in range(0, len(token), BATCH):
+            here = token[a:a + BATCH]
+            klass = vocabulary.klass[here]
+            h = self.hidden(ctx[:, a:a + BATCH])
+            part = self.log_classes(h)[np.arange(len(here)), klass].astype(np.float64)
+            for at, _, x, right in self.within(h, klass, here, vocabulary, members):
+                part[at] += x[np.arange(len(at)), right]
+            out[a:a + BATCH] = part
         return out
 
-    def train(self, ctx: np.ndarray, klass: np.ndarray) -> None:
+    def train(self, ctx: np.ndarray, token: np.ndarray, vocabulary: Vocabulary, members: list) -> None:
         """One Adagrad step on the mean loss of a batch."""
-        n = len(klass)
+        n, klass = len(token), vocabulary.klass[token]
         h = self.hidden(ctx)
         d = np.exp(self.log_classes(h))
         d[np.arange(n), klass] -= 1
-        dz = (d @ self.out.T) * (1 - h * h)
+        dh = d @ self.out.T
+        words = np.zeros_like(self.words)
+        for at, mine, x, right in self.within(h, klass, token, vocabulary, members):
+            x = np.exp(x)
+            x[np.arange(len(at)), right] -= 1
+            dh[at] += x @ self.words[mine]
+            words[mine] = x.T @ h[at]
+        dz = dh * (1 - h * h)
         embed = np.empty_like(self.embed)
         for k in range(2 * REACH):
             for j in range(HIDDEN):
                 embed[k, :, j] = np.bincount(ctx[k], dz[:, j], TABLE)
         scale = 1 / n
-        for p, g, s in zip((self.embed, self.bias, self.out, self.out_bias),
-                           (embed, dz.sum(0), h.T @ d, d.sum(0)), self.seen):
+        for p, g, s in zip((self.embed, self.bias, self.out, self.out_bias, self.words),
+                           (embed, dz.sum(0), h.T @ d, d.sum(0), words), self.seen):
             g = g * np.float32(scale)
             s += g * g
             p -= np.float32(RATE) * g / np.sqrt(s)
@@ -153,30 +204,35 @@ def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def learn_vocabulary(docs: DataFrame, text_col: str = "text") -> Vocabulary:
-    """Count all words; keep the most frequent (ties: smaller hash) and the buckets' totals."""
+    """Count all words: the most frequent (ties: smaller hash), the buckets' totals, and a table of the others."""
     counts = materialise(word_counts(docs, text_col), "words")
     known = [(r["h"], r["n"]) for r in counts.orderBy(F.desc("n"), "h").limit(KNOWN).collect()]
     bucket = F.col("h").bitwiseAND(F.lit(BUCKETS - 1))
     totals = {r["b"]: r["n"] for r in counts.groupBy(bucket.alias("b")).agg(F.sum("n").alias("n")).collect()}
     for h, n in known:  # what is known by itself is in no bucket
         totals[h & (BUCKETS - 1)] -= n
-    return Vocabulary.build(known, totals)
+    rare = counts
+    if known:
+        h, n = known[-1]
+        rare = counts.where((F.col("n") < n) | ((F.col("n") == n) & (F.col("h") > h)))
+    return Vocabulary.build(known, totals, rare)
 
 
 def train(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text") -> Network:
     """Train on every token of the corpus; an empty corpus gives the starting weights."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(vocabulary)
+    shared = spark.sparkContext.broadcast(replace(vocabulary, rare=None))
     src = docs.select(F.col(text_col).cast("binary").alias("text")).where("text IS NOT NULL")
 
     def fit(batches):
         vocabulary, net, seen = shared.value, Network(), 0
+        members = vocabulary.members()
         for b in batches:
             for _, part in runs(b.column(0).to_pylist()):
                 token, doc = vocabulary.encode(part)
-                ctx, klass = contexts(token, doc), vocabulary.klass[token]
+                ctx = contexts(token, doc)
                 for a in range(0, len(token), BATCH):
-                    net.train(ctx[:, a:a + BATCH], klass[a:a + BATCH])
+                    net.train(ctx[:, a:a + BATCH], token[a:a + BATCH], vocabulary, members)
                 seen += len(token)
         if seen:
             blocks = np.array_split(net.flat.astype(np.float64) * seen, BLOCKS)
@@ -205,24 +261,43 @@ def train(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text") -> Ne
 
 def score(docs: DataFrame, vocabulary: Vocabulary, net: Network, id_col: str = "doc_id",
           text_col: str = "text") -> DataFrame:
-    """``id, n_tokens, log_prob`` of every row: the summed conditional log-probabilities."""
-    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, net.flat))
+    """``id, n_tokens, log_prob`` of every row: the summed conditional log-probabilities.
+
+    The network's part is written with the words in buckets, whose counts are
+    then joined and summed by row.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((replace(vocabulary, rare=None), net.flat))
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
 
     def run(batches):
         vocabulary, flat = shared.value
-        net = Network(flat)
+        net, members = Network(flat), vocabulary.members()
         for b in batches:
             for first, part in runs(b.column(1).to_pylist()):
-                token, doc = vocabulary.encode(part)
-                klass = vocabulary.klass[token]
-                each = net.log_prob(contexts(token, doc), klass) + vocabulary.log_share[token]
+                token, doc, h = vocabulary.words(part)
+                each = net.log_prob(contexts(token, doc), token, vocabulary, members)
+                rare = token >= KNOWN
+                each[rare] -= vocabulary.log_size[token[rare] - KNOWN]
+                ends = np.concatenate([[0], np.cumsum(np.bincount(doc[rare], minlength=len(part)))])
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(first, len(part)),
                      pa.array(np.bincount(doc, minlength=len(part)), pa.int64()),
-                     pa.array(np.bincount(doc, each, minlength=len(part)).astype(np.float64))], ["id", "n_tokens", "log_prob"])
-
-    return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, n_tokens bigint, log_prob double")
+                     pa.array(np.bincount(doc, each, minlength=len(part)).astype(np.float64)),
+                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(h[rare].view(np.int64)))],
+                    ["id", "n_tokens", "net", "rare"])
+
+    rows = src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, n_tokens bigint, net double, "
+                               "rare array<bigint>")
+    # written, so that a row keeps its number
+    rows = materialise(rows.withColumn("row", F.monotonically_increasing_id()), "scores")
+    words = rows.select("row", F.explode("rare").alias("h"))
+    if vocabulary.rare is not None:
+        words = words.join(vocabulary.rare, "h", "left")
+    else:
+        words = words.withColumn("n", F.lit(None).cast("bigint"))
+    added = words.groupBy("row").agg(F.sum(F.log(F.coalesce("n", F.lit(UNSEEN / BUCKETS)))).alias("own"))
+    return rows.drop("rare").join(added, "row", "left").select(
+        "id", "n_tokens", (F.col("net") + F.coalesce("own", F.lit(0.0))).alias("log_prob"))
 
 
 def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

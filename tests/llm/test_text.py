@@ -141,6 +141,54 @@ def test_word_order_is_learned(spark, monkeypatch):
     assert s[1] > s[2] + 100
 
 
+def test_every_word_has_its_own_count(spark):
+    common = [f"w{i}" for i in range(pseudolm.KNOWN)]
+    others = [f"x{i}" for i in range(3000)]
+    text = common * 9 + [w for i, w in enumerate(others) for _ in range(1 + i % 8)]
+    docs = spark.createDataFrame([(1, " ".join(text))], "doc_id bigint, text string")
+    vocabulary = pseudolm.learn_vocabulary(docs)
+    assert vocabulary.rare.count() == len(others)
+    net = pseudolm.train(docs, vocabulary)
+    alone = others + ["neverseen", f"{others[0]} {others[1]} w5"]
+    rows = spark.createDataFrame(list(enumerate(alone)) * 2, "doc_id bigint, text string")
+    scored = pseudolm.score(rows, vocabulary, net).collect()
+    assert len(scored) == 2 * len(alone)
+    got = {r["id"]: r["log_prob"] for r in scored}
+    token, _ = vocabulary.encode([w.encode() for w in others])
+    assert (token >= pseudolm.KNOWN).all()
+    groups = {}
+    for i, t in enumerate(token):
+        groups.setdefault(t, []).append(i)
+    for mine in groups.values():  # words of one bucket differ by their counts
+        for i in mine[1:]:
+            assert got[i] - got[mine[0]] == pytest.approx(np.log((1 + i % 8) / (1 + mine[0] % 8)), abs=1e-6)
+    t = vocabulary.encode([b"neverseen"])[0][0]
+    i = groups[t][0]
+    assert got[len(others)] - got[i] == pytest.approx(np.log(pseudolm.UNSEEN / pseudolm.BUCKETS / (1 + i % 8)), abs=1e-6)
+
+
+def test_words_of_a_class_depend_on_the_context():
+    n = 2000
+    vocabulary = pseudolm.Vocabulary.build([(i, 10) for i in range(n)], {})
+    members = vocabulary.members()
+    a, b = members[20][:2]
+    assert vocabulary.log_share[a] == vocabulary.log_share[b]
+    r = np.random.default_rng(3)
+    first = r.integers(0, 2, 20000)
+    token = np.stack([np.where(first, members[40][0], members[50][0]), np.where(first, a, b)], 1).ravel()
+    doc = np.repeat(np.arange(20000), 2)
+    ctx, net = pseudolm.contexts(token, doc), pseudolm.Network()
+    for k in range(0, len(token), 256):
+        net.train(ctx[:, k:k + 256], token[k:k + 256], vocabulary, members)
+    wrong = token.copy()
+    wrong[1::2] = np.where(first, b, a)
+    right, other = (net.log_prob(ctx, t, vocabulary, members)[1::2] for t in (token, wrong))
+    assert (right > other + 1).all()
+    every = np.flatnonzero(np.isfinite(vocabulary.log_share))  # all probabilities of one place add up to one
+    one = net.log_prob(np.repeat(ctx[:, 1:2], len(every), axis=1), every, vocabulary, members)
+    assert np.exp(one).sum() == pytest.approx(1, abs=1e-4)
+
+
 # ---- language ----------------------------------------------------------------
 
 def test_filters_return_all_languages_and_correct_false_positives():
