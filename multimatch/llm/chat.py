@@ -6,6 +6,10 @@ the paths it reads and where its turns are; its fingerprints select the mapping
 that turns a record into canonical ``(role, text)`` turns. Records of no declared
 layout get a null layout and no turns.
 
+A variant holds no text of more than 20 million characters and 128 MB in all. The
+fingerprint of a larger record comes from its skeleton, the record without its
+texts, and its turns from the layout's own schema. What fails to parse is reported.
+
 The template writes an assistant turn as ``<s>text</s>`` and any other turn as
 ``<s>[INST] role\\ntext [/INST]</s>``. Inside roles and texts a backslash becomes
 ``\\s`` and the first character of a control string ``\\l`` or ``\\q`` (a line
@@ -88,13 +92,37 @@ def fingerprint(variant: Column) -> Column:
     return F.xxhash64(shape(variant))
 
 
-def turns_of(variant: Column, layout: Layout) -> Column:
-    """Canonical turns of a record of this layout (null roles and texts: empty)."""
-    empty = F.lit("")
+def skeleton(record: Column) -> Column:
+    """A JSON text with empty strings for its texts; an escape in a name becomes U+E000."""
+    bare = F.regexp_replace(record, r"(?s)\\.", "\ue000")
+    return F.regexp_replace(bare, r'"(?:([^"]*+)"(\s*+:)|[^"]*+")', '"$1"$2')
+
+
+def field_types(layout: Layout) -> dict[str, str]:
+    """The top fields that a layout reads, with their types."""
     if layout.turns:
         order = f"{layout.order} bigint, " if layout.order else ""
-        rows = F.try_variant_get(variant, f"$.{layout.turns}",
-                                 f"array<struct<{order}`{layout.role}` string, `{layout.text}` string>>")
+        return {layout.turns: f"array<struct<{order}`{layout.role}` string, `{layout.text}` string>>"}
+    return {name: "string" for _, *names in layout.fixed for name in names}
+
+
+def read_large(record: Column, layout: Layout) -> Column:
+    """The fields of a JSON text of this layout, whatever its size (``__bad``: the text, if it fails to parse)."""
+    fields = ", ".join(f"`{n}` {t}" for n, t in field_types(layout).items())
+    return F.from_json(record, f"{fields}, __bad string",
+                       {"maxStringLen": str(2 ** 31 - 1), "columnNameOfCorruptRecord": "__bad"})
+
+
+def turns_of(variant: Column, layout: Layout, large: Column | None = None) -> Column:
+    """Canonical turns of a record of this layout (null roles and texts: empty), of ``read_large`` if given."""
+    empty = F.lit("")
+    types = field_types(layout)
+
+    def field(name: str) -> Column:
+        return F.try_variant_get(variant, f"$.{name}", types[name]) if large is None else large[name]
+
+    if layout.turns:
+        rows = field(layout.turns)
         if layout.order:
             rows = F.sort_array(rows)
 
@@ -107,7 +135,7 @@ def turns_of(variant: Column, layout: Layout) -> Column:
         return F.transform(rows, turn)
     made = []
     for role, *names in layout.fixed:
-        got = [F.try_variant_get(variant, f"$.{n}", "string") for n in names]
+        got = [field(n) for n in names]
         text = F.concat(F.coalesce(got[0], empty),
                         *[F.when(F.length(g) > 0, F.concat(F.lit("\n\n"), g)).otherwise(empty) for g in got[1:]])
         turn = F.struct(F.lit(role).alias("role"), text.alias("text"))
@@ -120,23 +148,34 @@ def turns_of(variant: Column, layout: Layout) -> Column:
 
 
 def canonical(records: DataFrame, record_col: str = "record", layouts=LAYOUTS) -> DataFrame:
-    """``records`` plus ``__layout`` (null: unknown) and ``__turns`` (array of role, text)."""
+    """``records`` plus ``__layout`` (null: unknown), ``__turns`` (array of role, text) and ``__failed``.
+
+    ``__failed`` tells whether a record that is not null could not be parsed.
+    """
     v, fp = F.col("__variant"), F.col("__fingerprint")
+    over = v.isNull() & F.col(record_col).isNotNull()
     name = F.lit(None).cast("string")
-    turns = F.array().cast("array<struct<role:string,text:string>>")
-    for layout in layouts:
+    none = F.array().cast("array<struct<role:string,text:string>>")
+    turns, bad, large = none, F.lit(False), {}
+    for k, layout in enumerate(layouts):
         shapes = [shape_of(layout.paths + extra) for k in range(len(layout.optional) + 1)
                   for extra in combinations(layout.optional, k)]
         mine = F.lit(False)
         for s in shapes:  # constant once folded
             mine = mine | (fp == F.xxhash64(F.lit(s)))
         mine = F.coalesce(mine, F.lit(False))
+        big = F.col(f"__large{k}")
+        large[f"__large{k}"] = F.when(mine & over, read_large(F.col(record_col), layout))
+        bad = bad | (mine & over & (big.isNull() | big["__bad"].isNotNull()))
         name = F.when(mine, F.lit(layout.name)).otherwise(name)
-        turns = F.when(mine, turns_of(v, layout)).otherwise(turns)
-    out = records.withColumn("__variant", F.try_parse_json(record_col)).withColumn("__fingerprint", fingerprint(v))
-    return out.withColumn("__layout", name).withColumn(
-        "__turns", F.coalesce(turns, F.array().cast("array<struct<role:string,text:string>>"))).drop(
-        "__variant", "__fingerprint")
+        turns = F.when(mine & over, turns_of(v, layout, big)).when(mine, turns_of(v, layout)).otherwise(turns)
+    out = records.withColumn("__variant", F.try_parse_json(record_col))
+    out = out.withColumn("__skeleton", F.when(over, F.try_parse_json(skeleton(F.col(record_col)))))
+    out = out.withColumn("__fingerprint", fingerprint(F.coalesce(v, F.col("__skeleton")))).withColumns(large)
+    out = out.withColumn("__failed", (over & F.col("__skeleton").isNull()) | bad)
+    good = ~F.col("__failed")
+    return out.withColumn("__layout", F.when(good, name)).withColumn(
+        "__turns", F.coalesce(F.when(good, turns), none)).drop("__variant", "__skeleton", "__fingerprint", *large)
 
 
 def escape(text: Column) -> Column:
@@ -193,23 +232,24 @@ def read_back(formatted: Column) -> Column:
 
 
 def format_records(records: DataFrame, key: str, record_col: str = "record", layouts=LAYOUTS) -> DataFrame:
-    """``key, formatted, loss`` of JSON records of any declared layout.
+    """``key, formatted, loss, failed`` of JSON records of any declared layout.
 
     One text per key; records of equal key (repeats) are formatted each on its
     own row. Null, malformed or unknown records give an empty text and no spans;
+    ``failed`` is true of those that are not null and could not be parsed;
     null roles and texts are empty; other columns are ignored; an empty table
     gives an empty result.
     """
     rows = records.select(F.col(key).alias("__key"), F.col(record_col).alias("__record"))
     rows = canonical(rows.groupBy("__key", "__record").agg(F.count(F.lit(1)).alias("__n")), "__record", layouts)
     # repeats are formatted once; the hash tells records of one key apart
-    rows = rows.select(F.struct("__key", F.xxhash64("__record"), "__n").alias("k"),
+    rows = rows.select(F.struct("__key", F.xxhash64("__record"), "__n", "__failed").alias("k"),
                        F.posexplode_outer("__turns").alias("pos", "turn"))
     out = format_turns(rows.where("pos IS NOT NULL").select("k", "pos", "turn.role", "turn.text"), "k")
     none = rows.where("pos IS NULL").select("k", F.lit("").alias("formatted"),
                                             F.array().cast("array<struct<start:bigint,end:bigint>>").alias("loss"))
     return out.unionByName(none).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("k.__n")))).select(
-        F.col("k.__key").alias(key), "formatted", "loss")
+        F.col("k.__key").alias(key), "formatted", "loss", F.col("k.__failed").alias("failed"))
 
 
 def records_of(conversations: DataFrame) -> DataFrame:
@@ -235,6 +275,9 @@ def op2(spark, sf_dir: str) -> DataFrame:
     extra = spark.createDataFrame([(-7, 0, "user", control), (-7, 1, "assistant", control)],
                                   "conv_id bigint, turn bigint, role string, text string")
     out = format_records(records_of(rows.unionByName(extra)), "conv_id")
+    unread = F.raise_error(F.concat(F.lit("unread record of conversation "), F.coalesce(
+        F.col("conv_id").cast("string"), F.lit("null")))).cast("string")
+    out = out.withColumn("formatted", F.when(F.col("failed"), unread).otherwise(F.col("formatted")))
     turns = read_back(F.col("formatted"))
     out = out.withColumn("turns", turns).withColumn("masked", F.array_join(F.transform("loss", lambda s: unescape(
         F.substr("formatted", (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))), ""))

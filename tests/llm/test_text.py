@@ -65,6 +65,30 @@ def test_layouts_by_schema_fingerprint(spark):
     assert chat.format_records(df.where("key < 0"), "key").count() == 0
 
 
+def test_large_records_keep_their_turns(spark):
+    rows = spark.range(4).selectExpr(
+        "id AS conv_id", "explode(array(0L, 1L, 2L)) AS turn", "if(turn = 1, 'assistant', 'user') AS role").selectExpr(
+        "conv_id", "turn", "role", "if(conv_id < 2 AND turn = 1, concat(repeat('ab\"\\\\ ', 4400000), 'end'), 'short') AS text")
+    two = spark.sql("SELECT 9L AS conv_id, id AS turn, element_at(array('user', 'assistant'), int(id) + 1) AS role, "
+                    "concat(repeat('xy', 11000000), id) AS text FROM range(2)")
+    many = spark.range(140).selectExpr("10L AS conv_id", "id AS turn", "'user' AS role", "concat(repeat('z', 1000000), id) AS text")
+    df = rows.union(two).union(many)
+    out = chat.format_records(chat.records_of(df), "conv_id").select(
+        "conv_id", "failed", F.transform(chat.read_back(F.col("formatted")), lambda t: F.sha2(t["text"], 256)).alias("t"))
+    got = {r["conv_id"]: (r["failed"], r["t"]) for r in out.collect()}
+    want = {}
+    for r in df.select("conv_id", F.sha2("text", 256).alias("h")).orderBy("conv_id", "turn").collect():
+        want.setdefault(r["conv_id"], []).append(r["h"])
+    assert got == {k: (False, v) for k, v in want.items()}
+
+
+def test_unparsed_records_are_reported(spark):
+    rows = [(1, "{bad", True), (2, None, False), (3, '{"question": "a"}', False), (4, '{"prompt": "\\q", "response": "b"}', True),
+            (5, '{"prompt": "a", "response": "b"}', False), (6, "null", False)]
+    df = spark.createDataFrame(rows, "key int, record string, want boolean")
+    assert {r["key"]: r["failed"] for r in chat.format_records(df, "key").collect()} == {k: w for k, _, w in rows}
+
+
 # ---- quality ---------------------------------------------------------------
 
 def test_additive_model_learns_an_interaction():
