@@ -110,7 +110,8 @@ def own_licenses(files: DataFrame, templates=TEMPLATES, threshold: float = THRES
     idfs = spark.createDataFrame(sorted(idf.items()), "term string, idf double")
     postings = spark.createDataFrame([(t, k, templates[k][0], w) for k, v in enumerate(vectors) for t, w in v.items()],
                                      "term string, template int, license string, weight double")
-    mark = r"\b(?:" + "|".join(prefix_terms(vectors, threshold)) + r")\b"
+    # bounded as terms are: an underscore ends a term
+    mark = "(?<![a-z0-9])(?:" + "|".join(prefix_terms(vectors, threshold)) + ")(?![a-z0-9])"
     text = F.lower(F.col("text"))
     lines = files.select("id", "path", F.posexplode(F.split(text, "\n")).alias("unit", "body"))
     whole = files.where(F.element_at(F.split("path", "/"), -1).rlike(LICENSE_NAME)).select(

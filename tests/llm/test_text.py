@@ -270,6 +270,12 @@ def test_license_scan(spark):
     assert licenses.license_scan(df.where("id > 99")).count() == 0
 
 
+def test_underscores_end_terms(spark):
+    df = spark.createDataFrame([(1, "a/x.h", "#define ALL_RIGHTS_RESERVED"), (2, "a/y.h", "_all_rights_reserved_"), (3, "a/z.h", "allrightsreserved")],
+                               "id int, path string, text string")
+    assert {r["id"]: r["own"] for r in licenses.license_scan(df).collect()} == {1: "proprietary", 2: "proprietary", 3: None}
+
+
 def test_prefix_terms_lose_no_match():
     vectors, idf, unseen = licenses.template_vectors()
     marks = set(licenses.prefix_terms(vectors, licenses.THRESHOLD))
