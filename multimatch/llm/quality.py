@@ -36,6 +36,7 @@ for _k, _chars in enumerate((b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQR
     _CLASS[list(_chars)] = _k
 _CLASS[128:] = 10
 _CLASS[[*range(9), 11, 12, *range(14, 32), 127]] = 11
+_NO_LETTER = bytes(b for b in range(128) if not 97 <= b | 32 <= 122)
 
 FEATURES = ("log_bytes", "log_words", "lower", "upper", "digit", "space", "line_break", "sentence_mark", "quote",
             "bracket", "symbol", "non_ascii", "control", "word_length", "longest_word", "distinct_words",
@@ -53,7 +54,7 @@ def features(text: bytes | None) -> list[float]:
     w = max(1, len(words))
     sizes = np.fromiter(map(len, words), np.int64, len(words)) if words else np.zeros(1, np.int64)
     count = Counter(words)
-    bare = sum(c for x, c in count.items() if not any(97 <= b | 32 <= 122 or b >= 128 for b in x[:12]))
+    bare = sum(c for x, c in count.items() if not x.translate(None, _NO_LETTER))
     capital = sum(c for x, c in count.items() if len(x) > 1 and x.isupper())
     marked = sum(c for x, c in count.items() if _CLASS[x[-1]] == 9 or _CLASS[x[0]] == 9)
     lines = [x for x in text.split(b"\n") if x.strip()]

@@ -125,6 +125,12 @@ def test_quality_features_of_odd_texts(spark):
     assert quality.score_table(table.where("id < 0"), model).count() == 0
 
 
+def test_letters_late_in_a_word_count():
+    at = quality.FEATURES.index("words_without_letter")
+    assert quality.features(b"1234567890123456789z ============/a 123 -- \xc3\xa9")[at] == 2 / 5
+    assert quality.features(b"1234567890123456789")[at] == 1.0
+
+
 # ---- pseudo-likelihood -------------------------------------------------------
 
 def test_pseudo_likelihood_against_loops(spark):
