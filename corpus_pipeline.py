@@ -22,8 +22,15 @@ MIN_LANGUAGE_SCORE = 0.2
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a letter and those of whose trigrams no language has a fifth."""
-    found = identify(docs, learn_from(docs))
+    """Drop documents without a letter and those of whose trigrams no language has a fifth.
+
+    If no language could be learned (no row to learn from has a lang and a text
+    with a letter), every document with a letter stays.
+    """
+    filters = learn_from(docs)
+    if not filters.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    found = identify(docs, filters)
     return found.where((F.col("__lang") != "und") & (F.col("__lang_score") >= MIN_LANGUAGE_SCORE)).drop(
         "__lang", "__lang_score")
 

@@ -53,3 +53,12 @@ def test_stages_take_odd_tables(spark):
             if k < len(corpus_pipeline.STAGES) - 1:
                 assert out.columns == docs.columns, name
             assert out.count() <= table.count()
+
+
+def test_documents_stay_if_no_language_is_learned(spark):
+    rows = [(1, "the cat", None), (2, "12 34", None), (3, None, None), (4, "\n漢字", None), (4, "\n漢字", None), (None, "é", None)]
+    docs = spark.createDataFrame([(i, t, x, "a", 1) for i, t, x in rows],
+                                 "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    out = corpus_pipeline.language_stage(spark, docs, SF)
+    assert out.columns == docs.columns
+    assert sorted(r["text"] for r in out.collect()) == sorted(["the cat", "\n漢字", "\n漢字", "é"])
