@@ -181,7 +181,7 @@ def test_regex_dictionary(spark):
 
 
 def test_strategy_paths_agree_on_word_dictionary(spark):
-    from conftest import SF001
+    from paths import SF001
     from multimatch.plans import catalog, strategy
     docs = catalog.documents(spark, SF001)
     words = catalog.benchmark_vocabulary(spark, SF001)
@@ -193,7 +193,7 @@ def test_strategy_paths_agree_on_word_dictionary(spark):
 
 
 def test_contains_pairs_both_ways(spark):
-    from conftest import SF001
+    from paths import SF001
     from multimatch.plans import catalog
     docs = catalog.documents(spark, SF001)
     words = catalog.table(spark, SF001, "benchmark", "item_id", "text").select(
@@ -253,7 +253,7 @@ def test_regex_dictionary_from_frame(spark):
 
 
 def test_composite_key(spark):
-    from conftest import SF001
+    from paths import SF001
     from multimatch.plans import catalog, fixtures
     from multimatch.operators.report import match_report
     conv = catalog.table(spark, SF001, "conversations", "conv_id", "turn", "text")

@@ -3,7 +3,7 @@
 import os
 
 
-from conftest import SF001
+from paths import SF001
 from multimatch.operators import rewrite, search
 from multimatch.operators.dictionary import compile_dictionary, dictionary_from_pairs
 from multimatch.plans import fixtures
