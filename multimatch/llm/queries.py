@@ -12,6 +12,8 @@ from .pseudolm import op4
 from .quality import op3
 from .repeats import op7
 from .simhash import op6
+from .tokenbin import op11
+from .whitening import op12
 
 LLM_QUERIES = {
     "op1_metricjoin": op1,
@@ -24,6 +26,8 @@ LLM_QUERIES = {
     "op8_licenses": op8,
     "op9_pieces": op9,
     "op10_decontaminate": op10,
+    "op11_tokenbin": op11,
+    "op12_whitening": op12,
 }
 
 LLM_ORACLE = {
