@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .alignment import op13
 from .chat import OP2_SQL, op2
 from .decontaminate import OP10_SQL, op10
 from .langid import op5
@@ -28,6 +29,7 @@ LLM_QUERIES = {
     "op10_decontaminate": op10,
     "op11_tokenbin": op11,
     "op12_whitening": op12,
+    "op13_alignment": op13,
 }
 
 LLM_ORACLE = {

@@ -1,7 +1,7 @@
 """Token ids of a document table as Simple-8b files, and their vectorised reading.
 
-Documents are ordered by id (ties: by a hash of the text) and cut into ranges; a
-task encodes the texts of its range and writes *segments* of whole documents: one
+Documents are ordered by id (ties: as they are read) and cut into ranges; a task
+encodes the texts of its range and writes *segments* of whole documents: one
 row of a Parquet file with ``part`` (the range), ``first`` (ids of the range before
 it), ``ids`` (the documents' ids), ``counts`` (tokens of each) and ``words``
 (``simple8b.pack`` of all tokens, end ids included). A second, small table
@@ -32,15 +32,15 @@ from .wordids import ByteBpe, Words, remembered
 
 DEFAULT_FILE = "/opt/tokenizers/byte_bpe_50k.json"
 END = 2
-SEGMENT_OPTIONS = {  # rows are large: look at the size of a page and of a row group after each of them
-    "compression": "zstd", "parquet.page.size.row.check.min": "1", "parquet.block.size.row.check.min": "1"}
+SEGMENT_OPTIONS = {  # words are packed already; rows are large: look at page and row group sizes after each
+    "compression": "snappy", "parquet.page.size.row.check.min": "1", "parquet.block.size.row.check.min": "1"}
 
 
 def ordered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(id, text)`` in ranges by ascending id, null first; equal ids are spread by a hash of the text."""
-    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    keyed = src.select("*", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("n"))
-    return keyed.repartitionByRange("id", "h", "n").sortWithinPartitions("id", "h", "n").select("id", "text")
+    """``(id, text)`` in ranges by ascending id, null first; any number of rows may have one id."""
+    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"),
+                      F.monotonically_increasing_id().alias("n"))
+    return src.repartitionByRange("id", "n").sortWithinPartitions("id", "n").select("id", "text")
 
 
 def write_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end: int = END,
@@ -48,8 +48,9 @@ def write_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     """Encode every whole text, append ``end`` to each, and write the files below ``path``.
 
     Null and empty texts have the end id alone; bytes that are no UTF-8 are read
-    as U+FFFD; rows with a repeated or null id are documents of their own; other
-    columns are ignored; an empty table gives files without segments.
+    as U+FFFD; rows with a repeated or null id are documents of their own, those of
+    one id in the order they are read; other columns are ignored; an empty table
+    gives files without segments.
     """
     spark = docs.sparkSession
     with open(file, encoding="utf-8") as f:  # a vocabulary, of bounded size
@@ -59,11 +60,11 @@ def write_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
     def run(batches):
         state_ = state.value
-        words = remembered(state_, "words", lambda: Words(ByteBpe(state_["file"], plain=False), lead=False))
+        words = remembered(state_, "words", lambda: Words([ByteBpe(state_["file"], plain=False)], lead=False))
         part, first = TaskContext.get().partitionId(), 0
         for b in batches:
             for at, texts in runs(b.column(1).to_pylist()):
-                ids, counts = words.encode([(t or b"").decode("utf-8", "replace") for t in texts])
+                ((ids, counts),), _ = words.encode([(t or b"").decode("utf-8", "replace") for t in texts])
                 flat = np.insert(ids.astype(np.int64), np.cumsum(counts), stop)
                 offsets = pa.array([0, len(texts)], pa.int32())
                 yield pa.RecordBatch.from_arrays(

@@ -17,22 +17,46 @@ from __future__ import annotations
 import json
 import os
 import unicodedata
+from array import array
 
 import numpy as np
+import regex
 import sentencepiece
 import tokenizers
 
 from .pieces import BPE, BYTE, SPACE, PieceModel
 
-REMEMBERED, LONGEST = 300_000, 64  # words a task remembers, and the longest among them
-GROUP = 1 << 16  # characters of unseen words encoded at a time
+REMEMBERED, LONGEST = 400_000, 64  # words a task remembers, and the longest among them
 NOTHING = np.zeros(0, np.int32)
 
+# Fixed value: how byte-level BPE files of this kind cut a text before merging.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_CUT = regex.compile(PATTERN)
+# characters that every version of Unicode puts in the same one of the pattern's classes
+_OTHER = regex.compile("[^\t\n\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0391-\u03a1\u03b1-\u03c9\u0410-\u044f"
+                       "\u2013-\u201e\u2026\u4e00-\u9fa5]")
+_ENDS = frozenset(map(chr, range(0x21, 0x7F)))
+
 
 def ends_a_word(word: str) -> bool:
     """Whether a cut after the word, before a space, is one that the tokenizer makes itself."""
     c = word[-1:]
-    return "!" <= c <= "~" or (c > "\x7f" and c != SPACE and unicodedata.category(c)[0] in "LNMPS")
+    return c in _ENDS or (c > "\x7f" and c != SPACE and unicodedata.category(c)[0] in "LNMPS")
+
+
+class Library:
+    """A vocabulary: ``bytes_of`` each id, and their ``length``."""
+
+    def spells(self, ids: np.ndarray, sizes: np.ndarray, words: list[str]) -> np.ndarray:
+        """Whether the ids of each word (``sizes`` of them) are its bytes."""
+        raw = [w.encode() for w in words]
+        each = list(map(self.bytes_of.__getitem__, ids.tolist()))
+        if b"".join(each) == b"".join(raw):
+            ends = np.cumsum(self.length[ids])[np.cumsum(sizes) - 1] if len(ids) else np.zeros(len(sizes))
+            if np.array_equal(ends, np.cumsum([len(x) for x in raw])) and sizes.all():
+                return np.ones(len(words), bool)
+        ends = np.cumsum(sizes).tolist()
+        return np.array([b"".join(each[a:z]) == r for a, z, r in zip([0, *ends], ends, raw)], bool)
 
 
 def byte_of_char() -> dict[str, int]:
@@ -43,7 +67,7 @@ def byte_of_char() -> dict[str, int]:
     return {**{chr(b): b for b in own}, **{chr(256 + k): b for k, b in enumerate(others)}}
 
 
-class ByteBpe:
+class ByteBpe(Library):
     """A byte-level BPE file of the tokenizers library; ``plain``: special tokens in texts are plain text."""
 
     def __init__(self, file: str, plain: bool):
@@ -53,7 +77,8 @@ class ByteBpe:
         self.library.encode_special_tokens = plain
         pre, model, added = spec["pre_tokenizer"] or {}, spec["model"], spec["added_tokens"]
         self.apart = (model["type"] == "BPE" and spec["normalizer"] is None and not model.get("dropout")
-                      and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre["add_prefix_space"]
+                      and not spec["post_processor"] and pre.get("type") == "ByteLevel" and pre.get("use_regex")
+                      and not pre["add_prefix_space"]
                       and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or " " in t["content"] for t in added))
         stands, special = byte_of_char(), {t["id"]: t["content"] for t in added}
         self.bytes_of = [b""] * (max([*model["vocab"].values(), *special]) + 1)
@@ -62,27 +87,43 @@ class ByteBpe:
         for k, content in special.items():
             self.bytes_of[k] = content.encode()
         self.length = np.array([len(x) for x in self.bytes_of], np.int64)
+        self.char_of = {b: c for c, b in stands.items()}
+        self.known_pieces: dict[str, bytes] = {}
+        self.special = [] if plain else list(special.values())
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.int32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def spaced(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of every word with a space before it, encoded in groups."""
-        out, group, size = [], [], 0
-        for k, w in enumerate(words):
-            group.append(w)
-            size += len(w) + 1
-            if size >= GROUP or k + 1 == len(words):
-                text = " " + " ".join(group)
-                ids = self.whole([text])[0]
-                ends = np.cumsum([len(x.encode()) + 1 for x in group])
-                cuts = np.searchsorted(np.cumsum(self.length[ids]), ends[:-1]) + 1
-                out += np.split(ids, cuts)
-                group, size = [], 0
-        return out
-
-
-class Pieces:
+    def spaced(self, words: list[str]) -> list[bytes]:
+        """Ids of every word with a space before it.
+
+        What the pattern cuts out of words of common characters goes to the
+        library's model piece by piece, each piece once; other words go to the
+        library whole.
+        """
+        if not _OTHER.search("".join(words)):
+            return self._cut(words)
+        rare = [k for k, w in enumerate(words) if _OTHER.search(w)]
+        out = dict(zip(rare, [x.tobytes() for x in self.whole([" " + words[k] for k in rare])]))
+        rest = [w for k, w in enumerate(words) if k not in out]
+        found = iter(self._cut(rest))
+        return [out[k] if k in out else next(found) for k in range(len(words))]
+
+    def _cut(self, words: list[str]) -> list[bytes]:
+        if self.special and any(map("".join(words).__contains__, self.special)):
+            return [x.tobytes() for x in self.whole([" " + w for w in words])]
+        pieces = [_CUT.findall(" " + w) for w in words]
+        known, tokenize, mapped = self.known_pieces, self.library.model.tokenize, self.char_of
+        if len(known) > REMEMBERED:
+            known.clear()
+        for p in set().union(*pieces) - known.keys():
+            ids = tokenize(p.encode().decode("latin-1").translate(mapped))
+            known[p] = array("i", [t.id for t in ids]).tobytes()
+        get = known.__getitem__
+        return [get(p[0]) if len(p) == 1 else b"".join(map(get, p)) for p in pieces]
+
+
+class Pieces(Library):
     """A SentencePiece BPE model of the sentencepiece library."""
 
     def __init__(self, data: bytes):
@@ -96,19 +137,31 @@ class Pieces:
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x, np.int32) for x in self.library.encode(texts, num_threads=1)]
 
-    spaced = whole  # the model puts the space before a text itself
+    def spaced(self, words: list[str]) -> list[bytes]:
+        """Ids of every word with a space before it, which the model puts there itself."""
+        return [array("i", x).tobytes() for x in self.library.encode(words, num_threads=1)]
 
 
 class Words:
-    """Encodes lists of texts; keeps the ids of words seen before.
+    """Encodes lists of texts by one or more libraries; keeps the ids of words seen before.
 
     ``lead``: every text has a space before it (put there, or by the model itself).
+    A word has a number; its ids stand in one array per library, so that texts are
+    put together from their words' numbers without touching a word again.
+    ``check``: find out which words the tokens of every library spell.
     """
 
-    def __init__(self, library, lead: bool):
-        self.library, self.lead = library, lead
-        self.known: dict[str, bytes] = {}  # words after a space
+    def __init__(self, libraries: list, lead: bool, check: bool = False):
+        self.libraries, self.lead, self.check = libraries, lead, check
+        self.apart = all(x.apart for x in libraries)
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[str, int] = {}  # words after a space
         self.open: set[str] = set()  # words that end no chunk
+        self.ids = [NOTHING for _ in self.libraries]
+        self.sizes = [np.zeros(0, np.int64) for _ in self.libraries]
+        self.spelt = np.zeros(0, bool)
 
     def chunks(self, words: list[str]) -> list[str]:
         """Words joined with the following ones until each ends where the text may be cut (the last may not)."""
@@ -120,43 +173,66 @@ class Words:
                 held = []
         return [*out, " ".join(held)] if held else out
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the texts, one after the other, and the number of ids of each."""
-        if not self.library.apart:
-            got = self.library.whole([" " + t for t in texts] if self.lead and not isinstance(self.library, Pieces)
-                                     else texts)
-            return np.concatenate([*got, NOTHING]), np.array([len(x) for x in got], np.int64)
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-            self.open.clear()
-        rows = [t.split(" ") for t in texts]
-        new = set().union(*rows) - self.known.keys() - self.open
-        self.open.update([w for w in new if not ends_a_word(w)])
-        firsts, rest = [], []
-        for row in rows:
+    def add(self, spelling: list[str], ids: list[list[bytes]]) -> int:
+        """Keep the ids (by library) of words spelt so; the first one's number."""
+        first, spelt = len(self.spelt), np.ones(len(spelling), bool)
+        for k, (library, mine) in enumerate(zip(self.libraries, ids)):
+            flat = np.frombuffer(b"".join(mine), np.int32)
+            size = np.array([len(x) // 4 for x in mine], np.int64)
+            if self.check:
+                spelt &= library.spells(flat, size, spelling)
+            self.ids[k] = np.concatenate([self.ids[k], flat])
+            self.sizes[k] = np.concatenate([self.sizes[k], size])
+        self.spelt = np.concatenate([self.spelt, spelt])
+        return first
+
+    def encode(self, texts: list[str]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+        """By library, the ids of the texts one after the other and the number of ids of each;
+        and (if checked) whether the tokens of every library spell the text, with the space before it."""
+        if len(self.number) > REMEMBERED or not self.apart:
+            self.forget()
+        if not self.apart:
+            lead = [" " + t for t in texts] if self.lead else texts
+            first = self.add(lead, [[x.tobytes() for x in lib.whole(texts if isinstance(lib, Pieces) else lead)]
+                                    for lib in self.libraries])
+            return self.joined(np.arange(first, first + len(texts)), np.ones(len(texts), np.int64))
+        number, rows = self.number, [t.split(" ") for t in texts]
+        new = {w for w in set().union(*rows) if w not in number and w not in self.open}
+        still = {w for w in new if w[-1:] not in _ENDS and not ends_a_word(w)}
+        self.open |= still
+        new -= still
+        firsts, passing = [], []
+        for k, row in enumerate(rows):
             if not self.open.isdisjoint(row):
-                row = self.chunks(row)
-            firsts.append("" if self.lead else row[0])
-            rest.append(row if self.lead else row[1:])
-        # an open end is a word of its text alone
-        tails = {k: row.pop() for k, row in enumerate(rest) if row and not ends_a_word(row[-1])}
-        new = sorted(set().union(*rest) - self.known.keys())
-        self.known.update(zip(new, [x.tobytes() for x in self.library.spaced(new)]))
-        ends = dict(zip(tails, self.library.spaced(list(tails.values())) if isinstance(self.library, Pieces)
-                        else self.library.whole([" " + t for t in tails.values()])))
-        begins = {} if self.lead else dict(zip(range(len(texts)), self.library.whole(firsts)))
-        out = []
-        for k, row in enumerate(rest):
-            joined = b"".join(map(self.known.__getitem__, row))
-            if k in begins:
-                joined = begins[k].tobytes() + joined
-            if k in ends:
-                joined += ends[k].tobytes()
-            out.append(joined)
+                row = rows[k] = self.chunks(row)
+                passing += [w for w in row if w not in number]
+            if not self.lead:
+                firsts.append(row.pop(0))
+        new = [*new, *(set(passing) - new)]
+        first = self.add([" " + w for w in new], [library.spaced(new) for library in self.libraries])
+        number.update(zip(new, range(first, first + len(new))))
+        if firsts:
+            first = self.add(firsts, [[x.tobytes() for x in library.whole(firsts)] for library in self.libraries])
+        at, get = [], number.__getitem__
+        for k, row in enumerate(rows):
+            if firsts:
+                at.append(first + k)
+            at.extend(map(get, row))
         for w in new:
-            if len(w) > LONGEST:
-                del self.known[w]
-        return np.frombuffer(b"".join(out), np.int32), np.array([len(x) // 4 for x in out], np.int64)
+            if len(w) > LONGEST or (w[-1:] not in _ENDS and not ends_a_word(w)):
+                del number[w]
+        return self.joined(np.array(at, np.int64), np.array([len(row) + len(firsts[:1]) for row in rows], np.int64))
+
+    def joined(self, at: np.ndarray, counts: np.ndarray):
+        """Ids of texts from the numbers of their words (``counts`` words each, at least one)."""
+        begins = np.cumsum(counts) - counts
+        out = []
+        for ids, sizes in zip(self.ids, self.sizes):
+            size = sizes[at]
+            skip = (np.cumsum(sizes) - sizes)[at] - (np.cumsum(size) - size)
+            flat = ids[np.repeat(skip, size) + np.arange(size.sum())]
+            out.append((flat, np.add.reduceat(size, begins) if len(at) else np.zeros(0, np.int64)))
+        return out, np.logical_and.reduceat(self.spelt[at], begins) if len(at) else np.zeros(0, bool)
 
 
 def remembered(state: dict, name: str, build):
