@@ -8,7 +8,8 @@ position) are summed, squashed, and give a distribution over ``CLASSES`` frequen
 classes and then one over the tokens of the class (which starts from their shares
 of the corpus count). Within its bucket a word has its own share of the bucket's
 count: the counts of all words, as many as the corpus has, stay a table that is
-joined to the words to be scored. Words not counted have ``UNSEEN`` occurrences in
+joined to the words to be scored; those of words with at least one in ``FREQUENT``
+of all tokens, ``FREQUENT`` at most, are looked up in the tasks. Words not counted have ``UNSEEN`` occurrences in
 all, spread evenly over the buckets. A document's score is the sum of the
 log-probabilities of all its words.
 
@@ -35,6 +36,7 @@ REACH, HIDDEN = 2, 16
 BATCH, RATE = 8192, 0.1
 BLOCKS, FAN_IN = 64, 32
 UNSEEN = 1.0
+FREQUENT = 500_000
 EDGE = KNOWN + BUCKETS  # the token beyond a document's ends
 TABLE = EDGE + 1
 
@@ -44,7 +46,8 @@ class Vocabulary:
     """Hashes of the known words (sorted) with their tokens; class and share of every token.
 
     ``log_size`` is the log count of every bucket, with its part of ``UNSEEN``;
-    ``rare`` the table ``h, n`` of the words in buckets (on the driver only).
+    ``rare`` the table ``h, n`` of the words in buckets (on the driver only), ``often``
+    the hashes (sorted) and log counts of the frequent ones among them.
     """
 
     hashes: np.ndarray
@@ -53,6 +56,7 @@ class Vocabulary:
     log_share: np.ndarray
     log_size: np.ndarray
     rare: DataFrame | None = None
+    often: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.int64), np.zeros(0))
 
     @classmethod
     def build(cls, known: list[tuple[int, int]], buckets: dict[int, int],
@@ -164,30 +168,36 @@ class Network:
             out[a:a + BATCH] = part
         return out
 
+    def step(self, part: int, rows, g: np.ndarray, n: int) -> None:
+        """Adagrad on some rows of one of the arrays, by their summed gradient over ``n`` tokens."""
+        p, s = (self.embed, self.bias, self.out, self.out_bias, self.words)[part], self.seen[part]
+        g = (g * np.float32(1 / n)).astype(np.float32, copy=False)
+        s[rows] += g * g
+        p[rows] -= np.float32(RATE) * g / np.sqrt(s[rows])
+
     def train(self, ctx: np.ndarray, token: np.ndarray, vocabulary: Vocabulary, members: list) -> None:
-        """One Adagrad step on the mean loss of a batch."""
+        """One Adagrad step on the mean loss of a batch; rows without a gradient stay as they are."""
         n, klass = len(token), vocabulary.klass[token]
         h = self.hidden(ctx)
         d = np.exp(self.log_classes(h))
         d[np.arange(n), klass] -= 1
         dh = d @ self.out.T
-        words = np.zeros_like(self.words)
+        words = []
         for at, mine, x, right in self.within(h, klass, token, vocabulary, members):
             x = np.exp(x)
             x[np.arange(len(at)), right] -= 1
             dh[at] += x @ self.words[mine]
-            words[mine] = x.T @ h[at]
+            words.append((mine, x.T @ h[at]))
         dz = dh * (1 - h * h)
-        embed = np.empty_like(self.embed)
         for k in range(2 * REACH):
-            for j in range(HIDDEN):
-                embed[k, :, j] = np.bincount(ctx[k], dz[:, j], TABLE)
-        scale = 1 / n
-        for p, g, s in zip((self.embed, self.bias, self.out, self.out_bias, self.words),
-                           (embed, dz.sum(0), h.T @ d, d.sum(0), words), self.seen):
-            g = g * np.float32(scale)
-            s += g * g
-            p -= np.float32(RATE) * g / np.sqrt(s)
+            order = np.argsort(ctx[k].astype(np.uint16), kind="stable")
+            rows, first = np.unique(ctx[k][order], return_index=True)
+            self.step(0, (k, rows), np.add.reduceat(dz[order], first, axis=0), n)
+        self.step(1, slice(None), dz.sum(0), n)
+        self.step(2, slice(None), h.T @ d, n)
+        self.step(3, slice(None), d.sum(0), n)
+        for mine, g in words:
+            self.step(4, mine, g, n)
 
 
 def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
@@ -215,7 +225,11 @@ def learn_vocabulary(docs: DataFrame, text_col: str = "text") -> Vocabulary:
     if known:
         h, n = known[-1]
         rare = counts.where((F.col("n") < n) | ((F.col("n") == n) & (F.col("h") > h)))
-    return Vocabulary.build(known, totals, rare)
+    vocabulary = Vocabulary.build(known, totals, rare)
+    tokens = sum(n for _, n in known) + sum(totals.values())
+    often = rare.where(F.col("n") * FREQUENT >= tokens).orderBy("h").toArrow()
+    vocabulary.often = often.column("h").to_numpy(), np.log(often.column("n").to_numpy())
+    return vocabulary
 
 
 def train(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text") -> Network:
@@ -278,12 +292,19 @@ def score(docs: DataFrame, vocabulary: Vocabulary, net: Network, id_col: str = "
                 each = net.log_prob(contexts(token, doc), token, vocabulary, members)
                 rare = token >= KNOWN
                 each[rare] -= vocabulary.log_size[token[rare] - KNOWN]
+                h = h.view(np.int64)
+                hashes, logs = vocabulary.often
+                if len(hashes):
+                    at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+                    often = rare & (hashes[at] == h)
+                    each[often] += logs[at[often]]
+                    rare &= ~often
                 ends = np.concatenate([[0], np.cumsum(np.bincount(doc[rare], minlength=len(part)))])
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(first, len(part)),
                      pa.array(np.bincount(doc, minlength=len(part)), pa.int64()),
                      pa.array(np.bincount(doc, each, minlength=len(part)).astype(np.float64)),
-                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(h[rare].view(np.int64)))],
+                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(h[rare]))],
                     ["id", "n_tokens", "net", "rare"])
 
     rows = src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, n_tokens bigint, net double, "
