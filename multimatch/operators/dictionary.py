@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import regex as rx
-from ..session import checkpoint_root
+from ..session import written
 
 DICT_SCHEMA = "line_no INT, pattern STRING, replacement STRING, replacement_id INT"
 REJECT_SCHEMA = "line_no INT, line STRING, reason STRING"
@@ -33,14 +33,32 @@ REJECT_SCHEMA = "line_no INT, line STRING, reason STRING"
 DEFAULT_ALIAS = {"~": "{"}
 
 
-def consecutive_index(df: DataFrame, order_cols: Sequence[str], name: str) -> DataFrame:
-    """Add a 0-based consecutive BIGINT index in ``order_cols`` order without a one-task window.
+def running_total(df: DataFrame, order_cols: Sequence[str], amount: Column, name: str) -> DataFrame:
+    """Add the BIGINT sum of ``amount`` over all earlier rows in ``order_cols`` order, without a one-task window.
 
-    Range-partition and sort (distributed) and number rows inside each partition
-    with ``monotonically_increasing_id`` (partition id in the high bits). The
+    Range-partition and sort (distributed) and add up inside each partition. The
     sorted rows are written once: a second evaluation could choose other range
-    bounds, so the counts per partition and the rows must come from the same
-    files. Only one offset per partition is broadcast.
+    bounds, so the sums per partition and the rows must come from the same files.
+    Only one offset per partition is broadcast.
+    """
+    order = [F.col(c) for c in order_cols]
+    srt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_amount", amount.cast("bigint"))
+    srt = materialize(srt.withColumn("_mid", F.monotonically_increasing_id()))
+    srt = srt.withColumn("_pid", F.shiftright("_mid", 33))
+    totals = srt.groupBy("_pid").agg(F.sum("_amount").alias("_n"))
+    earlier = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    offsets = totals.select("_pid", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_off"))
+    before = Window.partitionBy("_pid").orderBy("_mid").rowsBetween(Window.unboundedPreceding, -1)
+    out = srt.withColumn("_before", F.coalesce(F.sum("_amount").over(before), F.lit(0)))
+    return out.join(F.broadcast(offsets), "_pid").withColumn(name, F.col("_off") + F.col("_before")).drop(
+        "_amount", "_mid", "_pid", "_before", "_off")
+
+
+def consecutive_index(df: DataFrame, order_cols: Sequence[str], name: str) -> DataFrame:
+    """Add a 0-based consecutive BIGINT index in ``order_cols`` order.
+
+    As ``running_total`` of one per row, but a row's place in its partition is
+    read off ``monotonically_increasing_id`` (partition id in the high bits).
     """
     order = [F.col(c) for c in order_cols]
     srt = df.repartitionByRange(*order).sortWithinPartitions(*order)
@@ -77,8 +95,7 @@ def materialize(df: DataFrame) -> DataFrame:
     lint, anchors); a table-derived or file-loaded one can be large, so it is
     computed once instead of once per branch, and its lineage is cut.
     """
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return written(df, "dictionary")
 
 
 def dictionary_from_pairs(spark: SparkSession, pairs: Iterable[tuple[str, str]]) -> DataFrame:

@@ -6,21 +6,24 @@ the replacement sits between the next two marks (its first character may be
 the mark itself), the rest is ignored. Reading a file stops at its first empty
 line; a leading byte order mark is dropped.
 
-The read is splittable: ``spark.read.text`` cuts big files into blocks, and
-line numbers are rebuilt from each row's block offset and its position within
-the block. The offsets table has one row per block and the stop table one row
-per file; they are joined without a broadcast hint, so adaptive execution
-broadcasts them only when their measured size is under the threshold.
+The read is splittable: ``spark.read.text`` cuts big files into blocks. The
+lines are written once with the block they came from and their place in it, and
+numbered from what was written: a second read may cut the files elsewhere (the
+size of a split depends on the cores registered at that moment). The tables of
+blocks and of stops have one row per block and file; they are joined without a
+broadcast hint, so adaptive execution broadcasts them only when their measured
+size is under the threshold.
 """
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.dictionary import assign_replacement_ids, materialize
+from ..operators.dictionary import assign_replacement_ids, materialize, running_total
+from ..session import written
 
 DEFAULT_GROUPING = '"'
 
@@ -35,30 +38,20 @@ def _rx(g: str) -> dict[str, str]:
     }
 
 
-MAX_BROADCAST_BLOCKS = 1_000_000
-
-
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """``file STRING, line_no BIGINT, line STRING``: lines in file order, per path.
 
     ``line_no`` counts across the files of ``path`` in path order (a single
-    pattern file numbers from 0). The lines are not shuffled: the table of block
-    offsets (one row per block, written once) is broadcast while it has at most
-    ``MAX_BROADCAST_BLOCKS`` rows.
+    pattern file numbers from 0).
     """
-    raw = spark.read.text(path).select(
+    raw = written(spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("_mid"),
-        F.col("value").alias("line"))
-    # rows of one block are contiguous and in order inside their partition
-    blocks = materialize(raw.groupBy("file", "block").agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first")))
-    w = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = blocks.select("file", "block", "_first",
-                            F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    if blocks.count() <= MAX_BROADCAST_BLOCKS:
-        offsets = F.broadcast(offsets)
+        F.col("value").alias("line")), "lines")
+    # a block was read by one task, in order
+    blocks = raw.groupBy("file", "block").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
+    offsets = running_total(blocks, ["file", "block"], F.col("_n"), "_off").drop("_n")
     at = F.col("_mid") - F.col("_first")
     # a leading byte order mark belongs to the file, not the first pattern
     line = F.when((F.col("block") == 0) & (at == 0), F.regexp_replace("line", "^\ufeff", "")).otherwise(F.col("line"))
@@ -69,9 +62,14 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
 def decoded_lines(spark: SparkSession, path: str) -> DataFrame:
     """``numbered_lines`` of files in any encoding with a byte order mark (each file read whole)."""
     from .corpus import decode_bom, read_files
-    files = decode_bom(read_files(spark, path)).select(
-        F.col("path").alias("file"), F.posexplode(F.split("text", r"\r\n|\r|\n")).alias("line_no", "line"))
-    return files.select("file", F.col("line_no").cast("long").alias("line_no"), "line")
+    parts = F.split("text", r"\r\n|\r|\n")
+    # what follows the last line break is a line only if there is something
+    lines = F.when(F.try_element_at(parts, F.lit(-1)) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    files = decode_bom(read_files(spark, path)).select(F.col("path").alias("file"), lines.alias("_lines"))
+    # numbered files: one row per file, with its lines
+    files = running_total(files, ["file"], F.size("_lines"), "_off")
+    return files.select("file", "_off", F.posexplode("_lines").alias("_at", "line")).select(
+        "file", (F.col("_off") + F.col("_at")).cast("long").alias("line_no"), "line")
 
 
 def _until_first_empty(lines: DataFrame) -> DataFrame:
@@ -114,10 +112,11 @@ def load_dictionary(spark: SparkSession, path: str, grouping: str = DEFAULT_GROU
     return materialize(assign_replacement_ids(good))
 
 
-def dictionary_rejects_file(spark: SparkSession, path: str,
-                            grouping: str = DEFAULT_GROUPING) -> DataFrame:
-    """``line_no, line, reason`` for every line the loader refuses."""
-    parsed = parse_lines(_until_first_empty(numbered_lines(spark, path)), grouping)
+def dictionary_rejects_file(spark: SparkSession, path: str, grouping: str = DEFAULT_GROUPING,
+                            decode: bool = False) -> DataFrame:
+    """``line_no, line, reason`` for every line the loader refuses (``decode`` as in ``load_dictionary``)."""
+    lines = decoded_lines(spark, path) if decode else numbered_lines(spark, path)
+    parsed = parse_lines(_until_first_empty(lines), grouping)
     return parsed.where(F.col("reason").isNotNull()).select(F.col("line_no").cast("int").alias("line_no"), "line",
                                                             "reason")
 
