@@ -34,7 +34,7 @@ from .common import materialise
 from .pieces import DEFAULT_MODEL
 from .repeats import runs
 from .tokenbin import DEFAULT_FILE
-from .wordids import ByteBpe, Pieces, Words, remembered
+from .wordids import ByteBpe, Pieces, Words, remembered, utf8
 
 PIECE = 64
 SHARED = 4_000_000
@@ -145,14 +145,9 @@ class Tokenizers:
 
     def align(self, texts: list) -> Aligned:
         """Align texts (bytes or None). A text whose tokens do not spell a space and the text has none."""
-        plain = []
-        for t in texts:
-            try:
-                plain.append((t or b"").decode())
-            except UnicodeDecodeError:
-                plain.append("")
-        both, spelt = self.words.encode(plain)
-        good = spelt & np.array([p != "" for p in plain], bool)
+        whole = [utf8(t) for t in texts]
+        both, spelt = self.words.encode(whole)
+        good = spelt & np.array([w == t and w != b"" for w, t in zip(whole, texts)], bool)
         a, b = [(ids[np.repeat(good, n)], np.where(good, n, 0)) for ids, n in both]
         return Aligned(a[0], b[0], a[1], b[1], np.cumsum(self.a.length[a[0]]), np.cumsum(self.b.length[b[0]]))
 

@@ -28,6 +28,8 @@ _PAYLOAD = np.uint64((1 << 60) - 1)
 
 def bit_lengths(values: np.ndarray) -> np.ndarray:
     """Bits that each unsigned number needs (0 for 0)."""
+    if not len(values) or values.max() < 1 << 32:
+        return np.frexp(values.astype(np.float64))[1].astype(np.uint8)
     high = (values >> np.uint64(32)).astype(np.float64)
     low = (values & np.uint64(0xFFFFFFFF)).astype(np.float64)
     return np.where(high > 0, np.frexp(high)[1] + 32, np.frexp(low)[1]).astype(np.uint8)

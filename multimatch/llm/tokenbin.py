@@ -28,7 +28,7 @@ from ..session import shared_dir
 from .common import CLEANUP
 from .repeats import runs
 from .simple8b import Packed, pack
-from .wordids import ByteBpe, Words, remembered
+from .wordids import ByteBpe, Words, remembered, utf8
 
 DEFAULT_FILE = "/opt/tokenizers/byte_bpe_50k.json"
 END = 2
@@ -64,7 +64,7 @@ def write_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         part, first = TaskContext.get().partitionId(), 0
         for b in batches:
             for at, texts in runs(b.column(1).to_pylist()):
-                ((ids, counts),), _ = words.encode([(t or b"").decode("utf-8", "replace") for t in texts])
+                ((ids, counts),), _ = words.encode([utf8(t) for t in texts])
                 flat = np.insert(ids.astype(np.int64), np.cumsum(counts), stop)
                 offsets = pa.array([0, len(texts)], pa.int32())
                 yield pa.RecordBatch.from_arrays(

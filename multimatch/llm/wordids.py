@@ -18,6 +18,7 @@ import json
 import os
 import unicodedata
 from array import array
+from itertools import chain
 
 import numpy as np
 import regex
@@ -26,7 +27,8 @@ import tokenizers
 
 from .pieces import BPE, BYTE, SPACE, PieceModel
 
-REMEMBERED, LONGEST = 400_000, 64  # words a task remembers, and the longest among them
+REMEMBERED, LONGEST = 2_000_000, 64  # words a task remembers, and the bytes of the longest among them
+PIECES = 200_000  # pieces of words remembered
 NOTHING = np.zeros(0, np.int32)
 
 # Fixed value: how byte-level BPE files of this kind cut a text before merging.
@@ -35,13 +37,11 @@ _CUT = regex.compile(PATTERN)
 # characters that every version of Unicode puts in the same one of the pattern's classes
 _OTHER = regex.compile("[^\t\n\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0391-\u03a1\u03b1-\u03c9\u0410-\u044f"
                        "\u2013-\u201e\u2026\u4e00-\u9fa5]")
-_ENDS = frozenset(map(chr, range(0x21, 0x7F)))
 
 
-def ends_a_word(word: str) -> bool:
-    """Whether a cut after the word, before a space, is one that the tokenizer makes itself."""
-    c = word[-1:]
-    return c in _ENDS or (c > "\x7f" and c != SPACE and unicodedata.category(c)[0] in "LNMPS")
+def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+    return np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum())), sizes
 
 
 class Library:
@@ -89,38 +89,50 @@ class ByteBpe(Library):
         self.length = np.array([len(x) for x in self.bytes_of], np.int64)
         self.char_of = {b: c for c, b in stands.items()}
         self.known_pieces: dict[str, bytes] = {}
+        self.model = self.library.model
+        self.model._resize_cache(0)  # pieces are remembered here
         self.special = [] if plain else list(special.values())
 
-    def whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.int32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+    def whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return _flat([e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)])
 
-    def spaced(self, words: list[str]) -> list[bytes]:
-        """Ids of every word with a space before it.
+    def spaced(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words with a space before each, and the number of ids of each.
 
         What the pattern cuts out of words of common characters goes to the
         library's model piece by piece, each piece once; other words go to the
         library whole.
         """
-        if not _OTHER.search("".join(words)):
-            return self._cut(words)
-        rare = [k for k, w in enumerate(words) if _OTHER.search(w)]
-        out = dict(zip(rare, [x.tobytes() for x in self.whole([" " + words[k] for k in rare])]))
-        rest = [w for k, w in enumerate(words) if k not in out]
-        found = iter(self._cut(rest))
-        return [out[k] if k in out else next(found) for k in range(len(words))]
-
-    def _cut(self, words: list[str]) -> list[bytes]:
-        if self.special and any(map("".join(words).__contains__, self.special)):
-            return [x.tobytes() for x in self.whole([" " + w for w in words])]
-        pieces = [_CUT.findall(" " + w) for w in words]
-        known, tokenize, mapped = self.known_pieces, self.library.model.tokenize, self.char_of
-        if len(known) > REMEMBERED:
+        joined = "".join(words)
+        if " " in joined or _OTHER.search(joined) or any(map(joined.__contains__, self.special)):
+            odd = np.array([" " in w or _OTHER.search(w) is not None or any(map(w.__contains__, self.special))
+                            for w in words], bool)
+            parts = [self._cut([w for w, o in zip(words, odd) if not o]),
+                     self.whole([" " + w for w, o in zip(words, odd) if o])]
+            at = np.concatenate([np.flatnonzero(~odd), np.flatnonzero(odd)])
+            sizes = np.concatenate([p[1] for p in parts])
+            starts = np.cumsum(sizes) - sizes
+            order = np.argsort(at)
+            size = sizes[order]
+            flat = np.concatenate([p[0] for p in parts])
+            return flat[np.repeat(starts[order] - (np.cumsum(size) - size), size) + np.arange(size.sum())], size
+        return self._cut(words)
+
+    def _cut(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """``spaced`` of words without a space in them."""
+        if not words:
+            return NOTHING, np.zeros(0, np.int64)
+        # every word begins with the only piece that begins with a space
+        pieces = _CUT.findall(" " + " ".join(words))
+        first = np.flatnonzero(np.fromiter([p[0] == " " for p in pieces], bool, len(pieces)))
+        known, tokenize, mapped = self.known_pieces, self.model.tokenize, self.char_of
+        if len(known) > PIECES:
             known.clear()
-        for p in set().union(*pieces) - known.keys():
-            ids = tokenize(p.encode().decode("latin-1").translate(mapped))
-            known[p] = array("i", [t.id for t in ids]).tobytes()
-        get = known.__getitem__
-        return [get(p[0]) if len(p) == 1 else b"".join(map(get, p)) for p in pieces]
+        for p in {p for p in pieces if p not in known}:
+            known[p] = array("i", [t.id for t in tokenize(p.encode().decode("latin-1").translate(mapped))]).tobytes()
+        ids = list(map(known.__getitem__, pieces))
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        return np.frombuffer(b"".join(ids), np.int32), np.add.reduceat(sizes, first)
 
 
 class Pieces(Library):
@@ -134,105 +146,166 @@ class Pieces(Library):
                          for p, t in zip(mine.pieces, mine.types)]
         self.length = np.array([len(x) for x in self.bytes_of], np.int64)
 
-    def whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(x, np.int32) for x in self.library.encode(texts, num_threads=1)]
+    def whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return _flat(self.library.encode(texts, num_threads=1))
 
-    def spaced(self, words: list[str]) -> list[bytes]:
-        """Ids of every word with a space before it, which the model puts there itself."""
-        return [array("i", x).tobytes() for x in self.library.encode(words, num_threads=1)]
+    spaced = whole  # the model puts the space before a text itself
+
+
+def _end_table() -> np.ndarray:
+    """Whether a text may be cut after each character of the basic plane, before a space.
+
+    Letters, marks, numbers, punctuation and symbols are no white space in any
+    version of Unicode; U+2581 is a space to SentencePiece.
+    """
+    good = np.array([unicodedata.category(chr(c))[0] in "LNMPS" for c in range(1 << 16)])
+    good[ord(SPACE)] = False
+    return good
+
+
+_BYTES = np.random.default_rng(5).integers(1, 1 << 63, (2, 256), dtype=np.uint64) | np.uint64(1)
+_BASE = 0x9E3779B97F4A7C15
+_BACK = pow(_BASE, -1, 1 << 64)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    steps = np.full(n + 1, base, np.uint64)
+    steps[0] = 1
+    return np.multiply.accumulate(steps)
 
 
 class Words:
     """Encodes lists of texts by one or more libraries; keeps the ids of words seen before.
 
     ``lead``: every text has a space before it (put there, or by the model itself).
-    A word has a number; its ids stand in one array per library, so that texts are
-    put together from their words' numbers without touching a word again.
-    ``check``: find out which words the tokens of every library spell.
+    Texts are cut at spaces where a cut is safe, and a word is known by two 64-bit
+    hashes of its bytes: words of a run are looked up together, unknown ones are
+    encoded once, and texts are put together from the words' numbers. ``check``:
+    find out which words the tokens of every library spell.
     """
 
     def __init__(self, libraries: list, lead: bool, check: bool = False):
         self.libraries, self.lead, self.check = libraries, lead, check
         self.apart = all(x.apart for x in libraries)
+        self.ends = _end_table()
+        self.back = self.forth = np.zeros(0, np.uint64)
         self.forget()
 
     def forget(self) -> None:
-        self.number: dict[str, int] = {}  # words after a space
-        self.open: set[str] = set()  # words that end no chunk
+        self.hashes = np.zeros(0, np.uint64)  # of the known words, sorted
+        self.seconds = np.zeros(0, np.uint64)
+        self.numbers = np.zeros(0, np.int64)
         self.ids = [NOTHING for _ in self.libraries]
-        self.sizes = [np.zeros(0, np.int64) for _ in self.libraries]
+        self.starts = [np.zeros(1, np.int64) for _ in self.libraries]  # of each number's ids, and their end
         self.spelt = np.zeros(0, bool)
 
-    def chunks(self, words: list[str]) -> list[str]:
-        """Words joined with the following ones until each ends where the text may be cut (the last may not)."""
-        out, held = [], []
-        for w in words:
-            held.append(w)
-            if ends_a_word(w):
-                out.append(" ".join(held))
-                held = []
-        return [*out, " ".join(held)] if held else out
-
-    def add(self, spelling: list[str], ids: list[list[bytes]]) -> int:
-        """Keep the ids (by library) of words spelt so; the first one's number."""
-        first, spelt = len(self.spelt), np.ones(len(spelling), bool)
-        for k, (library, mine) in enumerate(zip(self.libraries, ids)):
-            flat = np.frombuffer(b"".join(mine), np.int32)
-            size = np.array([len(x) // 4 for x in mine], np.int64)
+    def cuts(self, flat: np.ndarray) -> np.ndarray:
+        """The spaces before which the text may be cut (its first character is none)."""
+        at = np.flatnonzero(flat == 0x20)
+        at = at[at > 0]
+        last = flat[at - 1]
+        good = (last > 0x20) & (last < 0x7F)
+        wide = np.flatnonzero(last >= 0x80)
+        p = at[wide]
+        one, two, three = last[wide].astype(np.int64), flat[p - 2].astype(np.int64), flat[p - 3].astype(np.int64)
+        char = np.where(two >= 0xC0, (two & 0x1F) << 6 | one & 0x3F,
+                        np.where(three >> 4 == 0xE, (three & 0xF) << 12 | (two & 0x3F) << 6 | one & 0x3F, 0))
+        good[wide] = self.ends[char]
+        return at[good]
+
+    def add(self, words: list[str], ids: list[tuple[np.ndarray, np.ndarray]]) -> int:
+        """Keep the ids and their numbers (by library) of words spelt so; the first one's number."""
+        first, spelt = len(self.spelt), np.ones(len(words), bool)
+        for k, (library, (flat, size)) in enumerate(zip(self.libraries, ids)):
             if self.check:
-                spelt &= library.spells(flat, size, spelling)
+                spelt &= library.spells(flat, size, words)
+            self.starts[k] = np.concatenate([self.starts[k], self.starts[k][-1] + np.cumsum(size)])
             self.ids[k] = np.concatenate([self.ids[k], flat])
-            self.sizes[k] = np.concatenate([self.sizes[k], size])
         self.spelt = np.concatenate([self.spelt, spelt])
         return first
 
-    def encode(self, texts: list[str]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
-        """By library, the ids of the texts one after the other and the number of ids of each;
+    def hashed(self, flat: np.ndarray, start: np.ndarray, end: np.ndarray, plain: np.ndarray) -> list[np.ndarray]:
+        """Two hashes of stretches of bytes; ``plain`` ones have no space before them."""
+        if len(self.forth) <= len(flat):
+            self.forth, self.back = _powers(_BASE, len(flat)), _powers(_BACK, len(flat))
+        out = []
+        for table in _BYTES:
+            sums = np.zeros(len(flat) + 1, np.uint64)
+            np.cumsum(table[flat] * self.forth[:len(flat)], dtype=np.uint64, out=sums[1:])
+            h = (sums[end] - sums[start]) * self.back[start] + np.where(plain, np.uint64(1 << 40), np.uint64(0))
+            h = (h ^ h >> np.uint64(31)) * np.uint64(0xD6E8FEB86659FD93)
+            out.append(h ^ h >> np.uint64(32))
+        return out
+
+    def encode(self, texts: list[bytes]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+        """By library, the ids of the texts (UTF-8) one after the other and the number of ids of each;
         and (if checked) whether the tokens of every library spell the text, with the space before it."""
-        if len(self.number) > REMEMBERED or not self.apart:
+        if len(self.spelt) > REMEMBERED or not self.apart:
             self.forget()
         if not self.apart:
-            lead = [" " + t for t in texts] if self.lead else texts
-            first = self.add(lead, [[x.tobytes() for x in lib.whole(texts if isinstance(lib, Pieces) else lead)]
-                                    for lib in self.libraries])
+            plain = [t.decode() for t in texts]
+            lead = [" " + t for t in plain] if self.lead else plain
+            first = self.add(lead, [lib.whole(plain if isinstance(lib, Pieces) else lead) for lib in self.libraries])
             return self.joined(np.arange(first, first + len(texts)), np.ones(len(texts), np.int64))
-        number, rows = self.number, [t.split(" ") for t in texts]
-        new = {w for w in set().union(*rows) if w not in number and w not in self.open}
-        still = {w for w in new if w[-1:] not in _ENDS and not ends_a_word(w)}
-        self.open |= still
-        new -= still
-        firsts, passing = [], []
-        for k, row in enumerate(rows):
-            if not self.open.isdisjoint(row):
-                row = rows[k] = self.chunks(row)
-                passing += [w for w in row if w not in number]
-            if not self.lead:
-                firsts.append(row.pop(0))
-        new = [*new, *(set(passing) - new)]
-        first = self.add([" " + w for w in new], [library.spaced(new) for library in self.libraries])
-        number.update(zip(new, range(first, first + len(new))))
-        if firsts:
-            first = self.add(firsts, [[x.tobytes() for x in library.whole(firsts)] for library in self.libraries])
-        at, get = [], number.__getitem__
-        for k, row in enumerate(rows):
-            if firsts:
-                at.append(first + k)
-            at.extend(map(get, row))
-        for w in new:
-            if len(w) > LONGEST or (w[-1:] not in _ENDS and not ends_a_word(w)):
-                del number[w]
-        return self.joined(np.array(at, np.int64), np.array([len(row) + len(firsts[:1]) for row in rows], np.int64))
+        sizes = np.array([len(t) for t in texts], np.int64)
+        ends = np.cumsum(sizes)
+        raw = b"".join(texts)
+        flat = np.frombuffer(raw, np.uint8)
+        cuts = self.cuts(flat)
+        begins = (ends - sizes)[sizes > 0]
+        cuts = np.setdiff1d(cuts, begins, assume_unique=True)
+        # a word is what follows a cut's space, or a text's beginning, up to the next one
+        start = np.concatenate([begins, cuts + 1])
+        end = np.concatenate([begins, cuts])
+        plain = np.zeros(len(start), bool)
+        plain[:len(begins)] = not self.lead
+        order = np.argsort(end)
+        start, plain, end = start[order], plain[order], np.append(end[order][1:], len(flat))
+        one, two = self.hashed(flat, start, end, plain)
+        distinct, which, back = np.unique(one, return_index=True, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.hashes, distinct), max(len(self.hashes) - 1, 0))
+        known = np.zeros(len(distinct), bool)
+        if len(self.hashes):
+            known = (self.hashes[at] == distinct) & (self.seconds[at] == two[which])
+        number = np.zeros(len(distinct), np.int64)
+        number[known] = self.numbers[at[known]]
+        new = np.flatnonzero(~known)
+        for bare in (False, True):
+            mine = new[plain[which[new]] == bare]
+            if len(mine):
+                words = [raw[a:z].decode() for a, z in zip(start[which[mine]].tolist(), end[which[mine]].tolist())]
+                ids = [lib.whole(words) if bare else lib.spaced(words) for lib in self.libraries]
+                first = self.add(words if bare else [" " + w for w in words], ids)
+                number[mine] = np.arange(first, first + len(mine))
+        keep = new[(end - start)[which[new]] <= LONGEST]
+        place = np.searchsorted(self.hashes, distinct[keep])
+        self.hashes = np.insert(self.hashes, place, distinct[keep])
+        self.seconds = np.insert(self.seconds, place, two[which[keep]])
+        self.numbers = np.insert(self.numbers, place, number[keep])
+        counts = np.diff(np.append(np.searchsorted(start, ends - sizes), len(start)))
+        return self.joined(number[back], np.where(sizes > 0, counts, 0))
 
     def joined(self, at: np.ndarray, counts: np.ndarray):
-        """Ids of texts from the numbers of their words (``counts`` words each, at least one)."""
-        begins = np.cumsum(counts) - counts
+        """Ids of texts from the numbers of their words (``counts`` words each)."""
+        bounds = np.concatenate([[0], np.cumsum(counts)])
         out = []
-        for ids, sizes in zip(self.ids, self.sizes):
-            size = sizes[at]
-            skip = (np.cumsum(sizes) - sizes)[at] - (np.cumsum(size) - size)
-            flat = ids[np.repeat(skip, size) + np.arange(size.sum())]
-            out.append((flat, np.add.reduceat(size, begins) if len(at) else np.zeros(0, np.int64)))
-        return out, np.logical_and.reduceat(self.spelt[at], begins) if len(at) else np.zeros(0, bool)
+        for ids, starts in zip(self.ids, self.starts):
+            size = starts[at + 1] - starts[at]
+            total = np.concatenate([[0], np.cumsum(size)])
+            out.append((ids[np.repeat(starts[at] - total[:-1], size) + np.arange(total[-1])], np.diff(total[bounds])))
+        wrong = np.concatenate([[0], np.cumsum(~self.spelt[at])])
+        return out, np.diff(wrong[bounds]) == 0
+
+
+def utf8(text: bytes | None) -> bytes:
+    """The bytes of a text, those that are no UTF-8 replaced (U+FFFD); null is empty."""
+    if not text:
+        return b""
+    try:
+        text.decode()
+    except UnicodeDecodeError:
+        return text.decode("utf-8", "replace").encode()
+    return text
 
 
 def remembered(state: dict, name: str, build):
