@@ -1,283 +1,500 @@
 """Large dictionaries: anchor join (M3) and overlap resolution (M5).
 
-When a dictionary is too large for one regex, matching becomes an equi-join.
-Every pattern gets an *anchor*: the hash of its first ``a = min(q, len)``
-characters; a long pattern (``len >= q + K - 1``) instead contributes its
-``q``-grams at offsets ``0 .. K-1``. Documents are cut into chunks of ``C``
-characters (plus an overlap of ``max_len - 1`` characters so a pattern starting
-in a chunk can be checked inside it); each position of a chunk's own part
-yields the hash of the next ``a`` characters for the short classes, and every
-``K``-th position does so for the long class. Equal hashes are candidates,
-verified by comparing the text itself. The output holds *every* occurrence,
-overlapping ones included; ``resolve_overlaps`` then keeps the leftmost-shortest
-non-overlapping ones, which equals the regex path.
-
-Scale notes:
-* chunking is one regex pass per document (no quadratic ``substring``), so a
-  document of any size becomes bounded rows;
-* positions are filtered where they are made, against an inlined hash set or a
-  broadcast table of hashes of bounded size (in several passes over the corpus
-  if there are more), so only candidates leave the chunk row; these are joined
-  with the anchors (shuffled, or broadcast below a checked size);
-* overlap resolution is split into independent clusters of overlapping
-  candidates, found with windows partitioned by (document, block), so no
-  document is ever gathered into one task.
+When a dictionary is too large for one regex, matching becomes an equi-join on
+hashes. A pattern's *anchor* is one of its stretches: the whole of a pattern
+shorter than ``q`` characters, else ``q`` characters of it, from its start or, where
+many patterns share that, from the offset whose characters are rarest in the corpus
+and the dictionary (count-min sketches of both). Tasks hash the stretches of every
+place of the corpus from running sums (``functions.texthash``); a place whose hash
+is an anchor's is a candidate. The hash of the whole pattern is then compared with
+the one at that place, which costs the same for any length, and what agrees is
+compared as text. The output holds *every* occurrence, overlapping ones included;
+``resolve_overlaps`` keeps the leftmost-shortest non-overlapping ones, which equals
+the regex path.
+
+Two routes, chosen by the dictionary's checked size:
+
+* up to ``broadcast_rows`` patterns and ``broadcast_chars`` characters, tasks get the
+  patterns themselves and the whole search is one pass without a shuffle;
+* beyond, tasks get a blocked Bloom filter of all anchors (at most 64 MB, built by
+  a distributed bit aggregation), so that one scan of the corpus finds the
+  candidates whatever the number of patterns. They are joined with the anchors as
+  numbers, and meet their texts again cut into segments no shorter than the
+  longest pattern, so that a document of any length is spread over tasks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import checkpoint_root
-from .dictionary import active_dictionary, apply_alias, first_per_pattern, valid_rows
+from ..functions.texthash import Bloom, KeySet, Rolling, codes, mix, windows
+from ..session import written
+from .dictionary import active_dictionary, apply_alias, first_per_pattern
 from .search import _keys
 
 DEFAULT_Q = 16
-DEFAULT_CHUNK = 512
-DEFAULT_STEP = 64
+SEGMENT = 1 << 18  # characters of a document verified together (the longest pattern, if longer)
+SHARED_BY = 32  # patterns with one anchor before rarer ones are looked for
+SLOTS = 1 << 16  # counters in each of the two rows of a sketch
+BLOOM_BITS, MAX_WORDS = 16, 1 << 23  # bits per anchor, and 64-bit words of the filter at most
+ROW = "_row"
 
 
-def _gram_hashes(ck: Column, own: Column, a: int, k: int) -> Column:
-    """``array<struct<p, a, k, h>>``: hashes of ``a``-grams at every ``k``-th chunk position.
+def _plain(batch: pa.RecordBatch, column: int) -> list:
+    """A text column as Python strings (bytes that are no UTF-8 as U+FFFD)."""
+    return [None if b is None else b.decode("utf-8", "replace")
+            for b in batch.column(column).cast(pa.binary()).to_pylist()]
 
-    With ``k = 1`` every position of the chunk's own part; with ``k > 1`` the
-    sampled positions run ``k - 1`` into the overlap so each occurrence that
-    starts in the own part has exactly one sampled position inside its first
-    ``k`` characters. ``substring`` counts characters from the chunk start, so
-    a position costs O(chunk) byte steps at worst; chunks are short.
-    """
-    last = own - 1 if k == 1 else own + (k - 2)
-    return F.transform(
-        F.sequence(F.lit(0), last, F.lit(k)),
-        lambda p: F.struct(p.alias("p"), F.lit(a).alias("a"), F.lit(k).alias("k"),
-                           F.xxhash64(F.substring(ck, p + 1, a)).alias("h")))
-
-
-def anchor_table(dictionary: DataFrame, q: int = DEFAULT_Q, step: int = DEFAULT_STEP,
-                 alias=None, drop_shadowed: bool = True) -> DataFrame:
-    """Active patterns with their anchors ``(a, k, o, h)``.
-
-    A pattern of length at least ``q + step - 1`` is *long*: it is found from
-    document grams sampled every ``step`` positions, so it contributes the
-    hashes of its ``q``-grams at offsets ``o = 0 .. step-1``. Any other pattern
-    is anchored on its first ``a = min(q, len)`` characters (``k = 1, o = 0``)
-    and is looked up at every position. ``drop_shadowed=False`` keeps patterns
-    that have another pattern as a prefix (for containment, not matching).
+
+def _anchor_key(hashes: np.ndarray, length) -> np.ndarray:
+    return mix(hashes ^ mix(np.asarray(length, np.uint64)))
+
+
+def _slots(keys: np.ndarray) -> list[np.ndarray]:
+    return [(keys >> np.uint64(48)).astype(np.int64), (keys >> np.uint64(32) & np.uint64(SLOTS - 1)).astype(np.int64)]
+
+
+def gram_sketch(df: DataFrame, text: str, q: int) -> np.ndarray:
+    """Count-min sketch of the ``q``-grams of all texts: two rows of ``SLOTS`` counters."""
+    def run(batches):
+        sums = np.zeros((2, SLOTS), np.int64)
+        for b in batches:
+            for w in windows(_plain(b, 0), q - 1):
+                keys = _anchor_key(Rolling(w.codes).grams(q)[:w.own], q)
+                for r, s in enumerate(_slots(keys)):
+                    sums[r] += np.bincount(s, minlength=SLOTS)
+        flat = sums.ravel()
+        at = np.flatnonzero(flat)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(flat[at])], ["slot", "n"])
+
+    got = df.select(F.col(text).alias("t")).mapInArrow(run, "slot bigint, n bigint").groupBy("slot").agg(
+        F.sum("n").alias("n")).toArrow()  # 2 * SLOTS rows at most
+    out = np.zeros(2 * SLOTS, np.int64)
+    out[got.column("slot").to_numpy()] = got.column("n").to_numpy()
+    return out.reshape(2, SLOTS)
+
+
+def anchor_table(patterns: DataFrame, q: int = DEFAULT_Q, corpus: np.ndarray | None = None,
+                 own: np.ndarray | None = None) -> DataFrame:
+    """``patterns(line_no, pattern, replacement_id)`` with their anchors.
+
+    Adds ``plen``, the anchor's length ``a`` and offset ``o``, its key ``h`` and the
+    hash ``full`` of the whole pattern. With sketches of the corpus and of the
+    dictionary, ``o`` is where the product of both counts is least.
     """
+    def run(batches):
+        for b in batches:
+            rows = []
+            for p in _plain(b, 1):
+                h = Rolling(codes(p))
+                n, o = len(h.sums) - 1, 0
+                a = min(n, q)
+                keys = _anchor_key(h.grams(a), a)
+                if corpus is not None and n > a:
+                    seen, mine = [np.minimum(*[row[s] for row, s in zip(sketch, _slots(keys))]) for sketch in (corpus, own)]
+                    o = int(np.argmin((seen + 1.0) * mine))
+                rows.append((n, a, o, keys[o], h.at(np.zeros(1, np.int64), np.array([n]))[0]))
+            cols = list(zip(*rows)) if rows else [()] * 5
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns, *[pa.array(np.array(c, np.int32)) for c in cols[:3]],
+                 *[pa.array(np.array(c, np.uint64).view(np.int64)) for c in cols[3:]]],
+                ["line_no", "pattern", "replacement_id", "plen", "a", "o", "h", "full"])
+
+    src = patterns.select(F.col("line_no").cast("int"), "pattern", F.col("replacement_id").cast("int"))
+    return src.mapInArrow(run, "line_no int, pattern string, replacement_id int, plen int, a int, o int, h bigint, "
+                               "full bigint")
+
+
+def _anchors(df: DataFrame, text: str, dictionary: DataFrame, q: int, alias, drop_shadowed: bool) -> DataFrame:
+    """The written anchor table of the patterns to be found."""
     if drop_shadowed:
         act = active_dictionary(dictionary, alias)
     else:
         # containment has no rule about NUL: only an empty pattern is left out
         act = first_per_pattern((apply_alias(dictionary, alias) if alias else dictionary).where(
             "length(pattern) > 0"))
-    plen = F.length("pattern")
-    long_ = plen >= q + step - 1
-    base = act.select("line_no", "pattern", "replacement_id", plen.cast("int").alias("plen"),
-                      F.when(long_, F.lit(q)).otherwise(F.least(plen, F.lit(q))).cast("int").alias("a"),
-                      F.when(long_, F.lit(step)).otherwise(F.lit(1)).alias("k"))
-    out = base.select("*", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("o"))
-    return out.withColumn("h", F.xxhash64(F.expr("substring(pattern, o + 1, a)")))
-
-
-ROW = "_row"
+    anchors = written(anchor_table(act, q), "anchors")
+    most = anchors.where("plen > a").groupBy("h").count().agg(F.max("count").alias("n")).first()["n"]
+    if most is not None and most > SHARED_BY:
+        own = gram_sketch(anchors.where("plen >= a"), "pattern", q)
+        anchors = written(anchor_table(anchors, q, gram_sketch(df, text, q), own), "anchors")
+    return anchors
+
+
+class Patterns:
+    """The anchors of a dictionary that fits in memory, by anchor length."""
+
+    def __init__(self, table: dict[str, np.ndarray]):
+        self.full, self.plen = table["full"].view(np.uint64), table["plen"].astype(np.int64)
+        self.classes = []
+        for a in np.unique(table["a"]):
+            mine = np.flatnonzero(table["a"] == a)
+            keys = table["h"][mine].view(np.uint64)
+            order = np.argsort(keys, kind="stable")
+            found = KeySet(keys)
+            first = np.searchsorted(keys[order], found.keys)
+            self.classes.append((int(a), found, np.append(first, len(mine)), mine[order], table["o"][mine][order]))
+
+    def occurrences(self, hashes: Rolling, own: int) -> tuple[np.ndarray, np.ndarray]:
+        """Start and pattern of the places whose anchor and whole hash agree with a pattern's."""
+        starts, which = [], []
+        size = len(hashes.sums) - 1
+        for a, found, first, pattern, offset in self.classes:
+            at, key = found.find(_anchor_key(hashes.grams(a), a))
+            many = (first[1:] - first[:-1])[key]
+            entry = np.repeat(first[key] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            p = pattern[entry]
+            s = np.repeat(at, many) - offset[entry]
+            inside = np.flatnonzero((s >= 0) & (s < own) & (s + self.plen[p] <= size))
+            s, p = s[inside], p[inside]
+            same = hashes.at(s, self.plen[p]) == self.full[p]
+            starts.append(s[same])
+            which.append(p[same])
+        return np.concatenate(starts), np.concatenate(which)
+
+
+def _empty(df: DataFrame, keys: list[str], row_id: bool) -> DataFrame:
+    return df.sparkSession.createDataFrame(
+        [], T.StructType([*df.select(*keys).schema.fields, *([T.StructField(ROW, T.LongType())] if row_id else []),
+                          *_FOUND]))
+
+
+_FOUND = [T.StructField("start", T.IntegerType()), T.StructField("length", T.IntegerType()),
+          T.StructField("text", T.StringType()), T.StructField("replacement_id", T.IntegerType()),
+          T.StructField("line_no", T.IntegerType())]
 
 
 def find_candidates(df: DataFrame, dictionary: DataFrame, key: str | Sequence[str] = "doc_id",
-                    text: str = "text", q: int = DEFAULT_Q, chunk: int = DEFAULT_CHUNK,
-                    inline_limit: int = 20_000, broadcast_rows: int = 200_000,
-                    broadcast_chars: int = 1 << 25,
-                    alias=None, step: int = DEFAULT_STEP, drop_shadowed: bool = True,
-                    hash_limit: int = 4_000_000, row_id: bool = False) -> DataFrame:
+                    text: str = "text", q: int = DEFAULT_Q, broadcast_rows: int = 500_000,
+                    broadcast_chars: int = 1 << 25, alias=None, drop_shadowed: bool = True,
+                    row_id: bool = False) -> DataFrame:
     """M3: every occurrence of every active pattern.
 
     ``<key>, start INT, length INT, text STRING, replacement_id INT, line_no INT``
     and, with ``row_id``, ``_row``: a number of the document's own, so that rows
     with a null or repeated key stay apart (the key itself is only carried).
-
-    Positions are filtered where they are made: against an inlined hash set, or
-    against a broadcast table of hashes alone of at most ``hash_limit`` entries.
-    A dictionary with more hashes is searched in as many passes, each over its
-    share of the hashes; unfiltered positions are never shuffled.
     """
-    keys = _keys(key)
-    # computed once and written to the shared checkpoint folder: the stats, the
-    # inlined hash set and the join all read it, and its lineage is cut
-    checkpoint_root(df.sparkSession)
-    anchors = anchor_table(dictionary, q, step, alias, drop_shadowed).checkpoint(eager=True)
-    st = anchors.agg(F.count(F.lit(1)).alias("n"), F.max("plen").alias("max_len"),
-                     F.sum("plen").alias("chars"),
-                     F.sort_array(F.collect_set(F.struct("a", "k"))).alias("classes"),
-                     F.approx_count_distinct("h").alias("nh")).first()
+    given = _keys(key)
+    anchors = _anchors(df, text, dictionary, q, alias, drop_shadowed)
+    st = anchors.agg(F.count(F.lit(1)).alias("n"), F.max("plen").alias("longest"), F.sum("plen").alias("chars"),
+                     F.sort_array(F.collect_set("a")).alias("classes")).first()
     if not st["n"]:
-        return df.sparkSession.createDataFrame(
-            [], T.StructType([*df.select(*keys).schema.fields, *(
-                [T.StructField(ROW, T.LongType())] if row_id else []), T.StructField("start", T.IntegerType()),
-                T.StructField("length", T.IntegerType()), T.StructField("text", T.StringType()),
-                T.StructField("replacement_id", T.IntegerType()), T.StructField("line_no", T.IntegerType())]))
-    passes = -(-int(st["nh"]) // hash_limit)
+        return _empty(df, given, row_id)
     # the key travels as one struct, so that its columns clash with none of these
-    given, keys = keys, ["_keys"]
-    df = df.select(F.struct(*given).alias("_keys"), F.col(text).alias("_text"))
-    text = "_text"
-    if row_id:
-        df = df.withColumn(ROW, F.monotonically_increasing_id())
-        keys = ["_keys", ROW]
-        if passes > 1:  # the passes have to see the same numbers
-            df = df.checkpoint(eager=True)
-    max_len = int(st["max_len"])
-    classes = [(int(c["a"]), int(c["k"])) for c in st["classes"]]
-    size = max(chunk, max_len)
-    ov = max_len - 1
-
-    # chunks: one regex pass; each chunk carries the next chunk's first ov chars
-    parts = F.regexp_extract_all(F.col(text), F.lit(f"(?s).{{1,{size}}}"), 0)
-    with_ov = F.transform(F.array(parts), lambda a: F.transform(
-        a, lambda c, i: F.struct(
-            c.alias("own"),
-            F.concat(c, F.coalesce(F.substring(F.try_element_at(a, i + 2), 1, ov),
-                                   F.lit(""))).alias("ck"))))[0]
-    chunks = df.select(*keys, F.posexplode(with_ov).alias("ci", "c")).select(
-        *keys, "ci", F.length("c.own").alias("own"), F.col("c.ck").alias("ck"))
-
-    grams = F.flatten(F.array(*[_gram_hashes(F.col("ck"), F.col("own"), a, k) for a, k in classes]))
-
-    small = anchors.select("a", "k", "o", "h", "pattern", "plen", "replacement_id", "line_no")
-    # broadcast only an anchor table of checked size; beyond it a shuffled join
+    docs = df.select(F.struct(*given).alias("_keys"), F.col(text).alias("_text"),
+                     F.monotonically_increasing_id().alias(ROW))
     if st["n"] <= broadcast_rows and st["chars"] <= broadcast_chars:
-        small = F.broadcast(small)
-
-    if st["nh"] <= inline_limit:
-        hs = [r["h"] for r in anchors.select("h").distinct().collect()]
-        # one SQL string for the hash set: parsed once on the JVM side, and
-        # turned into a hash-set lookup by the optimizer
-        keep = F.expr("filter(_g, g -> g.h IN (" + ",".join(str(h) for h in hs) + "))")
-        cand = (chunks
-                .select(*keys, "ci", "own", "ck", grams.alias("_g"))
-                .select(*keys, "ci", "own", "ck", F.explode(keep).alias("g"))
-                .select(*keys, "ci", "own", "ck", F.col("g.p").alias("p"), F.col("g.a").alias("a"),
-                        F.col("g.k").alias("k"), F.col("g.h").alias("h"))
-                .join(small, ["a", "k", "h"]))
+        found = _search(docs, anchors, int(st["longest"]))
     else:
-        pos = chunks.select(*keys, "ci", "own", "ck", F.explode(grams).alias("g")).select(
-            *keys, "ci", "own", "ck", F.col("g.p").alias("p"), F.col("g.a").alias("a"),
-            F.col("g.k").alias("k"), F.col("g.h").alias("h"))
-        cand = None
-        for i in range(passes):
-            mine = F.pmod("h", F.lit(passes)) == i
-            known = anchors.where(mine).select("h").distinct()
-            got = pos.join(F.broadcast(known), "h", "left_semi").join(small, ["a", "k", "h"])
-            cand = got if cand is None else cand.unionByName(got)
-
-    # the occurrence starts o characters before the sampled position, inside
-    # this chunk's own part, and its text must equal the pattern
-    s_rel = F.col("p") - F.col("o")
-    ok = ((s_rel >= 0) & (s_rel < F.col("own"))
-          & (F.substring(F.col("ck"), s_rel + 1, F.col("plen")) == F.col("pattern")))
-    return cand.where(ok).select(
-        *[F.col("_keys").getField(k).alias(k) for k in given], *keys[1:], (F.col("ci") * F.lit(size) + s_rel).cast("int").alias("start"),
-        F.col("plen").alias("length"), F.col("pattern").alias("text"),
-        F.col("replacement_id").cast("int").alias("replacement_id"),
-        F.col("line_no").cast("int").alias("line_no"))
+        found = _join(written(docs, "documents"), anchors, int(st["n"]), int(st["longest"]), list(st["classes"]))
+    return found.select(*[F.col("_keys").getField(k).alias(k) for k in given], *([ROW] if row_id else []),
+                        *[f.name for f in _FOUND])
+
+
+def _search(docs: DataFrame, anchors: DataFrame, longest: int) -> DataFrame:
+    """One pass over the corpus with the patterns in the tasks (their size has been checked)."""
+    got = anchors.toArrow()
+    texts = got.column("pattern").to_pylist()
+    table = {c: got.column(c).to_numpy() for c in ("plen", "a", "o", "h", "full", "replacement_id", "line_no")}
+    shared = docs.sparkSession.sparkContext.broadcast((table, texts))
+
+    def run(batches):
+        table, patterns = shared.value
+        model = Patterns(table)
+        for b in batches:
+            bodies = _plain(b, 1)
+            for w in windows(bodies, longest - 1):
+                at, p = model.occurrences(Rolling(w.codes), w.own)
+                row, start = w.locate(at)
+                same = [bodies[r].startswith(patterns[k], s) for r, s, k in zip(row.tolist(), start.tolist(), p.tolist())]
+                keep = np.flatnonzero(np.array(same, bool))
+                row, start, p = pa.array(row[keep]), start[keep], p[keep]
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(row), b.column(2).take(row), pa.array(start.astype(np.int32)),
+                     pa.array(table["plen"][p]), pa.array([patterns[k] for k in p.tolist()], pa.string()),
+                     pa.array(table["replacement_id"][p]), pa.array(table["line_no"][p])],
+                    ["_keys", ROW, *[f.name for f in _FOUND]])
+
+    kind = T.StructType([docs.schema["_keys"], docs.schema[ROW], *_FOUND])
+    return docs.mapInArrow(run, kind)
+
+
+def bloom_words(keys: DataFrame, n: int, bits: int = BLOOM_BITS) -> np.ndarray:
+    """The words of a blocked Bloom filter of ``keys(h)``, ``n`` of them.
+
+    Bits are put together per word by Spark; the driver receives one row per word
+    that is not empty, ``MAX_WORDS`` at most.
+    """
+    size = min(MAX_WORDS, max(1 << 10, 1 << (n * bits // 64).bit_length()))
+    shift = np.uint64(64 - (size.bit_length() - 1))
+
+    def run(batches):
+        for b in batches:
+            k = np.unique(b.column(0).to_numpy().view(np.uint64))  # in the order of their words
+            word = (k >> shift).astype(np.int64)
+            first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])[:len(word)])
+            mask = np.bitwise_or.reduceat(Bloom.masks(k), first) if len(k) else k
+            yield pa.RecordBatch.from_arrays([pa.array(word[first]), pa.array(mask.view(np.int64))], ["word", "bits"])
+
+    got = keys.mapInArrow(run, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(size, np.uint64)
+    out[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def _join(docs: DataFrame, anchors: DataFrame, n: int, longest: int, classes: list[int]) -> DataFrame:
+    """Candidates by one scan against the Bloom filter, joined with the anchors and verified by segment."""
+    words = docs.sparkSession.sparkContext.broadcast(bloom_words(anchors.select("h"), n))
+
+    def scan(batches):
+        bloom = Bloom(words.value, np.zeros(0, np.uint64))
+        for b in batches:
+            for w in windows(_plain(b, 1), max(classes) - 1):
+                hashes = Rolling(w.codes)
+                for a in classes:
+                    keys = _anchor_key(hashes.grams(a)[:w.own], a)
+                    at = np.flatnonzero(bloom.has(keys))
+                    row, place = w.locate(at)
+                    yield pa.RecordBatch.from_arrays(
+                        [b.column(0).take(pa.array(row)), pa.array(place), pa.array(keys[at].view(np.int64))],
+                        [ROW, "p", "h"])
+
+    segment = max(SEGMENT, longest)
+    cand = docs.select(ROW, "_text").mapInArrow(scan, f"{ROW} bigint, p bigint, h bigint")
+    cand = cand.join(anchors.select("h", "o", "plen", "full"), "h").where(F.col("p") >= F.col("o"))
+    start = (F.col("p") - F.col("o")).alias("s")
+    cand = cand.select(ROW, start, "plen", "full").withColumn("seg", F.floor(F.col("s") / segment).cast("int"))
+    cand = cand.groupBy(ROW, "seg").agg(F.collect_list(F.struct("s", "plen", "full")).alias("c"))
+    # every segment carries the beginning of the next one
+    parts = F.regexp_extract_all(F.col("_text"), F.lit(f"(?s).{{1,{segment}}}"), 0)
+    with_next = F.transform(F.array(parts), lambda a: F.transform(a, lambda t, i: F.concat(
+        t, F.coalesce(F.substring(F.try_element_at(a, i + 2), 1, longest - 1), F.lit("")))))[0]
+    texts = docs.select("_keys", ROW, F.posexplode(with_next).alias("seg", "t"))
+
+    def verify(batches):
+        for b in batches:
+            for k, t in enumerate(_plain(b, 2)):
+                before = b.column(3)[k].as_py() * segment
+                start, plen, full = (x.to_numpy() for x in b.column(4)[k].values.flatten())
+                s, hashes = start - before, Rolling(codes(t))
+                inside = np.flatnonzero(s + plen < len(hashes.sums))
+                s, plen, full = s[inside], plen[inside], full[inside]
+                same = hashes.at(s, plen.astype(np.int64)) == full.view(np.uint64)
+                s, plen = s[same], plen[same]
+                row = pa.array(np.full(len(s), k))
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(row), b.column(1).take(row), pa.array((s + before).astype(np.int32)),
+                     pa.array(plen), pa.array([t[x:x + y] for x, y in zip(s.tolist(), plen.tolist())], pa.string())],
+                    ["_keys", ROW, "start", "length", "text"])
+
+    kind = T.StructType([docs.schema["_keys"], docs.schema[ROW], *_FOUND[:3]])
+    found = texts.join(cand, [ROW, "seg"]).select("_keys", ROW, "t", "seg", "c").mapInArrow(verify, kind)
+    # equal hashes are matches only if the text is a pattern's
+    return found.join(anchors.select(F.col("pattern").alias("text"), "replacement_id", "line_no"), "text")
 
 
 RESOLVE_BLOCK = 4096
 
 
+def _numbers(t: pa.Table, n_keys: int) -> np.ndarray:
+    """0-based number of the run of equal keys that each row belongs to."""
+    new = np.zeros(t.num_rows, bool)
+    for k in range(n_keys):
+        code = t.column(k).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+        new[1:] |= code[1:] != code[:-1]
+    return np.cumsum(new)
+
+
+def _blocks(batches, n_keys: int):
+    """Tables of whole blocks, from batches of rows sorted by block, and the number of each row's block."""
+    held = None
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        held = (t if held is None else pa.concat_tables([held, t])).combine_chunks()
+        number = _numbers(held, n_keys)
+        if len(number) and number[-1]:  # the last block may go on
+            cut = int(np.searchsorted(number, number[-1]))
+            yield held.slice(0, cut), number[:cut]
+            held = held.slice(cut)
+    if held is not None and held.num_rows:
+        yield held, _numbers(held, n_keys)
+
+
+def _firsts(number: np.ndarray) -> np.ndarray:
+    """Whether each row is the first of its block."""
+    return np.concatenate([[True], number[1:] != number[:-1]])
+
+
+def _next_in_block(number: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The first candidate of the same block that starts at or after each one's end, or the number
+    of candidates (which is also its own successor)."""
+    n, span = len(start), int(end.max()) + 1
+    nxt = np.searchsorted(number * span + start, number * span + end)
+    same = nxt < n
+    same[same] = number[nxt[same]] == number[same]
+    return np.append(np.where(same, nxt, n), n)
+
+
+def _same(a: str, b: str, cols: Sequence[str]) -> list[Column]:
+    return [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in cols]
+
+
 def resolve_overlaps(cands: DataFrame, key: str | Sequence[str] = "doc_id",
                      block: int = RESOLVE_BLOCK) -> DataFrame:
     """M5: from all occurrences to ``<key>, ordinal, start, end, length, text, replacement_id``.
 
-    The greedy choice depends on the last *kept* match, but it restarts at any
-    *fresh* candidate, one that starts at or after the end of every earlier
-    candidate. So candidates are cut into independent clusters, and only a
-    cluster is resolved sequentially (a linear pass in ``applyInPandas``).
-    Nothing is grouped by document: documents are cut into blocks of
-    ``block`` characters, running maxima are carried from block to block
-    through tables with one row per block, and the windows are partitioned by
-    (document, block), so a document holding a third of all candidates is
-    spread over many tasks. Only a single chain of overlapping candidates,
-    which is sequential by nature, stays in one group.
+    The greedy choice depends on the end of the last *kept* match. A document is
+    cut into blocks (of ``block`` characters, more if the longest match is longer),
+    and what happens in a block is a function of the place where it is entered: the
+    end of the last match kept before. Three steps, none of which gathers a document:
+
+    1. per block, where the chain from each place of entry leaves off;
+    2. most blocks leave off at one place wherever they are entered, which gives the
+       next one's entry; runs of other blocks (matches that overlap throughout, as
+       ``aa`` in ``aaaa...``) are followed by pointer doubling over (block, entry), in
+       as many rounds as the logarithm of the longest run;
+    3. each block keeps the chain from its entry.
     """
     keys = _keys(key)
     # the document's own number tells documents apart; without one the key has to
     doc = [ROW] if ROW in cands.columns else keys
     carried = keys if doc != keys else []
+    seen = Observation("candidates")
+    c = written(cands.select(*doc, *carried, "start", "length", "text", "replacement_id")
+                .observe(seen, F.max("length").alias("n")), "candidates")
+    longest = seen.get["n"] or 0
+    size = max(block, longest)
     kb = [*doc, "_blk"]
-    # candidates feed several branches below: materialise them once in the
-    # shared checkpoint folder instead of rescanning the corpus per branch
-    checkpoint_root(cands.sparkSession)
-    c = cands.select(*doc, *carried, "start", "length", "text", "replacement_id").withColumns({
-        "end": F.col("start") + F.col("length"),
-        "_blk": F.floor(F.col("start") / F.lit(block)).cast("int")}).checkpoint(eager=True)
-    before_blocks = Window.partitionBy(*doc).orderBy("_blk").rowsBetween(
-        Window.unboundedPreceding, -1)
-    in_block = Window.partitionBy(*kb).orderBy("start", "length")
-    before_in_block = in_block.rowsBetween(Window.unboundedPreceding, -1)
-    upto_in_block = in_block.rowsBetween(Window.unboundedPreceding, 0)
-
-    # 1. fresh candidates: start >= max end of everything before (carried across blocks)
-    carry_end = c.groupBy(*kb).agg(F.max("end").alias("_bmax")).select(
-        *kb, F.max("_bmax").over(before_blocks).alias("_carry_end"))
-    c = c.join(carry_end, kb).withColumn("_prev_end", F.greatest(
-        F.coalesce("_carry_end", F.lit(-1)),
-        F.coalesce(F.max("end").over(before_in_block), F.lit(-1))))
-    c = c.withColumn("_fresh", F.when(F.col("start") >= F.col("_prev_end"), F.col("start")))
-    c = c.checkpoint(eager=True)
-    # 2. cluster = start of the last fresh candidate at or before this one
-    carry_fresh = c.groupBy(*kb).agg(F.max("_fresh").alias("_bf")).select(
-        *kb, F.max("_bf").over(before_blocks).alias("_carry_fresh"))
-    c = c.join(carry_fresh, kb).withColumn("_cluster", F.greatest(
-        F.coalesce("_carry_fresh", F.lit(-1)),
-        F.coalesce(F.max("_fresh").over(upto_in_block), F.lit(-1))))
-
-    # 3. greedy inside each cluster: clusters hashed over tasks, sorted, one
-    #    pass per Arrow batch (state carried across batches of a partition)
-    cols = [*doc, *carried, "_cluster", "start", "length", "text", "replacement_id"]
-    gk = [*doc, "_cluster"]
-    kept_schema = c.select(*cols).schema
-
-    def run(batches):
-        prev, last_end = None, -1
-        for pdf in batches:
-            starts = pdf["start"].to_numpy()
-            ends = starts + pdf["length"].to_numpy()
-            groups = list(zip(*[pdf[k].tolist() for k in gk]))
-            keep = [False] * len(pdf)
-            for i, g in enumerate(groups):
-                if g != prev:
-                    prev, last_end = g, -1
-                if starts[i] >= last_end:
-                    keep[i] = True
-                    last_end = ends[i]
-            yield pdf[keep]
-
-    kept = (c.select(*cols).repartition(*gk)
-             .sortWithinPartitions(*gk, "start", "length")
-             .mapInPandas(run, kept_schema))
-
-    # 4. ordinal = kept matches in earlier blocks + rank inside the block
-    kept = kept.withColumn("_blk", F.floor(F.col("start") / F.lit(block)).cast("int"))
-    per_block = kept.groupBy(*kb).agg(F.count(F.lit(1)).alias("_n")).select(
-        *kb, F.coalesce(F.sum("_n").over(before_blocks), F.lit(0)).alias("_off"))
-    out = kept.join(per_block, kb).withColumn(
-        "ordinal", (F.col("_off") + F.row_number().over(in_block) - 1).cast("int"))
-    return out.select(
-        *keys, "ordinal", F.col("start").cast("int").alias("start"),
-        (F.col("start") + F.col("length")).cast("int").alias("end"),
-        F.col("length").cast("int").alias("length"), "text",
-        F.col("replacement_id").cast("int").alias("replacement_id"))
+    nk, at = len(kb), len(kb) + len(carried)
+    c = c.withColumn("_blk", F.floor(F.col("start") / size).cast("bigint"))
+    entries = _entries(c, doc, size, longest)
+
+    def keep(batches):
+        for t, number in _blocks(batches, nk):
+            start = t.column(at).to_numpy().astype(np.int64)
+            jump = _next_in_block(number, start, start + t.column(at + 1).to_numpy())
+            first = _firsts(number)
+            ok = start >= t.column(t.num_columns - 1).to_numpy()
+            kept = np.zeros(len(start) + 1, bool)
+            kept[-1] = True  # where every chain ends
+            # the first candidate at or after the entry, then its chain by doubling
+            kept[:-1] = ok & (first | ~np.concatenate([[False], ok[:-1]]))
+            while True:
+                to = jump[kept]
+                if kept[to].all():
+                    break
+                kept[to] = True
+                jump = jump[jump]
+            mine = np.flatnonzero(kept[:-1])
+            before = np.cumsum(kept[:-1]) - kept[:-1]
+            rank = before - before[np.flatnonzero(first)][number - number[0]]
+            out = t.take(pa.array(mine)).select(list(range(t.num_columns - 1)))
+            yield from out.append_column("_rank", pa.array(rank[mine])).combine_chunks().to_batches()
+
+    rows = c.alias("c").join(entries.alias("e"), _same("c", "e", kb), "left").select(
+        *[F.col(f"c.{k}").alias(k) for k in [*kb, *carried]], "start", "length", "text", "replacement_id",
+        F.coalesce("x", F.lit(0)).cast("bigint").alias("x"))
+    kind = T.StructType([*rows.drop("x").schema.fields, T.StructField("_rank", T.LongType())])
+    kept = written(rows.repartition(*kb).sortWithinPartitions(*kb, "start", "length").mapInArrow(keep, kind), "kept")
+    earlier = Window.partitionBy(*doc).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = kept.groupBy(*kb).agg(F.count(F.lit(1)).alias("_n")).select(
+        *kb, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_off"))
+    return kept.alias("k").join(offsets.alias("o"), _same("k", "o", kb)).select(
+        *[F.col(f"k.{k}").alias(k) for k in keys], (F.col("_off") + F.col("_rank")).cast("int").alias("ordinal"),
+        F.col("start").cast("int").alias("start"), (F.col("start") + F.col("length")).cast("int").alias("end"),
+        F.col("length").cast("int").alias("length"), "text", F.col("replacement_id").cast("int").alias("replacement_id"))
+
+
+def _entries(c: DataFrame, doc: list[str], size: int, longest: int) -> DataFrame:
+    """``<doc>, _blk, x``: the place where blocks of ``c`` are entered, if it is not their beginning.
+
+    No match is longer than a block, so a block is entered less than ``longest``
+    beyond its beginning, and only where the block before it has candidates.
+    """
+    kb = [*doc, "_blk"]
+    nk = len(kb)
+
+    def summarise(batches):
+        for t, number in _blocks(batches, nk):
+            start = t.column(nk).to_numpy().astype(np.int64)
+            end = start + t.column(nk + 1).to_numpy()
+            last = np.arange(len(start))
+            nxt = _next_in_block(number, start, end)
+            last = np.where(nxt[:-1] < len(start), nxt[:-1], last)
+            while not np.array_equal(last[last], last):
+                last = last[last]
+            leave, first = end[last], _firsts(number)
+            # candidates that can be the first after an entry; runs of them that leave off at one place
+            begin = t.column(nk - 1).to_numpy() * size
+            can = first | (np.concatenate([[0], start[:-1]]) < begin + longest)
+            can = np.flatnonzero(can)
+            ends = np.append((leave[can][1:] != leave[can][:-1]) | (number[can][1:] != number[can][:-1]), True)
+            run = can[ends]
+            blocks = np.flatnonzero(first)
+            offsets = np.append(np.searchsorted(number[run], number[blocks]), len(run))
+            yield pa.RecordBatch.from_arrays(
+                [*[x.combine_chunks() for x in t.select(list(range(nk))).take(pa.array(blocks)).columns],
+                 pa.array(np.maximum.reduceat(end, blocks)),
+                 pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(start[run])),
+                 pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(leave[run]))],
+                [*kb, "reach", "upto", "leave"])
+
+    kind = T.StructType([*[c.schema[k] for k in kb], T.StructField("reach", T.LongType()),
+                         T.StructField("upto", T.ArrayType(T.LongType())),
+                         T.StructField("leave", T.ArrayType(T.LongType()))])
+    blocks = (c.select(*kb, "start", "length").repartition(*kb).sortWithinPartitions(*kb, "start", "length")
+              .mapInArrow(summarise, kind))
+    in_doc = Window.partitionBy(*doc).orderBy("_blk")
+    near = F.lag("_blk").over(in_doc) == F.col("_blk") - 1
+    # entered beyond the last candidate of its first run, a block may leave off elsewhere
+    blocks = blocks.select("*", F.when(near, F.lag("leave").over(in_doc)).alias("from"),
+                           (F.when(near, F.lag("reach").over(in_doc)) > F.col("upto")[0]).alias("open"))
+    blocks = blocks.withColumn("open", F.coalesce("open", F.lit(False)))
+    blocks = blocks.withColumn("after", F.when(F.col("from").isNotNull(), F.lag("open").over(in_doc)))
+    seen = Observation("blocks")
+    blocks = written(blocks.observe(seen, F.count_if("open").alias("n")), "blocks")
+    begin = F.col("_blk") * size
+    heads = blocks.where("not after").select(*kb, F.greatest(F.col("from")[0], begin).alias("x"))
+    return _doubled(blocks.where("open"), heads, kb, size) if seen.get["n"] else heads
+
+
+def _doubled(late: DataFrame, heads: DataFrame, kb: list[str], size: int) -> DataFrame:
+    """Entries of all blocks, from ``heads``, those of blocks after one whose entry makes no difference.
+
+    ``late`` are the blocks whose entry does. Jumps lead from an entry of such a
+    block to the entry of the next; each round joins them with themselves.
+    """
+    doc, begin = kb[:-1], F.col("_blk") * size
+    places = F.array_distinct(F.concat(F.array(begin), F.transform("from", lambda x: F.greatest(x, begin))))
+    ins = late.select(*kb, "upto", "leave", F.explode(places).alias("x"))
+    run = F.filter(F.arrays_zip("upto", "leave"), lambda p: p["upto"] >= F.col("x"))
+    y = F.coalesce(F.try_element_at(run, F.lit(1))["leave"], F.col("x"))
+    jumps = written(ins.select(*kb, "x", (F.col("_blk") + 1).alias("to"), F.greatest(y, begin + size).alias("y")), "jumps")
+    found = written(heads, "entries")
+    n = found.count()
+    while True:
+        step = found.alias("f").join(jumps.alias("j"), _same("f", "j", [*kb, "x"])).select(
+            *[F.col(f"f.{k}").alias(k) for k in doc], F.col("j.to").alias("_blk"), F.col("j.y").alias("x"))
+        found = written(found.unionByName(step).distinct(), "entries")
+        now = found.count()
+        if now == n:
+            return found
+        n = now
+        jumps = written(jumps.alias("a").join(jumps.alias("b"), _same("a", "b", doc) + [
+            F.col("a.to") == F.col("b._blk"), F.col("a.y") == F.col("b.x")]).select(
+            *[F.col(f"a.{k}").alias(k) for k in [*kb, "x"]], F.col("b.to").alias("to"), F.col("b.y").alias("y")), "jumps")
 
 
 def find_all_anchor(df: DataFrame, dictionary: DataFrame, key: str | Sequence[str] = "doc_id",
-                    text: str = "text", q: int = DEFAULT_Q, chunk: int = DEFAULT_CHUNK,
-                    alias=None, **kw) -> DataFrame:
+                    text: str = "text", q: int = DEFAULT_Q, alias=None, **kw) -> DataFrame:
     """M3 + M5: the retry-mode match table through the anchor join.
 
     Documents may have null or repeated keys: each row is matched by itself, as by ``find_all``.
     """
-    return resolve_overlaps(
-        find_candidates(df, dictionary, key, text, q, chunk, alias=alias, row_id=True, **kw), key)
+    return resolve_overlaps(find_candidates(df, dictionary, key, text, q, alias=alias, row_id=True, **kw), key)

@@ -48,7 +48,7 @@ def test_null_and_repeated_keys_match_row_by_row(spark):
     d = dictionary_from_pairs(spark, [("abc", "1"), ("cde", "2"), ("c d", "3")])
     for keys in (["a", "b"], "a"):
         want = search.find_all(df, compile_dictionary(d), keys)
-        for kw in ({}, {"inline_limit": 0}, {"inline_limit": 0, "hash_limit": 1}):
+        for kw in ({}, {"broadcast_rows": 0}):
             got = find_all_anchor(df, d, keys, **kw)
             assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
 
@@ -123,7 +123,7 @@ def test_large_dictionary_route_equals_the_compiled_one(spark):
     df = spark.createDataFrame(rows, "doc_id INT, text STRING")
     d = dictionary_from_pairs(spark, [("abc", "1"), ("cde", "22"), ("ab", "3"), ("x", ""), ("cde", "9")])
     cd = compile_dictionary(d)
-    kw = {"inline_limit": 0}
+    kw = {"broadcast_rows": 0}
     same = lambda a, b: sorted(map(str, a.select(b.columns).collect())) == sorted(map(str, b.collect()))
     for emit in ("replace", "insert_before"):
         for brk in (False, True):

@@ -136,15 +136,13 @@ def test_anchor_join_equals_regex(spark, seed):
     pairs, texts = random_case(rng, 80)
     d = dictionary_from_pairs(spark, pairs)
     df = texts_df(spark, texts)
-    # step=2 makes patterns of length >= 3 "long" (sampled document positions)
-    a = anchor.find_all_anchor(df, d, "doc_id", "text", q=2, chunk=8, step=2)
+    a = anchor.find_all_anchor(df, d, "doc_id", "text", q=2)
     b = search.find_all(df, compile_dictionary(d), "doc_id", "text")
     cols = ["doc_id", "ordinal", "start", "end", "length", "text", "replacement_id"]
     assert sorted(map(tuple, a.select(cols).collect())) == sorted(map(tuple, b.select(cols).collect()))
-    # the shuffled variant (anchors not inlined) finds the same occurrences
-    c1 = anchor.find_candidates(df, d, "doc_id", "text", q=2, chunk=8, step=2)
-    c2 = anchor.find_candidates(df, d, "doc_id", "text", q=2, chunk=8, inline_limit=0,
-                                broadcast_rows=0, step=1)
+    # the shuffled variant (patterns not in the tasks) finds the same occurrences
+    c1 = anchor.find_candidates(df, d, "doc_id", "text", q=2)
+    c2 = anchor.find_candidates(df, d, "doc_id", "text", q=2, broadcast_rows=0)
     assert sorted(map(tuple, c1.collect())) == sorted(map(tuple, c2.collect()))
 
 
