@@ -1,17 +1,20 @@
 """Language identification with bit-sliced Bloom filters of character n-grams.
 
 Training counts every letter trigram of every training text per language (on the
-executors; one row per language and distinct trigram is shuffled). A trigram
-belongs to a language if its rate there is at least ``MIN_RATE`` and at least
-``REL_RATE`` of its highest rate in any language, so a foreign passage inside a
-document does not teach its trigrams. Because the rates of a language sum to 1,
-at most ``1 / MIN_RATE`` trigrams per language reach the driver.
+executors; one row per language and distinct trigram is shuffled and written). A
+language has every trigram of its texts, but for those that only a foreign passage
+can explain: a trigram whose rate is below ``REL_RATE`` of what some other language
+surely has. Sure is the lower bound ``(n - SURE * sqrt(n)) / total`` of the other
+language's rate, so that a trigram seen less than ``SURE ** 2`` times in a language
+never takes it from another one, however short that language's text is.
 
 The filters of all languages share their hash positions: slot ``i`` holds a
 bitmask of the languages with bit ``i`` set, so the AND of a trigram's ``N_HASH``
-slots returns all languages that (perhaps) contain it. A document's trigrams are
-counted per language bit; the count is corrected by the filter's false-positive
-rate and the largest corrected count decides.
+slots returns all languages that (perhaps) contain it. The slots are put together
+by a distributed OR; the driver receives the slots, ``MAX_SLOTS`` for each 64
+languages at most, and never a trigram. A document's trigrams are counted per
+language bit; the count is corrected by the filter's false-positive rate and the
+largest corrected count decides.
 """
 
 from __future__ import annotations
@@ -24,10 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import materialise
+
 N_HASH = 3
 SLOTS_PER_GRAM = 24
-MIN_RATE = 5e-6
-REL_RATE = 0.1
+MAX_SLOTS = 1 << 22  # more trigrams than these hold raise the false-positive rate, which is corrected for
+REL_RATE, SURE = 0.1, 3.0
 UNDETERMINED = "und"
 CHUNK = 4 << 20  # code points handled at a time
 
@@ -93,6 +98,10 @@ class LanguageFilters:
         for k, name in enumerate(languages):
             for at in slots(np.asarray(grams[name], np.uint64), size - 1):
                 words[k // 64][at] |= np.uint64(1 << (k % 64))
+        return cls.of_words(languages, words)
+
+    @classmethod
+    def of_words(cls, languages: list[str], words: np.ndarray) -> "LanguageFilters":
         fill = [float(((words[k // 64] >> np.uint64(k % 64)) & np.uint64(1)).mean())
                 for k in range(len(languages))]
         return cls(languages, words, np.array(fill) ** N_HASH)
@@ -164,17 +173,45 @@ def count_trigrams(rows: DataFrame) -> DataFrame:
         F.sum("n").alias("n"))
 
 
-def train(rows: DataFrame) -> LanguageFilters:
-    """Filters from all rows of (lang, text); rows with a null in either teach nothing."""
-    counts = count_trigrams(rows.where("lang IS NOT NULL AND text IS NOT NULL"))
+def language_trigrams(rows: DataFrame) -> DataFrame:
+    """``lang, gram``: the trigrams of each language, from all rows of (lang, text).
+
+    Rows with a null in either teach nothing.
+    """
+    counts = materialise(count_trigrams(rows.where("lang IS NOT NULL AND text IS NOT NULL")), "trigrams")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    rate = counts.join(totals, "lang").select("lang", "gram", (F.col("n") / F.col("total")).alias("rate"))
-    rate = rate.where(F.col("rate") >= MIN_RATE)
-    top = rate.groupBy("gram").agg(F.max("rate").alias("top"))
-    kept = (rate.join(top, "gram").where(F.col("rate") >= REL_RATE * F.col("top"))
-            .groupBy("lang").agg(F.sort_array(F.collect_list("gram")).alias("grams")))
-    return LanguageFilters.build({r["lang"]: np.array(r["grams"], np.int64).view(np.uint64)
-                                  for r in kept.collect()})
+    rate = counts.join(totals, "lang").select(
+        "lang", "gram", (F.col("n") / F.col("total")).alias("rate"),
+        ((F.col("n") - SURE * F.sqrt("n")) / F.col("total")).alias("sure"))
+    top = rate.groupBy("gram").agg(F.max("sure").alias("top"))
+    return rate.join(top, "gram").where(F.col("rate") >= REL_RATE * F.col("top")).select("lang", "gram")
+
+
+def train(rows: DataFrame) -> LanguageFilters:
+    """Filters from all rows of (lang, text)."""
+    kept = materialise(language_trigrams(rows), "language-trigrams")
+    sizes = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy("lang").collect()  # one row per language
+    languages = sorted(r["lang"] for r in sizes)
+    most = max((r["n"] for r in sizes), default=1)
+    size = min(MAX_SLOTS, 1 << max(10, (SLOTS_PER_GRAM * most - 1).bit_length()))
+    number = {name: k for k, name in enumerate(languages)}
+
+    def run(batches):
+        for b in batches:
+            k = np.array([number[x] for x in b.column(0).to_pylist()], np.int64)
+            at = np.concatenate(slots(b.column(1).to_numpy().view(np.uint64), size - 1))
+            key = at + size * np.tile(k // 64, N_HASH)
+            bit = np.uint64(1) << np.tile(k % 64, N_HASH).astype(np.uint64)
+            order = np.argsort(key)
+            key = key[order]
+            first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[:len(key)])
+            bits = np.bitwise_or.reduceat(bit[order], first) if len(first) else bit
+            yield pa.RecordBatch.from_arrays([pa.array(key[first]), pa.array(bits.view(np.int64))], ["slot", "bits"])
+
+    got = kept.mapInArrow(run, "slot bigint, bits bigint").groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
+    words = np.zeros((len(languages) + 63) // 64 * size, np.uint64)
+    words[got.column("slot").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
+    return LanguageFilters.of_words(languages, words.reshape(-1, size))
 
 
 def held_out(id_col: str, buckets: int = 3, bucket: int = 1):
@@ -186,9 +223,10 @@ def identify(docs: DataFrame, filters: LanguageFilters, id_col: str = "doc_id",
              text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` plus ``__lang, __lang_score`` (see ``LanguageFilters.predict``).
 
-    Whole texts are read; nulls and texts without a letter give ``und`` and 0;
+    Columns of these names are replaced. Whole texts are read; nulls and texts without a letter give ``und`` and 0;
     repeated rows are each predicted; an empty table gives an empty result.
     """
+    docs = docs.drop("__lang", "__lang_score")
     shared = docs.sparkSession.sparkContext.broadcast(filters)
     at = docs.columns.index(text_col)
 

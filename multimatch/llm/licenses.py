@@ -1,16 +1,21 @@
 """Licence scan with DataFrame functions only.
 
-Every line of every file (a header line may stand anywhere), and the whole text
-of files named like a licence, is compared with notice templates by the cosine
-of sparse TF-IDF vectors: term rows join the templates' postings. A file without
-a licence of its own inherits that of the licence file in its nearest ancestor
-directory, found by joining the path's ancestors.
+Headers and licence files are compared with templates by the cosine of sparse
+TF-IDF vectors: term rows join the templates' postings. Compared are, of every
+file, its lines, its windows of up to ``WINDOW`` consecutive lines that begin and end
+with a line that has a marked term (a header wrapped anyhow), and its sentences (a notice inside a paragraph; a sentence may go over
+lines and ends at an empty one), each with ``NOTICES``, among them the titles that
+full licence texts begin with; and the whole text of files named like a licence,
+with ``TEXTS`` too. A file without a licence of its own inherits that of the licence
+file in its nearest ancestor directory, found by joining the path's ancestors.
 
 Inverse document frequencies are those of the template collection (fixed, and
-bounded by it); a term of no template weighs as one of no document. A vector
-within ``THRESHOLD`` of a template must share one of its *prefix* terms, those
-without which the rest of the template is shorter than the threshold, and enough terms of it to reach the threshold at all; other lines are
-left out before any row is made. No match is lost by that.
+bounded by it), so that a file's score does not change with the files around it; a
+term of no template weighs as one of no document. A vector within ``THRESHOLD`` of a
+template must share one of its *prefix* terms, which are the marked ones: those without
+which the rest of the template is shorter than the threshold; and enough terms of it to reach the
+threshold at all; other lines are left out before any row is made. No match is lost
+by that.
 """
 
 from __future__ import annotations
@@ -26,34 +31,72 @@ from .common import materialise
 
 THRESHOLD = 0.7
 DIGITS = 9  # scores are rounded before they are compared, so that ties are ties
+WINDOW = 8  # lines of a header
+SENTENCE_END = r"[.!?][ \t\r\n]+|\n[^a-z0-9\n]*\n"
 LICENSE_NAME = r"(?i)^(licen[cs]e|copying|notice)([.-].*)?$"
 
 # the most frequent English words
 COMMON = frozenset("a an and are as at be by for from in is it of on or that the this to was with you".split())
 
-# usual notices, by SPDX-style name
-TEMPLATES = (
+# Usual notices and the titles of licence texts, by SPDX-style name.
+NOTICES = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
+    ("MIT", "The MIT License (MIT)"),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
             "associated documentation files, to deal in the software without restriction."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except "
                    "in compliance with the License."),
+    ("Apache-2.0", "Apache License, Version 2.0, January 2004"),
+    ("GPL-2.0", "GNU General Public License, Version 2, June 1991"),
+    ("GPL-3.0", "GNU General Public License, Version 3, 29 June 2007"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
                 "General Public License as published by the Free Software Foundation, either version 3 of the "
                 "License, or (at your option) any later version."),
+    ("LGPL-3.0", "GNU Lesser General Public License, Version 3, 29 June 2007"),
+    ("AGPL-3.0", "GNU Affero General Public License, Version 3, 19 November 2007"),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted."),
     ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
+            "hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("MPL-2.0", "Mozilla Public License, Version 2.0"),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International "
                      "License."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("proprietary", "All rights reserved."),
 )
+_AS_IS = ("WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF "
+          "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR "
+          "COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, "
+          "TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN "
+          "THE SOFTWARE.")
+# Whole texts of short licences.
+TEXTS = (
+    ("MIT", "MIT License. Copyright (c). Permission is hereby granted, free of charge, to any person obtaining a copy of "
+            "this software and associated documentation files (the \"Software\"), to deal in the Software without "
+            "restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, "
+            "sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to "
+            "do so, subject to the following conditions: The above copyright notice and this permission notice shall be "
+            "included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", "
+            + _AS_IS),
+    ("BSD-3-Clause", "Copyright (c). All rights reserved. Redistribution and use in source and binary forms, with or without "
+                     "modification, are permitted provided that the following conditions are met: Redistributions of "
+                     "source code must retain the above copyright notice, this list of conditions and the following "
+                     "disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of "
+                     "conditions and the following disclaimer in the documentation and/or other materials provided with "
+                     "the distribution. Neither the name of the copyright holder nor the names of its contributors may be "
+                     "used to endorse or promote products derived from this software without specific prior written "
+                     "permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY "
+                     "EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS "
+                     "BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES."),
+)
+TEMPLATES = NOTICES + TEXTS
 
 
 def _terms(text: str) -> Counter:
@@ -103,34 +146,59 @@ def terms_needed(vector, threshold: float) -> int:
     return n
 
 
-def own_licenses(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """``id, path, own, score``: the best template of every file that has one."""
+def mark_regex(notices, threshold: float) -> str:
+    """A marked term, bounded as terms are: an underscore ends a term."""
+    return "(?:^|[^a-z0-9])(?:" + "|".join(prefix_terms(notices, threshold)) + ")(?:[^a-z0-9]|$)"
+
+
+def units_of(files: DataFrame, mark: str, window: int = WINDOW) -> DataFrame:
+    """``id, path, copy, unit, whole, body``: what of every file is compared.
+
+    Lines and windows of lines, and sentences, that hold a marked term; whole texts
+    of licence files. ``copy`` tells rows of equal id and path apart by their text.
+    """
+    text = F.lower(F.col("text"))
+    src = files.select("id", "path", F.xxhash64("text").alias("copy"), text.alias("body"), F.split(text, "\n").alias("lines"))
+    whole = src.where(F.element_at(F.split("path", "/"), -1).rlike(LICENSE_NAME)).select(
+        "id", "path", "copy", F.lit(-1).cast("bigint").alias("unit"), F.lit(True).alias("whole"), "body")
+    src = src.where(F.col("body").rlike(mark))
+    marked = F.array_compact(F.transform("lines", lambda x, i: F.when(x.rlike(mark), i)))
+    src = src.select("id", "path", "copy", "body", "lines", marked.alias("marked"))
+    windows = F.flatten(F.transform("marked", lambda s: F.transform(
+        F.filter("marked", lambda e: (e >= s) & (e < s + window)),
+        lambda e: F.struct((s.cast("bigint") * window + (e - s)).alias("unit"),
+                           F.array_join(F.slice("lines", s + 1, e - s + 1), "\n").alias("body")))))
+    sentences = F.filter(F.transform(F.split("body", SENTENCE_END), lambda x, i: F.struct(
+        (-2 - i).cast("bigint").alias("unit"), x.alias("body"))), lambda u: u["body"].rlike(mark))
+    parts = src.select("id", "path", "copy", F.inline(F.concat(windows, sentences)))
+    return whole.unionByName(parts.select("id", "path", "copy", "unit", F.lit(False).alias("whole"), "body"))
+
+
+def own_licenses(files: DataFrame, templates=TEMPLATES, texts: int = len(TEXTS),
+                 threshold: float = THRESHOLD) -> DataFrame:
+    """``id, path, own, score``: the best template of every file that has one.
+
+    The last ``texts`` templates are whole texts, compared with whole licence files only.
+    """
     spark = files.sparkSession
     vectors, idf, unseen = template_vectors(templates)
+    notices = vectors[:len(vectors) - texts]
     idfs = spark.createDataFrame(sorted(idf.items()), "term string, idf double")
-    postings = spark.createDataFrame([(t, k, templates[k][0], w) for k, v in enumerate(vectors) for t, w in v.items()],
-                                     "term string, template int, license string, weight double")
-    # bounded as terms are: an underscore ends a term
-    mark = "(?<![a-z0-9])(?:" + "|".join(prefix_terms(vectors, threshold)) + ")(?![a-z0-9])"
-    text = F.lower(F.col("text"))
-    lines = files.select("id", "path", F.posexplode(F.split(text, "\n")).alias("unit", "body"))
-    whole = files.where(F.element_at(F.split("path", "/"), -1).rlike(LICENSE_NAME)).select(
-        "id", "path", F.lit(-1).alias("unit"), text.alias("body"))
-    units = lines.unionByName(whole).where(F.col("body").rlike(mark))
-    key = ["id", "path", "unit"]
-    units = units.withColumn("terms", F.regexp_extract_all(F.col("body"), F.lit("[a-z0-9]+"), F.lit(0)))
-    enough = F.lit(False)
-    for v in vectors:
+    postings = spark.createDataFrame(
+        [(t, k, templates[k][0], k >= len(notices), w) for k, v in enumerate(vectors) for t, w in v.items()],
+        "term string, template int, license string, text boolean, weight double")
+    units = units_of(files, mark_regex(notices, threshold)).withColumn("terms", F.regexp_extract_all("body", F.lit("[a-z0-9]+"), F.lit(0)))
+    enough = F.col("whole")
+    for v in notices:
         shared = F.array_intersect("terms", F.array(*[F.lit(t) for t in sorted(v)]))
         enough = enough | (F.size(shared) >= terms_needed(v, threshold))
-    terms = units.where(enough).select(*key, F.xxhash64("body").alias("copy"), F.explode("terms").alias("term"))
-    # rows of equal id and path are told apart by their text
-    key = [*key, "copy"]
-    w = materialise(terms.groupBy(*key, "term").agg(F.count(F.lit(1)).alias("tf")), "license-terms")
+    key = ["id", "path", "copy", "unit"]
+    terms = units.where(enough).select(*key, "whole", F.explode("terms").alias("term"))
+    w = materialise(terms.groupBy(*key, "whole", "term").agg(F.count(F.lit(1)).alias("tf")), "license-terms")
     w = w.join(F.broadcast(idfs), "term", "left").withColumn(
         "w", F.col("tf") * F.coalesce("idf", F.lit(unseen)))  # as many rows as template terms
     norm = w.groupBy(*key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dot = (w.join(F.broadcast(postings), "term").groupBy(*key, "template", "license")
+    dot = (w.join(F.broadcast(postings), "term").where("whole OR NOT text").groupBy(*key, "template", "license")
            .agg(F.sum(F.col("w") * F.col("weight")).alias("dot")))
     same = dot["id"].eqNullSafe(norm["id"]) & dot["path"].eqNullSafe(norm["path"]) & \
         (dot["unit"] == norm["unit"]) & (dot["copy"] == norm["copy"])
@@ -147,11 +215,11 @@ def parent(path):
 
 
 def license_scan(files: DataFrame, id_col: str = "id", path_col: str = "path", text_col: str = "text",
-                 templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+                 templates=TEMPLATES, texts: int = len(TEXTS), threshold: float = THRESHOLD) -> DataFrame:
     """``id, path, own, score, license, inherited_from`` for every row of ``files``.
 
-    ``own`` is the licence of the best line (or whole licence file) with its
-    cosine; ties go to the first licence name. ``license`` is ``own``, else that
+    ``own`` is the licence of the best header, sentence or whole licence file with
+    its cosine; ties go to the first licence name. ``license`` is ``own``, else that
     of the nearest ancestor directory with a recognised licence file (the
     smallest score loses, then licence name order), named in ``inherited_from``
     ('' is the top). Null texts have no licence of their own; a null path has no
@@ -160,7 +228,7 @@ def license_scan(files: DataFrame, id_col: str = "id", path_col: str = "path", t
     are ignored; an empty table gives an empty result.
     """
     src = files.select(F.col(id_col).alias("id"), F.col(path_col).alias("path"), F.col(text_col).alias("text"))
-    own = materialise(own_licenses(src, templates, threshold), "licenses")
+    own = materialise(own_licenses(src, templates, texts, threshold), "licenses")
     name = F.element_at(F.split("path", "/"), -1)
     by_dir = (own.where(name.rlike(LICENSE_NAME)).groupBy(parent(F.col("path")).alias("ancestor"))
               .agg(F.min(F.struct((-F.col("score")).alias("less"), F.col("own").alias("license"))).alias("b"))
@@ -203,21 +271,29 @@ def _op8_sql() -> str:
     quote = lambda rows: ", ".join("(" + ", ".join(repr(x) for x in r) + ")" for r in rows)
     return rf"""
 WITH idf(term, idf) AS (VALUES {quote(sorted(idf.items()))}),
-post(term, template, license, weight) AS (
-  VALUES {quote([(t, k, TEMPLATES[k][0], w) for k, v in enumerate(vectors) for t, w in v.items()])}),
+post(term, template, license, text, weight) AS (
+  VALUES {quote([(t, k, TEMPLATES[k][0], k >= len(NOTICES), w) for k, v in enumerate(vectors) for t, w in v.items()])}),
 files AS (
   SELECT doc_id, lower(text) AS body, concat_ws('/', source, lang,
     CASE WHEN doc_id % 1024 = 0 THEN 'LICENSE'
          WHEN doc_id % 32 = 0 THEN (doc_id // 1024) || '/LICENSE'
          ELSE (doc_id // 1024) || '/' || (doc_id // 32) || '/' || doc_id || '.txt' END) AS path FROM documents),
+lines AS (SELECT doc_id, path, string_split(body, chr(10)) AS line, unnest(range(len(string_split(body, chr(10))))) AS s FROM files),
+marked AS (SELECT doc_id, path, s FROM lines WHERE regexp_matches(line[s + 1], '{mark_regex(vectors[:len(NOTICES)], THRESHOLD)}')),
 units AS (
-  SELECT doc_id, path, unnest(string_split(body, chr(10))) AS body, unnest(range(len(string_split(body, chr(10))))) AS unit FROM files
-  UNION ALL SELECT doc_id, path, body, -1 FROM files WHERE path LIKE '%LICENSE'),
-tf AS (SELECT doc_id, path, unit, term, count(*) AS tf FROM (
-         SELECT doc_id, path, unit, unnest(regexp_extract_all(body, '[a-z0-9]+')) AS term FROM units) GROUP BY ALL),
+  SELECT l.doc_id, l.path, array_to_string(l.line[l.s + 1:e.s + 1], chr(10)) AS body, l.s * {WINDOW} + e.s - l.s AS unit, false AS whole
+  FROM lines l JOIN marked a ON a.doc_id = l.doc_id AND a.s = l.s
+  JOIN marked e ON e.doc_id = l.doc_id AND e.s >= l.s AND e.s < l.s + {WINDOW}
+  UNION ALL
+  SELECT doc_id, path, unnest(regexp_split_to_array(body, '{SENTENCE_END}')) AS body,
+         -2 - unnest(range(len(regexp_split_to_array(body, '{SENTENCE_END}')))) AS unit, false FROM files
+  UNION ALL SELECT doc_id, path, body, -1, true FROM files WHERE path LIKE '%LICENSE'),
+tf AS (SELECT doc_id, path, unit, whole, term, count(*) AS tf FROM (
+         SELECT doc_id, path, unit, whole, unnest(regexp_extract_all(body, '[a-z0-9]+')) AS term FROM units) GROUP BY ALL),
 w AS (SELECT tf.*, CAST(tf AS DOUBLE) * CAST(coalesce(idf, {unseen!r}) AS DOUBLE) AS w FROM tf LEFT JOIN idf USING (term)),
 norm AS (SELECT doc_id, path, unit, sqrt(sum(w * w)) AS norm FROM w GROUP BY ALL),
-dot AS (SELECT doc_id, path, unit, template, license, sum(w * CAST(weight AS DOUBLE)) AS dot FROM w JOIN post USING (term) GROUP BY ALL),
+dot AS (SELECT doc_id, path, unit, template, license, sum(w * CAST(weight AS DOUBLE)) AS dot
+        FROM w JOIN post USING (term) WHERE whole OR NOT text GROUP BY ALL),
 hit AS (SELECT doc_id, path, license, round(dot / norm, {DIGITS}) AS score FROM dot JOIN norm USING (doc_id, path, unit)
         WHERE round(dot / norm, {DIGITS}) >= {THRESHOLD}),
 own AS (SELECT doc_id, path, license AS own, score FROM hit

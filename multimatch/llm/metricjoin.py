@@ -145,8 +145,9 @@ def metric_links(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
                          pa.array(home[i] == c)], ["node", "n", "vec", "dim", "cell", "home"])
 
     kind = classes.schema["vec"].dataType.simpleString()
-    placed = classes.select("node", "n", "vec").mapInArrow(
-        cells_of, f"node bigint, n bigint, vec {kind}, dim int, cell int, home boolean")
+    # written once: the sizes of the cells and both sides of the join read it
+    placed = materialise(classes.select("node", "n", "vec").mapInArrow(
+        cells_of, f"node bigint, n bigint, vec {kind}, dim int, cell int, home boolean"), "placed")
     # at most one row per cell: how many blocks its members and its holdings are cut into
     held = materialise(placed.groupBy("dim", "cell").agg(
         F.ceil(F.sum(F.col("home").cast("int")) / BLOCK).cast("int").alias("hb"),

@@ -310,8 +310,9 @@ def encode_documents(docs: DataFrame, model: PieceModel, text_col: str = "text")
     Null and empty texts have no ids and decode to an empty text. ``__decoded``
     equals the text unless it holds U+2581 (which the format uses for a space)
     or the model normalises spaces. Repeated rows are each encoded; an empty table gives an
-    empty result.
+    empty result. Columns of these two names are replaced.
     """
+    docs = docs.drop("__ids", "__decoded")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 

@@ -283,8 +283,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     input, not on what is left. A null text has no words; a row with a null id
     loses nothing and makes no other lose anything; rows of equal id do not make
     each other lose anything; an empty table gives an empty result. Ids are
-    integers.
+    integers. Columns of the three names are replaced.
     """
+    docs = docs.drop("__n_words", "__n_removed", "__kept")
     gone = materialise(covered_windows(docs, id_col, text_col).withColumnsRenamed(
         {"id": "__id", "text_hash": "__text_hash", "starts": "__starts"}), "covered")
     touched = docs.sparkSession.sparkContext.broadcast(slot_set(gone, "__id"))

@@ -2,6 +2,9 @@
 
 import json
 import random
+import re
+import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -171,7 +174,52 @@ def test_word_order_is_learned(spark, monkeypatch):
     assert s[1] > s[2] + 100
 
 
-def test_every_word_has_its_own_count(spark):
+def test_within_a_class_against_loops(spark, monkeypatch):
+    """Classes of several tokens: the class, then the token in it, both by hand."""
+    monkeypatch.setattr(pseudolm, "CLASSES", 2)
+    r = random.Random(3)
+    words = ["the", "cat", "sat", "on", "a", "mat", "dog", "ran"]
+    rows = [(k, " ".join(r.choice(words) for _ in range(r.randint(0, 9)))) for k in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    vocabulary = pseudolm.learn_vocabulary(docs)
+    members = [np.flatnonzero((vocabulary.klass == c) & np.isfinite(vocabulary.log_share)) for c in range(2)]
+    assert all(len(m) > 1 for m in members)
+    net = pseudolm.train(docs, vocabulary)
+    got = {x["id"]: x["log_prob"] for x in pseudolm.score(docs, vocabulary, net).collect()}
+    for i, t in rows:
+        token, _ = vocabulary.encode([t.encode()])
+        total = 0.0
+        for k, x in enumerate(token):
+            z = net.bias.astype(float).copy()
+            for row, off in enumerate((-2, -1, 1, 2)):
+                j = k + off
+                z += net.embed[row][token[j] if 0 <= j < len(token) else pseudolm.EDGE]
+            h, c = np.tanh(z), vocabulary.klass[x]
+            logit = h @ net.out + net.out_bias
+            inner = net.words[members[c]] @ h + vocabulary.log_share[members[c]]
+            total += logit[c] - np.log(np.exp(logit).sum())
+            total += inner[members[c] == x][0] - np.log(np.exp(inner).sum())
+        assert got[i] == pytest.approx(total, abs=1e-4)
+
+
+def test_very_long_text(spark):
+    r = random.Random(4)
+    text = " ".join(f"w{int(r.paretovariate(0.6)) % 9000}" for _ in range(500_000))
+    docs = spark.createDataFrame([(1, text), (2, "w1 w2")], "doc_id bigint, text string")
+    vocabulary = pseudolm.learn_vocabulary(docs)
+    net = pseudolm.train(docs, vocabulary)
+    got = {x["id"]: x for x in pseudolm.score(docs, vocabulary, net).collect()}
+    token, doc, h = vocabulary.words([text.encode()])
+    want = net.log_prob(pseudolm.contexts(token, doc), token, vocabulary, vocabulary.members())
+    count = Counter(h.tolist())
+    rare = token >= pseudolm.KNOWN
+    want[rare] += np.log([count[x] for x in h[rare].tolist()]) - vocabulary.log_size[token[rare] - pseudolm.KNOWN]
+    assert got[1]["n_tokens"] == 500_000 and got[1]["log_prob"] == pytest.approx(want.sum(), rel=1e-6)
+
+
+@pytest.mark.parametrize("frequent", [pseudolm.FREQUENT, 10])
+def test_every_word_has_its_own_count(spark, monkeypatch, frequent):
+    monkeypatch.setattr(pseudolm, "FREQUENT", frequent)  # fewer: more of the counts are joined
     common = [f"w{i}" for i in range(pseudolm.KNOWN)]
     others = [f"x{i}" for i in range(3000)]
     text = common * 9 + [w for i, w in enumerate(others) for _ in range(1 + i % 8)]
@@ -255,6 +303,60 @@ def test_languages_of_odd_texts(spark):
     assert langid.identify(df.where("doc_id > 99"), f).count() == 0
 
 
+def test_languages_against_plain_sets(spark):
+    """Every prediction from sets of trigrams, counted one by one."""
+    r = random.Random(8)
+    letters = {"aa": "abcdefgh", "bb": "efghijkl", "cc": "klmnop", "dd": "aeiou"}
+    rows = [(k, " ".join("".join(r.choice(letters[name]) for _ in range(r.randint(1, 7))) for _ in range(r.randint(1, 60))), name)
+            for k in range(240) for name in [r.choice(sorted(letters))]]
+    rows += [(900, "abc def", None), (901, None, "aa"), (902, "", "bb"), (903, "123 .", "cc")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    grams = {}
+    for i, t, name in rows:
+        if name and t and zlib.crc32(str(i).encode()) % 3 != 1:
+            grams.setdefault(name, Counter()).update(plain_trigrams(t))
+    total = {n: sum(c.values()) for n, c in grams.items()}
+    sure = Counter()
+    for n, c in grams.items():
+        for g, k in c.items():
+            sure[g] = max(sure[g], (k - langid.SURE * k ** 0.5) / total[n])
+    sets = {n: {g for g, k in c.items() if k / total[n] >= langid.REL_RATE * sure[g]} for n, c in grams.items()}
+    learned = langid.language_trigrams(df.where(~langid.held_out("doc_id")).select("lang", "text"))
+    per = Counter(x["lang"] for x in learned.collect())
+    assert per == Counter({n: len(x) for n, x in sets.items()})
+    filters = langid.learn_from(df)
+    got = {x["doc_id"]: (x["__lang"], x["__lang_score"]) for x in langid.identify(df, filters).collect()}
+    sure_of = 0
+    for i, t, _ in rows:
+        mine = plain_trigrams(t or "")
+        if not mine:
+            assert got[i] == ("und", 0.0)
+            continue
+        count = {n: sum(g in x for g in mine) for n, x in sets.items()}
+        top = sorted(count.values())[-2:]
+        if top[1] - top[0] > 2 + 0.02 * len(mine):
+            best = max(count, key=count.get)
+            assert got[i][0] == best and got[i][1] == pytest.approx(count[best] / len(mine), abs=0.02)
+            sure_of += 1
+    assert sure_of > 100
+
+
+def plain_trigrams(text):
+    low = [c.lower() if c.isalpha() and len(c.lower()) == 1 else c if c.isalpha() else "" for c in text]
+    return [(low[k - 1] if k else "", c, low[k + 1] if k + 1 < len(low) else "") for k, c in enumerate(low) if c]
+
+
+def test_a_short_text_in_another_language_takes_nothing_away(spark):
+    docs = spark.read.parquet(f"{SF01}/documents.parquet").select("doc_id", "text", "lang")
+    one = docs.where("lang = 'en' AND length(text) > 3000").orderBy("doc_id").limit(1)
+    extra = one.select(F.lit(3_000_000).cast("long").alias("doc_id"), F.substring("text", 500, 400).alias("text"), F.lit("xx").alias("lang"))
+    more = docs.unionByName(extra.withColumn("doc_id", F.expr(
+        "(SELECT min(id) FROM range(3000000, 3000100) WHERE crc32(cast(id AS string)) % 3 <> 1)")))
+    wrong = langid.identify(docs, langid.learn_from(more)).where(
+        langid.held_out("doc_id") & (F.col("lang") == "en") & (F.col("__lang") != "en")).count()
+    assert wrong == 0
+
+
 # ---- licences ----------------------------------------------------------------
 
 def test_license_scan(spark):
@@ -276,6 +378,82 @@ def test_license_scan(spark):
     assert licenses.license_scan(df.where("id > 99")).count() == 0
 
 
+GPL_HEADER = """/*
+ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ */
+int main() {}
+"""
+APACHE_HEADER = """# Copyright 2020 Someone
+#
+# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy elsewhere.
+import os
+"""
+
+
+def test_headers_over_lines_sentences_and_whole_texts(spark):
+    filler = "".join(f"section {i} of the agreement covers matter number {i} at length\n" for i in range(400))
+    gpl = ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n"
+           " Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>\n" + filler)
+    mit = licenses.TEXTS[0][1].replace("Copyright (c).", "Copyright (c) 2019 Some Body\n").replace(", ", ",\n")
+    files = [
+        (1, "src/a.c", "x\n" * 50 + GPL_HEADER + "y\n" * 50), (2, "src/b.py", APACHE_HEADER), (3, "a/LICENSE", gpl),
+        (4, "a/b/c.txt", "nothing here"), (5, "m/LICENSE.txt", mit), (6, "m/x.py", "print(1)"),
+        (7, "p/q.txt", "Copyright (c) 2020 Foo Corp. All rights reserved. " + "more words follow in this paragraph " * 20),
+        (8, "p/r.txt", "the word license alone, and a program that can be used"), (9, "s/t.txt", "word " * 200_000 + "All rights reserved."),
+    ]
+    df = spark.createDataFrame(files, "id bigint, path string, text string")
+    got = {r["id"]: (r["own"], r["license"], r["inherited_from"]) for r in licenses.license_scan(df).collect()}
+    assert got == {1: ("GPL-3.0",) * 2 + (None,), 2: ("Apache-2.0",) * 2 + (None,), 3: ("GPL-3.0",) * 2 + (None,),
+                   4: (None, "GPL-3.0", "a"), 5: ("MIT", "MIT", None), 6: (None, "MIT", "m"),
+                   7: ("proprietary", "proprietary", None), 8: (None, None, None), 9: (None, None, None)}
+
+
+def test_scores_equal_plain_cosines(spark):
+    vectors, idf, unseen = licenses.template_vectors()
+    r = random.Random(6)
+    words = sorted(idf) + ["foo", "bar", "_", "2020"]
+    texts = []
+    for k in range(60):
+        notice = r.choice(licenses.NOTICES)[1].split(" ")
+        for _ in range(r.randint(0, 4)):
+            notice.insert(r.randint(0, len(notice)), r.choice(words))
+        texts.append("\n".join(" ".join(r.choice(words) for _ in range(r.randint(0, 6))) for _ in range(3)) + "\n"
+                     + "".join(w + r.choice([" ", " ", "\n// "]) for w in notice))
+    files = [(k, f"d{k}/" + ("LICENSE" if k % 7 == 0 else "x.txt"), t) for k, t in enumerate(texts)]
+    notices = vectors[:len(licenses.NOTICES)]
+    mark = re.compile(licenses.mark_regex(notices, licenses.THRESHOLD))
+
+    def best(path, text):
+        lines = text.lower().split("\n")
+        at = [i for i, x in enumerate(lines) if mark.search(x)]
+        units = [("\n".join(lines[i:j + 1]), notices) for i in at for j in at if i <= j < i + licenses.WINDOW]
+        units += [(x, notices) for x in re.split(licenses.SENTENCE_END, text.lower())]
+        units += [(text.lower(), vectors)] if path.endswith("LICENSE") else []
+        found = []
+        for body, templates in units:
+            w = {t: n * idf.get(t, unseen) for t, n in licenses._terms(body).items()}
+            norm = sum(x * x for x in w.values()) ** 0.5
+            for k, v in enumerate(templates):
+                score = round(sum(x * v.get(t, 0) for t, x in w.items()) / norm, licenses.DIGITS) if norm else 0
+                if score >= licenses.THRESHOLD:
+                    found.append((-score, licenses.TEMPLATES[k][0]))
+        return min(found, default=(None, None))
+
+    df = spark.createDataFrame(files, "id bigint, path string, text string")
+    got = {x["id"]: (x["own"], x["score"]) for x in licenses.license_scan(df).collect()}
+    found = 0
+    for k, path, text in files:
+        score, name = best(path, text)
+        assert got[k][0] == name and (name is None or abs(got[k][1] + score) < 1e-8), (k, text)
+        found += name is not None
+    assert found > 20
+
+
 def test_underscores_end_terms(spark):
     df = spark.createDataFrame([(1, "a/x.h", "#define ALL_RIGHTS_RESERVED"), (2, "a/y.h", "_all_rights_reserved_"), (3, "a/z.h", "allrightsreserved")],
                                "id int, path string, text string")
