@@ -25,7 +25,9 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Drop documents without a letter and those of whose trigrams no language has a fifth.
 
     If no language could be learned (no row to learn from has a lang and a text
-    with a letter), every document with a letter stays.
+    with a letter), every document with a letter stays. Null and empty texts go;
+    repeated rows are each judged, alike; null ids count as rows to learn from; an
+    empty table stays empty.
     """
     filters = learn_from(docs)
     if not filters.languages:
@@ -36,7 +38,12 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays (4-word shingles, 4 bits)."""
+    """One document of each SimHash group stays (4-word shingles, 4 bits).
+
+    The one with the smallest id: null ids last, ties by text hash, then by the
+    row; of a repeated row one stays. Null, empty and blank texts are one group. An
+    empty table stays empty, and other columns take no part.
+    """
     return simhash_dedup(docs, words=4, max_bits=4)
 
 
@@ -44,7 +51,9 @@ def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Texts lose the passages of 13 words or more that an earlier document has.
 
     A text that loses nothing stays as it is; one that loses some words becomes
-    the words left, joined by one space; one that loses all of them goes.
+    the words left, joined by one space; one that loses all of them goes. Rows
+    with a null id or of one id lose nothing to each other; null and empty texts
+    have no words and stay. An empty table stays empty.
     """
     out = remove_repeats(docs)
     text = F.when(F.col("__n_removed") > 0, F.col("__kept")).otherwise(F.col("text"))
@@ -55,13 +64,22 @@ def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap a benchmark item go."""
+    """Documents that overlap a benchmark item go.
+
+    Null and empty texts overlap nothing, nor do items that are null or too short;
+    repeated rows go or stay alike. An empty table, of either kind, changes nothing.
+    """
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The columns of the document table, the SentencePiece ids, and whether they decode to the text."""
-    out = encode_documents(docs, read_model())
+    """The columns of the document table, the SentencePiece ids, and whether they decode to the text.
+
+    Columns ``ids``, ``n_ids`` and ``round_trip`` of the table are replaced. Null
+    and empty texts have no ids; repeated rows are each encoded; an empty table
+    gives an empty result.
+    """
+    out = encode_documents(docs.drop("ids", "n_ids", "round_trip"), read_model())
     return (out.withColumn("n_ids", F.size("__ids").cast("long"))
             .withColumn("round_trip", F.col("__decoded") == F.coalesce("text", F.lit("")))
             .withColumnRenamed("__ids", "ids").drop("__decoded"))

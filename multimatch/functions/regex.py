@@ -23,6 +23,7 @@ Three shapes are produced:
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from dataclasses import dataclass
 
 _END = None  # key marking "a pattern ends here" in the nested-dict trie
 
@@ -136,90 +137,157 @@ class RegexDialectError(ValueError):
     """A dictionary pattern uses syntax the regex dialect does not support."""
 
 
-def translate_pattern(src: str) -> str:
-    """Translate one regex-dictionary pattern into the shared Java/RE2 subset.
+@dataclass
+class Item:
+    """One item of a pattern: a set of characters or a group, and its quantifier (``''``, ``+`` or ``*``).
+
+    ``chars`` are the set's characters if they are few and known; ``atom`` is its regex.
+    """
+
+    atom: str = ""
+    chars: tuple[str, ...] | None = None
+    group: list["Item"] | None = None
+    quantifier: str = ""
+
+
+MAX_SET = 16  # characters of a set that are spelt out
+
+
+def _character_class(src: str, i: int) -> tuple[Item, int]:
+    """The class that opens at ``src[i]``, and the index behind it."""
+    j, n = i + 1, len(src)
+    negate = j < n and src[j] == "^"
+    j += negate
+    ranges: list[tuple[str, str]] = []
+
+    def one(j: int) -> tuple[str, int]:
+        if src[j] == "\\" and j + 1 < n:
+            return src[j + 1], j + 2
+        return src[j], j + 1
+
+    while j < n and src[j] != "]":
+        low, j = one(j)
+        high = low
+        if j + 1 < n and src[j] == "-" and src[j + 1] != "]":
+            high, j = one(j + 1)
+            if ord(high) < ord(low):
+                raise RegexDialectError(f"empty range {low}-{high}")
+        ranges.append((low, high))
+    if j >= n:
+        raise RegexDialectError("unclosed class")
+    if not ranges:
+        raise RegexDialectError("empty class")
+    inside = "".join(atom(a) if a == b else atom(a) + "-" + atom(b) for a, b in ranges)
+    chars = None
+    if not negate and sum(ord(b) - ord(a) + 1 for a, b in ranges) <= MAX_SET:
+        chars = tuple(sorted({chr(c) for a, b in ranges for c in range(ord(a), ord(b) + 1)}))
+    return Item("[" + ("^" if negate else "") + inside + "]", chars), j + 1
+
+
+def pattern_items(src: str) -> list[Item]:
+    """The items of one regex-dictionary pattern.
 
     Dialect: ``.`` any character including newline; ``[a-b]`` inclusive ranges,
     ``[abc]``, ``[^..]`` (``^`` only right after ``[``), ``[`` literal inside a
     class; ``]`` outside a class is literal; ``\\c`` takes ``c`` literally;
-    ``+`` and ``*`` repeat the previous atom lazily (matching stops at the first
+    ``+`` and ``*`` repeat the previous item lazily (matching stops at the first
     terminal); ``(`` ``)`` group. Anything else raises ``RegexDialectError``.
     """
-    out: list[str] = []
-    last_atom = False  # may a quantifier follow?
-    depth = 0
-    i, n = 0, len(src)
-    while i < n:
-        c = src[i]
-        if c == "\\":
-            if i + 1 >= n:
-                raise RegexDialectError("dangling escape")
-            out.append(atom(src[i + 1]))
-            i += 2
-            last_atom = True
-        elif c == ".":
-            out.append("(?s:.)")
-            i += 1
-            last_atom = True
-        elif c == "[":
-            j = i + 1
-            negate = j < n and src[j] == "^"
-            if negate:
-                j += 1
-            items: list[str] = []
-            while j < n and src[j] != "]":
-                ch = src[j]
-                if ch == "\\" and j + 1 < n:
-                    ch = src[j + 1]
-                    j += 1
-                if j + 2 < n and src[j + 1] == "-" and src[j + 2] != "]":
-                    hi = src[j + 2]
-                    if hi == "\\" and j + 3 < n:
-                        hi = src[j + 3]
-                        j += 1
-                    if ord(hi) < ord(ch):
-                        raise RegexDialectError(f"empty range {ch}-{hi}")
-                    items.append(atom(ch) + "-" + atom(hi))
-                    j += 3
-                else:
-                    items.append(atom(ch))
-                    j += 1
-            if j >= n:
-                raise RegexDialectError("unclosed class")
-            if not items:
-                raise RegexDialectError("empty class")
-            out.append("[" + ("^" if negate else "") + "".join(items) + "]")
-            i = j + 1
-            last_atom = True
-        elif c in "+*":
-            if not last_atom:
+    top: list[Item] = []
+    stack, i = [top], 0
+    free = False  # may a quantifier follow?
+    while i < len(src):
+        c, here = src[i], stack[-1]
+        i += 1
+        if c in "+*":
+            if not free:
                 raise RegexDialectError(f"quantifier {c} without atom")
-            out.append(c + "?")
-            i += 1
-            last_atom = False
-        elif c == "(":
-            out.append("(?:")
-            depth += 1
-            i += 1
-            last_atom = False
-        elif c == ")":
-            if depth == 0:
+            here[-1].quantifier = c
+            free = False
+            continue
+        if c == "(":
+            here.append(Item(group=[]))
+            stack.append(here[-1].group)
+            free = False
+            continue
+        if c == ")":
+            if len(stack) == 1:
                 raise RegexDialectError("unbalanced )")
-            out.append(")")
-            depth -= 1
-            i += 1
-            last_atom = True
+            stack.pop()
         elif c == "^":
             raise RegexDialectError("^ outside a class")
+        elif c == "[":
+            item, i = _character_class(src, i - 1)
+            here.append(item)
+        elif c == ".":
+            here.append(Item("(?s:.)"))
         else:
-            out.append(atom(c))
-            i += 1
-            last_atom = True
-    if depth:
+            if c == "\\":
+                if i == len(src):
+                    raise RegexDialectError("dangling escape")
+                c, i = src[i], i + 1
+            here.append(Item(atom(c), (c,)))
+        free = True
+    if len(stack) > 1:
         raise RegexDialectError("unbalanced (")
-    if not out:
+    if not top:
         raise RegexDialectError("empty pattern")
-    return "".join(out)
+    return top
+
+
+def items_regex(items: Sequence[Item]) -> str:
+    return "".join((i.atom if i.group is None else "(?:" + items_regex(i.group) + ")")
+                   + (i.quantifier + "?" if i.quantifier else "") for i in items)
+
+
+def translate_pattern(src: str) -> str:
+    """One regex-dictionary pattern (see ``pattern_items``) in the shared Java/RE2 subset."""
+    return items_regex(pattern_items(src))
+
+
+def can_be_empty(items: Sequence[Item]) -> bool:
+    """Whether a pattern matches the empty text."""
+    return all(i.quantifier == "*" or (i.group is not None and can_be_empty(i.group)) for i in items)
+
+
+MAX_TEXTS = 64  # texts of one factor
+
+
+def factors(items: Sequence[Item]) -> list[list[str]]:
+    """What every text that matches contains: of each factor, one of its texts.
+
+    Neighbouring sets of known characters are spelt out together, as far as a
+    factor has at most ``MAX_TEXTS`` texts, all of one length.
+    """
+    out: list[list[str]] = []
+    run = [""]
+
+    def close(begin: list[str]) -> None:
+        nonlocal run
+        if run != [""]:
+            out.append(run)
+        run = begin
+
+    def go(items: Sequence[Item]) -> None:
+        nonlocal run
+        for i in items:
+            if i.quantifier == "*":
+                close([""])
+            elif i.group is not None:
+                go(i.group)
+                if i.quantifier == "+":
+                    close([""])
+            elif i.chars is None:
+                close([""])
+            else:
+                if len(run) * len(i.chars) > MAX_TEXTS:
+                    close([""])
+                run = [r + c for r in run for c in i.chars]
+                if i.quantifier == "+":  # the last of the repeated characters stands before what follows
+                    close(list(i.chars))
+    go(items)
+    close([""])
+    return out
 
 
 def ordered_alternation(translated: Sequence[str]) -> str | None:

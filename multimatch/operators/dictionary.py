@@ -17,9 +17,12 @@ Rules (fixed by the reference's intended semantics):
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+import functools
+import inspect
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -45,13 +48,12 @@ def running_total(df: DataFrame, order_cols: Sequence[str], amount: Column, name
     srt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_amount", amount.cast("bigint"))
     srt = materialize(srt.withColumn("_mid", F.monotonically_increasing_id()))
     srt = srt.withColumn("_pid", F.shiftright("_mid", 33))
-    totals = srt.groupBy("_pid").agg(F.sum("_amount").alias("_n"))
+    totals = srt.groupBy("_pid").agg(F.sum("_amount").alias("_sum"))
     earlier = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
-    offsets = totals.select("_pid", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_off"))
+    starts = totals.select("_pid", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_start"))
     before = Window.partitionBy("_pid").orderBy("_mid").rowsBetween(Window.unboundedPreceding, -1)
-    out = srt.withColumn("_before", F.coalesce(F.sum("_amount").over(before), F.lit(0)))
-    return out.join(F.broadcast(offsets), "_pid").withColumn(name, F.col("_off") + F.col("_before")).drop(
-        "_amount", "_mid", "_pid", "_before", "_off")
+    out = srt.withColumn("_before", F.coalesce(F.sum("_amount").over(before), F.lit(0))).join(F.broadcast(starts), "_pid")
+    return out.select(*df.columns, (F.col("_start") + F.col("_before")).alias(name))
 
 
 def consecutive_index(df: DataFrame, order_cols: Sequence[str], name: str) -> DataFrame:
@@ -292,6 +294,77 @@ def prefix_lookup(nodes: DataFrame, prefix: str) -> DataFrame:
         "ids")
 
 
+def _common(a: str, b: str) -> int:
+    """Characters that two texts have in common at their beginning."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        mid = (low + high + 1) // 2
+        if a[low:mid] == b[low:mid]:
+            low = mid
+        else:
+            high = mid - 1
+    return low
+
+
+def sorted_patterns(df: DataFrame) -> DataFrame:
+    """``line_no, pattern, common``: the distinct valid patterns in order, with the number of
+    characters each shares with the pattern before it (0 for the first).
+
+    One range-partitioned sort; only the last pattern of a partition goes to the
+    next one.
+    """
+    ok = first_per_pattern(valid_rows(df)).select("line_no", "pattern")
+    srt = ok.repartitionByRange("pattern").sortWithinPartitions("pattern")
+    srt = materialize(srt.withColumn("_mid", F.monotonically_increasing_id()))
+    srt = srt.withColumn("_pid", F.shiftright("_mid", 33))
+    lasts = srt.groupBy("_pid").agg(F.max_by("pattern", "_mid").alias("_last"), F.min("_mid").alias("_mid"))
+    border = lasts.select("_mid", F.lag("_last").over(Window.orderBy("_pid")).alias("_border"))  # one row per partition
+    near = F.lag("pattern").over(Window.partitionBy("_pid").orderBy("_mid"))
+    pairs = srt.withColumn("_near", near).join(border, "_mid", "left").select(
+        "line_no", "pattern", F.coalesce("_near", "_border").alias("before"))
+
+    def run(batches):
+        for b in batches:
+            own, before = b.column(1).to_pylist(), b.column(2).to_pylist()
+            common = [_common(x, y) if y is not None else 0 for x, y in zip(own, before)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(common, pa.int32())],
+                                             ["line_no", "pattern", "common"])
+
+    return pairs.mapInArrow(run, "line_no int, pattern string, common int")
+
+
+def branching_nodes(df: DataFrame) -> DataFrame:
+    """T1 compact: ``line_no, depth, node``: where the trie branches, or a pattern goes on beyond another.
+
+    Such a node is what two neighbours in the sorted dictionary have in common, so
+    there are fewer nodes than patterns and none is written out: it is the first
+    ``depth`` characters of the pattern of ``line_no``, and ``node`` is their hash.
+    """
+    srt = sorted_patterns(df)
+    text = F.substring("pattern", F.lit(1), F.col("common"))
+    return srt.select("line_no", F.col("common").alias("depth"), F.xxhash64(text, "common").alias("node")).groupBy(
+        "depth", "node").agg(F.min("line_no").alias("line_no")).select("line_no", "depth", "node")
+
+
+def node_ids(df: DataFrame, nodes: DataFrame) -> DataFrame:
+    """A6 compact: ``node, depth, bucket, ids``: the replacement ids through each branching node.
+
+    ``ids`` is a bitmap of the ids of one bucket (32,768 of them), so that no row,
+    the root's included, holds all ids. A pattern is cut only at depths where some
+    node is (every depth if there are more than ``MAX_PREFIX_LENGTHS``).
+    """
+    nodes = materialize(nodes)
+    got = nodes.select("depth").distinct().limit(MAX_PREFIX_LENGTHS + 1).collect()
+    p = F.col("pattern")
+    cuts = (F.array(*[F.lit(n) for n in sorted(r["depth"] for r in got)]) if 0 < len(got) <= MAX_PREFIX_LENGTHS
+            else F.sequence(F.lit(0), F.length(p)))
+    cut = valid_rows(df).select("pattern", "replacement_id", F.explode(F.filter(cuts, lambda n: n <= F.length(p))).alias("depth"))
+    cut = cut.select("replacement_id", "depth", F.xxhash64(F.substring(p, F.lit(1), F.col("depth")), "depth").alias("node"))
+    through = cut.join(nodes.select("depth", "node"), ["depth", "node"])
+    bucket, place = F.bitmap_bucket_number("replacement_id"), F.bitmap_bit_position("replacement_id")
+    return through.groupBy("node", "depth", bucket.alias("bucket")).agg(F.bitmap_construct_agg(place).alias("ids"))
+
+
 class DictionaryTooLarge(ValueError):
     """The dictionary exceeds the size a single regex may have."""
 
@@ -362,7 +435,7 @@ class CompiledDictionary:
             vtype = "string" if kind == "replacement" else "int"
             if self._slots is None:
                 # the slot of each key, computed once by Spark's own hash function
-                spark = SparkSession.getActiveSession()
+                spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
                 keys = spark.createDataFrame([(p,) for p in self.patterns], "k STRING")
                 self._slots = {r.k: r.s for r in
                                keys.select("k", self._slot_of(F.col("k")).alias("s")).collect()}
@@ -400,17 +473,51 @@ class CompiledDictionary:
 
 def compile_dictionary(df: DataFrame, alias: Mapping[str, str] | None = None,
                        max_patterns: int = 20_000, max_chars: int = 1 << 20) -> CompiledDictionary:
-    """Collect the active dictionary once, bounded, and build the regexes.
+    """Collect the active dictionary once, after measuring it, and build the regexes.
 
-    At most ``max_patterns + 1`` rows ever reach the driver: one more than the
-    limit proves the dictionary is too large for a regex (use the anchor join).
+    Patterns and replacements are measured before they are collected: a larger
+    dictionary raises ``DictionaryTooLarge`` (the operators that take a dictionary
+    table then search it without a regex) and none of it reaches the driver.
     """
     act = active_dictionary(df, alias)
-    rows = act.limit(max_patterns + 1).collect()
-    chars = sum(len(r.pattern) for r in rows)
-    if len(rows) > max_patterns or chars > max_chars:
+    st = act.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("pattern")), F.lit(0)).alias("chars"),
+                 F.coalesce(F.sum(F.length("replacement")), F.lit(0)).alias("written")).first()
+    if st["n"] > max_patterns or max(st["chars"], st["written"]) > max_chars:
         raise DictionaryTooLarge(
-            f"more than {max_patterns} patterns or {max_chars} pattern characters; "
+            f"more than {max_patterns} patterns or {max_chars} characters of patterns or replacements; "
             f"use the anchor join")
-    return CompiledDictionary([(r.line_no, r.pattern, r.replacement, r.replacement_id)
-                               for r in rows])
+    return CompiledDictionary([(r.line_no, r.pattern, r.replacement, r.replacement_id) for r in act.collect()])
+
+
+def compiled_or_none(dictionary: DataFrame, mode: str = "retry", **limits) -> CompiledDictionary | None:
+    """The compiled dictionary, or None if it is too large for one regex (in ``mode``)."""
+    try:
+        cd = compile_dictionary(dictionary, **limits)
+        if mode == "walk":
+            cd.walk_regex  # nests one group per character
+        return cd
+    except DictionaryTooLarge:
+        return None
+
+
+def any_size(large: str, **fixed) -> Callable:
+    """Let an operator on a compiled dictionary take a dictionary table of any size too.
+
+    A table is compiled if it is small enough; else the operator of
+    ``operators.large`` named ``large`` is called with the same arguments.
+    """
+    def wrap(operator):
+        signature = inspect.signature(operator)
+
+        @functools.wraps(operator)
+        def chosen(df, dictionary, *args, **kw):
+            if not isinstance(dictionary, DataFrame):
+                return operator(df, dictionary, *args, **kw)
+            mode = signature.bind(df, dictionary, *args, **kw).arguments.get("mode", "retry")
+            cd = compiled_or_none(dictionary, mode)
+            if cd is not None:
+                return operator(df, cd, *args, **kw)
+            from . import large as module
+            return getattr(module, large)(df, dictionary, *args, **kw, **fixed)
+        return chosen
+    return wrap

@@ -1,132 +1,214 @@
 """Rewriting, filters, counts and reports for dictionaries of any size.
 
 ``search``, ``rewrite`` and ``report`` read one compiled regex; a dictionary too
-large for one is searched by the anchor join instead, and everything else is
-derived here from its match table. Documents get a number of their own and are
-written once, so that the match table can be joined back to its own rows
-whatever their keys; a document's matches (never more than it has characters)
-come together on its row.
+large for one is searched by the anchor join (retry) or the prefix tables (walk)
+instead, and everything else is derived here from match rows. Documents get a
+number of their own and are written once, so that match rows can be joined back to
+them whatever their keys; texts are read again only where a rewrite needs them.
+
+A rewrite cuts the changed documents into blocks of ``BLOCK`` characters. A block is
+written from its own matches and from what reaches into it: the end of the last
+match before it, and, for the line-break rule, what the first decisive block after
+it says. Both are running values over small block rows; the texts of the blocks
+stay spread over the tasks until a document is put together.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..session import checkpoint_root
-from .anchor import find_all_anchor
+from ..session import written
+from .anchor import find_all_anchor, find_candidates
 from .dictionary import valid_rows
 from .report import _label
-from .search import _keys
-
+from .rewrite import EMITS, _gap_ok
+from .search import MODES, _keys
+from .walk import find_all_walk
 
 DOC = "_doc"  # a number of the document's own
+BLOCK = 2048
+MATCHES = "array<struct<start:int,end:int,replacement:string>>"
 
 
-def _numbered(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
-    checkpoint_root(df.sparkSession)
-    out = df.select(*keys, F.col(text).alias("_text"))
-    return out.withColumn(DOC, F.monotonically_increasing_id()).checkpoint(eager=True)
+def find_all_large(df: DataFrame, dictionary: DataFrame, key: str | Sequence[str] = "doc_id", text: str = "text",
+                   mode: str = "retry", alias=None, **kw) -> DataFrame:
+    """M1/M2 for any dictionary, as ``search.find_all``."""
+    if mode not in MODES:
+        raise ValueError(f"mode must be one of {MODES}")
+    find = find_all_anchor if mode == "retry" else find_all_walk
+    return find(df, dictionary, key, text, alias=alias, **kw)
 
 
-def matched_documents(df: DataFrame, dictionary: DataFrame, key: str | Sequence[str] = "doc_id",
-                      text: str = "text", alias=None, **kw) -> DataFrame:
-    """``<key>, _text, _ms``: every document with its matches in order.
+def _numbered(df: DataFrame, columns: Sequence[str], text: str) -> DataFrame:
+    out = df.select(*columns, F.col(text).alias("_text"), F.monotonically_increasing_id().alias(DOC))
+    return written(out, "documents")
 
-    ``_ms`` is an array of (start, end, text, replacement), empty if there are
-    none; an unknown replacement id gives an empty replacement.
-    """
-    keys = _keys(key)
-    docs = _numbered(df, keys, text)
-    matches = find_all_anchor(docs.select(DOC, "_text"), dictionary, DOC, "_text", alias=alias, **kw)
+
+def _matches(docs: DataFrame, dictionary: DataFrame, mode: str, alias, kw) -> DataFrame:
+    """The match rows of numbered documents, with ``_doc`` as their key."""
+    return find_all_large(docs.select(DOC, "_text"), dictionary, DOC, "_text", mode, alias, **kw)
+
+
+def _replacements(matches: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """Match rows with their replacement; an unknown id gives an empty one."""
     texts = dictionary.groupBy("replacement_id").agg(F.first("replacement").alias("replacement"))
-    one = F.struct("start", "end", "text", F.coalesce("replacement", F.lit("")).alias("replacement"))
-    per_doc = (matches.join(texts, "replacement_id", "left").groupBy(DOC)
-               .agg(F.sort_array(F.collect_list(one)).alias("_ms")))
-    none = F.array().cast("array<struct<start:int,end:int,text:string,replacement:string>>")
-    return docs.join(per_doc, DOC, "left").select(*keys, "_text", F.coalesce("_ms", none).alias("_ms"))
+    return matches.join(texts, "replacement_id", "left").withColumn(
+        "replacement", F.coalesce("replacement", F.lit("")))
 
 
 def replace_all_large(df: DataFrame, dictionary: DataFrame, key: str | Sequence[str] = "doc_id",
                       text: str = "text", emit: str = "replace", line_break: bool = False,
-                      newline: str = "\n", alias=None, **kw) -> DataFrame:
-    """R1-R3 for any dictionary: ``<key>, text, n_matches``, as ``rewrite.replace_all`` in retry mode.
-
-    A null text stays null. Cutting a text at its matches is one pass over it.
-    """
-    if emit not in ("replace", "insert_before"):
-        raise ValueError("emit must be 'replace' or 'insert_before'")
+                      newline: str = "\n", mode: str = "retry", alias=None, block: int = BLOCK, **kw) -> DataFrame:
+    """R1-R3 for any dictionary: ``<key>, text, n_matches``, as ``rewrite.replace_all``. A null text stays null."""
+    if emit not in EMITS:
+        raise ValueError(f"emit must be one of {EMITS}")
     if newline not in ("\n", "\r\n"):
         raise ValueError("newline must be '\\n' or '\\r\\n'")
     keys = _keys(key)
-    docs = matched_documents(df, dictionary, keys, text, alias, **kw)
-    n = len(keys)
-
-    def rewritten(body, ms):
-        out, at = [], 0
-        for k, m in enumerate(ms):
-            out.append(body[at:m["start"]])
-            out.append(m["replacement"])
-            at = m["start"] if emit == "insert_before" else m["end"]
-            if line_break and k + 1 < len(ms):
-                rest = body[at:ms[k + 1]["start"]].lstrip(" ")
-                if rest and not rest.startswith(newline) and not (newline == "\r\n" and rest == "\r"):
-                    out.append(newline)
-            if emit == "insert_before":
-                out.append(body[at:m["end"]])
-                at = m["end"]
-        out.append(body[at:])
-        return "".join(out)
-
-    def run(batches):
-        for b in batches:
-            bodies, ms = b.column(n).to_pylist(), b.column(n + 1).to_pylist()
-            text_of = [None if body is None else rewritten(body, m) for body, m in zip(bodies, ms)]
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns[:n], pa.array(text_of, pa.string()), pa.array([len(m) for m in ms], pa.int32())],
-                [*keys, "text", "n_matches"])
-
-    schema = T.StructType([*docs.select(*keys).schema.fields, T.StructField("text", T.StringType()),
-                           T.StructField("n_matches", T.IntegerType())])
-    return docs.mapInArrow(run, schema)
+    docs = _numbered(df, keys, text)
+    found = written(_replacements(_matches(docs, dictionary, mode, alias, kw), dictionary), "matches")
+    counts = found.groupBy(DOC).agg(F.count(F.lit(1)).cast("int").alias("n_matches"))
+    pieces = _blocks(docs.join(counts.select(DOC), DOC, "left_semi"), found, emit, newline, block)
+    out = F.concat("head", "tail")
+    if line_break:
+        pieces = written(pieces, "pieces")
+        following = Window.partitionBy(DOC).orderBy("_blk").rowsBetween(1, Window.unboundedFollowing)
+        # a gap that is only spaces up to the end of its block is settled by the first block that says more
+        later = pieces.select(DOC, "_blk", F.first("opens", ignorenulls=True).over(following).alias("_later"))
+        pieces = pieces.join(later, [DOC, "_blk"])
+        ends = F.coalesce("breaks", "_later", F.lit(False)) & F.col("goes_on")
+        out = F.concat("head_breaks", F.when(ends, F.lit(newline)).otherwise(F.lit("")), "tail")
+    whole = pieces.select(DOC, F.struct("_blk", out.alias("t")).alias("p")).groupBy(DOC).agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list("p")), lambda p: p["t"]), "").alias("_new"))
+    return (docs.join(whole, DOC, "left").join(counts, DOC, "left")
+            .select(*keys, F.coalesce("_new", "_text").alias("text"), F.coalesce("n_matches", F.lit(0)).alias("n_matches")))
+
+
+def _blocks(docs: DataFrame, found: DataFrame, emit: str, newline: str, size: int) -> DataFrame:
+    """The blocks of changed documents, written as far as a block can know.
+
+    ``_doc, _blk``; ``head`` up to the last replacement and, with line breaks after
+    the earlier ones, ``head_breaks``; ``tail``, the rest; ``breaks``: whether a line
+    break follows the last replacement (null: the block does not tell); ``goes_on``:
+    whether a match follows in a later block; ``opens``: whether a gap that reaches
+    this block with nothing but spaces needs a line break (null: only spaces here
+    too).
+    """
+    parts = F.regexp_extract_all(F.col("_text"), F.lit(f"(?s).{{1,{size}}}"), 0)
+    with_next = F.transform(F.array(parts), lambda a: F.transform(a, lambda t, i: F.struct(
+        t.alias("t"), F.coalesce(F.substring(F.try_element_at(a, i + 2), 1, 1), F.lit("")).alias("next"))))[0]
+    texts = docs.select(DOC, F.posexplode(with_next).alias("_blk", "b")).select(DOC, "_blk", "b.t", "b.next")
+    ms = found.groupBy(DOC, F.floor(F.col("start") / size).cast("int").alias("_blk")).agg(
+        F.sort_array(F.collect_list(F.struct("start", "end", "replacement"))).alias("ms"))
+    blocks = texts.join(ms, [DOC, "_blk"], "left")
+    slim = docs.select(DOC, F.explode(F.sequence(F.lit(0), F.floor((F.length("_text") - 1) / size).cast("int"))).alias("_blk"))
+    slim = slim.join(ms.select(DOC, "_blk", F.col("ms")[0]["start"].alias("s"), F.element_at("ms", -1)["end"].alias("e")),
+                     [DOC, "_blk"], "left")
+    in_doc = Window.partitionBy(DOC).orderBy("_blk")
+    slim = slim.select(
+        DOC, "_blk", F.max("e").over(in_doc.rowsBetween(Window.unboundedPreceding, -1)).alias("carry"),
+        F.first("s", ignorenulls=True).over(in_doc.rowsBetween(1, Window.unboundedFollowing)).alias("following"))
+    b = blocks.join(slim, [DOC, "_blk"]).withColumn("begin", F.col("_blk") * size)
+    t, ms, n, begin = F.col("t"), F.col("ms"), F.coalesce(F.size("ms"), F.lit(0)), F.col("begin")
+    stop = begin + F.length(t)
+
+    def cut(a: Column, z: Column) -> Column:
+        """The text from place ``a`` to place ``z`` of the document, both in this block."""
+        return F.substring(t, a - begin + 1, F.greatest(z - a, F.lit(0)))
+
+    enter = F.greatest(begin, F.coalesce("carry", F.lit(0))) if emit == "replace" else begin
+    resume = "end" if emit == "replace" else "start"
+    ordered = F.when(n > 0, ms).otherwise(F.array().cast(MATCHES))
+
+    def piece(breaks: bool):
+        def one(m, i):
+            here = F.concat(cut(F.when(i > 0, F.get(ms, i - 1)[resume]).otherwise(enter), m["start"]), m["replacement"])
+            if not breaks:
+                return here
+            gap = cut(m[resume], F.get(ms, i + 1)["start"])
+            return F.concat(here, F.when((i + 1 < n) & ~_gap_ok(gap, newline), F.lit(newline)).otherwise(F.lit("")))
+        return F.array_join(F.transform(ordered, one), "")
+
+    def says(rest: Column) -> Column:
+        """Whether the end of the block breaks a gap: null if it is only spaces, else whether no line break comes first."""
+        ok = F.concat(rest, "next").rlike(f"^ *{newline}")
+        if newline == "\r\n":  # a gap may end between the two
+            ok = ok | (rest.rlike("^ *\r\\z") & F.coalesce(F.col("following") == stop, F.lit(False)))
+        return F.when(~rest.rlike("^ *\\z"), ~ok)
+
+    after = F.least(F.when(n > 0, F.element_at(ms, -1)[resume]).otherwise(enter), stop)
+    tail = cut(after, stop)
+    lead = cut(F.least(enter, stop), F.when(n > 0, ms[0]["start"]).otherwise(stop))
+    return b.select(
+        DOC, "_blk", piece(False).alias("head"), piece(True).alias("head_breaks"), tail.alias("tail"),
+        F.when(n > 0, says(tail)).otherwise(F.lit(False)).alias("breaks"),
+        ((n > 0) & F.col("following").isNotNull()).alias("goes_on"),
+        F.when(n > 0, ~_gap_ok(lead, newline)).otherwise(says(lead)).alias("opens"))
 
 
 def docs_matching_large(df: DataFrame, dictionary: DataFrame, text: str = "text", negate: bool = False,
                         alias=None, **kw) -> DataFrame:
-    """P1/P2 for any dictionary: the documents with (or, negated, without) a match."""
+    """P1/P2 for any dictionary: the documents with (or, negated, without) a match.
+
+    Any occurrence means a match, so overlaps need not be resolved.
+    """
     cols = df.columns
-    docs = matched_documents(df.withColumn("_search", F.col(text)), dictionary, cols, "_search", alias, **kw)
-    return docs.where((F.size("_ms") == 0) if negate else (F.size("_ms") > 0)).select(*cols)
+    docs = _numbered(df, cols, text)
+    hits = find_candidates(docs.select(DOC, "_text"), dictionary, DOC, "_text", alias=alias, **kw).select(DOC).distinct()
+    return docs.join(hits, DOC, "left_anti" if negate else "left_semi").select(*cols)
+
+
+def _counted(df: DataFrame, dictionary: DataFrame, keys: list[str], text: str, mode: str, alias, kw) -> DataFrame:
+    """Every document's keys, ``_chars`` and ``n_matches``."""
+    docs = _numbered(df, keys, text)
+    counts = _matches(docs, dictionary, mode, alias, kw).groupBy(DOC).agg(F.count(F.lit(1)).alias("n"))
+    return docs.select(DOC, *keys, F.length("_text").alias("_chars")).join(counts, DOC, "left").select(
+        *keys, "_chars", F.coalesce("n", F.lit(0)).cast("int").alias("n_matches"))
 
 
 def doc_match_counts_large(df: DataFrame, dictionary: DataFrame, key: str | Sequence[str] = "doc_id",
-                           text: str = "text", alias=None, **kw) -> DataFrame:
+                           text: str = "text", mode: str = "retry", alias=None, **kw) -> DataFrame:
     """A1 for any dictionary: ``<key>, n_matches`` for every document, zero included."""
-    keys = _keys(key)
-    return matched_documents(df, dictionary, keys, text, alias, **kw).select(
-        *keys, F.size("_ms").cast("int").alias("n_matches"))
+    return _counted(df, dictionary, _keys(key), text, mode, alias, kw).drop("_chars")
+
+
+def changed_docs_count_large(df: DataFrame, dictionary: DataFrame, text: str = "text", mode: str = "retry",
+                             alias=None, **kw) -> DataFrame:
+    """A2 for any dictionary: ``n_changed``."""
+    counted = _counted(df, dictionary, [], text, mode, alias, kw)
+    return counted.agg(F.count_if(F.col("n_matches") > 0).cast("bigint").alias("n_changed"))
+
+
+def scan_summary_large(df: DataFrame, dictionary: DataFrame, text: str = "text", mode: str = "retry", alias=None,
+                       **kw) -> DataFrame:
+    """A8 for any dictionary: ``n_docs, n_changed, n_matches, n_chars``."""
+    return _counted(df, dictionary, [], text, mode, alias, kw).agg(
+        F.count(F.lit(1)).cast("bigint").alias("n_docs"),
+        F.count_if(F.col("n_matches") > 0).cast("bigint").alias("n_changed"),
+        F.coalesce(F.sum("n_matches"), F.lit(0)).cast("bigint").alias("n_matches"),
+        F.coalesce(F.sum("_chars"), F.lit(0)).cast("bigint").alias("n_chars"))
 
 
 def match_report_large(df: DataFrame, dictionary: DataFrame, key: str | Sequence[str] = "doc_id",
-                       text: str = "text", alias=None, **kw) -> DataFrame:
+                       text: str = "text", mode: str = "retry", alias=None, **kw) -> DataFrame:
     """A4 for any dictionary: ``<key>, report`` for documents with a match."""
     keys = _keys(key)
-    docs = matched_documents(df, dictionary, keys, text, alias, **kw).where(F.size("_ms") > 0)
-    docs = docs.withColumn("_label", _label(keys))
-    lines = F.transform("_ms", lambda m: F.concat(F.col("_label"), F.lit(":  "), m["replacement"], F.lit(" <- '"),
+    docs = _numbered(df, keys, text)
+    found = _replacements(_matches(docs, dictionary, mode, alias, kw), dictionary)
+    per_doc = found.groupBy(DOC).agg(F.sort_array(F.collect_list(F.struct("ordinal", "replacement", "text"))).alias("_ms"))
+    lines = F.transform("_ms", lambda m: F.concat(_label(keys), F.lit(":  "), m["replacement"], F.lit(" <- '"),
                                                   m["text"], F.lit("'")))
-    return docs.select(*keys, F.array_join(lines, "\n").alias("report"))
+    return docs.select(DOC, *keys).join(per_doc, DOC).select(*keys, F.array_join(lines, "\n").alias("report"))
 
 
-def pattern_hit_counts_large(df: DataFrame, dictionary: DataFrame, text: str = "text", alias=None,
+def pattern_hit_counts_large(df: DataFrame, dictionary: DataFrame, text: str = "text", mode: str = "retry", alias=None,
                              **kw) -> DataFrame:
     """A7 for any dictionary: ``line_no, pattern, replacement_id, n_hits`` for every line."""
     docs = df.select(F.lit(0).alias("_k"), F.col(text).alias("_text"))
-    hits = (find_all_anchor(docs, dictionary, "_k", "_text", alias=alias, **kw)
+    hits = (find_all_large(docs, dictionary, "_k", "_text", mode, alias, **kw)
             .groupBy(F.col("text").alias("pattern")).agg(F.count(F.lit(1)).alias("_h")))
     winners = valid_rows(dictionary).groupBy("pattern").agg(F.min("line_no").alias("_win"))
     return (dictionary.join(winners, "pattern", "left").join(hits, "pattern", "left")

@@ -10,12 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import tokens as tk
 from ..functions.rows import keep_where
-from .dictionary import CompiledDictionary, valid_rows
+from .dictionary import CompiledDictionary, any_size, compiled_or_none, valid_rows
 from .search import _keys, tokenize
 
 
@@ -29,6 +29,7 @@ def _label(keys: Sequence[str]) -> Column:
     return F.concat_ws("/", *[F.col(k).cast("string") for k in keys])
 
 
+@any_size("doc_match_counts_large")
 def doc_match_counts(df: DataFrame, cd: CompiledDictionary, key: str | Sequence[str] = "doc_id",
                      text: str = "text", mode: str = "retry") -> DataFrame:
     """A1: ``<key>, n_matches`` for every document, zero included."""
@@ -38,6 +39,7 @@ def doc_match_counts(df: DataFrame, cd: CompiledDictionary, key: str | Sequence[
     return toks.select(*keys, n.cast("int").alias("n_matches"))
 
 
+@any_size("changed_docs_count_large")
 def changed_docs_count(df: DataFrame, cd: CompiledDictionary, text: str = "text",
                        mode: str = "retry") -> DataFrame:
     """A2: ``n_changed``: documents the rewrite changes (some match)."""
@@ -49,6 +51,7 @@ def changed_docs_count(df: DataFrame, cd: CompiledDictionary, text: str = "text"
                        .cast("bigint").alias("n_changed"))
 
 
+@any_size("match_report_large")
 def match_report(df: DataFrame, cd: CompiledDictionary, key: str | Sequence[str] = "doc_id",
                  text: str = "text", mode: str = "retry") -> DataFrame:
     """A4 (with J1, J2): ``<key>, report`` for documents with a match.
@@ -70,12 +73,17 @@ def match_report(df: DataFrame, cd: CompiledDictionary, key: str | Sequence[str]
     return keep_where(lines, F.size("_ms") > 0, *[F.col(k) for k in keys], report.alias("report"))
 
 
-def pattern_hit_counts(df: DataFrame, cd: CompiledDictionary, dictionary: DataFrame,
+def pattern_hit_counts(df: DataFrame, cd: CompiledDictionary | None, dictionary: DataFrame,
                        text: str = "text", mode: str = "retry") -> DataFrame:
     """``line_no, pattern, replacement_id, n_hits`` for every dictionary line.
 
-    Lines that never win (duplicates, shadowed, rejected) report 0.
+    Lines that never win (duplicates, shadowed, rejected) report 0. Without a
+    compiled dictionary it is compiled here, or searched otherwise if too large.
     """
+    cd = cd or compiled_or_none(dictionary, mode)
+    if cd is None:
+        from .large import pattern_hit_counts_large
+        return pattern_hit_counts_large(df, dictionary, text, mode)
     toks = tokenize(df, cd, [], text, mode)
     hits = (toks.select(F.explode(_match_texts(F.col("_tok"), cd)).alias("pattern"))
                 .groupBy("pattern").agg(F.count(F.lit(1)).alias("_h")))
@@ -86,11 +94,39 @@ def pattern_hit_counts(df: DataFrame, cd: CompiledDictionary, dictionary: DataFr
                      .otherwise(F.lit(0)).cast("bigint").alias("n_hits")))
 
 
+def match_lines(df: DataFrame, cd: CompiledDictionary, key: str | Sequence[str] = "doc_id",
+                text: str = "text", mode: str = "retry") -> DataFrame:
+    """``<key>, ordinal, line``: the report line of every match, a row each, whatever the match holds."""
+    keys = _keys(key)
+    toks = tokenize(df, cd, keys, text, mode).select(
+        *keys, _label(keys).alias("_label"), F.posexplode(_match_texts(F.col("_tok"), cd)).alias("ordinal", "_m"))
+    return toks.select(*keys, "ordinal", report_line(
+        F.col("_label"), F.coalesce(cd.replacement(F.col("_m")), F.lit("")), F.col("_m")).alias("line"))
+
+
+def report_line(label: Column, replacement: Column, match: Column) -> Column:
+    return F.concat(label, F.lit(":  "), replacement, F.lit(" <- '"), match, F.lit("'"))
+
+
+def observed(rewritten: DataFrame, name: str = "scan") -> tuple[DataFrame, Observation]:
+    """A3/A8 live: a rewrite that counts as it runs, and its counters.
+
+    ``n_docs, n_changed, n_matches`` are complete when the first action on the
+    result ends (``counters.get``); while it runs, and for each batch of a stream,
+    they are in the query's progress under ``name``.
+    """
+    counters = Observation(name)
+    metrics = [F.count(F.lit(1)).alias("n_docs"), F.count_if(F.col("n_matches") > 0).alias("n_changed"),
+               F.coalesce(F.sum("n_matches"), F.lit(0)).alias("n_matches")]
+    return rewritten.observe(name if rewritten.isStreaming else counters, *metrics), counters
+
+
 def replacement_hit_counts(hit_counts: DataFrame) -> DataFrame:
     """A7 by replacement: ``replacement_id, n_hits``."""
     return hit_counts.groupBy("replacement_id").agg(F.sum("n_hits").cast("bigint").alias("n_hits"))
 
 
+@any_size("scan_summary_large")
 def scan_summary(df: DataFrame, cd: CompiledDictionary, text: str = "text",
                  mode: str = "retry") -> DataFrame:
     """One row ``n_docs, n_changed, n_matches, n_chars`` (complete / found / todo = 0)."""

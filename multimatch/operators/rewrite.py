@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import tokens as tk
-from .dictionary import CompiledDictionary
+from .dictionary import CompiledDictionary, any_size
 from .search import _keys, tokenize
 
 EMITS = ("replace", "insert_before")
@@ -102,6 +102,7 @@ def with_gap_indices(toks: DataFrame, cd: CompiledDictionary) -> DataFrame:
     return toks.withColumn("_nm", tk.next_true(is_m)).withColumn("_nd", tk.next_true(decisive))
 
 
+@any_size("replace_all_large")
 def replace_all(df: DataFrame, cd: CompiledDictionary, key: str | Sequence[str] = "doc_id",
                 text: str = "text", emit: str = "replace", line_break: bool = False,
                 newline: str = "\n", mode: str = "retry") -> DataFrame:

@@ -7,21 +7,27 @@ corpus. The dictionary is compiled once on the driver after a size check.
 
 Positions are 0-based character offsets (``start``) with an exclusive ``end``;
 the reference's 1-based ``Start`` is ``start + 1``.
+
+Operators that take a compiled dictionary take a dictionary table as well, of any
+size: what is too large for a regex is searched as ``operators.large`` says.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import tokens as tk
-from ..functions.regex import ordered_alternation, translate_pattern
-from .dictionary import CompiledDictionary
+from ..functions.regex import RegexDialectError, can_be_empty, factors, items_regex, pattern_items
+from ..session import written
+from .dictionary import CompiledDictionary, any_size
 
 MODES = ("retry", "walk")
-GROUP = 64  # regex lines tested together before one is singled out
+FEW = 16  # regex lines that are scanned for without an index
+MIN_FACTOR = 2  # characters of a text that is worth looking up
 
 
 def _keys(key: str | Sequence[str]) -> list[str]:
@@ -56,6 +62,7 @@ def match_array(tok: Column, ends: Column, keep: Column) -> Column:
     return F.filter(pairs, keep)
 
 
+@any_size("find_all_large")
 def find_all(df: DataFrame, cd: CompiledDictionary, key: str | Sequence[str] = "doc_id",
              text: str = "text", mode: str = "retry") -> DataFrame:
     """M1/M2: ``<key>, ordinal, start, end, length, text, replacement_id``.
@@ -86,11 +93,13 @@ def any_match(text: Column, cd: CompiledDictionary) -> Column:
     return F.coalesce(text.rlike(f"(?={cd.first_class})(?:{cd.retry_regex})"), F.lit(False))
 
 
+@any_size("docs_matching_large")
 def docs_matching(df: DataFrame, cd: CompiledDictionary, text: str = "text") -> DataFrame:
     """Documents with at least one match (a filter, stops at the first hit)."""
     return df.where(any_match(F.col(text), cd))
 
 
+@any_size("docs_matching_large", negate=True)
 def docs_not_matching(df: DataFrame, cd: CompiledDictionary, text: str = "text") -> DataFrame:
     """Documents with no match: skipped by the rewrite."""
     return df.where(~any_match(F.col(text), cd))
@@ -127,59 +136,134 @@ def contains_pairs(docs: DataFrame, patterns: DataFrame, doc_key: str, doc_text:
     return hits.join(p, "_pt").select(F.col("_dk").alias(doc_key), F.col("_pk").alias(pat_key))
 
 
-def compile_regex_dictionary(rows: Sequence[tuple[int, str, str]]) -> tuple[str, list[tuple]]:
-    """M6: translate regex-dictionary rows (line_no, pattern, replacement).
+REGEX_LINE = ("line_no int, replacement string, line string, reason string, regex string, "
+              "factors array<array<string>>")
+
+
+def regex_lines(rows: Sequence[tuple[int, str, str]] | DataFrame, spark: SparkSession | None = None) -> DataFrame:
+    """M6: the lines (line_no, pattern, replacement) of a regex dictionary, translated in the tasks.
 
-    Returns the alternation in line order and the per-line
-    (line_no, translated, replacement) list; untranslatable lines raise.
+    ``line_no, replacement, line, reason, regex, factors``: ``reason`` says why a
+    line cannot be searched for (it is no pattern of the dialect, or matches the
+    empty text: C16), null if it can; ``factors`` is what a matching text contains
+    (one text of each).
     """
-    out = []
-    for line_no, pat, repl in sorted(rows):
-        out.append((line_no, translate_pattern(pat), repl))
-    return ordered_alternation([t for _, t, _ in out]), out
+    if not isinstance(rows, DataFrame):
+        rows = spark.createDataFrame([tuple(r) for r in rows], "line_no INT, pattern STRING, replacement STRING")
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for n, pattern, replacement in zip(*[c.to_pylist() for c in b.columns]):
+                reason = regex = parts = None
+                try:
+                    items = pattern_items(pattern or "")
+                    regex, parts = items_regex(items), factors(items)
+                    if can_be_empty(items):
+                        reason = "matches the empty text"
+                except RegexDialectError as e:
+                    reason = str(e)
+                out.append((n, replacement, pattern, reason, regex if reason is None else None, parts))
+            kinds = [pa.int32(), *[pa.string()] * 4, pa.list_(pa.list_(pa.string()))]
+            cols = list(zip(*out)) if out else [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)],
+                                             ["line_no", "replacement", "line", "reason", "regex", "factors"])
+
+    src = rows.select(F.col("line_no").cast("int").alias("line_no"), "pattern", "replacement")
+    return src.mapInArrow(run, REGEX_LINE)
+
+
+def regex_rejects(rows: Sequence[tuple[int, str, str]] | DataFrame, spark: SparkSession | None = None) -> DataFrame:
+    """``line_no, line, reason`` of the regex lines that are not searched for."""
+    return regex_lines(rows, spark).where("reason IS NOT NULL").select("line_no", "line", "reason")
 
 
 def find_all_regex(df: DataFrame, rows: Sequence[tuple[int, str, str]] | DataFrame,
                    key: str | Sequence[str], text: str = "text",
-                   max_patterns: int = 100_000) -> DataFrame:
+                   max_patterns: int = 100_000, few: int = FEW) -> DataFrame:
     """M6: matches of a regex dictionary: ``<key>, ordinal, start, end, length, text, line_no``.
 
     ``rows`` is a list of (line_no, pattern, replacement) or a dictionary
-    DataFrame with those columns, collected once with at most
-    ``max_patterns + 1`` rows (one more proves it too large for the driver).
-    One alternation in line order scans each document (lazy quantifiers:
-    matching stops at the first terminal); the line that produced a hit is
-    the first whose pattern matches the whole hit.
+    DataFrame with those columns. Quantifiers are lazy: matching stops at the
+    first terminal. Ties at one start go to the earlier line. Lines that
+    ``regex_rejects`` lists are left out.
+
+    A document is scanned with one alternation of lines in line order: all of them
+    if there are at most ``few``, else those whose factors it contains. Factors are
+    found by the anchor join; per line the one in fewest documents says which
+    documents come into question, and the others are looked up for these only.
+    Lines without a factor of ``MIN_FACTOR`` characters are scanned for everywhere;
+    of these there may be ``max_patterns``.
     """
-    if isinstance(rows, DataFrame):
-        got = rows.select("line_no", "pattern", "replacement").limit(max_patterns + 1).collect()
-        if len(got) > max_patterns:
-            raise ValueError(f"more than {max_patterns} regex patterns: split the dictionary")
-        rows = [(r.line_no, r.pattern, r.replacement) for r in got]
     keys = _keys(key)
-    alt, lines = compile_regex_dictionary(rows)
-    if alt is None:
-        raise ValueError("empty regex dictionary")
-    regex = f"(?s)(?:{alt})|.+?(?=(?:{alt}))|.+"
-    # a token is a hit iff the alternation matches all of it
-    full = f"^(?:{alt})\\z"
-    toks = with_token_ends(
-        df.select(*keys, F.regexp_extract_all(F.col(text), F.lit(regex), 0).alias("_tok")))
-    hits = match_array(F.col("_tok"), F.col("_end"), lambda s: s["text"].rlike(full))
-    ms = toks.select(*keys, F.posexplode(hits).alias("ordinal", "m"))
-    # the first line that matches the hit: first its group of lines, then the line in the group,
-    # as two flat searches of an array of patterns
-    groups = [lines[i:i + GROUP] for i in range(0, len(lines), GROUP)]
-    whole = F.array(*[F.lit("^(?:" + ordered_alternation([t for _, t, _ in g]) + ")\\z") for g in groups])
-    each = F.array(*[F.array(*[F.struct(F.lit(n).cast("int").alias("n"), F.lit(f"^(?:{t})\\z").alias("rx"))
-                               for n, t, _ in g]) for g in groups])
-    hit = F.col("m.text")
-    # zip the groups so that the lines of a matching group are at hand
-    pairs = F.arrays_zip(whole.alias("w"), each.alias("e"))
-    first = F.filter(pairs, lambda p: F.rlike(hit, p["w"]))[0]["e"]
-    which = F.filter(first, lambda p: F.rlike(hit, p["rx"]))[0]["n"]
+    spark = df.sparkSession
+    lines = written(regex_lines(rows, spark).where("reason IS NULL"), "lines")
+    n = lines.count()
+    if n <= few:
+        return _scan_lines(df.select(*keys, F.col(text).alias("_text")), keys, _always(lines.collect(), n))
+    from .anchor import find_candidates
+    long_enough = F.filter("factors", lambda f: F.length(f[0]) >= MIN_FACTOR)
+    lines = lines.withColumn("factors", long_enough)
+    plain = lines.where(F.size("factors") == 0).select("line_no", "regex").limit(max_patterns + 1).collect()
+    if len(plain) > max_patterns:
+        raise ValueError(f"more than {max_patterns} regex lines without a text that a match must contain")
+    every = written(lines.select("line_no", "regex", F.posexplode("factors").alias("f", "texts"))
+                    .select("line_no", "f", F.explode("texts").alias("t")), "factors")
+    docs = written(df.select(*keys, F.col(text).alias("_text"), F.monotonically_increasing_id().alias("_doc")),
+                   "documents")
+    texts = every.select(F.lit(0).alias("line_no"), F.col("t").alias("pattern"), F.lit("").alias("replacement"),
+                         F.lit(0).alias("replacement_id")).distinct()
+    found = find_candidates(docs.select("_doc", "_text"), texts, "_doc", "_text", drop_shadowed=False)
+    found = written(found.select("_doc", F.col("text").alias("t")).distinct(), "found")
+    # the factor of each line that fewest documents contain
+    seen = found.groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+    cost = every.join(seen, "t", "left").groupBy("line_no", "f").agg(F.sum(F.coalesce("n", F.lit(0))).alias("n"))
+    best = cost.groupBy("line_no").agg(F.min(F.struct("n", "f")).alias("b"), F.count(F.lit(1)).alias("factors"))
+    chosen = every.join(best.where("b.n > 0").select("line_no", F.col("b.f").alias("best"), "factors"), "line_no")
+    cand = found.join(chosen.where("f = best").select("t", "line_no", "factors"), "t").select(
+        "_doc", "line_no", "factors").distinct()
+    others = cand.join(chosen.where("f <> best").select("line_no", "f", "t"), "line_no").join(
+        found, ["_doc", "t"], "left_semi").groupBy("_doc", "line_no").agg(F.count_distinct("f").alias("others"))
+    cand = cand.join(others, ["_doc", "line_no"], "left").where(F.col("factors") == F.coalesce("others", F.lit(0)) + 1)
+    one = F.struct("line_no", "regex")
+    per_doc = cand.join(lines.select("line_no", "regex"), "line_no").groupBy("_doc").agg(
+        F.collect_list(one).alias("_lines"))
+    always = _always(plain, len(plain))
+    scanned = docs.join(per_doc, "_doc", "left" if plain else "inner").select(
+        *keys, "_text", F.array_sort(F.concat(F.coalesce("_lines", always), always) if plain else F.col("_lines"))
+        .alias("_lines"))
+    if plain:  # no line twice where there is no other
+        scanned = scanned.withColumn("_lines", F.array_distinct("_lines"))
+    return _scan_lines(scanned, keys, F.col("_lines"))
+
+
+def _always(lines: Sequence, n: int) -> Column:
+    """The lines (line_no, regex) as a constant array in line order."""
+    if not n:
+        return F.array().cast("array<struct<line_no:int,regex:string>>")
+    return F.array(*[F.struct(F.lit(x["line_no"]).cast("int").alias("line_no"), F.lit(x["regex"]).alias("regex"))
+                     for x in sorted(lines, key=lambda x: x["line_no"])])
+
+
+def _scan_lines(docs: DataFrame, keys: list[str], lines: Column) -> DataFrame:
+    """The matches of ``docs(<keys>, _text)``, each scanned with its own alternation of ``lines``.
+
+    Tokens are taken twice, whole and as far as they are hits, so that no regex
+    has to be compiled for a token.
+    """
+    docs = docs.select(*keys, "_text", lines.alias("_lines")).where(F.size("_lines") > 0)
+    alt = F.concat(F.lit("(?:"), F.array_join(F.transform("_lines", lambda x: x["regex"]), ")|(?:"), F.lit(")"))
+    regex = F.concat(F.lit("(?s)("), alt, F.lit(")|.+?(?=(?:"), alt, F.lit("))|.+"))
+    docs = docs.withColumn("_rx", regex)
+    toks = docs.select(*keys, "_lines", F.regexp_extract_all("_text", F.col("_rx"), 0).alias("_tok"),
+                       F.regexp_extract_all("_text", F.col("_rx"), 1).alias("_hit"))
+    toks = with_token_ends(toks)
+    spans = F.transform(F.arrays_zip("_hit", "_end"), lambda p: F.struct(
+        (p["_end"] - F.length(p["_hit"])).cast("int").alias("start"), p["_hit"].alias("text")))
+    ms = toks.select(*keys, "_lines", F.posexplode(F.filter(spans, lambda p: p["text"] != "")).alias("ordinal", "m"))
+    which = F.filter("_lines", lambda x: F.rlike(F.col("m.text"), F.concat(F.lit("^(?:"), x["regex"], F.lit(")\\z"))))
     return ms.select(
         *keys, F.col("ordinal").cast("int").alias("ordinal"), F.col("m.start").alias("start"),
         (F.col("m.start") + F.length("m.text")).cast("int").alias("end"),
         F.length("m.text").cast("int").alias("length"), F.col("m.text").alias("text"),
-        which.alias("line_no"))
+        which[0]["line_no"].alias("line_no"))

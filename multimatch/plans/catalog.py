@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators import anchor
 from ..operators import dictionary as dic
-from ..operators import large, report, rewrite, search
+from ..operators import large, report, rewrite, search, walk
 from ..session import shared_dir
 from ..sources import corpus, sinks
 from ..sources import dictionary_file as dict_file
@@ -303,8 +303,8 @@ def q_rewrite_sink(spark, sf_dir):
 def q_log_sink(spark, sf_dir):
     """The D1 match log written as text lines, read back."""
     path = shared_dir(spark, "log") + "/log"
-    rep = report.match_report(documents(spark, sf_dir), compiled_d1(spark), "doc_id", "text")
-    sinks.write_log(rep, path)
+    lines = report.match_lines(documents(spark, sf_dir), compiled_d1(spark), "doc_id", "text")
+    sinks.write_log(lines, path)
     return spark.read.text(path).select(F.col("value").alias("line"))
 
 
@@ -373,6 +373,42 @@ def q_find_all_regex(spark, sf_dir):
     return search.find_all_regex(documents(spark, sf_dir), rows, "doc_id", "text")
 
 
+@query("find_all_regex_large")
+def q_find_all_regex_large(spark, sf_dir):
+    """M6 with many lines: every `benchmark` word of nine letters or more with any fourth character,
+    found through the factors that a document contains."""
+    words = benchmark_vocabulary(spark, sf_dir).where("length(pattern) >= 9")
+    rows = words.select("line_no", F.expr("concat(substring(pattern, 1, 3), '.', substring(pattern, 5))").alias("pattern"),
+                        "replacement")
+    return search.find_all_regex(documents(spark, sf_dir), rows, "doc_id", "text")
+
+
+# ---- beyond one regex: the routes without limits, on D1 ----------------------------
+
+@query("find_all_walk_large")
+def q_find_all_walk_large(spark, sf_dir):
+    """M2 through tables of prefix keys, as for dictionaries of any size (= find_all_walk)."""
+    return walk.find_all_walk(documents(spark, sf_dir), d1_frame(spark), "doc_id", "text")
+
+
+@query("replace_line_break_large")
+def q_replace_line_break_large(spark, sf_dir):
+    """R3 from match rows, written block by block (= replace_line_break)."""
+    return large.replace_all_large(documents(spark, sf_dir), d1_frame(spark), "doc_id", "text", line_break=True)
+
+
+@query("scan_summary_large")
+def q_scan_summary_large(spark, sf_dir):
+    """A2, A3, A8 from match rows (= scan_summary)."""
+    return large.scan_summary_large(documents(spark, sf_dir), d1_frame(spark))
+
+
+@query("docs_matching_large")
+def q_docs_matching_large(spark, sf_dir):
+    """P1 by a semi join with the documents that hold a candidate (= docs_matching)."""
+    return large.docs_matching_large(documents(spark, sf_dir), d1_frame(spark)).select("doc_id")
+
+
 # ---- X1: streaming ----------------------------------------------------------------
 
 @query("incremental_scan")
@@ -392,6 +428,30 @@ def q_incremental_scan(spark, sf_dir):
     return spark.read.parquet(sink)
 
 
+@query("incremental_scan_large")
+def q_incremental_scan_large(spark, sf_dir):
+    """X1 with a growing dictionary: `documents` arrive in two batches and D1 in two parts; the later
+    files are searched for all lines, the earlier ones again for the later lines only."""
+    base = shared_dir(spark, "arrivals")
+    docs, d = table(spark, sf_dir, "documents", "doc_id", "lang", "text"), d1_frame(spark)
+    for files, lines in ((F.col("lang") == "en", F.col("line_no") < 6),
+                         (~F.col("lang").eqNullSafe("en"), F.lit(True))):
+        docs.where(files).select("doc_id", "text").write.mode("append").parquet(f"{base}/in")
+        incremental.scan_arrivals(spark, f"{base}/in", "doc_id BIGINT, text STRING", d.where(lines), f"{base}/out", "doc_id")
+    return incremental.arrived_matches(spark, f"{base}/out", "doc_id")
+
+
+@query("dict_branching")
+def q_dict_branching(spark, sf_dir):
+    """T1/A6 compact: where the trie of the `benchmark` words branches, with the number of ids through each node."""
+    d = benchmark_vocabulary(spark, sf_dir)
+    nodes = dic.branching_nodes(d)
+    ids = dic.node_ids(d, nodes).groupBy("depth", "node").agg(F.sum(F.bitmap_count("ids")).alias("n_ids"))
+    texts = dic.valid_rows(d).select("line_no", "pattern")
+    return nodes.join(texts, "line_no").join(ids, ["depth", "node"]).select(
+        F.substring("pattern", F.lit(1), F.col("depth")).alias("prefix"), "depth", "n_ids")
+
+
 @query("find_all_auto")
 def q_find_all_auto(spark, sf_dir):
     """Strategy choice: the `benchmark` word dictionary (thousands of patterns) over

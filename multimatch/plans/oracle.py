@@ -393,6 +393,23 @@ SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS IN
        CAST(length(x) AS INTEGER) AS length, x AS text, CAST(rid AS INTEGER) AS replacement_id
 FROM m"""
 
+# lines whose fourth character is any: regexes built in SQL, in line order
+ORACLE["find_all_regex_large"] = f"""WITH {_VOCAB},
+lines AS (SELECT line_no, array_to_string(list_transform(string_split(pattern, ''),
+              lambda c, i: CASE WHEN i = 4 THEN '(?s:.)' ELSE '\\x{{' || printf('%x', unicode(c)) || '}}' END), '') AS rx
+          FROM vocab WHERE length(pattern) >= 9),
+rx AS (SELECT '(?s)(?:' || string_agg(rx, '|' ORDER BY line_no) || ')|.' AS r FROM lines),
+t AS (SELECT doc_id, regexp_extract_all(text, (SELECT r FROM rx)) AS tok FROM documents),
+u AS (SELECT doc_id, unnest(tok) AS x, generate_subscripts(tok, 1) AS i FROM t),
+w AS (SELECT doc_id, x, i, sum(length(x)) OVER (PARTITION BY doc_id ORDER BY i
+          ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - length(x) AS st FROM u),
+h AS (SELECT x, min(line_no) AS line_no
+      FROM (SELECT DISTINCT x FROM w WHERE length(x) > 1) JOIN lines ON regexp_full_match(x, rx) GROUP BY x)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS ordinal,
+       CAST(st AS INTEGER) AS start, CAST(st + length(x) AS INTEGER) AS "end",
+       CAST(length(x) AS INTEGER) AS length, x AS text, line_no
+FROM w JOIN h USING (x)"""
+
 ORACLE["replace_all_large"] = f"""WITH {_VOCAB},
 firsts AS (SELECT pattern, arg_min(replacement, line_no) AS rep FROM vocab GROUP BY pattern),
 rx AS (SELECT '(?s)(?:' || string_agg(
@@ -428,3 +445,16 @@ SELECT line_no,
        CAST(length(x) AS INTEGER) AS length, x AS text,
        CAST({D1_ID_CASE} AS INTEGER) AS replacement_id
 FROM m"""
+
+# other routes to the same results
+ORACLE["find_all_walk_large"] = ORACLE["find_all_walk"]
+ORACLE["replace_line_break_large"] = ORACLE["replace_line_break"]
+ORACLE["scan_summary_large"] = ORACLE["scan_summary"]
+ORACLE["docs_matching_large"] = ORACLE["docs_matching"]
+ORACLE["incremental_scan_large"] = ORACLE["find_all"]
+ORACLE["dict_branching"] = f"""WITH {_VOCAB},
+kids AS (SELECT parent AS prefix, count(*) AS n FROM pnodes WHERE parent IS NOT NULL GROUP BY parent),
+ends AS (SELECT DISTINCT pattern AS prefix FROM vocab)
+SELECT p.prefix, p.depth, CAST(len(p.ids) AS BIGINT) AS n_ids
+FROM pnodes p JOIN kids k USING (prefix) LEFT JOIN ends e ON e.prefix = p.prefix
+WHERE k.n + CASE WHEN e.prefix IS NULL THEN 0 ELSE 1 END >= 2 OR p.depth = 0"""

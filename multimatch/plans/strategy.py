@@ -1,12 +1,12 @@
 """Choosing the search strategy from dictionary statistics.
 
 Catalyst cannot choose between a regex scan and an anchor join, because the
-choice depends on the dictionary's size, so this function does it:
+choice depends on the dictionary's size, so the operators do it when they are
+given a dictionary table (``operators.dictionary.any_size``):
 
-* a dictionary that fits one regex (checked by collecting at most
-  ``max_patterns + 1`` active rows) is compiled and scanned in one narrow stage;
-* a larger one goes through the anchor join (equi-join on anchor hashes,
-  broadcast only below a checked row count, shuffled otherwise).
+* a dictionary that fits one regex (measured before it is collected) is compiled
+  and scanned in one narrow stage;
+* a larger one goes through the anchor join, or the prefix tables in walk mode.
 
 Both give the same match table.
 """
@@ -17,18 +17,16 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
-from ..operators.anchor import find_all_anchor
-from ..operators.dictionary import DictionaryTooLarge, compile_dictionary
+from ..operators.dictionary import compiled_or_none
+from ..operators.large import find_all_large
 from ..operators.search import find_all
 
 
 def find_all_auto(df: DataFrame, dictionary: DataFrame, key: str | Sequence[str] = "doc_id",
                   text: str = "text", max_patterns: int = 20_000, max_chars: int = 1 << 20,
-                  alias=None) -> DataFrame:
-    """Retry-mode matches, by regex when the dictionary is small enough, else by anchor join."""
-    try:
-        cd = compile_dictionary(dictionary, alias=alias, max_patterns=max_patterns,
-                                max_chars=max_chars)
-    except DictionaryTooLarge:
-        return find_all_anchor(df, dictionary, key, text, alias=alias)
-    return find_all(df, cd, key, text, "retry")
+                  alias=None, mode: str = "retry") -> DataFrame:
+    """Matches by regex when the dictionary is small enough, else without one."""
+    cd = compiled_or_none(dictionary, mode, alias=alias, max_patterns=max_patterns, max_chars=max_chars)
+    if cd is None:
+        return find_all_large(df, dictionary, key, text, mode, alias)
+    return find_all(df, cd, key, text, mode)

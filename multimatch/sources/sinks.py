@@ -1,79 +1,132 @@
 """Sinks: versioned rewrite output (S7) and the match log.
 
 The reference rewrites files in place and may keep ``.bak`` copies. Here a
-rewrite never touches what is being read: every run writes a new version
-directory ``v=N`` under the output root (N = last version + 1), so the
-previous version is the backup, and a failed or retried job leaves earlier
-versions intact (the commit of a version is Spark's atomic job commit).
+rewrite never touches what is being read. A run reserves the next version number
+by creating a file that no other run can create again, writes the files of the
+version, and commits it with a manifest that names them; a version without a
+manifest (its job failed, or still runs) is never read. The version before is the
+backup: ``restore`` commits a new version that names an old one's files.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+import json
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.rows import keep_where
 
 
-def _versions(spark: SparkSession, root: str, committed: bool = False) -> list[int]:
-    """Version numbers under ``root``; with ``committed`` only those whose job
-    committed (a ``_SUCCESS`` marker), so a version left by a failed job is
-    never read, while numbering still skips it."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(root)
-    fs = p.getFileSystem(conf)
-    if not fs.exists(p):
-        return []
-    out = []
-    for st in fs.listStatus(p):
-        name = st.getPath().getName()
-        if st.isDirectory() and name.startswith("v=") and name[2:].isdigit():
-            if committed and not fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-                continue
-            out.append(int(name[2:]))
-    return sorted(out)
-
-
-def next_version_path(spark: SparkSession, root: str) -> tuple[int, str]:
-    """the first unused version number under ``root`` and its path."""
-    vs = _versions(spark, root)
-    v = (vs[-1] + 1) if vs else 1
-    return v, f"{root.rstrip('/')}/v={v}"
+def _files(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def _names(spark: SparkSession, path: str) -> list[str]:
+    fs, p = _files(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+
+
+def _create(spark: SparkSession, path: str, text: str = "") -> bool:
+    """Create a file, unless there is one."""
+    fs, p = _files(spark, path)
+    fs.mkdirs(p.getParent())
+    try:
+        out = fs.create(p, False)
+    except Exception:
+        if fs.exists(p):
+            return False
+        raise
+    out.write(bytearray(text.encode()))
+    out.close()
+    return True
+
+
+def versions(spark: SparkSession, root: str) -> list[int]:
+    """The committed versions under ``root``."""
+    return sorted(int(n[2:-5]) for n in _names(spark, f"{root.rstrip('/')}/_manifests")
+                  if n.startswith("v=") and n.endswith(".json"))
+
+
+def reserve_version(spark: SparkSession, root: str) -> int:
+    """the next version number; of several runs at once each gets its own (where creating a file is atomic, as on HDFS)."""
+    root = root.rstrip("/")
+    taken = [int(n[2:]) for d in (root, f"{root}/_reserved") for n in _names(spark, d) if n.startswith("v=")]
+    v = max([0, *taken, *versions(spark, root)]) + 1
+    while not _create(spark, f"{root}/_reserved/v={v}"):
+        v += 1
+    return v
+
+
+def _commit(spark: SparkSession, root: str, version: int, manifest: dict) -> None:
+    fs, whole = _files(spark, f"{root}/_manifests/v={version}.json")
+    if not _create(spark, f"{root}/_manifests/_v={version}.part", json.dumps(manifest)):
+        raise RuntimeError(f"version {version} was written before")
+    if not fs.rename(_files(spark, f"{root}/_manifests/_v={version}.part")[1], whole):  # all of it or nothing
+        raise RuntimeError(f"version {version} was not committed")
+
+
+def manifest(spark: SparkSession, root: str, version: int) -> dict:
+    """Format, schema and files of a committed version."""
+    lines = spark.read.text(f"{root.rstrip('/')}/_manifests/v={version}.json", wholetext=True).collect()
+    return json.loads(lines[0]["value"])
 
 
 def write_rewrites(rewritten: DataFrame, root: str, only_changed: bool = True,
                    fmt: str = "parquet") -> str:
-    """Write the rewritten documents (by default only changed ones) as a new version."""
-    spark = rewritten.sparkSession
-    _, path = next_version_path(spark, root)
+    """Write the rewritten documents (by default only changed ones) as a new version; its path."""
+    spark, root = rewritten.sparkSession, root.rstrip("/")
+    version = reserve_version(spark, root)
+    path = f"{root}/v={version}"
     out = (keep_where(rewritten, F.col("n_matches") > 0, *[F.col(c) for c in rewritten.columns])
            if only_changed else rewritten)
     out.write.mode("errorifexists").format(fmt).save(path)
+    files = [f"v={version}/{n}" for n in _names(spark, path) if not n.startswith(("_", "."))]
+    _commit(spark, root, version, {"format": fmt, "schema": out.schema.json(), "files": files})
     return path
 
 
-def read_version(spark: SparkSession, root: str, version: int | None = None,
-                 fmt: str = "parquet") -> DataFrame:
-    vs = _versions(spark, root, committed=True)
-    if not vs:
-        raise FileNotFoundError(f"no committed versions under {root}")
-    v = vs[-1] if version is None else version
-    return spark.read.format(fmt).load(f"{root.rstrip('/')}/v={v}")
+def restore(spark: SparkSession, root: str, version: int) -> int:
+    """Commit a new version that is an earlier one again (no file is copied); its number."""
+    old, new = manifest(spark, root, version), reserve_version(spark, root)
+    _commit(spark, root.rstrip("/"), new, {**old, "restored": version})
+    return new
+
 
+def read_version(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
+    """The rows of a committed version (the last one, if none is named): the files its manifest names."""
+    known = versions(spark, root)
+    if not known or (version is not None and version not in known):
+        raise FileNotFoundError(f"no committed version {version or ''} under {root}")
+    m = manifest(spark, root, known[-1] if version is None else version)
+    from pyspark.sql.types import StructType
+    schema = StructType.fromJson(json.loads(m["schema"]))
+    if not m["files"]:
+        return spark.createDataFrame([], schema)
+    return spark.read.format(m["format"]).schema(schema).load([f"{root.rstrip('/')}/{f}" for f in m["files"]])
 
-def write_log(report: DataFrame, path: str) -> str:
-    """The match log as text, one line per report line (written only if not empty).
+
+def log_text(line: Column) -> Column:
+    """A log line as it is written: line breaks and backslashes inside it are escaped, so that a match is one line."""
+    for plain, escaped in (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r")):
+        line = F.replace(line, F.lit(plain), F.lit(escaped))
+    return line
+
+
+def write_log(lines: DataFrame, path: str) -> str:
+    """The match log as text, one line per row of ``lines(line)`` (written only if there are any).
 
     The search runs once: lines are counted as they are written, and a log
     without lines is taken back.
     """
-    spark = report.sparkSession
+    spark = lines.sparkSession
     seen = Observation("log")
-    lines = report.select(F.explode(F.split("report", "\n")).alias("value"))
-    lines.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("errorifexists").text(path)
+    out = lines.select(log_text(F.col("line")).alias("value"))
+    out.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("errorifexists").text(path)
     if seen.get["n"]:
         return path
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    fs, p = _files(spark, path)
+    fs.delete(p, True)
     return ""

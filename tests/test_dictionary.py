@@ -105,3 +105,30 @@ def test_distributed_ids_equal_driver_ids(spark):
     a = sorted(map(tuple, dic.assign_replacement_ids(df).collect()))
     b = sorted(map(tuple, dic.dictionary_from_pairs(spark, fixtures.D1).collect()))
     assert a == b
+
+
+def test_branching_nodes_and_their_ids(spark):
+    import random
+    r = random.Random(3)
+    words = ["".join(r.choice("abé😀") for _ in range(r.randint(1, 7))) for _ in range(150)] + ["abc" * 20, "abc" * 20 + "d", "x"]
+    for few in (words, ["one"], ["a", "ab"]):
+        d = dic.dictionary_from_pairs(spark, [(w, f"r{i % 40}") for i, w in enumerate(few)] + [("", "e")])
+        own = {x.line_no: x.pattern for x in dic.sorted_patterns(d).collect()}
+        assert sorted(own.values()) == sorted(set(few))
+        nodes = dic.branching_nodes(d)
+        kids = {}
+        for w in set(few):
+            for i in range(len(w) + 1):
+                kids.setdefault(w[:i], set()).add(w[i:i + 1])
+        want = {p for p, k in kids.items() if len(k) > 1} | {""}
+        got = {x.node: own[x.line_no][:x.depth] for x in nodes.collect()}
+        assert set(got.values()) == want and len(got) == len(want)
+        ids = {}
+        for x in dic.node_ids(d, nodes).collect():
+            bits = int.from_bytes(bytes(x.ids), "little")
+            here = {k for k in range(bits.bit_length()) if bits >> k & 1}  # bucket 0 has id 0, bucket 1 the ids from 1
+            ids.setdefault(got[x.node], set()).update({0} if x.bucket == 0 else {(x.bucket - 1) * 32768 + k + 1 for k in here})
+        rid = {x.pattern: set() for x in d.collect()}
+        for x in d.collect():
+            rid[x.pattern].add(x.replacement_id)
+        assert ids == {p: set().union(*[v for w, v in rid.items() if w and w.startswith(p)]) for p in want}

@@ -88,8 +88,8 @@ def test_line_numbers_across_splits(spark):
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
     try:
+        assert spark.read.text(root).rdd.getNumPartitions() > 10
         df = corpus.read_lines(spark, root)
-        assert df.rdd.getNumPartitions() > 10
         got = sorted((r.line_no, r.text) for r in df.collect())
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
@@ -125,5 +125,65 @@ def test_uncommitted_version_is_skipped(spark):
     root = shared_dir(spark, "versions2")
     sinks.write_rewrites(rewrite.replace_all(df, cd), root)
     os.makedirs(f"{root}/v=2")  # left behind by a job that never committed
-    assert sinks.next_version_path(spark, root)[0] == 3
+    assert sinks.reserve_version(spark, root) == 3
     assert [(r.doc_id, r.text) for r in sinks.read_version(spark, root).collect()] == [(1, "xb")]
+
+
+def test_versions_of_writers_at_once_and_restore(spark):
+    from concurrent.futures import ThreadPoolExecutor
+    cd = compile_dictionary(dictionary_from_pairs(spark, [("a", "b")]))
+    frames = [spark.createDataFrame([(i, f"{i}a"), (9, "z")], "doc_id BIGINT, text STRING") for i in range(4)]
+    root = shared_dir(spark, "versions3")
+    with ThreadPoolExecutor(4) as pool:
+        paths = list(pool.map(lambda df: sinks.write_rewrites(rewrite.replace_all(df, cd), root), frames))
+    assert sorted(p.rsplit("=", 1)[1] for p in paths) == ["1", "2", "3", "4"] and sinks.versions(spark, root) == [1, 2, 3, 4]
+    assert {r.text for v in range(1, 5) for r in sinks.read_version(spark, root, v).collect()} == {f"{i}b" for i in range(4)}
+    second = sinks.read_version(spark, root, 2).collect()
+    assert sinks.restore(spark, root, 2) == 5
+    assert sinks.read_version(spark, root).collect() == second
+    assert sinks.manifest(spark, root, 5)["restored"] == 2
+    path = sinks.write_rewrites(rewrite.replace_all(frames[0].where("doc_id = 9"), cd), root)
+    assert path.endswith("v=6") and sinks.read_version(spark, root).count() == 0
+
+
+def test_arrivals_with_a_growing_dictionary(spark):
+    from multimatch.operators.search import find_all
+    from multimatch.streaming import incremental
+    root, schema = shared_dir(spark, "arrivals"), "doc_id BIGINT, text STRING"
+    pairs = [("abc", "1"), ("cd", "2"), ("bc", "3"), ("ab", "4"), ("abc", "5")]
+    d = dictionary_from_pairs(spark, pairs)
+    texts = ["abcd bc", "xab", "cdcd abc", "", None, "bcabc"]
+    frames = [spark.createDataFrame([(i, t)], schema) for i, t in enumerate(texts)]
+
+    def put(*which):
+        for i in which:
+            frames[i].write.mode("append").parquet(f"{root}/in")
+
+    def run(lines):
+        incremental.scan_arrivals(spark, f"{root}/in", schema, d.where(lines), f"{root}/out", "doc_id")
+        got = incremental.arrived_matches(spark, f"{root}/out", "doc_id")
+        seen = spark.read.schema(schema).parquet(f"{root}/in")
+        known = [p for i, p in enumerate(pairs) if spark.read.parquet(f"{root}/out/lines").where(f"line_no = {i}").count()]
+        want = find_all(seen, compile_dictionary(dictionary_from_pairs(spark, known)))
+        cols = ["doc_id", "ordinal", "start", "end", "length", "text"]
+        assert sorted(map(tuple, got.select(cols).collect())) == sorted(map(tuple, want.select(cols).collect()))
+        return got.count()
+
+    put(0, 1)
+    run("line_no < 2")
+    put(2, 3, 4)
+    run("line_no < 3")  # a new line and new files
+    n = run("line_no < 3")  # nothing new
+    assert run("line_no < 3") == n
+    run("line_no >= 0")  # new lines only
+    put(5)
+    n = run("line_no >= 0")
+    # a batch whose commit was lost runs again under its number
+    import shutil
+    last = max(int(f) for f in os.listdir(f"{root}/out/checkpoint/commits") if f.isdigit())
+    for f in (f"{last}", f".{last}.crc"):
+        if os.path.exists(f"{root}/out/checkpoint/commits/{f}"):
+            os.remove(f"{root}/out/checkpoint/commits/{f}")
+    assert run("line_no >= 0") == n
+    shutil.rmtree(f"{root}/out/occurrences/set=2")  # nor does a set whose search was not finished get lost
+    assert run("line_no >= 0") == n
