@@ -142,30 +142,37 @@ class Network:
         x -= x.max(axis=1, keepdims=True)
         return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
 
-    def within(self, hidden: np.ndarray, klass: np.ndarray, token: np.ndarray, vocabulary: Vocabulary, members: list):
-        """Per class of more than one token: its places in the batch, its tokens, the
-        log-probability of each of them at each place, and the column of the right one."""
-        order = np.argsort(klass, kind="stable")
-        ends = np.cumsum(np.bincount(klass, minlength=CLASSES))
-        for c, mine in enumerate(members):
-            at = order[ends[c - 1] if c else 0:ends[c]]
-            if len(at) and len(mine) > 1:
-                x = hidden[at] @ self.words[mine].T + vocabulary.log_share[mine].astype(np.float32)
-                x -= x.max(axis=1, keepdims=True)
-                x -= np.log(np.exp(x).sum(axis=1, keepdims=True))
-                yield at, mine, x, np.searchsorted(mine, token[at])
+    def within(self, klass: np.ndarray, token: np.ndarray, vocabulary: Vocabulary, members: list):
+        """For tokens sorted by class: the rows of each class of more than one token, the
+        places of its tokens in ``np.concatenate(members)``, and the place of each right one among them."""
+        every = np.concatenate(members)
+        ends = np.cumsum([len(m) for m in members])
+        place = np.empty(EDGE, np.int64)
+        place[every] = np.arange(len(every))
+        first = np.concatenate([[0], ends[:-1]])
+        right = place[token] - first[klass]
+        rows = np.concatenate([[0], np.cumsum(np.bincount(klass, minlength=CLASSES))])
+        return every, [(slice(rows[c], rows[c + 1]), slice(first[c], ends[c]), right[rows[c]:rows[c + 1]])
+                       for c in range(CLASSES) if rows[c + 1] > rows[c] and ends[c] - first[c] > 1]
 
     def log_prob(self, ctx: np.ndarray, token: np.ndarray, vocabulary: Vocabulary, members: list) -> np.ndarray:
         """Log-probability of each token given its neighbours: of its class, and of the token in it."""
         out = np.empty(len(token), np.float64)
         for a in range(0, len(token), BATCH):
-            here = token[a:a + BATCH]
+            order = np.argsort(vocabulary.klass[token[a:a + BATCH]].astype(np.uint8), kind="stable")
+            here = token[a:a + BATCH][order]
             klass = vocabulary.klass[here]
-            h = self.hidden(ctx[:, a:a + BATCH])
+            h = self.hidden(ctx[:, a:a + BATCH][:, order])
             part = self.log_classes(h)[np.arange(len(here)), klass].astype(np.float64)
-            for at, _, x, right in self.within(h, klass, here, vocabulary, members):
-                part[at] += x[np.arange(len(at)), right]
-            out[a:a + BATCH] = part
+            every, classes = self.within(klass, here, vocabulary, members)
+            words, share = self.words[every], vocabulary.log_share[every].astype(np.float32)
+            for rows, mine, right in classes:
+                x = h[rows] @ words[mine].T + share[mine]
+                top = x.max(axis=1)
+                part[rows] += x[np.arange(len(right)), right] - top
+                x -= top[:, None]
+                part[rows] -= np.log(np.exp(x, out=x).sum(axis=1))
+            out[a + order] = part
         return out
 
     def step(self, part: int, rows, g: np.ndarray, n: int) -> None:
@@ -177,17 +184,24 @@ class Network:
 
     def train(self, ctx: np.ndarray, token: np.ndarray, vocabulary: Vocabulary, members: list) -> None:
         """One Adagrad step on the mean loss of a batch; rows without a gradient stay as they are."""
-        n, klass = len(token), vocabulary.klass[token]
+        order = np.argsort(vocabulary.klass[token].astype(np.uint8), kind="stable")  # rows of a class together
+        n, token, ctx = len(token), token[order], ctx[:, order]
+        klass = vocabulary.klass[token]
         h = self.hidden(ctx)
         d = np.exp(self.log_classes(h))
         d[np.arange(n), klass] -= 1
         dh = d @ self.out.T
-        words = []
-        for at, mine, x, right in self.within(h, klass, token, vocabulary, members):
-            x = np.exp(x)
-            x[np.arange(len(at)), right] -= 1
-            dh[at] += x @ self.words[mine]
-            words.append((mine, x.T @ h[at]))
+        every, classes = self.within(klass, token, vocabulary, members)
+        words, share = self.words[every], vocabulary.log_share[every].astype(np.float32)
+        grad = np.zeros_like(words)
+        for rows, mine, right in classes:
+            x = h[rows] @ words[mine].T + share[mine]
+            x -= x.max(axis=1, keepdims=True)
+            np.exp(x, out=x)
+            x /= x.sum(axis=1, keepdims=True)
+            x[np.arange(len(right)), right] -= 1
+            dh[rows] += x @ words[mine]
+            grad[mine] = x.T @ h[rows]
         dz = dh * (1 - h * h)
         for k in range(2 * REACH):
             order = np.argsort(ctx[k].astype(np.uint16), kind="stable")
@@ -196,8 +210,7 @@ class Network:
         self.step(1, slice(None), dz.sum(0), n)
         self.step(2, slice(None), h.T @ d, n)
         self.step(3, slice(None), d.sum(0), n)
-        for mine, g in words:
-            self.step(4, mine, g, n)
+        self.step(4, every, grad, n)
 
 
 def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
