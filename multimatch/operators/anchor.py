@@ -53,7 +53,7 @@ def _plain(batch: pa.RecordBatch, column: int) -> list:
 
 
 def _anchor_key(hashes: np.ndarray, length) -> np.ndarray:
-    return mix(hashes ^ mix(np.asarray(length, np.uint64)))
+    return mix(hashes ^ mix(np.atleast_1d(np.asarray(length, np.uint64))))
 
 
 def _slots(keys: np.ndarray) -> list[np.ndarray]:
