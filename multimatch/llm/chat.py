@@ -253,7 +253,11 @@ def format_records(records: DataFrame, key: str, record_col: str = "record", lay
 
 
 def records_of(conversations: DataFrame) -> DataFrame:
-    """Stand-in records in several layouts, one per conversation of (conv_id, turn, role, text) rows."""
+    """Stand-in records in several layouts, one per conversation of (conv_id, turn, role, text) rows.
+
+    Turns stand by number, null first; turns of one number by role, then by text.
+    Null roles and texts are empty. Rows with a null id are one conversation.
+    """
     turns = conversations.select("conv_id", F.struct(
         "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
     one = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
@@ -269,7 +273,11 @@ def records_of(conversations: DataFrame) -> DataFrame:
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
-    """Every conversation formatted, and digests of what is read back from the formatted texts."""
+    """Every conversation formatted, and digests of what is read back from the formatted texts.
+
+    Repeated rows are turns of their own; null ids, turns, roles and texts are as
+    ``records_of`` says; an empty table leaves the conversation -7.
+    """
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     control = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", control), (-7, 1, "assistant", control)],

@@ -251,24 +251,26 @@ class Words:
         ends = np.cumsum(sizes)
         raw = b"".join(texts)
         flat = np.frombuffer(raw, np.uint8)
-        cuts = self.cuts(flat)
         begins = (ends - sizes)[sizes > 0]
-        cuts = np.setdiff1d(cuts, begins, assume_unique=True)
+        # a text's first character is no cut, and what follows its last one belongs to it
+        cuts = np.setdiff1d(np.setdiff1d(self.cuts(flat), begins, assume_unique=True), ends - 1)
         # a word is what follows a cut's space, or a text's beginning, up to the next one
+        at = np.concatenate([begins, cuts])
         start = np.concatenate([begins, cuts + 1])
-        end = np.concatenate([begins, cuts])
         plain = np.zeros(len(start), bool)
         plain[:len(begins)] = not self.lead
-        order = np.argsort(end)
-        start, plain, end = start[order], plain[order], np.append(end[order][1:], len(flat))
+        order = np.argsort(at)
+        at, start, plain = at[order], start[order], plain[order]
+        end = np.append(at[1:], len(flat))
+        counts = np.searchsorted(at, ends) - np.searchsorted(at, ends - sizes)
         one, two = self.hashed(flat, start, end, plain)
         distinct, which, back = np.unique(one, return_index=True, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.hashes, distinct), max(len(self.hashes) - 1, 0))
+        near = np.minimum(np.searchsorted(self.hashes, distinct), max(len(self.hashes) - 1, 0))
         known = np.zeros(len(distinct), bool)
         if len(self.hashes):
-            known = (self.hashes[at] == distinct) & (self.seconds[at] == two[which])
+            known = (self.hashes[near] == distinct) & (self.seconds[near] == two[which])
         number = np.zeros(len(distinct), np.int64)
-        number[known] = self.numbers[at[known]]
+        number[known] = self.numbers[near[known]]
         new = np.flatnonzero(~known)
         for bare in (False, True):
             mine = new[plain[which[new]] == bare]
@@ -282,8 +284,7 @@ class Words:
         self.hashes = np.insert(self.hashes, place, distinct[keep])
         self.seconds = np.insert(self.seconds, place, two[which[keep]])
         self.numbers = np.insert(self.numbers, place, number[keep])
-        counts = np.diff(np.append(np.searchsorted(start, ends - sizes), len(start)))
-        return self.joined(number[back], np.where(sizes > 0, counts, 0))
+        return self.joined(number[back], counts)
 
     def joined(self, at: np.ndarray, counts: np.ndarray):
         """Ids of texts from the numbers of their words (``counts`` words each)."""

@@ -3,6 +3,7 @@
 import corpus_pipeline
 import plain
 import sentencepiece
+from pyspark.sql import functions as F
 
 from multimatch.llm import langid, pieces
 
@@ -47,12 +48,21 @@ def test_stages_take_odd_tables(spark):
     odd = [(1, None, "en", "a", None), (None, "the cat and the dog", None, None, 3), (2, "", "en", "a", 0),
            (3, "the cat and the dog", "en", "b", 19), (3, "the cat and the dog", "en", "b", 19), (4, "word " * 30_000, "en", "c", 9)]
     docs = spark.createDataFrame(odd, "doc_id bigint, text string, lang string, source string, n_chars bigint")
-    for table in (docs, docs.where("doc_id > 99")):
-        for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
-            out = stage(spark, table, SF)
-            if k < len(corpus_pipeline.STAGES) - 1:
-                assert out.columns == docs.columns, name
-            assert out.count() <= table.count()
+    want = {"language ID": [None, 3, 3, 4], "SimHash near-dedup": [1, 3, 4], "substring dedup": [None, 1, 2, 3, 3, 4],
+            "benchmark decontamination": [None, 1, 2, 3, 3, 4], "SentencePiece encoding and decoding": [None, 1, 2, 3, 3, 4]}
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        empty = stage(spark, docs.where("doc_id > 99"), SF)
+        out = stage(spark, docs, SF)
+        if k < len(corpus_pipeline.STAGES) - 1:
+            assert out.columns == docs.columns == empty.columns, name
+        assert empty.count() == 0, name
+        got = out.collect()
+        assert sorted((r["doc_id"] for r in got), key=lambda i: (i is not None, i or 0)) == want[name], name
+        assert {(r["doc_id"], r["text"]) for r in got} <= {(i, t) for i, t, *_ in odd}, name
+    clash = docs.withColumn("ids", F.lit("x")).withColumn("n_ids", F.lit(7)).withColumn("round_trip", F.lit(1))
+    last = corpus_pipeline.pieces_stage(spark, clash, SF)
+    assert last.columns == [*docs.columns, "ids", "n_ids", "round_trip"]
+    assert {(len(r["ids"]), r["n_ids"], r["round_trip"]) for r in last.where("doc_id IN (1, 2)").collect()} == {(0, 0, True)}
 
 
 def test_documents_stay_if_no_language_is_learned(spark):

@@ -597,4 +597,4 @@ def test_sql_oracles(spark, name):
 
 def test_every_operator_has_a_query():
     numbers = sorted(int(k[2:].split("_")[0]) for k in queries.LLM_QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
