@@ -70,7 +70,7 @@ def merge_pieces(a: np.ndarray, b: np.ndarray, piece: int = PIECE):
     beyond = np.full(piece + 1, np.iinfo(np.int64).max)
     a, b = np.concatenate([a, beyond]), np.concatenate([b, beyond])
     shape = (piece, len(starts))
-    at_a, at_b = np.empty(shape, np.int64), np.empty(shape, np.int64)
+    at_a, at_b = np.empty(shape, np.int32), np.empty(shape, np.int32)
     of_b, overlap = np.empty(shape, bool), np.empty(shape, bool)
     for k in range(piece):
         end_a, end_b = a[i], b[j]
@@ -97,7 +97,7 @@ class Aligned:
         docs = len(n_a)
         self.a, self.b, self.n_a, self.n_b = a, b, n_a, n_b
         at_a, at_b, of_b, overlap, group = merge_pieces(ends_a, ends_b)
-        owner = np.repeat(np.arange(docs), n_a)
+        owner = np.repeat(np.arange(docs, dtype=np.int32), n_a)
         cut = ~overlap
         # a cut is B's end after A's equal one
         self.doc_of_group = owner[at_a[cut] - 1]
@@ -111,7 +111,8 @@ class Aligned:
     def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct id pairs of every document in order: pair, links, and pairs per document."""
         key = self.a[self.link_a].astype(np.int64) * B_IDS + self.b[self.link_b]
-        key = np.sort(self.link_doc * (B_IDS * B_IDS) + key)
+        key += self.link_doc.astype(np.int64) * (B_IDS * B_IDS)
+        key.sort()
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[:len(key)])
         key, links = key[first], np.diff(np.concatenate([first, [len(key)]]))
         return key % (B_IDS * B_IDS), links, np.bincount(key // (B_IDS * B_IDS), minlength=len(self.n_a))

@@ -27,7 +27,7 @@ import tokenizers
 
 from .pieces import BPE, BYTE, SPACE, PieceModel
 
-REMEMBERED, LONGEST = 2_000_000, 64  # words a task remembers, and the bytes of the longest among them
+REMEMBERED, LONGEST = 1_500_000, 64  # words a task remembers, and the bytes of the longest among them
 PIECES = 200_000  # pieces of words remembered
 NOTHING = np.zeros(0, np.int32)
 
