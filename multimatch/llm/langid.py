@@ -27,14 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise
+from .common import materialise, tidy
 
 N_HASH = 3
 SLOTS_PER_GRAM = 24
 MAX_SLOTS = 1 << 22  # more trigrams than these hold raise the false-positive rate, which is corrected for
 REL_RATE, SURE = 0.1, 3.0
 UNDETERMINED = "und"
-CHUNK = 4 << 20  # code points handled at a time
+CHUNK = 1 << 20  # code points handled at a time
 
 _letters: np.ndarray | None = None
 
@@ -169,7 +169,7 @@ def count_trigrams(rows: DataFrame) -> DataFrame:
                         [pa.array([name] * len(g), pa.string()), pa.array(g.view(np.int64)), pa.array(n, pa.int64())],
                         ["lang", "gram", "n"])
 
-    return rows.mapInArrow(run, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(
+    return rows.mapInArrow(tidy(run), "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(
         F.sum("n").alias("n"))
 
 
@@ -208,7 +208,7 @@ def train(rows: DataFrame) -> LanguageFilters:
             bits = np.bitwise_or.reduceat(bit[order], first) if len(first) else bit
             yield pa.RecordBatch.from_arrays([pa.array(key[first]), pa.array(bits.view(np.int64))], ["slot", "bits"])
 
-    got = kept.mapInArrow(run, "slot bigint, bits bigint").groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
+    got = kept.mapInArrow(tidy(run), "slot bigint, bits bigint").groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
     words = np.zeros((len(languages) + 63) // 64 * size, np.uint64)
     words[got.column("slot").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
     return LanguageFilters.of_words(languages, words.reshape(-1, size))
@@ -243,7 +243,7 @@ def identify(docs: DataFrame, filters: LanguageFilters, id_col: str = "doc_id",
 
     schema = T.StructType([*docs.schema.fields, T.StructField("__lang", T.StringType()),
                            T.StructField("__lang_score", T.DoubleType())])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def learn_from(docs: DataFrame) -> LanguageFilters:

@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import tidy
+
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # piece types of the file format
 UNIGRAM, BPE = 1, 2
@@ -331,7 +333,7 @@ def encode_documents(docs: DataFrame, model: PieceModel, text_col: str = "text")
 
     schema = T.StructType([*docs.schema.fields, T.StructField("__ids", T.ArrayType(T.IntegerType())),
                            T.StructField("__decoded", T.StringType())])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def op9(spark, sf_dir: str, model_path: str = DEFAULT_MODEL) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import in_slots, materialise, slot_set
+from .common import in_slots, materialise, slot_set, tidy
 from .fmindex import FMIndex
 
 WINDOW = 13
@@ -136,7 +136,7 @@ def anchors_of(src: DataFrame, slots=None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(anchor.view(np.int64)), pa.array(ids[first + owner].astype(np.int64))], ["anchor", "id"])
 
-    return src.mapInArrow(run, "anchor bigint, id bigint")
+    return src.mapInArrow(tidy(run), "anchor bigint, id bigint")
 
 
 def some_of(src: DataFrame, slots) -> DataFrame:
@@ -147,7 +147,7 @@ def some_of(src: DataFrame, slots) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array(in_slots(shared.value, b.column(0).to_numpy(zero_copy_only=False))))
 
-    return src.mapInArrow(run, src.schema)
+    return src.mapInArrow(tidy(run), src.schema)
 
 
 def _pieces(batches):
@@ -246,7 +246,7 @@ def covered_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.collect_set(F.when(F.col("hot"), F.col("anchor"))).alias("hot")), "anchors-of")
     found = some_of(src, slot_set(of_doc, "id")).join(of_doc, "id").select(
         "id", F.xxhash64(F.col("text").cast("string")).alias("text_hash"), "text", "cold", "hot")
-    pieces = found.mapInArrow(_pieces, "id bigint, text_hash bigint, first int, route bigint, words binary")
+    pieces = found.mapInArrow(tidy(_pieces), "id bigint, text_hash bigint, first int, route bigint, words binary")
     # a segment is named by its route and the hash of its words, 128 bits together
     pieces = materialise(pieces.withColumn("seg", F.xxhash64("words")), "pieces")
 
@@ -323,10 +323,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for b in batches:
             yield cut(b, b.column(n))
 
-    rest = docs.mapInArrow(others, docs.schema)
+    rest = docs.mapInArrow(tidy(others), docs.schema)
     both = rest.join(gone, (rest[id_col].cast("long") == gone["__id"])
                      & (F.xxhash64(rest[text_col]) == gone["__text_hash"]), "left").drop("__id", "__text_hash")
-    return docs.mapInArrow(untouched, schema).unionByName(both.mapInArrow(marked, schema))
+    return docs.mapInArrow(tidy(untouched), schema).unionByName(both.mapInArrow(tidy(marked), schema))
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

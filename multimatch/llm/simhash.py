@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialise, union_pairs
+from .common import connected_components, materialise, tidy, union_pairs
 
 N_REFS = 16
 BLOCK = 2048
@@ -73,7 +73,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), fp], ["id", "text_hash", "fp"])
 
     schema = f"id {src.schema['id'].dataType.simpleString()}, text_hash bigint, fp bigint"
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(tidy(run), schema)
 
 
 def band_keys(fp: Column, max_bits: int) -> Column:
@@ -140,7 +140,7 @@ def link_forest(fps: DataFrame, max_bits: int) -> DataFrame:
         if len(run):
             yield emit(run, fp)
 
-    return rows.mapInArrow(links, "u bigint, v bigint")
+    return rows.mapInArrow(tidy(links), "u bigint, v bigint")
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
