@@ -14,8 +14,9 @@ bounded by it), so that a file's score does not change with the files around it;
 term of no template weighs as one of no document. A vector within ``THRESHOLD`` of a
 template must share one of its *prefix* terms, which are the marked ones: those without
 which the rest of the template is shorter than the threshold; and enough terms of it to reach the
-threshold at all; other lines are left out before any row is made. No match is lost
-by that.
+threshold at all, and not so many terms of no template that they alone keep the
+cosine below it; other units are left out before any row is made. No match is lost by
+that.
 """
 
 from __future__ import annotations
@@ -188,6 +189,13 @@ def own_licenses(files: DataFrame, templates=TEMPLATES, texts: int = len(TEXTS),
         [(t, k, templates[k][0], k >= len(notices), w) for k, v in enumerate(vectors) for t, w in v.items()],
         "term string, template int, license string, text boolean, weight double")
     units = units_of(files, mark_regex(notices, threshold)).withColumn("terms", F.regexp_extract_all("body", F.lit("[a-z0-9]+"), F.lit(0)))
+    # terms of no template weigh most; if they alone make a unit too long for the others, no cosine reaches the threshold
+    known = F.filter("terms", lambda t: t.isin(sorted(idf)))
+    squares = F.aggregate(F.transform(F.array_distinct("known"), lambda t: F.size(F.filter("known", lambda x: x == t))),
+                          F.lit(0), lambda a, n: a + n * n)
+    others = F.size(F.array_distinct("terms")) - F.size(F.array_distinct("known"))
+    room = (1 / threshold ** 2 - 1 + 1e-6) * max(idf.values()) ** 2 / unseen ** 2
+    units = units.withColumn("known", known).where(others <= squares * F.lit(room))
     enough = F.col("whole")
     for v in notices:
         shared = F.array_intersect("terms", F.array(*[F.lit(t) for t in sorted(v)]))
