@@ -30,7 +30,7 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # piece types of the file format
 UNIGRAM, BPE = 1, 2
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-MAX_REMEMBERED, MAX_WORD = 300_000, 48  # entries a task remembers, and the longest word among them
+MAX_REMEMBERED, MAX_WORD = 200_000, 48  # entries a task remembers, and the longest word among them
 
 
 def fields(buf: bytes):
