@@ -85,26 +85,16 @@ def bom_columns(content: Column) -> tuple[Column, Column]:
 RAW = "ISO-8859-1"  # one byte, one character: any bytes come back as they were
 
 
-def _units_ok(body: Column, width: int, little: bool) -> Column:
-    """Whether ``body`` is well-formed UTF-16 (width 2) or UTF-32 (width 4)."""
-    n = F.octet_length(body)
+# the well-formed units of a charset, in bytes read one character each
+UNITS = {"UTF-16BE": r"[^\xD8-\xDF].|[\xD8-\xDB].[\xDC-\xDF].",
+         "UTF-16LE": r".[^\xD8-\xDF]|.[\xD8-\xDB].[\xDC-\xDF]",
+         "UTF-32BE": r"\x00(?:\x00[^\xD8-\xDF]|[\x01-\x10].).",
+         "UTF-32LE": r".(?:[^\xD8-\xDF]\x00|.[\x01-\x10])\x00"}
 
-    def byte(k: Column, i: int) -> Column:  # byte i of unit k, most significant first
-        return F.hex(F.substring(body, k * width + 1 + (width - 1 - i if little else i), F.lit(1)))
 
-    def bad(k: Column) -> Column:
-        if width == 4:
-            return ((byte(k, 0) != "00") | (byte(k, 1) > "10")
-                    | ((byte(k, 1) == "00") & byte(k, 2).between("D8", "DF")))
-        high = byte(k, 0).between("D8", "DB")
-        after = (k + 1) * width < n
-        paired = after & byte(k + 1, 0).between("DC", "DF")
-        before = (k > 0) & byte(k - 1, 0).between("D8", "DB")
-        return (high & ~paired) | (byte(k, 0).between("DC", "DF") & ~before)
-
-    units = F.when(n >= width, F.sequence(F.lit(0), (n / width).cast("int") - 1)).otherwise(
-        F.array().cast("array<int>"))
-    return (n % width == 0) & ~F.exists(units, bad)
+def _units_ok(body: Column, charset: str) -> Column:
+    """Whether ``body`` is well-formed UTF-16 or UTF-32: one pass of a possessive loop, which keeps no stack."""
+    return F.decode(body, RAW).rlike(rf"(?s)\A(?:{UNITS[charset]})*+\z")
 
 
 def decode_bom(df: DataFrame, content: str = "content") -> DataFrame:
@@ -120,10 +110,10 @@ def decode_bom(df: DataFrame, content: str = "content") -> DataFrame:
     body = F.expr(f"substring({content}, _nbom + 1)")
     marked = F.col("charset")
     ok = (F.when(marked == "UTF-8", F.is_valid_utf8(body.cast("string")))
-           .when(marked.startswith("UTF-16"), F.when(marked == "UTF-16LE", _units_ok(body, 2, True))
-                 .otherwise(_units_ok(body, 2, False)))
-           .when(marked == "UTF-32LE", _units_ok(body, 4, True))
-           .when(marked == "UTF-32BE", _units_ok(body, 4, False))
+           .when(marked == "UTF-16LE", _units_ok(body, "UTF-16LE"))
+           .when(marked == "UTF-16BE", _units_ok(body, "UTF-16BE"))
+           .when(marked == "UTF-32LE", _units_ok(body, "UTF-32LE"))
+           .when(marked == "UTF-32BE", _units_ok(body, "UTF-32BE"))
            .otherwise(F.lit(True)))
     out = df.withColumn("charset", charset).withColumn("_nbom", nbom)
     out = out.withColumn("charset", F.when(ok, marked).otherwise(F.lit(RAW)))
