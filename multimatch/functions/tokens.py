@@ -39,41 +39,29 @@ def tokens(text: Column, regex: str | None) -> Column:
     return F.regexp_extract_all(text, F.lit(regex), 0)
 
 
+RUN = 1 << 19  # tokens whose ends are computed together
+
+
 @F.arrow_udf(T.ArrayType(T.IntegerType()))
 def running_ends(lengths: pa.Array) -> pa.Array:
     """Inclusive running sum of each integer list: the end offset of every token.
 
-    Vectorised over the whole Arrow batch (one ``cumsum`` for all rows, then
-    each row's base subtracted), O(total tokens). Only the lengths travel to
+    Vectorised over runs of rows (one ``cumsum`` for all of a run, then each row's
+    base subtracted), O(total tokens); runs are short enough that what a worker
+    holds beside the batch does not grow with it. Only the lengths travel to
     Python, never the text.
     """
-    lengths = lengths.cast(pa.list_(pa.int64()))
+    lengths = lengths.cast(pa.list_(pa.int32()))
     offs = lengths.offsets.to_numpy()
     # a sliced batch: offsets index into the whole values buffer
     vals = lengths.values.slice(offs[0], offs[-1] - offs[0]).to_numpy(zero_copy_only=False)
     offs = offs - offs[0]
-    cs = np.cumsum(vals, dtype=np.int64)
-    base = np.concatenate([[0], cs])[offs[:-1]]
-    ends = cs - np.repeat(base, np.diff(offs))
-    return pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(ends.astype(np.int32)),
-                                    mask=lengths.is_null())
-
-
-@F.arrow_udf(T.ArrayType(T.IntegerType()))
-def next_true(flags: pa.Array) -> pa.Array:
-    """For each position of each boolean list, the index of the first true
-    element at or after it (-1 if none). Vectorised over the whole batch: a
-    reverse running minimum of global indices, rejected past the list's end."""
-    offs = flags.offsets.to_numpy()
-    vals = flags.values.slice(offs[0], offs[-1] - offs[0]).to_numpy(zero_copy_only=False)
-    offs = offs - offs[0]
-    n = len(vals)
-    idx = np.arange(n, dtype=np.int64)
-    cand = np.where(vals.astype(bool), idx, n)
-    nxt = np.minimum.accumulate(cand[::-1])[::-1] if n else cand
-    counts = np.diff(offs)
-    seg_start = np.repeat(offs[:-1], counts)
-    seg_end = np.repeat(offs[1:], counts)
-    out = np.where(nxt < seg_end, nxt - seg_start, -1).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(out),
-                                    mask=flags.is_null())
+    out = np.empty(len(vals), np.int32)
+    a = 0
+    while a < len(lengths):
+        z = max(a + 1, int(np.searchsorted(offs, offs[a] + RUN, side="right")) - 1)
+        cs = np.cumsum(vals[offs[a]:offs[z]], dtype=np.int64)
+        base = np.concatenate([[0], cs])[offs[a:z] - offs[a]]
+        out[offs[a]:offs[z]] = cs - np.repeat(base, np.diff(offs[a:z + 1]))
+        a = z
+    return pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(out), mask=lengths.is_null())

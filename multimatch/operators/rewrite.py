@@ -13,7 +13,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import tokens as tk
 from .dictionary import CompiledDictionary, any_size
 from .search import _keys, tokenize
 
@@ -32,8 +31,7 @@ def _gap_ok(gap: Column, newline: str) -> Column:
 
 
 def rewrite_tokens(tok: Column, cd: CompiledDictionary, emit: str = "replace",
-                   line_break: bool = False, newline: str = "\n",
-                   next_match: Column | None = None, next_decisive: Column | None = None) -> Column:
+                   line_break: bool = False, newline: str = "\n") -> Column:
     """The rewritten text of one document from its token array.
 
     ``emit='replace'`` (R1) writes the replacement in place of the match;
@@ -41,11 +39,8 @@ def rewrite_tokens(tok: Column, cd: CompiledDictionary, emit: str = "replace",
     ``line_break`` (R3) follows each replacement that has another match after
     it with a newline unless the gap to that match is spaces then a newline,
     or only spaces; with ``insert_before`` the gap starts with the kept match.
-    The gap may span several tokens (walk mode), so the rule reads the
-    "decisive" prefix: spaces up to the first token that is a match or holds a
-    non-space character. ``next_match`` / ``next_decisive`` are the per-token
-    indices of those tokens (see ``with_gap_indices``); without them the tokens
-    must be retry tokens, where matches and maximal gaps alternate.
+    Matches and maximal gaps alternate in the tokens of both modes, so the gap
+    after a match is the next token, if that is not a match.
     """
     if emit not in EMITS:
         raise ValueError(f"emit must be one of {EMITS}")
@@ -64,21 +59,9 @@ def rewrite_tokens(tok: Column, cd: CompiledDictionary, emit: str = "replace",
         a, f = b["a"], b["f"]
         n = F.size(a)
         own = t if emit == "insert_before" else F.lit("")
-        if next_match is None:
-            # retry tokens: matches and maximal gaps alternate, so the gap
-            # after match i is token i+1 when that is not a match
-            nxt_gap = (i + 1 < n) & ~f[F.least(i + 1, n - 1)]
-            has_next = F.when(nxt_gap, i + 2 < n).otherwise(i + 1 < n)
-            decisive = F.concat(own, F.when(nxt_gap, a[F.least(i + 1, n - 1)]).otherwise(F.lit("")))
-        else:
-            nm, nd = b["nm"], b["nd"]
-            has_after = i + 1 < n
-            has_next = has_after & (nm[F.least(i + 1, n - 1)] >= 0)
-            k = F.when(has_after, nd[F.least(i + 1, n - 1)]).otherwise(F.lit(-1))
-            spaces = F.when(k > i + 1, F.array_join(F.slice(a, i + 2, k - i - 1), "")).otherwise(F.lit(""))
-            tail = F.when((k >= 0) & ~f[F.greatest(k, F.lit(0))],
-                          a[F.greatest(k, F.lit(0))]).otherwise(F.lit(""))
-            decisive = F.concat(own, spaces, tail)
+        nxt_gap = (i + 1 < n) & ~f[F.least(i + 1, n - 1)]
+        has_next = F.when(nxt_gap, i + 2 < n).otherwise(i + 1 < n)
+        decisive = F.concat(own, F.when(nxt_gap, a[F.least(i + 1, n - 1)]).otherwise(F.lit("")))
         brk = F.when(has_next & ~_gap_ok(decisive, newline), F.lit(newline)).otherwise(F.lit(""))
         # the newline opens the next gap; with insert_before that gap starts
         # with this match's own text, so it goes between replacement and match
@@ -86,22 +69,11 @@ def rewrite_tokens(tok: Column, cd: CompiledDictionary, emit: str = "replace",
         done = F.concat(repl, brk) if emit == "replace" else F.concat(repl, brk, t)
         return F.when(f[i], done).otherwise(t)
 
-    fields = [tok.alias("a"), flags.alias("f")]
-    if next_match is not None:
-        fields += [next_match.alias("nm"), next_decisive.alias("nd")]
-    bundle = F.array(F.struct(*fields))
+    bundle = F.array(F.struct(tok.alias("a"), flags.alias("f")))
     return F.transform(bundle, lambda b: F.array_join(
         F.transform(b["a"], lambda t, i: piece(t, i, b)), ""))[0]
 
 
-def with_gap_indices(toks: DataFrame, cd: CompiledDictionary) -> DataFrame:
-    """Add ``_nm`` (next match index) and ``_nd`` (next match or token with a
-    non-space character) for every token of ``_tok``."""
-    is_m = F.transform("_tok", lambda t: cd.is_match(t))
-    decisive = F.transform("_tok", lambda t: cd.is_match(t) | t.rlike("[^ ]"))
-    return toks.withColumn("_nm", tk.next_true(is_m)).withColumn("_nd", tk.next_true(decisive))
-
-
 @any_size("replace_all_large")
 def replace_all(df: DataFrame, cd: CompiledDictionary, key: str | Sequence[str] = "doc_id",
                 text: str = "text", emit: str = "replace", line_break: bool = False,
@@ -113,13 +85,7 @@ def replace_all(df: DataFrame, cd: CompiledDictionary, key: str | Sequence[str]
     """
     keys = _keys(key)
     toks = tokenize(df, cd, keys, text, mode)
-    if line_break and mode == "walk":
-        # walk tokens: several non-match tokens can sit between two matches
-        toks = with_gap_indices(toks, cd)
-        idx = dict(next_match=F.col("_nm"), next_decisive=F.col("_nd"))
-    else:
-        idx = {}
     tok = F.col("_tok")
     n = F.coalesce(F.size(F.filter(tok, lambda t: cd.is_match(t))), F.lit(0))
-    return toks.select(*keys, rewrite_tokens(tok, cd, emit, line_break, newline, **idx).alias("text"),
+    return toks.select(*keys, rewrite_tokens(tok, cd, emit, line_break, newline).alias("text"),
                        n.cast("int").alias("n_matches"))
