@@ -92,6 +92,32 @@ def windows(texts: Sequence[str | None], ahead: int, size: int = WINDOW) -> Iter
         yield flush()
 
 
+CHAIN = 512  # places followed together
+
+
+def visited(after: np.ndarray, entry: int, block: int = CHAIN) -> tuple[np.ndarray, int]:
+    """The chain from ``entry`` through ``after``, in order, and the first place of it beyond the end."""
+    n = len(after)
+    ends = np.minimum((np.arange(n) // block + 1) * block, n)
+    leave = after.copy()
+    inside = np.flatnonzero(leave < ends)
+    while len(inside):
+        leave[inside] = leave[leave[inside]]
+        inside = inside[leave[inside] < ends[inside]]
+    at, firsts = entry, []
+    while at < n:
+        firsts.append(at)
+        at = int(leave[at])
+    lanes, out = np.array(firsts, np.int64), []
+    stop = ends[lanes]
+    while len(lanes):
+        out.append(lanes)
+        lanes = after[lanes]
+        going = lanes < stop
+        lanes, stop = lanes[going], stop[going]
+    return np.sort(np.concatenate(out)) if out else lanes, at
+
+
 _made: dict[int, np.ndarray] = {}
 
 
@@ -144,7 +170,7 @@ class Prefixes:
     """Keys of the stretches of a window: their hash in two bases, and their length."""
 
     def __init__(self, window: np.ndarray):
-        n = len(window)
+        n, self.codes = len(window), window
         value = _fold(window.astype(np.uint64) + np.uint64(1))
         self.sums, self.back = [], []
         for base in _BASES:

@@ -29,11 +29,13 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Window as SqlWindow
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.texthash import Bloom, KeySet, Rolling, codes, mix, windows
+from ..functions.texthash import Bloom, KeySet, Rolling, Window, codes, mix, visited, windows
 from ..session import written
 from .dictionary import active_dictionary, apply_alias, first_per_pattern
 from .search import _keys
@@ -52,6 +54,20 @@ def _plain(batch: pa.RecordBatch, column: int) -> list:
             for b in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
+PIECE = 1 << 22  # bytes of text decoded together
+
+
+def pieces(batches, column: int):
+    """The batches, cut where their texts are many, so that what a task holds does not grow with a batch."""
+    for b in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        a = 0
+        while a < b.num_rows:
+            z = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + PIECE, side="right")))
+            yield b.slice(a, z - a)
+            a = z
+
+
 def _anchor_key(hashes: np.ndarray, length) -> np.ndarray:
     return mix(hashes ^ mix(np.atleast_1d(np.asarray(length, np.uint64))))
 
@@ -159,6 +175,53 @@ class Patterns:
         return np.concatenate(starts), np.concatenate(which)
 
 
+VERIFIED = 1 << 20  # characters compared together
+
+
+def _agree(text: np.ndarray, at: np.ndarray, own: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether ``length[i]`` characters of ``text`` from ``at[i]`` are those of ``own`` from ``begin[i]``."""
+    out, done, a = np.ones(len(at), bool), np.cumsum(length), 0
+    while a < len(at):
+        before = done[a] - length[a]
+        z = max(a + 1, int(np.searchsorted(done, before + VERIFIED, side="right")))
+        n = length[a:z]
+        first = np.cumsum(n) - n
+        step = np.arange(int(n.sum())) - np.repeat(first, n)
+        out[a:z] = np.logical_and.reduceat(text[np.repeat(at[a:z], n) + step] == own[np.repeat(begin[a:z], n) + step], first)
+        a = z
+    return out
+
+
+class Lines:
+    """The patterns of a dictionary in a task: their anchors, characters and texts."""
+
+    def __init__(self, table: dict[str, np.ndarray], texts: list[str]):
+        self.model, self.table, self.texts = Patterns(table), table, pa.array(texts, pa.string())
+        self.plen = table["plen"].astype(np.int64)
+        self.chars = codes("".join(texts))
+        self.begin = np.cumsum(self.plen) - self.plen
+
+    def occurrences(self, w: Window) -> tuple[np.ndarray, np.ndarray]:
+        """Place and pattern of every occurrence in a window, in no order."""
+        at, p = self.model.occurrences(Rolling(w.codes), w.own)
+        same = _agree(w.codes, at, self.chars, self.begin[p], self.plen[p])
+        return at[same], p[same]
+
+    def matches(self, w: Window, entry: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """Place and pattern of the leftmost-shortest matches from ``entry``, and where the next window is entered.
+
+        Documents are kept apart by separators, so one chain runs through all of a window.
+        """
+        at, p = self.occurrences(w)
+        order = np.lexsort((self.plen[p], at))
+        at, p = at[order], p[order]
+        end = at + self.plen[p]
+        path, _ = visited(np.searchsorted(at, end), int(np.searchsorted(at, entry)))
+        at, p = at[path], p[path]
+        last = int(end[path[-1]]) if len(path) else entry
+        return at, p, max(last - w.own, 0) if w.goes_on else 0
+
+
 def _empty(df: DataFrame, keys: list[str], row_id: bool) -> DataFrame:
     return df.sparkSession.createDataFrame(
         [], T.StructType([*df.select(*keys).schema.fields, *([T.StructField(ROW, T.LongType())] if row_id else []),
@@ -180,51 +243,97 @@ def find_candidates(df: DataFrame, dictionary: DataFrame, key: str | Sequence[st
     and, with ``row_id``, ``_row``: a number of the document's own, so that rows
     with a null or repeated key stay apart (the key itself is only carried).
     """
-    given = _keys(key)
     anchors = _anchors(df, text, dictionary, q, alias, drop_shadowed)
-    st = anchors.agg(F.count(F.lit(1)).alias("n"), F.max("plen").alias("longest"), F.sum("plen").alias("chars"),
-                     F.sort_array(F.collect_set("a")).alias("classes")).first()
+    st = _measured(anchors)
+    return _candidates(df, anchors, st, _fits(st, broadcast_rows, broadcast_chars), _keys(key), text, row_id)
+
+
+def _candidates(df: DataFrame, anchors: DataFrame, st, fits: bool, given: list[str], text: str, row_id: bool) -> DataFrame:
     if not st["n"]:
         return _empty(df, given, row_id)
     # the key travels as one struct, so that its columns clash with none of these
     docs = df.select(F.struct(*given).alias("_keys"), F.col(text).alias("_text"),
                      F.monotonically_increasing_id().alias(ROW))
-    if st["n"] <= broadcast_rows and st["chars"] <= broadcast_chars:
-        found = _search(docs, anchors, int(st["longest"]))
+    if fits:
+        found = _search(docs, shared_lines(anchors), int(st["longest"]))
     else:
         found = _join(written(docs, "documents"), anchors, int(st["n"]), int(st["longest"]), list(st["classes"]))
     return found.select(*[F.col("_keys").getField(k).alias(k) for k in given], *([ROW] if row_id else []),
                         *[f.name for f in _FOUND])
 
 
-def _search(docs: DataFrame, anchors: DataFrame, longest: int) -> DataFrame:
-    """One pass over the corpus with the patterns in the tasks (their size has been checked)."""
+def _fits(st, broadcast_rows: int, broadcast_chars: int) -> bool:
+    return st["n"] <= broadcast_rows and (st["chars"] or 0) <= broadcast_chars
+
+
+def _measured(anchors: DataFrame):
+    """Number, characters, greatest length and anchor lengths of the patterns."""
+    return anchors.agg(F.count(F.lit(1)).alias("n"), F.max("plen").alias("longest"), F.sum("plen").alias("chars"),
+                       F.sort_array(F.collect_set("a")).alias("classes")).first()
+
+
+def shared_lines(anchors: DataFrame):
+    """A function that gives the tasks the patterns (their size has been checked)."""
     got = anchors.toArrow()
     texts = got.column("pattern").to_pylist()
     table = {c: got.column(c).to_numpy() for c in ("plen", "a", "o", "h", "full", "replacement_id", "line_no")}
-    shared = docs.sparkSession.sparkContext.broadcast((table, texts))
+    shared = anchors.sparkSession.sparkContext.broadcast((table, texts))
+    return lambda: Lines(*shared.value)
 
+
+def in_tasks(df: DataFrame, text: str, dictionary: DataFrame, q: int = DEFAULT_Q, broadcast_rows: int = 500_000,
+             broadcast_chars: int = 1 << 25, alias=None):
+    """``(lines, longest)``: what gives the tasks the active patterns, and the length of the longest (0 if there is
+    none); None if they are too many for that."""
+    anchors = _anchors(df, text, dictionary, q, alias, True)
+    st = _measured(anchors)
+    return (shared_lines(anchors), int(st["longest"] or 0)) if _fits(st, broadcast_rows, broadcast_chars) else None
+
+
+def _search(docs: DataFrame, lines, longest: int) -> DataFrame:
+    """Every occurrence, by one pass over the corpus with the patterns in the tasks."""
     def run(batches):
-        table, patterns = shared.value
-        model = Patterns(table)
-        for b in batches:
-            bodies = _plain(b, 1)
-            for w in windows(bodies, longest - 1):
-                at, p = model.occurrences(Rolling(w.codes), w.own)
+        known = lines()
+        for b in pieces(batches, 1):
+            for w in windows(_plain(b, 1), longest - 1):
+                at, p = known.occurrences(w)
                 row, start = w.locate(at)
-                same = [bodies[r].startswith(patterns[k], s) for r, s, k in zip(row.tolist(), start.tolist(), p.tolist())]
-                keep = np.flatnonzero(np.array(same, bool))
-                row, start, p = pa.array(row[keep]), start[keep], p[keep]
+                row = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).take(row), b.column(2).take(row), pa.array(start.astype(np.int32)),
-                     pa.array(table["plen"][p]), pa.array([patterns[k] for k in p.tolist()], pa.string()),
-                     pa.array(table["replacement_id"][p]), pa.array(table["line_no"][p])],
+                     pa.array(known.table["plen"][p]), known.texts.take(pa.array(p)),
+                     pa.array(known.table["replacement_id"][p]), pa.array(known.table["line_no"][p])],
                     ["_keys", ROW, *[f.name for f in _FOUND]])
 
     kind = T.StructType([docs.schema["_keys"], docs.schema[ROW], *_FOUND])
     return docs.mapInArrow(run, kind)
 
 
+_MATCH = [T.StructField(n, T.IntegerType()) for n in ("ordinal", "start", "end", "length")] + [
+    T.StructField("text", T.StringType()), T.StructField("replacement_id", T.IntegerType())]
+
+
+def _resolved(docs: DataFrame, lines, longest: int) -> DataFrame:
+    """The matches of ``docs(_keys, _text)``: a window's occurrences are resolved where they are found."""
+    def run(batches):
+        known = lines()
+        for b in pieces(batches, 1):
+            entry, count = 0, 0
+            for w in windows(_plain(b, 1), longest - 1):
+                at, p, entry = known.matches(w, entry)
+                row, start = w.locate(at)
+                # a document's matches are numbered on through its windows
+                ordinal = np.arange(len(at)) - np.searchsorted(row, row) + np.where(row == w.rows[0], count, 0)
+                count = count + len(at) if w.goes_on else 0
+                n = known.plen[p]
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(pa.array(row)), *[pa.array(x.astype(np.int32)) for x in (ordinal, start, start + n, n)],
+                     known.texts.take(pa.array(p)), pa.array(known.table["replacement_id"][p])],
+                    ["_keys", *[f.name for f in _MATCH]])
+
+    return docs.mapInArrow(run, T.StructType([docs.schema["_keys"], *_MATCH]))
+
+
 def bloom_words(keys: DataFrame, n: int, bits: int = BLOOM_BITS) -> np.ndarray:
     """The words of a blocked Bloom filter of ``keys(h)``, ``n`` of them.
 
@@ -402,7 +511,7 @@ def resolve_overlaps(cands: DataFrame, key: str | Sequence[str] = "doc_id",
         F.coalesce("x", F.lit(0)).cast("bigint").alias("x"))
     kind = T.StructType([*rows.drop("x").schema.fields, T.StructField("_rank", T.LongType())])
     kept = written(rows.repartition(*kb).sortWithinPartitions(*kb, "start", "length").mapInArrow(keep, kind), "kept")
-    earlier = Window.partitionBy(*doc).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = SqlWindow.partitionBy(*doc).orderBy("_blk").rowsBetween(SqlWindow.unboundedPreceding, -1)
     offsets = kept.groupBy(*kb).agg(F.count(F.lit(1)).alias("_n")).select(
         *kb, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_off"))
     return kept.alias("k").join(offsets.alias("o"), _same("k", "o", kb)).select(
@@ -450,7 +559,7 @@ def _entries(c: DataFrame, doc: list[str], size: int, longest: int) -> DataFrame
                          T.StructField("leave", T.ArrayType(T.LongType()))])
     blocks = (c.select(*kb, "start", "length").repartition(*kb).sortWithinPartitions(*kb, "start", "length")
               .mapInArrow(summarise, kind))
-    in_doc = Window.partitionBy(*doc).orderBy("_blk")
+    in_doc = SqlWindow.partitionBy(*doc).orderBy("_blk")
     near = F.lag("_blk").over(in_doc) == F.col("_blk") - 1
     # entered beyond the last candidate of its first run, a block may leave off elsewhere
     blocks = blocks.select("*", F.when(near, F.lag("leave").over(in_doc)).alias("from"),
@@ -492,9 +601,19 @@ def _doubled(late: DataFrame, heads: DataFrame, kb: list[str], size: int) -> Dat
 
 
 def find_all_anchor(df: DataFrame, dictionary: DataFrame, key: str | Sequence[str] = "doc_id",
-                    text: str = "text", q: int = DEFAULT_Q, alias=None, **kw) -> DataFrame:
+                    text: str = "text", q: int = DEFAULT_Q, alias=None, broadcast_rows: int = 500_000,
+                    broadcast_chars: int = 1 << 25) -> DataFrame:
     """M3 + M5: the retry-mode match table through the anchor join.
 
-    Documents may have null or repeated keys: each row is matched by itself, as by ``find_all``.
+    Documents may have null or repeated keys: each row is matched by itself, as by
+    ``find_all``. While the patterns fit in the tasks, a task has all occurrences of
+    a document's window at once and resolves them there, without a shuffle.
     """
-    return resolve_overlaps(find_candidates(df, dictionary, key, text, q, alias=alias, row_id=True, **kw), key)
+    given = _keys(key)
+    anchors = _anchors(df, text, dictionary, q, alias, True)
+    st = _measured(anchors)
+    if not st["n"] or not _fits(st, broadcast_rows, broadcast_chars):
+        return resolve_overlaps(_candidates(df, anchors, st, False, given, text, True), key)
+    docs = df.select(F.struct(*given).alias("_keys"), F.col(text).alias("_text"))
+    found = _resolved(docs, shared_lines(anchors), int(st["longest"]))
+    return found.select(*[F.col("_keys").getField(k).alias(k) for k in given], *[f.name for f in _MATCH])

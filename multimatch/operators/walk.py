@@ -29,14 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.texthash import Bloom, KeySet, Prefixes, codes, windows
+from ..functions.texthash import Bloom, KeySet, Prefixes, codes, visited, windows
 from ..session import written
-from .anchor import _plain, bloom_words
+from .anchor import _plain, bloom_words, pieces
 from .dictionary import active_dictionary
 from .search import _keys
 
 NODE_LIMIT = 8_000_000
-BLOCK = 512  # places followed together
 NONE = np.zeros(0, np.uint64)
 
 
@@ -57,7 +56,15 @@ def depths(prefixes: Prefixes, own: int, longest: int, nodes) -> np.ndarray:
     """How far the trie can be followed from each of the first ``own`` places."""
     limit = np.minimum(longest, len(prefixes.sums[0]) - 1 - np.arange(own))
     low, high = np.zeros(own, np.int64), limit + 1
-    alive, n = np.arange(own), 1
+    # one character: whatever is at a place, so each distinct character is looked up once
+    chars = np.flatnonzero(np.bincount(np.minimum(prefixes.codes[:own], 0x110000)))
+    first = np.zeros(0x110001, bool)
+    first[chars] = nodes.has(Prefixes(chars.astype(np.uint32)).keys(np.arange(len(chars)), np.ones(len(chars), np.int64)))
+    first[0x110000] = False  # the separator
+    alive, n = np.flatnonzero(first[np.minimum(prefixes.codes[:own], 0x110000)]), 2
+    alive = alive[limit[alive] >= 1]
+    low[:], high[:] = 0, 1
+    low[alive], high[alive] = 1, limit[alive] + 1
     while len(alive) and n <= longest:
         alive = alive[limit[alive] >= n]
         ok = nodes.has(prefixes.keys(alive, np.full(len(alive), n)))
@@ -75,29 +82,6 @@ def depths(prefixes: Prefixes, own: int, longest: int, nodes) -> np.ndarray:
     return low
 
 
-def visited(after: np.ndarray, entry: int, block: int = BLOCK) -> tuple[np.ndarray, int]:
-    """The chain from ``entry`` through ``after``, in order, and the first place of it beyond the end."""
-    n = len(after)
-    ends = np.minimum((np.arange(n) // block + 1) * block, n)
-    leave = after.copy()
-    inside = np.flatnonzero(leave < ends)
-    while len(inside):
-        leave[inside] = leave[leave[inside]]
-        inside = inside[leave[inside] < ends[inside]]
-    at, firsts = entry, []
-    while at < n:
-        firsts.append(at)
-        at = int(leave[at])
-    lanes, out = np.array(firsts, np.int64), []
-    stop = ends[lanes]
-    while len(lanes):
-        out.append(lanes)
-        lanes = after[lanes]
-        going = lanes < stop
-        lanes, stop = lanes[going], stop[going]
-    return np.sort(np.concatenate(out)) if out else lanes, at
-
-
 _KIND = [T.StructField("ordinal", T.IntegerType()), T.StructField("start", T.IntegerType()),
          T.StructField("length", T.IntegerType()), T.StructField("text", T.StringType()),
          T.StructField("key", T.LongType()), T.StructField("ends", T.BooleanType())]
@@ -110,16 +94,20 @@ def _walk(docs: DataFrame, model, longest: int, claims: bool) -> DataFrame:
     """
     def run(batches):
         nodes, whole = model()
-        for b in batches:
+        for b in pieces(batches, 1):
             bodies = _plain(b, 1)
             entry, count = 0, 0
             for w in windows(bodies, longest):
                 prefixes = Prefixes(w.codes)
                 depth = depths(prefixes, w.own, longest, nodes)
+                # from a place where no pattern begins the walk goes to the next one, so only others are followed
                 some = np.flatnonzero(depth)
                 ends = np.zeros(w.own, bool)
                 ends[some] = whole.has(prefixes.keys(some, depth[some]))
-                path, at = visited(np.arange(w.own) + depth + ~ends, entry)
+                after = some + depth[some] + ~ends[some]
+                path, _ = visited(np.searchsorted(some, after), int(np.searchsorted(some, entry)))
+                at = max(int(after[path[-1]]) if len(path) else entry, w.own)
+                path = some[path]
                 hit = path[ends[path]]
                 row, start = w.locate(hit)
                 # a document's matches are numbered on through its windows
@@ -135,7 +123,7 @@ def _walk(docs: DataFrame, model, longest: int, claims: bool) -> DataFrame:
                      pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(text, pa.string()), none,
                      none.cast(pa.bool_())], names)
                 if claims:
-                    on = path[depth[path] > 0]
+                    on = path
                     keys = prefixes.keys(on, depth[on])
                     for flag in (False, True):
                         mine = pa.array(np.unique(keys[ends[on] == flag]).view(np.int64))

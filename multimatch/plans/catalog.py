@@ -363,7 +363,8 @@ def q_find_all_anchor(spark, sf_dir):
 @query("resolve_overlaps")
 def q_resolve_overlaps(spark, sf_dir):
     """M5: all overlapping D1 occurrences from the anchor join, resolved greedily (= find_all)."""
-    return anchor.find_all_anchor(documents(spark, sf_dir), d1_frame(spark), "doc_id", "text")
+    found = anchor.find_candidates(documents(spark, sf_dir), d1_frame(spark), "doc_id", "text", row_id=True)
+    return anchor.resolve_overlaps(found, "doc_id")
 
 
 @query("find_all_regex")
