@@ -6,7 +6,10 @@ instead, and everything else is derived here from match rows. Documents get a
 number of their own and are written once, so that match rows can be joined back to
 them whatever their keys; texts are read again only where a rewrite needs them.
 
-A rewrite cuts the changed documents into blocks of ``BLOCK`` characters. A block is
+While the patterns fit in the tasks, a task has all matches of a document's window, in
+order (retry mode): it rewrites the window there, and filters without match rows.
+
+Beyond, a rewrite cuts the changed documents into blocks of ``BLOCK`` characters. A block is
 written from its own matches and from what reaches into it: the end of the last
 match before it, and, for the line-break rule, what the first decisive block after
 it says. Both are running values over small block rows; the texts of the blocks
@@ -15,13 +18,16 @@ stay spread over the tasks until a document is put together.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.texthash import SEPARATOR, codes, windows
 from ..session import written
-from .anchor import find_all_anchor, find_candidates
+from .anchor import _plain, find_all_anchor, find_candidates, in_tasks, pieces
 from .dictionary import valid_rows
 from .report import _label
 from .rewrite import EMITS, _gap_ok
@@ -68,6 +74,12 @@ def replace_all_large(df: DataFrame, dictionary: DataFrame, key: str | Sequence[
     if newline not in ("\n", "\r\n"):
         raise ValueError("newline must be '\\n' or '\\r\\n'")
     keys = _keys(key)
+    texts = _short_replacements(dictionary, kw.get("broadcast_chars", REPLACED)) if mode == "retry" else None
+    model = in_tasks(df, text, dictionary, alias=alias, **kw) if texts is not None else None
+    if model is not None:
+        done = _rewriter(*model, texts, emit == "insert_before", line_break, newline)(F.col(text)).alias("_new")
+        return df.select(*keys, F.col(text).alias("_text"), done).select(
+            *keys, F.coalesce("_new.text", "_text").alias("text"), F.col("_new.n_matches").alias("n_matches"))
     docs = _numbered(df, keys, text)
     found = written(_replacements(_matches(docs, dictionary, mode, alias, kw), dictionary), "matches")
     counts = found.groupBy(DOC).agg(F.count(F.lit(1)).cast("int").alias("n_matches"))
@@ -87,6 +99,133 @@ def replace_all_large(df: DataFrame, dictionary: DataFrame, key: str | Sequence[
             .select(*keys, F.coalesce("_new", "_text").alias("text"), F.coalesce("n_matches", F.lit(0)).alias("n_matches")))
 
 
+REPLACED = 1 << 25  # characters of replacements in the tasks
+
+
+def _short_replacements(dictionary: DataFrame, limit: int) -> dict[int, str] | None:
+    """The replacements by id, unless they are too many or too long for the tasks."""
+    by_id = dictionary.groupBy("replacement_id").agg(F.first("replacement").alias("r"))
+    st = by_id.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("r")), F.lit(0)).alias("chars")).first()
+    if st["n"] > 500_000 or st["chars"] > limit:
+        return None
+    return {x["replacement_id"]: x["r"] or "" for x in by_id.collect()}
+
+
+def _bodies(batches: Iterator[pa.Array]):
+    """The texts of batches of a text column, in pieces."""
+    return pieces((pa.RecordBatch.from_arrays([a], ["t"]) for a in batches), 0)
+
+
+def _spans(source: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Stretches of ``source``, one after the other."""
+    first = np.cumsum(length) - length
+    return source[np.repeat(begin - first, length) + np.arange(int(length.sum()))]
+
+
+def _decoded(chars: np.ndarray) -> str:
+    return chars.tobytes().decode("utf-32-le", "surrogatepass")
+
+
+def _rewriter(lines, longest: int, texts: dict[int, str], keep: bool, line_break: bool, newline: str):
+    """A function of a text: ``text`` rewritten (null: as it is) and ``n_matches``; ``keep`` leaves the matches in."""
+    def table(known):
+        """All replacements, the line break behind them, and where each pattern's begins."""
+        by_line = [texts.get(i, "") for i in known.table["replacement_id"].tolist()]
+        size = np.array([len(t) for t in by_line], np.int64)
+        return codes("".join(by_line) + newline), np.cumsum(size) - size, size
+
+    def needs_break(chars, solid, resume, following):
+        """Whether the gaps from ``resume`` to ``following`` are neither only spaces nor spaces and then a line break."""
+        at = np.append(solid, len(chars))[np.searchsorted(solid, resume)]
+        padded = np.append(chars, [SEPARATOR, SEPARATOR])
+        spaces = at >= following
+        if newline == "\n":
+            return ~(spaces | (padded[at] == 10))
+        return ~(spaces | ((padded[at] == 13) & ((at + 1 >= following) | (padded[at + 1] == 10))))
+
+    def text_of(parts, gaps, body):
+        """A long document from its windows' parts; a gap that reaches into a later window is read from its text."""
+        for slot, resume, following in gaps:
+            gap = body[resume:following].lstrip(" ")
+            if gap and not (gap.startswith(newline) or (newline == "\r\n" and gap == "\r")):
+                parts[slot] = newline
+        return "".join(parts)
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known = lines()
+        pool, begin, size = table(known)
+        for batch in batches:
+            out = []
+            for b in _bodies([batch]):
+                bodies = _plain(b, 0)
+                new, n = [None] * len(bodies), np.zeros(len(bodies), np.int32)
+                entry, parts, gaps, pending = 0, [], [], None
+                for w in windows(bodies, longest - 1) if longest else ():
+                    at, p, after = known.matches(w, entry)
+                    row, start = w.locate(at)
+                    np.add.at(n, row, 1)
+                    end = at + known.plen[p]
+                    resume = at if keep else end
+                    same = np.append(row[1:] == row[:-1], False) if len(row) else np.zeros(0, bool)
+                    breaks = np.zeros(len(at), np.int64)
+                    if line_break and len(at):
+                        solid = np.flatnonzero(w.codes != 32)
+                        inside = np.flatnonzero(same)
+                        breaks[inside] = needs_break(w.codes, solid, resume[inside], at[inside + 1]) * len(newline)
+                    # what comes before each match, its replacement, a line break; then the rest
+                    source = np.concatenate([w.codes[:w.own], pool])
+                    came = np.concatenate([[0 if keep else entry], resume])
+                    till = np.concatenate([at, [w.own]])
+                    first = np.column_stack([came, np.append(w.own + begin[p], 0),
+                                             np.full(len(at) + 1, w.own + len(pool) - len(newline))]).ravel()
+                    length = np.column_stack([np.maximum(till - came, 0), np.append(size[p], 0), np.append(breaks, 0)]).ravel()
+                    if len(w.rows) > 1 or (w.skip == 0 and not w.goes_on):
+                        made = _spans(source, first, length)
+                        cut = np.append(np.flatnonzero(made == SEPARATOR), len(made))
+                        changed, a = set(row.tolist()), 0
+                        for r, z in zip(w.rows.tolist(), cut.tolist()):
+                            if r in changed:
+                                new[r] = _decoded(made[a:z])
+                            a = z + 1
+                        entry = after
+                        continue
+                    # a window of a long document: the break after its last match depends on a later window
+                    r, own = int(w.rows[0]), _spans(source, first, length)
+                    own, tail = (own[:-int(length[-3])], own[-int(length[-3]):]) if length[-3] else (own, own[:0])
+                    if len(at) and pending is not None:
+                        gaps.append((*pending, int(start[0])))
+                    parts.append(_decoded(own[own != SEPARATOR]))
+                    if len(at):
+                        parts.append("")
+                        pending = (len(parts) - 1, int(start[-1] + (0 if keep else known.plen[p[-1]])))
+                    parts.append(_decoded(tail[tail != SEPARATOR]))
+                    if not w.goes_on:
+                        if n[r]:
+                            new[r] = text_of(parts, gaps if line_break else [], bodies[r])
+                        parts, gaps, pending = [], [], None
+                    entry = after
+                out.append(pa.StructArray.from_arrays([pa.array(new, pa.string()), pa.array(n)], ["text", "n_matches"]))
+            yield pa.concat_arrays(out) if out else pa.array([], pa.struct([("text", pa.string()), ("n_matches", pa.int32())]))
+
+    return F.arrow_udf(run, "text string, n_matches int")
+
+
+def _has_match(lines, longest: int):
+    """A function of a text: whether a pattern occurs in it (null: no)."""
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known = lines()
+        for batch in batches:
+            out = [np.zeros(0, bool)]
+            for b in _bodies([batch]):
+                hit = np.zeros(b.num_rows, bool)
+                for w in windows(_plain(b, 0), longest - 1):
+                    hit[w.locate(known.occurrences(w)[0])[0]] = True
+                out.append(hit)
+            yield pa.array(np.concatenate(out))
+
+    return F.arrow_udf(run, "boolean")
+
+
 def _blocks(docs: DataFrame, found: DataFrame, emit: str, newline: str, size: int) -> DataFrame:
     """The blocks of changed documents, written as far as a block can know.
 
@@ -156,6 +295,10 @@ def docs_matching_large(df: DataFrame, dictionary: DataFrame, text: str = "text"
     Any occurrence means a match, so overlaps need not be resolved.
     """
     cols = df.columns
+    model = in_tasks(df, text, dictionary, alias=alias, **kw)
+    if model is not None:
+        hit = _has_match(*model)(F.col(text)) if model[1] else F.lit(False)
+        return df.where(~hit if negate else hit)
     docs = _numbered(df, cols, text)
     hits = find_candidates(docs.select(DOC, "_text"), dictionary, DOC, "_text", alias=alias, **kw).select(DOC).distinct()
     return docs.join(hits, DOC, "left_anti" if negate else "left_semi").select(*cols)
