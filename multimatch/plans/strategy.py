@@ -5,7 +5,8 @@ choice depends on the dictionary's size, so the operators do it when they are
 given a dictionary table (``operators.dictionary.any_size``):
 
 * a dictionary that fits one regex (measured before it is collected) is compiled
-  and scanned in one narrow stage;
+  and scanned in one narrow stage; ``find_all_auto`` does so up to ``SMALL`` patterns,
+  as more are found faster by hashes in the tasks;
 * a larger one goes through the anchor join, or the prefix tables in walk mode.
 
 Both give the same match table.
@@ -22,8 +23,11 @@ from ..operators.large import find_all_large
 from ..operators.search import find_all
 
 
+SMALL = 64  # patterns
+
+
 def find_all_auto(df: DataFrame, dictionary: DataFrame, key: str | Sequence[str] = "doc_id",
-                  text: str = "text", max_patterns: int = 20_000, max_chars: int = 1 << 20,
+                  text: str = "text", max_patterns: int = SMALL, max_chars: int = 1 << 20,
                   alias=None, mode: str = "retry") -> DataFrame:
     """Matches by regex when the dictionary is small enough, else without one."""
     cd = compiled_or_none(dictionary, mode, alias=alias, max_patterns=max_patterns, max_chars=max_chars)
