@@ -265,11 +265,10 @@ def q_dict_saved(spark, sf_dir):
 @query("corpus_scan")
 def q_corpus_scan(spark, sf_dir):
     """`documents` written as one text file per document, scanned back as files."""
-    path = shared_dir(spark, "corpus")
-    documents(spark, sf_dir).write.partitionBy("doc_id").text(path)
-    files = corpus.read_files(spark, path)
+    folders = sinks.write_files(documents(spark, sf_dir), shared_dir(spark, "corpus"), "doc_id", "text")
+    files = corpus.read_files(spark, folders, recursive=True)
     dec = corpus.decode_bom(files)
-    return dec.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("length").alias("n_bytes"),
+    return dec.select(sinks.file_key(F.col("path"), "doc_id").alias("doc_id"), F.col("length").alias("n_bytes"),
                       F.length("text").cast("bigint").alias("n_chars"))
 
 

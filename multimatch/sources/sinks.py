@@ -1,4 +1,4 @@
-"""Sinks: versioned rewrite output (S7) and the match log.
+"""Sinks: versioned rewrite output (S7), the match log (S8), one file per row.
 
 The reference rewrites files in place and may keep ``.bak`` copies. Here a
 rewrite never touches what is being read. A run reserves the next version number
@@ -11,7 +11,10 @@ backup: ``restore`` commits a new version that names an old one's files.
 from __future__ import annotations
 
 import json
+import os
+import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -130,3 +133,46 @@ def write_log(lines: DataFrame, path: str) -> str:
     fs, p = _files(spark, path)
     fs.delete(p, True)
     return ""
+
+
+PER_FOLDER = 1000  # files in one folder
+
+
+def write_files(df: DataFrame, path: str, key: str, text: str = "text") -> list[str]:
+    """Every row's text and a line feed as one file (null text: the line feed); the folders that hold the files.
+
+    A file's name, or in Spark's own layout its folder's, begins with ``<key>=``
+    and the key: ``file_key`` reads it. On a mounted file system the tasks write
+    the files, into folders of their own, and only those of tasks that ended well
+    are returned. Spark's writer, used elsewhere, starts two processes per file
+    there (``chmod``) and makes a folder per key, each listed by a task.
+    """
+    spark, path = df.sparkSession, path.rstrip("/")
+    fs, p = _files(spark, path)
+    fs.mkdirs(p)
+    if fs.getUri().getScheme() != "file":
+        df.select(key, text).write.mode("append").partitionBy(key).text(path)
+        return [path]
+    root = p.toUri().getPath()
+
+    def run(batches):
+        n, folder = 0, ""
+        for b in batches:
+            made = []
+            for k, t in zip(b.column(0), b.column(1)):
+                if n % PER_FOLDER == 0:
+                    folder = uuid.uuid4().hex
+                    os.mkdir(f"{root}/{folder}")
+                    made.append(folder)
+                with open(f"{root}/{folder}/{key}={k.as_py()}.{n}.txt", "xb") as f:
+                    f.write((t.as_py() or b"") + b"\n")
+                n += 1
+            yield pa.RecordBatch.from_arrays([pa.array(made, pa.string())], ["folder"])
+
+    rows = df.select(F.col(key).cast("bigint").alias("k"), F.col(text).cast("binary").alias("t"))
+    return [f"{path}/{r['folder']}" for r in rows.mapInArrow(run, "folder string").collect()] or [path]
+
+
+def file_key(path: Column, key: str) -> Column:
+    """The key (a whole number, or null) of a file that ``write_files`` has written."""
+    return F.nullif(F.regexp_extract(path, rf"/{key}=(-?[0-9]*)[^/]*(?:/[^/]*)?\z", 1), F.lit("")).cast("bigint")
