@@ -132,15 +132,18 @@ class Network:
         self.seen = [np.full(s, 1e-2, np.float32) for s in shapes]
 
     def hidden(self, ctx: np.ndarray) -> np.ndarray:
-        z = self.bias + self.embed[0][ctx[0]]
+        z = self.embed[0].take(ctx[0], axis=0)
+        z += self.bias
         for k in range(1, 2 * REACH):
-            z = z + self.embed[k][ctx[k]]
-        return np.tanh(z)
+            z += self.embed[k].take(ctx[k], axis=0)
+        return np.tanh(z, out=z)
 
-    def log_classes(self, hidden: np.ndarray) -> np.ndarray:
-        x = hidden @ self.out + self.out_bias
+    def log_classes(self, hidden: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The classes' log-probabilities but for a number of each row's own, which is to be taken off."""
+        x = hidden @ self.out
+        x += self.out_bias
         x -= x.max(axis=1, keepdims=True)
-        return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+        return x, np.log(np.exp(x).sum(axis=1, keepdims=True))
 
     def within(self, klass: np.ndarray, token: np.ndarray, vocabulary: Vocabulary, members: list):
         """For tokens sorted by class: the rows of each class of more than one token, the
@@ -163,11 +166,13 @@ class Network:
             here = token[a:a + BATCH][order]
             klass = vocabulary.klass[here]
             h = self.hidden(ctx[:, a:a + BATCH][:, order])
-            part = self.log_classes(h)[np.arange(len(here)), klass].astype(np.float64)
+            x, off = self.log_classes(h)
+            part = (x[np.arange(len(here)), klass] - off[:, 0]).astype(np.float64)
             every, classes = self.within(klass, here, vocabulary, members)
             words, share = self.words[every], vocabulary.log_share[every].astype(np.float32)
             for rows, mine, right in classes:
-                x = h[rows] @ words[mine].T + share[mine]
+                x = h[rows] @ words[mine].T
+                x += share[mine]
                 top = x.max(axis=1)
                 part[rows] += x[np.arange(len(right)), right] - top
                 x -= top[:, None]
@@ -179,8 +184,9 @@ class Network:
         """Adagrad on some rows of one of the arrays, by their summed gradient over ``n`` tokens."""
         p, s = (self.embed, self.bias, self.out, self.out_bias, self.words)[part], self.seen[part]
         g = (g * np.float32(1 / n)).astype(np.float32, copy=False)
-        s[rows] += g * g
-        p[rows] -= np.float32(RATE) * g / np.sqrt(s[rows])
+        squares = s[rows] + g * g
+        s[rows] = squares
+        p[rows] -= np.float32(RATE) * g / np.sqrt(squares)
 
     def train(self, ctx: np.ndarray, token: np.ndarray, vocabulary: Vocabulary, members: list) -> None:
         """One Adagrad step on the mean loss of a batch; rows without a gradient stay as they are."""
@@ -188,14 +194,17 @@ class Network:
         n, token, ctx = len(token), token[order], ctx[:, order]
         klass = vocabulary.klass[token]
         h = self.hidden(ctx)
-        d = np.exp(self.log_classes(h))
+        d, off = self.log_classes(h)
+        d -= off
+        np.exp(d, out=d)
         d[np.arange(n), klass] -= 1
         dh = d @ self.out.T
         every, classes = self.within(klass, token, vocabulary, members)
         words, share = self.words[every], vocabulary.log_share[every].astype(np.float32)
         grad = np.zeros_like(words)
         for rows, mine, right in classes:
-            x = h[rows] @ words[mine].T + share[mine]
+            x = h[rows] @ words[mine].T
+            x += share[mine]
             x -= x.max(axis=1, keepdims=True)
             np.exp(x, out=x)
             x /= x.sum(axis=1, keepdims=True)
@@ -205,8 +214,9 @@ class Network:
         dz = dh * (1 - h * h)
         for k in range(2 * REACH):
             order = np.argsort(ctx[k].astype(np.uint16), kind="stable")
-            rows, first = np.unique(ctx[k][order], return_index=True)
-            self.step(0, (k, rows), np.add.reduceat(dz[order], first, axis=0), n)
+            there = ctx[k][order]
+            first = np.flatnonzero(np.append(True, there[1:] != there[:-1]))
+            self.step(0, (k, there[first]), np.add.reduceat(dz.take(order, axis=0), first, axis=0), n)
         self.step(1, slice(None), dz.sum(0), n)
         self.step(2, slice(None), h.T @ d, n)
         self.step(3, slice(None), d.sum(0), n)
