@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import tokens as tk
-from ..functions.regex import RegexDialectError, can_be_empty, factors, items_regex, pattern_items
+from ..functions.regex import RegexDialectError, can_be_empty, items_regex, pattern_items, placed_factors
 from ..session import written
 from .dictionary import CompiledDictionary, any_size
 
@@ -137,16 +137,16 @@ def contains_pairs(docs: DataFrame, patterns: DataFrame, doc_key: str, doc_text:
 
 
 REGEX_LINE = ("line_no int, replacement string, line string, reason string, regex string, "
-              "factors array<array<string>>")
+              "factors array<array<string>>, places array<array<int>>")
 
 
 def regex_lines(rows: Sequence[tuple[int, str, str]] | DataFrame, spark: SparkSession | None = None) -> DataFrame:
     """M6: the lines (line_no, pattern, replacement) of a regex dictionary, translated in the tasks.
 
-    ``line_no, replacement, line, reason, regex, factors``: ``reason`` says why a
+    ``line_no, replacement, line, reason, regex, factors, places``: ``reason`` says why a
     line cannot be searched for (it is no pattern of the dialect, or matches the
     empty text: C16), null if it can; ``factors`` is what a matching text contains
-    (one text of each).
+    (one text of each), ``places`` where (see ``placed_factors``).
     """
     if not isinstance(rows, DataFrame):
         rows = spark.createDataFrame([tuple(r) for r in rows], "line_no INT, pattern STRING, replacement STRING")
@@ -155,19 +155,20 @@ def regex_lines(rows: Sequence[tuple[int, str, str]] | DataFrame, spark: SparkSe
         for b in batches:
             out = []
             for n, pattern, replacement in zip(*[c.to_pylist() for c in b.columns]):
-                reason = regex = parts = None
+                reason = regex = parts = places = None
                 try:
                     items = pattern_items(pattern or "")
-                    regex, parts = items_regex(items), factors(items)
+                    regex, placed = items_regex(items), placed_factors(items)
+                    parts, places = [x[0] for x in placed], [list(x[1:]) for x in placed]
                     if can_be_empty(items):
                         reason = "matches the empty text"
                 except RegexDialectError as e:
                     reason = str(e)
-                out.append((n, replacement, pattern, reason, regex if reason is None else None, parts))
-            kinds = [pa.int32(), *[pa.string()] * 4, pa.list_(pa.list_(pa.string()))]
-            cols = list(zip(*out)) if out else [()] * 6
+                out.append((n, replacement, pattern, reason, regex if reason is None else None, parts, places))
+            kinds = [pa.int32(), *[pa.string()] * 4, pa.list_(pa.list_(pa.string())), pa.list_(pa.list_(pa.int32()))]
+            cols = list(zip(*out)) if out else [()] * 7
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)],
-                                             ["line_no", "replacement", "line", "reason", "regex", "factors"])
+                                             ["line_no", "replacement", "line", "reason", "regex", "factors", "places"])
 
     src = rows.select(F.col("line_no").cast("int").alias("line_no"), "pattern", "replacement")
     return src.mapInArrow(run, REGEX_LINE)
@@ -180,7 +181,8 @@ def regex_rejects(rows: Sequence[tuple[int, str, str]] | DataFrame, spark: Spark
 
 def find_all_regex(df: DataFrame, rows: Sequence[tuple[int, str, str]] | DataFrame,
                    key: str | Sequence[str], text: str = "text",
-                   max_patterns: int = 100_000, few: int = FEW) -> DataFrame:
+                   max_patterns: int = 100_000, few: int = FEW, broadcast_rows: int = 500_000,
+                   broadcast_chars: int = 1 << 25) -> DataFrame:
     """M6: matches of a regex dictionary: ``<key>, ordinal, start, end, length, text, line_no``.
 
     ``rows`` is a list of (line_no, pattern, replacement) or a dictionary
@@ -189,9 +191,11 @@ def find_all_regex(df: DataFrame, rows: Sequence[tuple[int, str, str]] | DataFra
     ``regex_rejects`` lists are left out.
 
     A document is scanned with one alternation of lines in line order: all of them
-    if there are at most ``few``, else those whose factors it contains. Factors are
-    found by the anchor join; per line the one in fewest documents says which
-    documents come into question, and the others are looked up for these only.
+    if there are at most ``few``, else those whose factors it contains. Lines whose
+    factors stand at fixed distances are looked up in one pass, while they fit in the
+    tasks (``operators.placed``). The others' factors are found by the anchor join; per
+    line the one in fewest documents says which documents come into question, and the
+    others are looked up for these only.
     Lines without a factor of ``MIN_FACTOR`` characters are scanned for everywhere;
     of these there may be ``max_patterns``.
     """
@@ -201,16 +205,45 @@ def find_all_regex(df: DataFrame, rows: Sequence[tuple[int, str, str]] | DataFra
     n = lines.count()
     if n <= few:
         return _scan_lines(df.select(*keys, F.col(text).alias("_text")), keys, _always(lines.collect(), n))
-    from .anchor import find_candidates
-    long_enough = F.filter("factors", lambda f: F.length(f[0]) >= MIN_FACTOR)
-    lines = lines.withColumn("factors", long_enough)
+    long_enough = F.filter(F.arrays_zip("factors", "places"), lambda z: F.length(z["factors"][0]) >= MIN_FACTOR)
+    lines = lines.withColumn("_z", long_enough).select(
+        "line_no", "regex", F.col("_z.factors").alias("factors"), F.col("_z.places").alias("places"))
     plain = lines.where(F.size("factors") == 0).select("line_no", "regex").limit(max_patterns + 1).collect()
     if len(plain) > max_patterns:
         raise ValueError(f"more than {max_patterns} regex lines without a text that a match must contain")
+    lines = lines.where("size(factors) > 0 AND line_no IS NOT NULL").withColumn(
+        "placed", F.size(F.array_distinct(F.transform("places", lambda p: p[0]))) == 1)
+    chars = F.aggregate("factors", F.lit(0), lambda n, f: n + F.size(f) * F.length(f[0]))
+    st = lines.agg(F.count_if("placed").alias("n"), F.sum(F.when(F.col("placed"), chars)).alias("chars"),
+                   F.count_if(~F.col("placed")).alias("others")).first()
+    fits = 0 < st["n"] <= broadcast_rows and st["chars"] <= broadcast_chars
+    loose = lines.where(~F.col("placed")) if fits else lines
+    some = st["others"] > 0 or (st["n"] > 0 and not fits)
+    docs = df.select(*keys, F.col(text).alias("_text"))
+    if some:
+        docs = written(docs.withColumn("_doc", F.monotonically_increasing_id()), "documents")
+        per_doc = _by_factors(docs, loose)
+    parts = []
+    if fits:
+        from .placed import with_lines
+        offsets = F.transform("places", lambda p: p[1])
+        docs = with_lines(docs, lines.where("placed").withColumn("offsets", offsets), some or bool(plain))
+        parts.append(F.col("_lines"))
+    if some:
+        docs = docs.join(per_doc, "_doc", "left" if fits or plain else "inner")
+        parts.append(F.coalesce("_more", _always([], 0)))
+    if plain:
+        parts.append(_always(plain, len(plain)))
+    # no line twice where there is no other
+    return _scan_lines(docs, keys, F.array_distinct(F.array_sort(F.concat(*parts))) if plain
+                       else F.array_sort(F.concat(*parts)))
+
+
+def _by_factors(docs: DataFrame, lines: DataFrame) -> DataFrame:
+    """``_doc, _more``: the ``lines(line_no, regex, factors)`` all of whose factors a document contains."""
+    from .anchor import find_candidates
     every = written(lines.select("line_no", "regex", F.posexplode("factors").alias("f", "texts"))
                     .select("line_no", "f", F.explode("texts").alias("t")), "factors")
-    docs = written(df.select(*keys, F.col(text).alias("_text"), F.monotonically_increasing_id().alias("_doc")),
-                   "documents")
     texts = every.select(F.lit(0).alias("line_no"), F.col("t").alias("pattern"), F.lit("").alias("replacement"),
                          F.lit(0).alias("replacement_id")).distinct()
     found = find_candidates(docs.select("_doc", "_text"), texts, "_doc", "_text", drop_shadowed=False)
@@ -225,16 +258,8 @@ def find_all_regex(df: DataFrame, rows: Sequence[tuple[int, str, str]] | DataFra
     others = cand.join(chosen.where("f <> best").select("line_no", "f", "t"), "line_no").join(
         found, ["_doc", "t"], "left_semi").groupBy("_doc", "line_no").agg(F.count_distinct("f").alias("others"))
     cand = cand.join(others, ["_doc", "line_no"], "left").where(F.col("factors") == F.coalesce("others", F.lit(0)) + 1)
-    one = F.struct("line_no", "regex")
-    per_doc = cand.join(lines.select("line_no", "regex"), "line_no").groupBy("_doc").agg(
-        F.collect_list(one).alias("_lines"))
-    always = _always(plain, len(plain))
-    scanned = docs.join(per_doc, "_doc", "left" if plain else "inner").select(
-        *keys, "_text", F.array_sort(F.concat(F.coalesce("_lines", always), always) if plain else F.col("_lines"))
-        .alias("_lines"))
-    if plain:  # no line twice where there is no other
-        scanned = scanned.withColumn("_lines", F.array_distinct("_lines"))
-    return _scan_lines(scanned, keys, F.col("_lines"))
+    return cand.join(lines.select("line_no", "regex"), "line_no").groupBy("_doc").agg(
+        F.collect_list(F.struct("line_no", "regex")).alias("_more"))
 
 
 def _always(lines: Sequence, n: int) -> Column:
