@@ -113,6 +113,25 @@ def contexts(token: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return out
 
 
+STEEP = 40.0  # exponents that are no larger need no levelling in 32 bits
+
+
+def bound(weights: np.ndarray) -> float:
+    """What no product of a row of ``weights`` with a hidden state (-1 to 1 everywhere) exceeds."""
+    return float(np.abs(weights).sum(axis=1).max())
+
+
+def level(x: np.ndarray, most: float) -> None:
+    """Take its maximum off each row, if ``most``, which no entry exceeds in size, is too large for exponentials."""
+    if not most <= STEEP:
+        x -= x.max(axis=1, keepdims=True)
+
+
+def totals(x: np.ndarray) -> np.ndarray:
+    """The sums of the rows, as a product (numpy sums short rows slowly)."""
+    return x @ np.ones(x.shape[1], np.float32)
+
+
 class Network:
     """Position embeddings, hidden bias, output weights and bias of classes, output weights of tokens.
 
@@ -130,6 +149,7 @@ class Network:
         parts = np.split(self.flat, np.cumsum(sizes)[:-1])
         self.embed, self.bias, self.out, self.out_bias, self.words = [p.reshape(s) for p, s in zip(parts, shapes)]
         self.seen = [np.full(s, 1e-2, np.float32) for s in shapes]
+        self.moved = np.zeros(shapes[0], np.float32)
 
     def hidden(self, ctx: np.ndarray) -> np.ndarray:
         z = self.embed[0].take(ctx[0], axis=0)
@@ -138,14 +158,19 @@ class Network:
             z += self.embed[k].take(ctx[k], axis=0)
         return np.tanh(z, out=z)
 
-    def log_classes(self, hidden: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The classes' log-probabilities but for a number of each row's own, which is to be taken off."""
+    def logits(self, hidden: np.ndarray) -> np.ndarray:
+        """Logits of the classes, levelled."""
         x = hidden @ self.out
         x += self.out_bias
-        x -= x.max(axis=1, keepdims=True)
-        return x, np.log(np.exp(x).sum(axis=1, keepdims=True))
+        level(x, bound(self.out.T) + np.abs(self.out_bias).max())
+        return x
+
+    def log_classes(self, hidden: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The classes' log-probabilities but for a number of each row's own, which is to be taken off."""
+        x = self.logits(hidden)
+        return x, np.log(totals(np.exp(x)))[:, None]
 
-    def within(self, klass: np.ndarray, token: np.ndarray, vocabulary: Vocabulary, members: list):
+    def within(self, klass: np.ndarray, token: np.ndarray, members: list):
         """For tokens sorted by class: the rows of each class of more than one token, the
         places of its tokens in ``np.concatenate(members)``, and the place of each right one among them."""
         every = np.concatenate(members)
@@ -154,13 +179,22 @@ class Network:
         place[every] = np.arange(len(every))
         first = np.concatenate([[0], ends[:-1]])
         right = place[token] - first[klass]
-        rows = np.concatenate([[0], np.cumsum(np.bincount(klass, minlength=CLASSES))])
-        return every, [(slice(rows[c], rows[c + 1]), slice(first[c], ends[c]), right[rows[c]:rows[c + 1]])
-                       for c in range(CLASSES) if rows[c + 1] > rows[c] and ends[c] - first[c] > 1]
+        rows = np.concatenate([[0], np.cumsum(np.bincount(klass, minlength=len(members)))])
+        used = np.flatnonzero((np.diff(rows) > 0) & (ends - first > 1))
+        return every, [(slice(a, z), slice(b, e), right[a:z]) for a, z, b, e in zip(
+            rows[used].tolist(), rows[used + 1].tolist(), first[used].tolist(), ends[used].tolist())]
+
+    def inner(self, hidden: np.ndarray, words: np.ndarray, share: np.ndarray, most: float) -> np.ndarray:
+        """Logits of the tokens of one class, levelled; ``most`` is the bound of its words."""
+        x = hidden @ words.T
+        x += share
+        level(x, most + np.abs(share).max())
+        return x
 
     def log_prob(self, ctx: np.ndarray, token: np.ndarray, vocabulary: Vocabulary, members: list) -> np.ndarray:
         """Log-probability of each token given its neighbours: of its class, and of the token in it."""
         out = np.empty(len(token), np.float64)
+        most = bound(self.words)
         for a in range(0, len(token), BATCH):
             order = np.argsort(vocabulary.klass[token[a:a + BATCH]].astype(np.uint8), kind="stable")
             here = token[a:a + BATCH][order]
@@ -168,25 +202,25 @@ class Network:
             h = self.hidden(ctx[:, a:a + BATCH][:, order])
             x, off = self.log_classes(h)
             part = (x[np.arange(len(here)), klass] - off[:, 0]).astype(np.float64)
-            every, classes = self.within(klass, here, vocabulary, members)
+            every, classes = self.within(klass, here, members)
             words, share = self.words[every], vocabulary.log_share[every].astype(np.float32)
+            sums = np.ones(len(here), np.float32)
             for rows, mine, right in classes:
-                x = h[rows] @ words[mine].T
-                x += share[mine]
-                top = x.max(axis=1)
-                part[rows] += x[np.arange(len(right)), right] - top
-                x -= top[:, None]
-                part[rows] -= np.log(np.exp(x, out=x).sum(axis=1))
+                x = self.inner(h[rows], words[mine], share[mine], most)
+                part[rows] += x[np.arange(len(right)), right]
+                sums[rows] = totals(np.exp(x, out=x))
+            part -= np.log(sums)
             out[a + order] = part
         return out
 
-    def step(self, part: int, rows, g: np.ndarray, n: int) -> None:
-        """Adagrad on some rows of one of the arrays, by their summed gradient over ``n`` tokens."""
+    def step(self, part: int, g: np.ndarray, n: int) -> None:
+        """Adagrad on one of the arrays, by its summed gradient over ``n`` tokens; where it is 0 nothing moves."""
         p, s = (self.embed, self.bias, self.out, self.out_bias, self.words)[part], self.seen[part]
-        g = (g * np.float32(1 / n)).astype(np.float32, copy=False)
-        squares = s[rows] + g * g
-        s[rows] = squares
-        p[rows] -= np.float32(RATE) * g / np.sqrt(squares)
+        g = (g * (1 / n)).astype(np.float32)
+        s += g * g
+        g *= np.float32(RATE)
+        g /= np.sqrt(s)
+        p -= g
 
     def train(self, ctx: np.ndarray, token: np.ndarray, vocabulary: Vocabulary, members: list) -> None:
         """One Adagrad step on the mean loss of a batch; rows without a gradient stay as they are."""
@@ -194,33 +228,32 @@ class Network:
         n, token, ctx = len(token), token[order], ctx[:, order]
         klass = vocabulary.klass[token]
         h = self.hidden(ctx)
-        d, off = self.log_classes(h)
-        d -= off
-        np.exp(d, out=d)
-        d[np.arange(n), klass] -= 1
+        # exponentials are not divided by their sums: the products with the weights are, which are fewer
+        d = self.logits(h)
+        sums = totals(np.exp(d, out=d))
+        d[np.arange(n), klass] -= sums
         dh = d @ self.out.T
-        every, classes = self.within(klass, token, vocabulary, members)
-        words, share = self.words[every], vocabulary.log_share[every].astype(np.float32)
-        grad = np.zeros_like(words)
+        dh /= sums[:, None]
+        d_out, d_bias = (h / sums[:, None]).T @ d, (1 / sums) @ d
+        every, classes = self.within(klass, token, members)
+        words, share, most = self.words[every], vocabulary.log_share[every].astype(np.float32), bound(self.words)
+        grad = np.zeros_like(self.words)
         for rows, mine, right in classes:
-            x = h[rows] @ words[mine].T
-            x += share[mine]
-            x -= x.max(axis=1, keepdims=True)
-            np.exp(x, out=x)
-            x /= x.sum(axis=1, keepdims=True)
-            x[np.arange(len(right)), right] -= 1
-            dh[rows] += x @ words[mine]
-            grad[mine] = x.T @ h[rows]
+            x, here = self.inner(h[rows], words[mine], share[mine], most), h[rows]
+            sums = totals(np.exp(x, out=x))
+            x[np.arange(len(right)), right] -= sums
+            dh[rows] += x @ words[mine] / sums[:, None]
+            grad[every[mine]] = x.T @ (here / sums[:, None])
         dz = dh * (1 - h * h)
+        columns = np.ascontiguousarray(dz.T, np.float64)
         for k in range(2 * REACH):
-            order = np.argsort(ctx[k].astype(np.uint16), kind="stable")
-            there = ctx[k][order]
-            first = np.flatnonzero(np.append(True, there[1:] != there[:-1]))
-            self.step(0, (k, there[first]), np.add.reduceat(dz.take(order, axis=0), first, axis=0), n)
-        self.step(1, slice(None), dz.sum(0), n)
-        self.step(2, slice(None), h.T @ d, n)
-        self.step(3, slice(None), d.sum(0), n)
-        self.step(4, every, grad, n)
+            for j in range(HIDDEN):
+                self.moved[k, :, j] = np.bincount(ctx[k], columns[j], TABLE)
+        self.step(0, self.moved, n)
+        self.step(1, columns.sum(1), n)
+        self.step(2, d_out, n)
+        self.step(3, d_bias, n)
+        self.step(4, grad, n)
 
 
 def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
