@@ -1,8 +1,9 @@
 """Corpus sources: tables with a text column, file sets, BOM decoding, unions.
 
 S1: file arguments become ``binaryFile`` scans (``recursive=True`` reads every
-file below a directory); very large files are read line by line instead
-(``read_lines``); tables are read with only the key and text columns, so the
+file below a directory, on a mounted file system listed and read by the tasks:
+Spark's file index keeps every file in the driver's memory); very large files
+are read line by line instead (``read_lines``); tables are read with only the key and text columns, so the
 parquet scan prunes everything else.
 S2: a file's encoding is chosen from its byte order mark, per row, with
 ``decode``; the mark itself is kept apart so a rewrite can put it back.
@@ -11,8 +12,11 @@ U1: several corpora are searched as one by a union of (source, key, text).
 
 from __future__ import annotations
 
+import os
+import re
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,8 +50,14 @@ def read_files(spark: SparkSession, paths: str | Sequence[str], recursive: bool
     A directory argument is listed by Spark's file index: its files, plus
     partition-style subdirectories (``name=value``) as columns. Pass
     ``recursive=True`` to read every file below it whatever the directory
-    names (then no partition columns); ``glob`` filters file names.
+    names (then no partition columns); ``glob`` filters file names. With
+    ``recursive`` and no ``glob``, directories of a mounted file system are
+    listed and read by the tasks, and the driver keeps only ``paths``.
     """
+    if recursive and not glob:
+        folders = _mounted(spark, [paths] if isinstance(paths, str) else paths)
+        if folders:
+            return _read_below(spark, folders)
     reader = spark.read.format("binaryFile")
     if recursive:
         reader = reader.option("recursiveFileLookup", "true")
@@ -58,6 +68,86 @@ def read_files(spark: SparkSession, paths: str | Sequence[str], recursive: bool
     return reader.load(list(paths))
 
 
+def _mounted(spark: SparkSession, paths: Sequence[str]) -> list[str] | None:
+    """The outermost of ``paths``, if all are directories of a mounted file system and none is a pattern."""
+    jsc = spark.sparkContext._jsc
+    usual = spark.sparkContext._jvm.org.apache.hadoop.fs.FileSystem.getDefaultUri(jsc.hadoopConfiguration()).getScheme()
+    found = set()
+    for p in paths:
+        scheme, path = re.fullmatch(r"(?s)(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://[^/]*)?(.*)", p).groups()
+        if (scheme or usual) != "file" or not path.startswith("/") or re.search(r"[][*?{}\\]", path) or not os.path.isdir(path):
+            return None
+        found.add("/" + os.path.normpath(path).lstrip("/"))
+
+    def inside(p: str) -> bool:
+        while p != "/":
+            p = os.path.dirname(p)
+            if p in found:
+                return True
+        return False
+
+    return sorted(p for p in found if not inside(p))
+
+
+BATCH_FILES, BATCH_BYTES = 1000, 4 << 20  # a batch of files ends with the one that reaches either
+
+
+def _read_below(spark: SparkSession, folders: Sequence[str]) -> DataFrame:
+    """Every file below mounted ``folders`` as Spark's reader gives it: no hidden and no empty files.
+
+    The tasks list the folders, the names are dealt out evenly, and the tasks that
+    get them read the files, a batch at a time.
+    """
+    most = int(spark.conf.get("spark.sql.sources.binaryFile.maxLength", str(2 ** 31 - 1)))
+    n_files, n_bytes = BATCH_FILES, BATCH_BYTES
+
+    def listed(batches):
+        def out(rows):
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()),
+                                               pa.array([r[1] for r in rows], pa.int64())], ["file", "ms"])
+        for b in batches:
+            rows, todo = [], b.column(0).to_pylist()
+            while todo:
+                with os.scandir(todo.pop()) as entries:
+                    for e in entries:
+                        hidden = e.name.startswith("_") and "=" not in e.name or e.name.startswith(".") or e.name.endswith("._COPYING_")
+                        if e.is_dir():
+                            if not hidden or e.name.startswith(("_metadata", "_common_metadata")):
+                                todo.append(e.path)
+                        elif not hidden and e.is_file() and (s := e.stat()).st_size:
+                            rows.append((e.path, s.st_mtime_ns // 1_000_000))
+                        if len(rows) == n_files:
+                            yield out(rows)
+                            rows = []
+            yield out(rows)
+
+    def read(batches):
+        def out(rows):
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.int64(), pa.binary()))],
+                ["path", "ms", "length", "content"])
+        for b in batches:
+            rows, size = [], 0
+            for path, ms in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if rows and (len(rows) >= n_files or size >= n_bytes):
+                    yield out(rows)
+                    rows, size = [], 0
+                with open(path, "rb") as f:
+                    length = os.fstat(f.fileno()).st_size
+                    if length > most:
+                        raise ValueError(f"{path} has {length} bytes, more than the {most} that a row can hold: see read_lines")
+                    content = f.read()
+                rows.append((f"file:{path}", ms, len(content), content))
+                size += len(content)
+            if rows:
+                yield out(rows)
+
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    names = spark.createDataFrame([(p,) for p in folders], "folder string").mapInArrow(listed, "file string, ms bigint")
+    files = names.repartition(n).mapInArrow(read, "path string, ms bigint, length bigint, content binary")
+    return files.select("path", F.timestamp_millis("ms").alias("modificationTime"), "length", "content")
+
+
 # Byte order marks and the charset each selects. Longest marks are
 # tested first.
 BOMS = [
