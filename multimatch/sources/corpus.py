@@ -54,17 +54,15 @@ def read_files(spark: SparkSession, paths: str | Sequence[str], recursive: bool
     ``recursive`` and no ``glob``, directories of a mounted file system are
     listed and read by the tasks, and the driver keeps only ``paths``.
     """
-    if recursive and not glob:
-        folders = _mounted(spark, [paths] if isinstance(paths, str) else paths)
-        if folders:
-            return _read_below(spark, folders)
+    if isinstance(paths, str):
+        paths = [paths]
+    if recursive and not glob and (folders := _mounted(spark, paths)):
+        return _read_below(spark, folders)
     reader = spark.read.format("binaryFile")
     if recursive:
         reader = reader.option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    if isinstance(paths, str):
-        paths = [paths]
     return reader.load(list(paths))
 
 
@@ -110,7 +108,8 @@ def _read_below(spark: SparkSession, folders: Sequence[str]) -> DataFrame:
             while todo:
                 with os.scandir(todo.pop()) as entries:
                     for e in entries:
-                        hidden = e.name.startswith("_") and "=" not in e.name or e.name.startswith(".") or e.name.endswith("._COPYING_")
+                        hidden = ((e.name.startswith("_") and "=" not in e.name)
+                                  or e.name.startswith(".") or e.name.endswith("._COPYING_"))
                         if e.is_dir():
                             if not hidden or e.name.startswith(("_metadata", "_common_metadata")):
                                 todo.append(e.path)
